@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import byte_bpe
+from lexweave.llm import byte_bpe, packing
 from lexweave.llm.common import table
 
 
@@ -17,5 +17,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe}
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents along the Hilbert curve into sequences of 1024 tokens."""
+    import public_tokenizers as P
+
+    return packing.pack(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op6_packing": op6_packing}
 ORACLE_SQL: dict[str, str] = {}
