@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import byte_bpe, packing
+from lexweave.llm import byte_bpe, packing, simhash
 from lexweave.llm.common import table
 
 
@@ -24,5 +24,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op6_packing": op6_packing}
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 3-word shingles and their groups at two differing bits."""
+    found = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op6_packing": op6_packing, "op7_simhash": op7_simhash}
 ORACLE_SQL: dict[str, str] = {}
