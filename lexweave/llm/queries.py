@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import byte_bpe, packing, simhash
+from lexweave.llm import byte_bpe, packing, simhash, url_filters
 from lexweave.llm.common import table
 
 
@@ -30,5 +30,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op6_packing": op6_packing, "op7_simhash": op7_simhash}
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url, by rules, else by its aliases."""
+    found = url_filters.judge(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op6_packing": op6_packing, "op7_simhash": op7_simhash, "op10_url_filters": op10_url_filters}
 ORACLE_SQL: dict[str, str] = {}
