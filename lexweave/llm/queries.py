@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import byte_bpe, packing, simhash, url_filters
+from lexweave.llm import byte_bpe, line_dedup, packing, simhash, url_filters, warc
 from lexweave.llm.common import table
 
 
@@ -17,6 +17,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive every page in seekable bundles and read the archives back."""
+    return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents along the Hilbert curve into sequences of 1024 tokens."""
     import public_tokenizers as P
@@ -30,11 +35,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drop the boilerplate lines of each source from its documents."""
+    return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "lines_total", "lines_dropped")
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url, by rules, else by its aliases."""
     found = url_filters.judge(table(spark, sf_dir, "pages"))
     return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op6_packing": op6_packing, "op7_simhash": op7_simhash, "op10_url_filters": op10_url_filters}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc, op6_packing, op7_simhash, op8_line_dedup, op10_url_filters)}
+ORACLE_SQL: dict[str, str] = {"op8_line_dedup": line_dedup.SQL}
