@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import byte_bpe, line_dedup, packing, simhash, url_filters, warc
+from lexweave.llm import byte_bpe, line_dedup, media, packing, simhash, url_filters, warc
 from lexweave.llm.common import table
 
 
@@ -22,6 +22,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store every document as 8-bit samples, read them back, sniff and measure them."""
+    return media.store_and_read(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents along the Hilbert curve into sequences of 1024 tokens."""
     import public_tokenizers as P
@@ -46,5 +51,5 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc, op6_packing, op7_simhash, op8_line_dedup, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc, op4_media, op6_packing, op7_simhash, op8_line_dedup, op10_url_filters)}
 ORACLE_SQL: dict[str, str] = {"op8_line_dedup": line_dedup.SQL}
