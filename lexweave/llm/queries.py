@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import byte_bpe, line_dedup, media, packing, simhash, url_filters, warc
-from lexweave.llm.common import table
+from lexweave.llm import byte_bpe, line_dedup, media, packing, simhash, toxicity, url_filters, warc
+from lexweave.llm.common import held_out, table
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,11 +45,18 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "lines_total", "lines_dropped")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document by compression distance, learning from labels outside the held-out third."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id"), toxicity.FOLD).alias("held_out"), "score", "predicted")
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url, by rules, else by its aliases."""
     found = url_filters.judge(table(spark, sf_dir, "pages"))
     return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc, op4_media, op6_packing, op7_simhash, op8_line_dedup, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc, op4_media, op6_packing, op7_simhash, op8_line_dedup, op9_toxicity, op10_url_filters)}
 ORACLE_SQL: dict[str, str] = {"op8_line_dedup": line_dedup.SQL}
