@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import byte_bpe, line_dedup, media, packing, simhash, toxicity, url_filters, warc
+from lexweave.llm import byte_bpe, line_dedup, media, nearest, packing, simhash, toxicity, url_filters, warc
 from lexweave.llm.common import held_out, table
 
 
@@ -27,6 +27,11 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_and_read(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth."""
+    return nearest.search(table(spark, sf_dir, "embeddings"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents along the Hilbert curve into sequences of 1024 tokens."""
     import public_tokenizers as P
@@ -58,5 +63,5 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc, op4_media, op6_packing, op7_simhash, op8_line_dedup, op9_toxicity, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc, op4_media, op5_multi_index, op6_packing, op7_simhash, op8_line_dedup, op9_toxicity, op10_url_filters)}
 ORACLE_SQL: dict[str, str] = {"op8_line_dedup": line_dedup.SQL}
