@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import byte_bpe, line_dedup, media, nearest, packing, simhash, toxicity, url_filters, warc
+from lexweave.llm import bloom_lm, byte_bpe, line_dedup, media, nearest, packing, simhash, toxicity, url_filters, warc
 from lexweave.llm.common import held_out, table
 
 
@@ -22,6 +22,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
 
 
+def op3_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document by the model of those outside the held-out fifth."""
+    return bloom_lm.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store every document as 8-bit samples, read them back, sniff and measure them."""
     return media.store_and_read(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -63,5 +68,5 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc, op4_media, op5_multi_index, op6_packing, op7_simhash, op8_line_dedup, op9_toxicity, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc, op3_bloom_lm, op4_media, op5_multi_index, op6_packing, op7_simhash, op8_line_dedup, op9_toxicity, op10_url_filters)}
 ORACLE_SQL: dict[str, str] = {"op8_line_dedup": line_dedup.SQL}
