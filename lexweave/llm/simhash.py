@@ -155,3 +155,99 @@ def near_groups(df: DataFrame, words: int = 3, k: int = 2, id_col: str = "doc_id
 def hexadecimal(fp: Column) -> Column:
     """16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+#: Wide fingerprints for similarities that 64 bits can't tell: words of 64 bits, and the chance to meet wanted of two texts just similar enough.
+WIDE, MEET = 4, 0.97
+RING = 16  # bits of a segment of the wide ring
+CHAINED = 4  # segments of a chain of the wide ring
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """64 * WIDE booleans by majority over hashes and three remixes of them."""
+    parts = []
+    for k in range(WIDE):
+        h = hashes if k == 0 else (hashes ^ np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
+        parts.append(majority_bits(h ^ h >> np.uint64(32) if k else h))
+    return np.concatenate(parts)
+
+
+def expected_difference(similarity: float) -> float:
+    """Share of differing bits of two texts whose shingle sets have this Jaccard similarity: their angle over pi."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", meet: float = MEET) -> DataFrame:
+    """(id, component_id) of every row: texts whose sets of word shingles have at least this Jaccard similarity are linked.
+
+    Texts meet in tables keyed by sampled bits of a wide fingerprint, in as many tables as give `meet` chances at the least
+    similarity; the bits of a key follow the number of texts, so that chance meetings stay in proportion. A crowd under one
+    key is linked to one of its members, another in each table, never in pairs. Meetings go through the pigeonring chain,
+    then the full Hamming distance, then the exact similarity of their shingle sets. Texts of equal words are one throughout.
+    Rows of one id count as one document.
+    """
+    own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = own.schema["id"].dataType.simpleString()
+    bits = 64 * WIDE
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (b for p in parts for b in text_blocks(p, "text")):
+            texts = batches(part.column("text"))
+            keys = [xxhash.xxh128_digest(b" ".join(t.encode().lower().split())) for t in texts]
+            wide = np.packbits(np.array([wide_fingerprint(np.unique(shingle_hashes(t, words))) for t in texts], np.uint8).reshape(-1, bits), axis=1, bitorder="little")
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(keys, pa.binary()), pa.array(wide.view("<i8").reshape(-1, WIDE).tolist(), pa.list_(pa.int64()))], names=["id", "words_key", "fp"])
+
+    fps = stored(own.mapInArrow(run, f"id {kind}, words_key binary, fp array<long>"), "wide")
+    kinds = stored(fps.groupBy("words_key").agg(F.min("id").alias("k"), F.first("fp").alias("fp")).where("k is not null"), "kinds")
+    count = max(2, kinds.count())
+    width = max(12, int(np.ceil(np.log2(count))) + 4)
+    same = 1 - expected_difference(similarity)
+    tables = int(np.ceil(np.log(1 - meet) / np.log(1 - same**width)))
+    rng = np.random.default_rng(5)
+    picks = np.zeros((bits, tables))
+    for t in range(tables):
+        picks[rng.choice(bits, width, replace=False), t] = 2.0 ** np.arange(width)
+
+    def keyed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for k in range(0, part.num_rows, 1000):
+                some = part.slice(k, 1000)
+                raw = np.asarray(some.column("fp").flatten(), dtype="<i8").reshape(-1, WIDE)
+                on = np.unpackbits(np.ascontiguousarray(raw).view(np.uint8).reshape(len(raw), -1), axis=1, bitorder="little")
+                keys = (on.astype(np.float64) @ picks).astype(np.int64) * tables + np.arange(tables)
+                yield pa.RecordBatch.from_arrays([some.column("k").take(pa.array(np.repeat(np.arange(len(raw)), tables))), pa.array(keys.ravel())], names=["k", "key"])
+
+    met = kinds.select("k", "fp").mapInArrow(keyed, f"k {kind}, key long")
+    chosen = met.groupBy("key").agg(F.min(F.struct(F.xxhash64("k", "key").alias("h"), F.col("k"))).alias("r"), F.count("*").alias("n")).where("n > 1").select("key", F.col("r.k").alias("b"))
+    pairs = met.join(chosen, "key").where(F.col("k") != F.col("b")).select(F.greatest("k", "b").alias("a"), F.least("k", "b").alias("b")).distinct()
+    pairs = pairs.join(kinds.select(F.col("k").alias("a"), F.col("fp").alias("fa")), "a").join(kinds.select(F.col("k").alias("b"), F.col("fp").alias("fb")), "b")
+    near = expected_difference(similarity)
+    most = int(np.ceil(bits * near + 3.5 * np.sqrt(bits * near * (1 - near))))
+    pairs = pairs.withColumn("d", F.transform(F.arrays_zip("fa", "fb"), lambda x: x["fa"].bitwiseXOR(x["fb"])))
+    ring = bits // RING
+    part_of = F.array(*[F.bit_count(F.shiftrightunsigned(F.col("d")[i * RING // 64], i * RING % 64).bitwiseAND((1 << RING) - 1)) for i in range(ring)])
+    pairs = pairs.select("a", "b", part_of.alias("s"))
+    chain = F.lit(False)
+    for i in range(ring):
+        total, good = F.lit(0), F.lit(True)
+        for j in range(CHAINED):
+            total = total + F.col("s")[(i + j) % ring]
+            good = good & (total * ring <= (j + 1) * most)
+        chain = chain | good
+    pairs = stored(pairs.where(chain).where(F.aggregate("s", F.lit(0), lambda x, y: x + y) <= most).select("a", "b"), "met")
+
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+    def shingled(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (b for p in parts for b in text_blocks(p, "text")):
+            sets = [np.unique((shingle_hashes(t, words) >> np.uint64(32)).astype(np.uint32).view(np.int32)) for t in batches(part.column("text"))]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.list_(pa.int32()))], names=["id", "held"])
+
+    sets = own.join(involved, "id", "left_semi").mapInArrow(shingled, f"id {kind}, held array<int>").groupBy("id").agg(F.first("held").alias("held"))
+    sets = stored(sets, "sets")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("held").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("held").alias("hb")), "b")
+    shared = F.size(F.array_intersect("ha", "hb"))
+    linked = stored(both.where(shared >= similarity * (F.size("ha") + F.size("hb") - shared)).select("a", "b"), "linked")
+    joined = components(linked, "groups")
+    named = kinds.join(joined, kinds.k == joined.node, "left").select("words_key", F.coalesce("component", "k").alias("component_id"))
+    return fps.select("id", "words_key").distinct().join(named, "words_key", "left").select("id", F.coalesce("component_id", "id").alias("component_id"))
