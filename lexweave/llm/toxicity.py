@@ -177,12 +177,17 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on labelled rows that aren't held out: at most `sample` of each class come to the driver."""
     told = labels.where(~held_out(F.col(id_col), FOLD)).groupBy(id_col).agg(F.max(label_col).alias("label")).where("label in (0, 1)")
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= LONGEST)
-    known = known.join(told, known["id"] == told[id_col]).select("text", "label", F.xxhash64("id").alias("order"))
+    narrow = known.select("id").join(told, known["id"] == told[id_col]).select("id", "label").distinct()
     counts = {r[0]: r[1] for r in told.groupBy("label").count().collect()}
     if not counts.get(0) or not counts.get(1):
         share = 1 - 1e-9 if counts.get(1) else 1e-9
         return Model(b"\0" * 8, b"\0" * 8, (math.log(share / (1 - share)), 0.0, 0.0, 0.0))
-    classes = [[r[0] for r in known.where(F.col("label") == c).orderBy("order", "text").limit(sample).select("text").collect()] for c in (0, 1)]
+    # ids are chosen on narrow rows; then only the chosen texts, at most 2 * sample, leave the scan
+    chosen = [r for c in (0, 1) for r in narrow.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(sample).collect()]
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, narrow.schema))
+    texts = known.join(wanted, "id").select("label", "text", F.xxhash64("id").alias("order")).collect()
+    texts.sort(key=lambda r: (r["order"], r["text"]))
+    classes = [[r["text"] for r in texts if r["label"] == c] for c in (0, 1)]
     other, toxic = (list(dict.fromkeys(c)) for c in classes)
     if not other or not toxic:
         share = counts[1] / (counts[0] + counts[1])
