@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
 Both halves of a vector are quantised separately, so K centroids a half make K*K cells. A query walks pairs of centroids in
-the order of their summed distances, with a heap, until the cells passed hold `share` of all vectors; the vectors in these
+the order of their summed distances, with a heap, until the cells passed hold `share` of all vectors and 50 k at least; the vectors in these
 cells are reranked by their exact Euclidean distance in double precision.
 
 Centroids come from a sample of at most SAMPLE vectors (those of smallest hashed id); every vector is indexed. Cells are
@@ -99,7 +99,7 @@ def search(df: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id",
     counts = np.zeros(len(c1) * len(c2), dtype=np.int64)
     for r in index.groupBy("cell").count().collect():
         counts[r["cell"]] = r["count"]
-    wanted = share * counts.sum()
+    wanted = max(share * counts.sum(), min(counts.sum(), 50 * k))
 
     # consecutive cells share a chunk until it is full; a cell beyond a chunk's size is spread over chunks of its own
     chunks: list[tuple[int, int, int]] = []
