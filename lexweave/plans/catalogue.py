@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
-from lexweave.operators import batching, cache, consistency, glossary, quality, runs
+from lexweave.operators import batching, cache, consistency, enrich, glossary, quality, runs
 from lexweave.plans import fixtures as X
 from lexweave.sources import html as H
 from lexweave.streaming import logs as S
@@ -532,3 +532,29 @@ def q_reply_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text blocks of all pages (tested against pages with known blocks)."""
     return H.blocks(table(spark, sf_dir, "pages"))
+
+
+@query("""
+WITH t AS (SELECT DISTINCT text FROM conversations WHERE role = 'user'), a AS (SELECT text, CASE WHEN regexp_matches(text, '^[0-9]') THEN NULL ELSE 'ZH:' || text END AS answer FROM t)
+SELECT sha256(text) AS key, answer, CASE WHEN answer IS NULL THEN 'failed' ELSE 'ok' END AS status, 
+       CASE WHEN answer IS NULL OR len(list_filter(range(1, CAST(length(answer) AS BIGINT)), lambda i: len(list_filter(range(2, 11), lambda n: length(answer) >= i - 1 + 4 * n AND substr(answer, i, 4 * n) = repeat(substr(answer, i, n), 4))) > 0)) > 0 THEN 'retranslate' ELSE 'keep' END AS route FROM a
+""")
+def q_stage_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different questions through the stub provider, and their routes."""
+    tasks = cache.distinct_tasks(table(spark, sf_dir, "conversations").where("role = 'user'"), "conv_id", "text")
+    return enrich.routed(enrich.enriched(tasks, enrich.stub, "task_key", "text")).select("key", "answer", "status", "route")
+
+
+@query("SELECT * FROM (VALUES (1, 0, 1, 'b'), (1, 1, 0, 'a'), (2, 0, NULL, 'x'), (2, 1, NULL, 'y'), (3, 0, 4, 'said \"so\" here'), (4, 0, 0, 'fenced')) AS v(batch_id, pos, idx, value)")
+def q_reply_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """items of well-formed, fenced and broken replies."""
+    raw = ['{"translations": [{"idx": 1, "zh": "b"}, {"index": "0", "text": " a "}]}', 'Here: ["x", "y"] done', '{"items": [{"idx": 4, "zh": "said "so" here"}]', '```json\n[{"id": 0, "translation": "fenced"}]\n```', "nothing", None]
+    return enrich.parsed_replies(spark.createDataFrame(list(enumerate(raw, 1)), "batch_id int, raw string"))
+
+
+@query("SELECT * FROM (VALUES (1, 'apply'), (2, 'invalid'), (3, 'provider_pinned'), (4, 'locked'), (5, 'manual_review'), (6, 'invalid')) AS v(k, verdict)")
+def q_recovery_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of proposed recoveries."""
+    rows = [(1, "timeout", "retry", 0.9, "a", "a"), (2, "timeout", "dance", 0.9, "", ""), (3, "timeout", "retry", 0.9, "a", "b"), (4, "moderation", "retry", 0.99, "", ""), (5, "timeout", "retry", 0.5, "", ""), (6, "timeout", "retry", 1.5, "", "")]
+    df = spark.createDataFrame(rows, "k int, issue string, action string, confidence double, provider string, pinned string")
+    return df.select("k", enrich.decision(*[F.col(c) for c in ("issue", "action", "confidence", "provider", "pinned")]).alias("verdict"))
