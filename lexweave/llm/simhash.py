@@ -182,7 +182,7 @@ def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, id_c
 
     Texts meet in tables keyed by sampled bits of a wide fingerprint, in as many tables as give `meet` chances at the least
     similarity; the bits of a key follow the number of texts, so that chance meetings stay in proportion. A crowd under one
-    key is linked to one of its members, another in each table, never in pairs. Meetings go through the pigeonring chain,
+    key is linked within blocks first, of which one row each goes on, and then along a random order that differs by table, never in pairs. Meetings go through the pigeonring chain,
     then the full Hamming distance, then the exact similarity of their shingle sets. Texts of equal words are one throughout.
     Rows of one id count as one document.
     """
@@ -209,17 +209,42 @@ def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, id_c
         picks[rng.choice(bits, width, replace=False), t] = 2.0 ** np.arange(width)
 
     def keyed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(k, key, b): of rows that meet within a block only the first goes on under its key, the others are linked to it at once."""
         for part in parts:
-            for k in range(0, part.num_rows, 1000):
-                some = part.slice(k, 1000)
+            for i in range(0, part.num_rows, 2000):
+                some = part.slice(i, 2000)
                 raw = np.asarray(some.column("fp").flatten(), dtype="<i8").reshape(-1, WIDE)
                 on = np.unpackbits(np.ascontiguousarray(raw).view(np.uint8).reshape(len(raw), -1), axis=1, bitorder="little")
-                keys = (on.astype(np.float64) @ picks).astype(np.int64) * tables + np.arange(tables)
-                yield pa.RecordBatch.from_arrays([some.column("k").take(pa.array(np.repeat(np.arange(len(raw)), tables))), pa.array(keys.ravel())], names=["k", "key"])
-
-    met = kinds.select("k", "fp").mapInArrow(keyed, f"k {kind}, key long")
-    chosen = met.groupBy("key").agg(F.min(F.struct(F.xxhash64("k", "key").alias("h"), F.col("k"))).alias("r"), F.count("*").alias("n")).where("n > 1").select("key", F.col("r.k").alias("b"))
-    pairs = met.join(chosen, "key").where(F.col("k") != F.col("b")).select(F.greatest("k", "b").alias("a"), F.least("k", "b").alias("b")).distinct()
+                keys = ((on.astype(np.float64) @ picks).astype(np.int64) * tables + np.arange(tables)).ravel()
+                owner = np.repeat(np.arange(len(raw)), tables)
+                different, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+                rest = np.setdiff1d(np.arange(len(keys)), first, assume_unique=True)
+                names = some.column("k")
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(owner[first])), pa.array(different), pa.nulls(len(first), names.type)], names=["k", "key", "b"])
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(owner[rest])), pa.nulls(len(rest), pa.int64()), names.take(pa.array(owner[first][inverse[rest]]))], names=["k", "key", "b"])
+
+    def neighbours(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by key: each is linked to the first of its key and to the one before, with two rows in memory."""
+        key, first, last = None, None, None
+        for part in parts:
+            a, b = [], []
+            for now, k, linked in zip(part.column("key").to_pylist(), part.column("k").to_pylist(), part.column("b").to_pylist(), strict=True):
+                if linked is not None:
+                    a.append(k)
+                    b.append(linked)
+                    continue
+                if now != key:
+                    key, first = now, k
+                else:
+                    a += [k, k] if last != first else [k]
+                    b += [first, last] if last != first else [first]
+                last = k
+            yield pa.RecordBatch.from_arrays([pa.array(a, part.column("k").type), pa.array(b, part.column("k").type)], names=["k", "b"])
+
+    met = kinds.select("k", "fp").mapInArrow(keyed, f"k {kind}, key long, b {kind}")
+    dealt = met.select("k", F.coalesce("key", F.lit(-1) - F.xxhash64("k", "b") % 1024).alias("key"), "b").repartition("key").sortWithinPartitions("key", F.xxhash64("k", "key"))
+    links_of = dealt.mapInArrow(neighbours, f"k {kind}, b {kind}")
+    pairs = links_of.where(F.col("k") != F.col("b")).select(F.greatest("k", "b").alias("a"), F.least("k", "b").alias("b")).distinct()
     pairs = pairs.join(kinds.select(F.col("k").alias("a"), F.col("fp").alias("fa")), "a").join(kinds.select(F.col("k").alias("b"), F.col("fp").alias("fb")), "b")
     near = expected_difference(similarity)
     most = int(np.ceil(bits * near + 3.5 * np.sqrt(bits * near * (1 - near))))
