@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 
 from lexweave.llm.common import held_out, stored, text_blocks
 
-FOLD, FREQUENT, BROADCAST = 5, 1 << 20, 256 << 20
+FOLD, FREQUENT, BROADCAST = 5, 1 << 18, 256 << 20
 #: Pair weight, words of 64 bits a key, bits a key in a word, tokens gathered before a task passes counts on, tokens a segment.
-WEIGHT, WORDS, PROBES, GATHER, SEGMENT = 0.6, 0.16, 5, 4_000_000, 1 << 21
+WEIGHT, WORDS, PROBES, GATHER, SEGMENT = 0.6, 0.16, 5, 1_500_000, 1 << 20
 LEVELS = 40
+#: Bytes of text hashed at once: hashing holds some 50 bytes for each.
+BLOCK = 1 << 20
 
 _rng = np.random.default_rng(20_24)
 _BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -92,7 +94,7 @@ def counted(df: DataFrame, of_pairs: bool, text_col: str = "text") -> DataFrame:
             h, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-        for part in (b for p in parts for b in text_blocks(p, text_col)):
+        for part in (b for p in parts for b in text_blocks(p, text_col, BLOCK)):
             found, sizes = tokens(part.column(text_col))
             held.append(pairs(found, sizes)[1] if of_pairs else found)
             size += len(found)
@@ -185,16 +187,19 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: i
         if held > frequent:
             break
         least = power
-    common = words.where(F.log2("n") >= least).toPandas().sort_values("h")
-    common = spark.sparkContext.broadcast((common["h"].to_numpy(np.int64), common["n"].to_numpy(np.int64)))
+    common = words.where(F.log2("n") >= least).toArrow().sort_by("h")
+    common = spark.sparkContext.broadcast((common["h"].to_numpy(), common["n"].to_numpy()))
     unit = np.log10(total + 0.5 * (kinds + 1))
 
     sent = None
     if size <= broadcast_bytes:
-        parts = dict(segment_table.toLocalIterator())
-        lengths = np.array([len(parts.get(s, b"")) // 8 for s in range(segments)], np.int64)
-        sent = spark.sparkContext.broadcast((b"".join(parts.get(s, b"") for s in range(segments)), lengths))
-        del parts
+        sizes = {r[0]: r[1] // 8 for r in segment_table.select("segment", F.octet_length("words")).collect()}
+        lengths = np.array([sizes.get(s, 0) for s in range(segments)], np.int64)
+        begins, whole = np.cumsum(lengths) - lengths, np.zeros(int(lengths.sum()), np.uint64)
+        for s, words_of in segment_table.toLocalIterator():
+            whole[begins[s] : begins[s] + lengths[s]] = np.frombuffer(words_of, np.uint64)
+        sent = spark.sparkContext.broadcast((whole, lengths))
+        del whole
 
     def base_of(found: np.ndarray, sizes: np.ndarray) -> tuple[list, list, list, list]:
         """Per text: sum of log10(c + 0.5) and number of frequent words, and the others with their numbers."""
@@ -214,9 +219,9 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: i
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if sent:
-            data, lengths = sent.value
-            filter_words, begins = np.frombuffer(data, np.uint64), np.cumsum(lengths) - lengths
-        for part in (b for p in parts for b in text_blocks(p, "text", 2 << 20)):
+            filter_words, lengths = sent.value
+            begins = np.cumsum(lengths) - lengths
+        for part in (b for p in parts for b in text_blocks(p, "text", BLOCK)):
             found, sizes = tokens(part.column("text"))
             sums, known, rare, counts = base_of(found, sizes)
             scores = np.zeros(len(sizes))
@@ -253,7 +258,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: i
 def _scores_in_segments(numbered: DataFrame, segment_table: DataFrame, segments: int, total: int, kinds: int) -> DataFrame:
     """(row, score) where the filter is too large to send: different keys of each block of texts go to their segments, the levels come back."""
     def keys_of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (b for p in parts for b in text_blocks(p, "text", 2 << 20)):
+        for part in (b for p in parts for b in text_blocks(p, "text", BLOCK)):
             found, sizes = tokens(part.column("text"))
             before, double = pairs(found, sizes)
             row = np.repeat(part.column("row").to_numpy(), sizes)
