@@ -193,13 +193,10 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: i
 
     sent = None
     if size <= broadcast_bytes:
-        sizes = {r[0]: r[1] // 8 for r in segment_table.select("segment", F.octet_length("words")).collect()}
-        lengths = np.array([sizes.get(s, 0) for s in range(segments)], np.int64)
-        begins, whole = np.cumsum(lengths) - lengths, np.zeros(int(lengths.sum()), np.uint64)
-        for s, words_of in segment_table.toLocalIterator():
-            whole[begins[s] : begins[s] + lengths[s]] = np.frombuffer(words_of, np.uint64)
-        sent = spark.sparkContext.broadcast((whole, lengths))
-        del whole
+        held_parts = {s: np.frombuffer(bytes(w), np.uint64) for s, w in segment_table.toLocalIterator()}
+        # segment by segment, so that no worker holds the whole twice while it reads it
+        sent = spark.sparkContext.broadcast([held_parts.get(s, np.zeros(0, np.uint64)) for s in range(segments)])
+        del held_parts
 
     def base_of(found: np.ndarray, sizes: np.ndarray) -> tuple[list, list, list, list]:
         """Per text: sum of log10(c + 0.5) and number of frequent words, and the others with their numbers."""
@@ -219,8 +216,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: i
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if sent:
-            filter_words, lengths = sent.value
-            begins = np.cumsum(lengths) - lengths
+            filters = sent.value
         for part in (b for p in parts for b in text_blocks(p, "text", BLOCK)):
             found, sizes = tokens(part.column("text"))
             sums, known, rare, counts = base_of(found, sizes)
@@ -231,7 +227,13 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: i
                 def level(h: np.ndarray) -> np.ndarray:
                     kinds, inverse = np.unique(h, return_inverse=True)
                     segment = np.mod(kinds.view(np.int64), segments)
-                    return levels_in(kinds, filter_words, begins[segment], lengths[segment])[inverse]
+                    order = np.argsort(segment, kind="stable")
+                    bounds, out = np.searchsorted(segment[order], np.arange(segments + 1)), np.zeros(len(kinds), np.int64)
+                    for s, words_of in enumerate(filters):
+                        own = order[bounds[s] : bounds[s + 1]]
+                        zero = np.zeros(len(own), np.int64)
+                        out[own] = levels_in(kinds[own], words_of, zero, zero + len(words_of))
+                    return out[inverse]
 
                 p = probability(level(double), level(before), level(found), total, kinds)
                 scores = np.add.reduceat(np.log10(p), np.cumsum(sizes) - sizes)
