@@ -157,122 +157,145 @@ def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-#: Wide fingerprints for similarities that 64 bits can't tell: words of 64 bits, and the chance to meet wanted of two texts just similar enough.
-WIDE, MEET = 4, 0.97
-RING = 16  # bits of a segment of the wide ring
-CHAINED = 4  # segments of a chain of the wide ring
+#: Tables and minima a table of the stars; texts sampled, and shingles kept, for the order of shingles. All change the work only, never the result.
+STARS, MINIMA = 8, 3
+SAMPLED, COMMON = 10_000, 100_000
+#: Ids sent to every worker at most when texts are looked up.
+SENT = 200_000
 
 
-def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """64 * WIDE booleans by majority over hashes and three remixes of them."""
-    parts = []
-    for k in range(WIDE):
-        h = hashes if k == 0 else (hashes ^ np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
-        parts.append(majority_bits(h ^ h >> np.uint64(32) if k else h))
-    return np.concatenate(parts)
+def common_shingles(own: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and counts of shingles that several texts of a sample hold; own has the column text."""
+    every = max(1, own.count() // SAMPLED)
+    sample = own.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("text")
 
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (b for p in parts for b in text_blocks(p, "text")):
+            for t in batches(part.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, words)).view(np.int64))], names=["key"])
+
+    counts = sample.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    found = counts.orderBy(F.desc("n"), "key").limit(COMMON).toPandas()
+    hashes = found["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], found["n"].to_numpy(np.int64)[order]
 
-def expected_difference(similarity: float) -> float:
-    """Share of differing bits of two texts whose shingle sets have this Jaccard similarity: their angle over pi."""
-    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
+def rarest(hashes: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """So many shingles, rarest first, that two sets of at least this similarity share one of them; hashes are ascending."""
+    if not len(hashes):
+        return hashes
+    length = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1
+    if not len(common):
+        return hashes[:length]
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    return hashes[np.lexsort((hashes, np.where(common[at] == hashes, counts[at], 0)))[:length]]
 
-def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", meet: float = MEET) -> DataFrame:
+
+def candidates(rows: pa.Table, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (a, b) of rows under one key whose sets can have the similarity, unless one component holds both.
+
+    Rows are sorted by key and n. With the first shingle that two sets share at places pa and pb of theirs, they share at most
+    1 + the fewer of those after it; the smaller set must have enough of its own left, so only such rows are looked up.
+    """
+    key, n, at = (rows.column(c).to_numpy() for c in ("key", "n", "at"))
+    c = rows.column("c").combine_chunks().dictionary_encode().indices.to_numpy()
+    left, share = n - at, similarity / (1 + similarity)
+    active = np.flatnonzero(left >= 2 * share * n - 1e-9)
+    for d in range(1, len(key)):
+        active = active[active < len(key) - d]
+        active = active[(key[active] == key[active + d]) & (n[active] >= similarity * n[active + d] - 1e-9)]
+        if not len(active):
+            break
+        other = active + d
+        good = (c[active] != c[other]) & (np.minimum(left[active], left[other]) >= share * (n[active] + n[other]) - 1e-9)
+        if good.any():
+            yield active[good], other[good]
+
+
+def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id) of every row: texts whose sets of word shingles have at least this Jaccard similarity are linked.
 
-    Texts meet in tables keyed by sampled bits of a wide fingerprint, in as many tables as give `meet` chances at the least
-    similarity; the bits of a key follow the number of texts, so that chance meetings stay in proportion. A crowd under one
-    key is linked within blocks first, of which one row each goes on, and then along a random order that differs by table, never in pairs. Meetings go through the pigeonring chain,
-    then the full Hamming distance, then the exact similarity of their shingle sets. Texts of equal words are one throughout.
+    No link between components is lost. Groups of near copies are first collapsed by stars: texts that meet in a table of
+    minima are linked to the smallest id there, where the exact similarity holds. Then a join that is complete looks for links
+    between what is still apart: of each text the rarest shingles are keys, so many that similar sets must share one, with
+    filters by size and place. Every candidate is held against the exact sets. Texts of equal words are one throughout.
     Rows of one id count as one document.
     """
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
-    bits = 64 * WIDE
+    common, counts = common_shingles(own, words)
+    mixers = np.random.default_rng(5).integers(0, 1 << 63, STARS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs = pa.list_(pa.int64())
         for part in (b for p in parts for b in text_blocks(p, "text")):
-            texts = batches(part.column("text"))
-            keys = [xxhash.xxh128_digest(b" ".join(t.encode().lower().split())) for t in texts]
-            wide = np.packbits(np.array([wide_fingerprint(np.unique(shingle_hashes(t, words))) for t in texts], np.uint8).reshape(-1, bits), axis=1, bitorder="little")
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(keys, pa.binary()), pa.array(wide.view("<i8").reshape(-1, WIDE).tolist(), pa.list_(pa.int64()))], names=["id", "words_key", "fp"])
-
-    fps = stored(own.mapInArrow(run, f"id {kind}, words_key binary, fp array<long>"), "wide")
-    kinds = stored(fps.groupBy("words_key").agg(F.min("id").alias("k"), F.first("fp").alias("fp")).where("k is not null"), "kinds")
-    count = max(2, kinds.count())
-    width = max(12, int(np.ceil(np.log2(count))) + 4)
-    same = 1 - expected_difference(similarity)
-    tables = int(np.ceil(np.log(1 - meet) / np.log(1 - same**width)))
-    rng = np.random.default_rng(5)
-    picks = np.zeros((bits, tables))
-    for t in range(tables):
-        picks[rng.choice(bits, width, replace=False), t] = 2.0 ** np.arange(width)
-
-    def keyed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(k, key, b): of rows that meet within a block only the first goes on under its key, the others are linked to it at once."""
-        for part in parts:
-            for i in range(0, part.num_rows, 2000):
-                some = part.slice(i, 2000)
-                raw = np.asarray(some.column("fp").flatten(), dtype="<i8").reshape(-1, WIDE)
-                on = np.unpackbits(np.ascontiguousarray(raw).view(np.uint8).reshape(len(raw), -1), axis=1, bitorder="little")
-                keys = ((on.astype(np.float64) @ picks).astype(np.int64) * tables + np.arange(tables)).ravel()
-                owner = np.repeat(np.arange(len(raw)), tables)
-                different, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-                rest = np.setdiff1d(np.arange(len(keys)), first, assume_unique=True)
-                names = some.column("k")
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(owner[first])), pa.array(different), pa.nulls(len(first), names.type)], names=["k", "key", "b"])
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(owner[rest])), pa.nulls(len(rest), pa.int64()), names.take(pa.array(owner[first][inverse[rest]]))], names=["k", "key", "b"])
-
-    def neighbours(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key: each is linked to the first of its key and to the one before, with two rows in memory."""
-        key, first, last = None, None, None
-        for part in parts:
-            a, b = [], []
-            for now, k, linked in zip(part.column("key").to_pylist(), part.column("k").to_pylist(), part.column("b").to_pylist(), strict=True):
-                if linked is not None:
-                    a.append(k)
-                    b.append(linked)
-                    continue
-                if now != key:
-                    key, first = now, k
-                else:
-                    a += [k, k] if last != first else [k]
-                    b += [first, last] if last != first else [first]
-                last = k
-            yield pa.RecordBatch.from_arrays([pa.array(a, part.column("k").type), pa.array(b, part.column("k").type)], names=["k", "b"])
-
-    met = kinds.select("k", "fp").mapInArrow(keyed, f"k {kind}, key long, b {kind}")
-    dealt = met.select("k", F.coalesce("key", F.lit(-1) - F.xxhash64("k", "b") % 1024).alias("key"), "b").repartition("key").sortWithinPartitions("key", F.xxhash64("k", "key"))
-    links_of = dealt.mapInArrow(neighbours, f"k {kind}, b {kind}")
-    pairs = links_of.where(F.col("k") != F.col("b")).select(F.greatest("k", "b").alias("a"), F.least("k", "b").alias("b")).distinct()
-    pairs = pairs.join(kinds.select(F.col("k").alias("a"), F.col("fp").alias("fa")), "a").join(kinds.select(F.col("k").alias("b"), F.col("fp").alias("fb")), "b")
-    near = expected_difference(similarity)
-    most = int(np.ceil(bits * near + 3.5 * np.sqrt(bits * near * (1 - near))))
-    pairs = pairs.withColumn("d", F.transform(F.arrays_zip("fa", "fb"), lambda x: x["fa"].bitwiseXOR(x["fb"])))
-    ring = bits // RING
-    part_of = F.array(*[F.bit_count(F.shiftrightunsigned(F.col("d")[i * RING // 64], i * RING % 64).bitwiseAND((1 << RING) - 1)) for i in range(ring)])
-    pairs = pairs.select("a", "b", part_of.alias("s"))
-    chain = F.lit(False)
-    for i in range(ring):
-        total, good = F.lit(0), F.lit(True)
-        for j in range(CHAINED):
-            total = total + F.col("s")[(i + j) % ring]
-            good = good & (total * ring <= (j + 1) * most)
-        chain = chain | good
-    pairs = stored(pairs.where(chain).where(F.aggregate("s", F.lit(0), lambda x, y: x + y) <= most).select("a", "b"), "met")
-
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            keys, sizes, stars, heads = [], [], [], []
+            for t in batches(part.column("text")):
+                hashes = np.unique(shingle_hashes(t, words))
+                keys.append(xxhash.xxh128_digest(b" ".join(t.encode().lower().split())))
+                sizes.append(len(hashes))
+                minima = [(hashes * m).min() for m in mixers] if len(hashes) else []
+                stars.append([xxhash.xxh64_intdigest(np.array(minima[i : i + MINIMA]).tobytes(), i) - (1 << 63) for i in range(0, len(minima), MINIMA)])
+                heads.append(rarest(hashes, similarity, common, counts).view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(stars, longs), pa.array(heads, longs)], names=["id", "words_key", "n", "stars", "head"])
 
     def shingled(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (b for p in parts for b in text_blocks(p, "text")):
-            sets = [np.unique((shingle_hashes(t, words) >> np.uint64(32)).astype(np.uint32).view(np.int32)) for t in batches(part.column("text"))]
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.list_(pa.int32()))], names=["id", "held"])
-
-    sets = own.join(involved, "id", "left_semi").mapInArrow(shingled, f"id {kind}, held array<int>").groupBy("id").agg(F.first("held").alias("held"))
-    sets = stored(sets, "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("held").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("held").alias("hb")), "b")
-    shared = F.size(F.array_intersect("ha", "hb"))
-    linked = stored(both.where(shared >= similarity * (F.size("ha") + F.size("hb") - shared)).select("a", "b"), "linked")
-    joined = components(linked, "groups")
+            sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in batches(part.column("text"))]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "held"])
+
+    def similar(pairs: DataFrame, name: str) -> DataFrame:
+        """Those of the pairs (a, b) whose exact sets have the similarity."""
+        pairs = stored(pairs, f"{name}-met")
+        involved = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-ids")
+        involved = F.broadcast(involved) if involved.count() <= SENT else involved
+        sets = own.join(involved, "id", "left_semi").mapInArrow(shingled, f"id {kind}, held array<long>").groupBy("id").agg(F.first("held").alias("held"))
+        sets = stored(sets, f"{name}-sets")
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("held").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("held").alias("hb")), "b")
+        shared = F.size(F.array_intersect("ha", "hb"))
+        return stored(both.where(shared >= similarity * (F.size("ha") + F.size("hb") - shared)).select("a", "b"), f"{name}-linked")
+
+    def meetings(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by key and n; the rows of a batch's last key wait for the next batch."""
+
+        def found(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            key = rows.column("key").to_numpy()
+            many = np.zeros(len(key), bool)
+            many[1:] = key[1:] == key[:-1]
+            many[:-1] |= many[1:]
+            rows = rows.filter(pa.array(many)).combine_chunks()
+            k = rows.column("k")
+            for a, b in candidates(rows, similarity):
+                yield from pa.Table.from_arrays([k.take(pa.array(a)), k.take(pa.array(b))], names=["x", "y"]).to_batches()
+
+        held = []
+        for part in parts:
+            if not part.num_rows:
+                continue
+            key = part.column("key").to_numpy()
+            last = int(np.searchsorted(key, key[-1]))
+            if held and held[-1].column("key")[-1].as_py() == key[-1]:
+                held.append(part)
+                continue
+            # the batch starts with the waiting key or a new one: all keys but its last are whole now
+            if last:
+                held.append(part.slice(0, last))
+            if held:
+                yield from found(held)
+            held = [part.slice(last)]
+        if held:
+            yield from found(held)
+
+    fps = stored(own.mapInArrow(run, f"id {kind}, words_key binary, n int, stars array<long>, head array<long>"), "heads")
+    kinds = stored(fps.groupBy("words_key").agg(F.min("id").alias("k"), *[F.first(c).alias(c) for c in ("n", "stars", "head")]).where("k is not null"), "kinds")
+    met = kinds.select("k", F.explode("stars").alias("key"))
+    centres = met.groupBy("key").agg(F.min("k").alias("b"), F.count("*").alias("size")).where("size > 1")
+    stars = similar(met.join(centres, "key").where("k <> b").select(F.col("k").alias("a"), "b").distinct(), "stars")
+    apart = kinds.join(components(stars, "stars"), F.col("k") == F.col("node"), "left").select("k", F.coalesce("component", "k").alias("c"), "n", F.posexplode("head").alias("at", "key"))
+    pairs = apart.repartition("key").sortWithinPartitions("key", "n").mapInArrow(meetings, f"x {kind}, y {kind}")
+    rest = similar(pairs.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "rest")
+    joined = components(stars.union(rest), "groups")
     named = kinds.join(joined, kinds.k == joined.node, "left").select("words_key", F.coalesce("component", "k").alias("component_id"))
     return fps.select("id", "words_key").distinct().join(named, "words_key", "left").select("id", F.coalesce("component_id", "id").alias("component_id"))

@@ -268,6 +268,31 @@ def test_near_duplicates(spark):
     assert found[501].component_id == 500 and found[503].component_id == 502
 
 
+def exact_groups(texts: dict) -> dict:
+    """Components by brute force over all pairs: smallest id of each id's group."""
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in texts.items()}
+    least = {i: i for i in texts}
+    for a in sorted(texts):
+        for b in sorted(texts):
+            if b < a and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and least[a] != least[b]:
+                old, new = max(least[a], least[b]), min(least[a], least[b])
+                least = {i: new if x == old else x for i, x in least.items()}
+    return least
+
+
+def test_near_duplicates_in_a_hot_template_group(spark):
+    """Pages that share one passage (about 0.7 between all) and hold near copies among them: each group is found, and no other."""
+    rng = np.random.default_rng(3)
+    passage = [f"p{x}" for x in range(250)]
+    texts = {}
+    for g in range(300):
+        page = [f"w{x}" for x in rng.integers(0, 10**9, 50)]
+        texts[2 * g] = " ".join(passage + page)
+        texts[2 * g + 1] = " ".join(passage + page[:30] + [f"e{x}" for x in rng.integers(0, 10**9, 20)])
+    found = {r.id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert found == exact_groups(texts)
+
+
 def test_line_dedup(spark):
     data = [(i, "a", f"Menu\nown text {i} which is much longer than the menu\n\nFooter {i % 2}") for i in range(20)]
     data += [(100 + i, "b", "Copied page\nwith two lines") for i in range(20)] + [(200, "a", None), (201, None, ""), (202, "a", "Menu")]
