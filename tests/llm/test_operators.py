@@ -293,6 +293,24 @@ def test_near_duplicates_in_a_hot_template_group(spark):
     assert found == exact_groups(texts)
 
 
+def test_near_duplicates_just_similar_enough(spark, sf_dir):
+    """No pair at 0.80 to 0.83 is lost, none below is linked; on the documents no pair is left."""
+    rng = np.random.default_rng(4)
+    texts = {}
+    for g in range(300):
+        base = [f"w{x}" for x in rng.integers(0, 10**9, 304)]
+        changed = int(rng.integers(28, 37))  # in one run: J is (300 - changed - 4) / (300 + changed + 4)
+        at = int(rng.integers(4, 300 - changed - 4))
+        texts[2 * g] = " ".join(base)
+        texts[2 * g + 1] = " ".join(base[:at] + [f"e{x}" for x in rng.integers(0, 10**9, changed)] + base[at + changed :])
+    found = {r.id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    want = exact_groups(texts)
+    assert found == want and 0 < sum(i != g for i, g in want.items()) < 300
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    found = {r.id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert found == exact_groups({r.doc_id: r.text for r in docs.collect()})
+
+
 def test_line_dedup(spark):
     data = [(i, "a", f"Menu\nown text {i} which is much longer than the menu\n\nFooter {i % 2}") for i in range(20)]
     data += [(100 + i, "b", "Copied page\nwith two lines") for i in range(20)] + [(200, "a", None), (201, None, ""), (202, "a", "Menu")]
