@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.text import strip, suspicious_pair, text
+from lexweave.operators import quality
 
 #: A provider takes the texts of one batch and returns as many answers, null where it has none. It must give equal answers
 #: to equal texts, since Spark may ask again; results are keyed by task, so a repeated call changes nothing.
@@ -25,44 +28,124 @@ def stub(texts: list[str]) -> list[str | None]:
     return [None if t[:1].isdigit() else f"ZH:{t}" for t in texts]
 
 
-def enriched(tasks: DataFrame, provider: Provider, key: str, text_col: str, items: int = 16) -> DataFrame:
-    """(key, text, answer, status): ok, or single where a batch failed and the text went alone, or failed."""
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            texts, answers, states = part["text"].tolist(), [], []
-            for k in range(0, len(texts), items):
-                some = texts[k : k + items]
-                try:
-                    got = provider(some)
-                    if len(got) != len(some):
-                        raise ValueError("a reply of another length")
-                    found = [(a, "ok" if a else None) for a in got]
-                except (ValueError, OSError, TimeoutError):
-                    found = [(None, None)] * len(some)
-                for t, (a, state) in zip(some, found, strict=True):
-                    if not state:
-                        try:
-                            a = provider([t])[0]
-                        except (ValueError, OSError, TimeoutError):
-                            a = None
-                        state = "single" if a else "failed"
-                    answers.append(a)
-                    states.append(state)
-            yield pd.DataFrame({"key": part["key"], "text": texts, "answer": answers, "status": states})
-
-    own = tasks.select(F.col(key).alias("key"), F.col(text_col).alias("text"))
-    return own.mapInPandas(run, f"key {own.schema['key'].dataType.simpleString()}, text string, answer string, status string")
-
-
-def routed(found: DataFrame, residue: Column | None = None) -> DataFrame:
-    """found with route: retranslate what is missing, suspicious or one answer to three different texts; proofread residue; keep the rest."""
-    same = F.size(F.collect_set("text").over(Window.partitionBy("answer")))
+def enriched(tasks: DataFrame, provider: Provider, key: str, text_col: str, batch: str, fallback: Provider | None = None, moderated: Callable[[Exception], bool] = lambda e: False) -> DataFrame:
+    """(batch, key, text, answer, status) of tasks in batches: a batch goes out whole, what it leaves open goes alone.
+
+    status: ok, single (alone, after the batch failed or left it out), fallback (by the second provider, where the first one
+    refuses a text as moderated), failed. Providers raise ValueError, OSError or TimeoutError where they fail.
+    """
+    kinds = {c: tasks.schema[c].dataType.simpleString() for c in (batch, key)}
+    wrong = (ValueError, OSError, TimeoutError)
+
+    def alone(one: str) -> tuple[str | None, str]:
+        try:
+            answer = provider([one])[0]
+            return (answer, "single") if answer else (None, "failed")
+        except wrong as e:
+            if not fallback or not moderated(e):
+                return None, "failed"
+        try:
+            answer = fallback([one])[0]
+            return (answer, "fallback") if answer else (None, "failed")
+        except wrong:
+            return None, "failed"
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        texts = group["text"].tolist()
+        try:
+            got = provider(texts)
+            if len(got) != len(texts):
+                raise ValueError("a reply of another length")
+        except wrong:
+            got = [None] * len(texts)
+        found = [(a, "ok") if a else alone(t) for t, a in zip(texts, got, strict=True)]
+        return group.assign(answer=[a for a, _ in found], status=[s for _, s in found])
+
+    own = tasks.select(F.col(batch).alias("batch"), F.col(key).alias("key"), F.col(text_col).alias("text"))
+    return own.groupBy("batch").applyInPandas(run, f"batch {kinds[batch]}, key {kinds[key]}, text string, answer string, status string")
+
+
+def routed(found: DataFrame, issues: Column | None = None, skips: Column | None = None) -> DataFrame:
+    """found (batch, text, answer) with route: retranslate what is missing, suspicious, or one answer three times in a batch of three different texts or more; proofread what has issues, unless it may be skipped; keep the rest."""
+    batch = Window.partitionBy("batch")
+    kinds = F.size(F.collect_set("text").over(batch))
+    times = F.count("*").over(Window.partitionBy("batch", "answer"))
     wrong = (text(F.col("answer")) == "") | suspicious_pair(F.col("text"), F.col("answer"))
-    many = (same >= 3) & (text(F.col("answer")) != "")
-    check = residue if residue is not None else F.lit(False)
+    many = (times >= 3) & (kinds >= 3) & (text(F.col("answer")) != "")
+    check = (issues if issues is not None else F.lit(False)) & ~(skips if skips is not None else F.lit(False))
     return found.withColumn("route", F.when(wrong | many, "retranslate").when(check, "proofread").otherwise("keep"))
 
 
+def repeated_residue(found: DataFrame, order: str, fragments: str = "fragments") -> DataFrame:
+    """found (key, fragments) with repeated: one of its fragments stood in an earlier answer, so that proofreading it again is of no use."""
+    each = found.select("key", F.col(order).alias("o"), F.explode(fragments).alias("fragment")).distinct()
+    first = each.groupBy("fragment").agg(F.min("o").alias("first"))
+    again = each.join(first, "fragment").where(F.col("o") > F.col("first")).select("key").distinct().withColumn("_again", F.lit(True))
+    return found.join(again, "key", "left").withColumn("repeated", F.coalesce("_again", F.lit(False))).drop("_again")
+
+
+@dataclass(frozen=True)
+class Stage:
+    """A named step over a DataFrame that can be switched off."""
+
+    name: str
+    step: Callable[[DataFrame], DataFrame]
+    enabled: bool = True
+
+
+class Stages:
+    """An ordered list of stages, to which users add their own."""
+
+    def __init__(self, *stages: Stage):
+        self.all = list(stages)
+
+    def add(self, stage: Stage, before: str | None = None) -> Stages:
+        """Put a stage last, or before a named one; one of its name goes."""
+        rest = [s for s in self.all if s.name != stage.name]
+        at = next((k for k, s in enumerate(rest) if s.name == before), len(rest))
+        return Stages(*rest[:at], stage, *rest[at:])
+
+    def remove(self, name: str) -> Stages:
+        return Stages(*[s for s in self.all if s.name != name])
+
+    def switch(self, name: str, enabled: bool) -> Stages:
+        return Stages(*[replace(s, enabled=enabled) if s.name == name else s for s in self.all])
+
+    def run(self, df: DataFrame) -> DataFrame:
+        for s in self.all:
+            df = df.transform(s.step) if s.enabled else df
+        return df
+
+
+def executed(issues: DataFrame, provider: Provider, fallback: Provider | None = None, most: int = 2) -> DataFrame:
+    """issues (key, source, translation, issue, action, attempts) with answer and status: success or needs_review.
+
+    Retries ask the provider once more, switch_provider the fallback; accept_review takes low residue as it is, repair mends the
+    translation. What has no source, was tried `most` times or gives nothing that is complete is for a person.
+    """
+    mended = quality.repaired(F.col("source"), F.col("translation"))
+    @F.pandas_udf("string")
+    def asked(sources: pd.Series, second: pd.Series) -> pd.Series:
+        out: list[str | None] = [None] * len(sources)
+        for use, chosen in ((provider, ~second), (fallback, second)):
+            rows = np.flatnonzero((chosen & sources.notna()).to_numpy())
+            for k in rows if use else []:
+                try:
+                    out[k] = use([sources.iloc[k]])[0]
+                except (ValueError, OSError, TimeoutError):
+                    out[k] = None
+        return pd.Series(out, dtype=object)
+
+    retried = F.col("action").isin("retry", "single_retry", "retranslate", "retry_with_glossary")
+    switched = F.col("action") == "switch_provider"
+    open_ = (F.coalesce("attempts", F.lit(0)) < most) & (strip(text(F.col("source"))) != "")
+    call = asked(F.when(open_ & (retried | switched), F.col("source")), switched)
+    answer = F.when(open_ & (retried | switched), call).when(open_ & (F.col("action") == "repair"), mended).when(open_ & (F.col("action") == "accept_review") & (F.col("issue") == "residue_low"), F.col("translation"))
+    own = quality.incomplete(issues.withColumn("answer", answer), "source", "answer")
+    good = (strip(text(F.col("answer"))) != "") & ((F.col("action") == "accept_review") | ~F.col("incomplete"))
+    return own.withColumn("status", F.when(good, "success").otherwise("needs_review")).withColumn("answer", F.when(good, F.col("answer"))).drop("incomplete")
+
+
 def json_value(raw: str):
     """The first JSON object or list in a reply: whole, in code fences, or after other words; None if there is none."""
     raw = (raw or "").strip()

@@ -8,10 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.functions.text import strip, text
+from lexweave.functions.text import clean_fragments, residue_sample, snippet, strip, text
+from lexweave.operators.glossary import apart, held_terms
 
 #: Signs of moderation; states of finished parts; scopes of records.
-MODERATION = "content_filter|content policy|moderation|sensitive|security|safety|risk control|inappropriate|敏感|违规|安全|审核|内容安全|风控"
+MODERATION = "security_audit_fail|security_error|内容审核拦截|内容审核未通过|违规信息|contentfilter|content filter|code\":\"1301|不安全或敏感内容|敏感内容|content_moderation|content moderation|moderation|contentmoderation"
 DONE = ["success", "failed", "residue", "save_residue"]
 
 
@@ -48,12 +49,61 @@ def retained(log: DataFrame, ts: str, tie: str, a_day: int = 2000, days: int = 1
 
 
 def rate_windows(events: DataFrame, key: str, ts: str, tie: str, tokens: Column, rpm: int, tpm: int, seconds: int = 60) -> DataFrame:
-    """events with requests and tokens of the window up to each, and wait: seconds until the window has room again."""
+    """events with requests and tokens of the window up to each, wait: seconds until both have room again, and gap: how long even spacing holds it back.
+
+    Requests wait for the first of the window to leave it. Tokens wait for as many of the first as must leave to make room.
+    Spacing sends one request every seconds / rpm. A key's events are replayed in order by one task; keys are providers or accounts.
+    """
     own = events.withColumn("_s", F.unix_micros(ts) / 1e6).withColumn("tokens", tokens)
     w = Window.partitionBy(key).orderBy("_s").rangeBetween(-seconds, 0)
-    own = own.withColumn("requests", F.count("*").over(w)).withColumn("window_tokens", F.sum("tokens").over(w)).withColumn("first", F.min("_s").over(w))
-    over = (F.col("requests") > rpm) | (F.col("window_tokens") > tpm)
-    return own.withColumn("wait", F.when(over, F.col("first") + seconds - F.col("_s")).otherwise(0.0)).drop("_s", "first")
+    own = own.withColumn("requests", F.count("*").over(w)).withColumn("window_tokens", F.sum("tokens").over(w)).withColumn("_first", F.min("_s").over(w))
+    ordered = Window.partitionBy(key).orderBy("_s", tie).rowsBetween(Window.unboundedPreceding, 0)
+    # all events of one moment are in each other's windows, so the running sum is taken at the end of the moment
+    moment = Window.partitionBy(key).orderBy("_s").rangeBetween(Window.unboundedPreceding, 0)
+    own = own.withColumn("_sum", F.sum("tokens").over(moment)).withColumn("_place", F.row_number().over(ordered) - 1)
+    enough = F.min("_s").over(Window.partitionBy(key).orderBy("_sum").rangeBetween(-tpm, 0))
+    wait_requests = F.when(F.col("requests") > rpm, F.col("_first") + seconds - F.col("_s")).otherwise(0.0)
+    wait_tokens = F.when(F.col("window_tokens") > tpm, F.greatest(F.col("_enough"), F.col("_first")) + seconds - F.col("_s")).otherwise(0.0)
+    own = own.withColumn("_enough", enough).withColumn("wait", F.greatest(wait_requests, wait_tokens))
+    step = seconds / rpm
+    due = F.max(F.col("_s") - F.col("_place") * step).over(ordered) + F.col("_place") * step
+    return own.withColumn("gap", due - F.col("_s")).drop("_s", "_first", "_sum", "_place", "_enough")
+
+
+#: What is left of workers and batch after a failure of a kind; base and most seconds of pause.
+PRESSURE = {"rate": (0.6, 0.7, 60.0), "timeout": (0.75, 0.75, 45.0), "format": (0.85, 0.5, 20.0)}
+
+
+def failure_limits(failures: DataFrame, key: str, order: str, kind: str, workers: int, batch: int) -> DataFrame:
+    """(key, ord, kind, workers, batch, pause) after each failure: rate and timeout pause for doubling seconds, formats for 1.5 a failure; three format failures, or one at batches of 3, end batches.
+
+    State runs over a key's failures in order, one Arrow batch at a time. Jitter is for the caller to add.
+    """
+    kinds = {c: failures.schema[c].dataType.simpleString() for c in (key, order)}
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, w, b, events, formats = None, workers, batch, 0, 0
+        for part in parts:
+            out = []
+            for k, o, what in part.itertuples(index=False):
+                if k != now:
+                    now, w, b, events, formats = k, workers, batch, 0, 0
+                events, formats = events + 1, formats + (what == "format")
+                left_w, left_b, most = PRESSURE.get(what, PRESSURE["rate"])
+                single = what == "format" and (formats >= 3 or b <= 3)
+                w, b = max(1, int(w * left_w + 0.999)), 1 if single else max(1, int(b * left_b + 0.999))
+                out.append((k, o, what, w, b, min(most, 1.5 * formats if what == "format" else 2.0 ** min(events, 5))))
+            yield pd.DataFrame(out, columns=["key", "ord", "kind", "workers", "batch", "pause"])
+
+    own = failures.select(F.col(key).alias("key"), F.col(order).alias("ord"), F.col(kind).alias("kind")).repartition("key").sortWithinPartitions("key", "ord")
+    return own.mapInPandas(run, f"key {kinds[key]}, ord {kinds[order]}, kind string, workers int, batch int, pause double")
+
+
+def global_pause(requests: DataFrame, key: str, order: str, at: Column, pause: Column) -> DataFrame:
+    """requests with held: seconds that pauses asked for by earlier ones still hold each back; the latest end of any counts."""
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    until = F.max(F.when(pause > 0, at + pause)).over(before)
+    return requests.withColumn("held", F.greatest(F.lit(0.0), F.coalesce(until - at, F.lit(0.0))))
 
 
 def latency_control(samples: DataFrame, key: str, order: str, workers: int, batch: int, slow: float, down_at: int = 8, up_at: int = 16, ring: int = 24) -> DataFrame:
@@ -113,24 +163,105 @@ def latest_unfinished(tasks: DataFrame) -> DataFrame:
     return tasks.where(~F.col("status").isin("success", "finished", "cancelled")).orderBy(F.desc("updated_at"), "task_id").limit(1)
 
 
-def issue_class(reason: Column, risk: Column) -> Column:
-    """What went wrong with a block, the gravest sign first."""
-    r = F.lower(text(reason))
-    return (
-        F.when(r.rlike(MODERATION), "moderation").when(r.rlike("timeout|timed out|超时"), "timeout").when(r.rlike("glossary|术语"), "glossary").when(r.rlike("json|parse|格式"), "json_format")
-        .when(r.rlike("empty|空"), "empty_output").when(text(risk).isin("high", "medium"), "residue_high").when(text(risk).isin("low", "weak"), "residue_low").otherwise("provider_error")
-    )
+#: Signs of issues, the gravest first, and the action that each calls for.
+SIGNS = {"timeout": "timeout|timed out|超时|连接失败", "glossary": "glossary conflict|术语冲突|术语不一致|术语不匹配", "json_format": "json|解析失败|格式错误|missing index|invalid response"}
+ACTIONS = {"moderation": "manual_review", "timeout": "retry", "glossary": "retry_with_glossary", "json_format": "single_retry", "empty_output": "retry", "residue_high": "retranslate", "residue_medium": "retranslate", "residue_low": "accept_review"}
+
+
+def issue_class(reason: Column, translation: Column, risk: Column) -> Column:
+    """What went wrong with a block, the gravest sign first: the reason's, an empty translation, the residue's risk."""
+    r = F.lower(strip(text(reason)))
+    out = F.when(r.rlike(MODERATION), "moderation")
+    for issue, signs in SIGNS.items():
+        out = out.when(r.rlike(signs), issue)
+    return out.when(strip(text(translation)) == "", "empty_output").when(text(risk).isin("high", "medium", "low"), F.concat(F.lit("residue_"), risk)).otherwise("provider_error")
 
 
 def recommended(issue: Column) -> Column:
     """The default action for an issue."""
-    pairs = {"moderation": "manual_review", "timeout": "retry", "glossary": "retry_with_glossary", "json_format": "single_retry", "empty_output": "retry", "residue_high": "retranslate", "residue_low": "accept_review"}
     out = F.lit("switch_provider")
-    for k, v in pairs.items():
+    for k, v in ACTIONS.items():
         out = F.when(issue == k, v).otherwise(out)
     return out
 
 
+def recovery_summary(results: DataFrame) -> DataFrame:
+    """(attempted, success, needs_review, failed) of results with a source and a status."""
+    own = results.where(strip(text(F.col("source"))) != "").select(F.coalesce(F.nullif("status", F.lit("")), F.lit("needs_review")).alias("s"))
+    return own.agg(F.count("*").alias("attempted"), F.count_if(F.col("s") == "success").alias("success"), F.count_if(F.col("s") == "needs_review").alias("needs_review"), F.count_if(~F.col("s").isin("success", "needs_review")).alias("failed"))
+
+
+# --- history ------------------------------------------------------------------------------------------------------------
+
+#: States whose parts stay in full; lengths of stored texts and reasons.
+DETAILED = ["running", "pausing", "paused", "cancelling", "stopping", "failed", "partial"]
+STORED, REASON = 2000, 300
+
+
+def normalised_blocks(failed: DataFrame, residue: DataFrame, samples: DataFrame, most: int = 200) -> DataFrame:
+    """(task_id, ord, kind, text, reason, translation, fragments): failed details, then residue details, then sample lines of a save, different ones of each task in this order, at most `most`.
+
+    failed and residue: task_id, ord, text, reason, translation, fragments array<string>; samples: task_id, ord, sample.
+    """
+    c = F.col
+    told = lambda df, k, kind, reason: df.select("task_id", F.lit(k).alias("k"), "ord", F.lit(kind).alias("kind"), snippet(c("text"), STORED, hide=False).alias("text"), snippet(F.coalesce(F.nullif("reason", F.lit("")), F.lit(reason)), REASON, hide=False).alias("reason"), snippet(c("translation"), STORED, hide=False).alias("translation"), clean_fragments(c("fragments")).alias("fragments"))
+    body, parts = residue_sample(c("sample"))
+    lines = samples.select("task_id", "ord", body.alias("text"), F.lit("").alias("reason"), body.alias("translation"), parts.alias("fragments"))
+    every = told(failed, 0, "failed", "未返回安全译文").unionByName(told(residue, 1, "residue", "译文疑似仍有日文残留")).unionByName(told(lines, 2, "save_residue", "保存前检查发现高风险日文残留"))
+    first = every.where("text <> '' or translation <> ''").groupBy("task_id", "kind", "text", "translation").agg(F.min_by(F.struct("k", "ord", "reason", "fragments"), F.struct("k", "ord")).alias("f"))
+    place = F.row_number().over(Window.partitionBy("task_id").orderBy("f.k", "f.ord"))
+    return first.withColumn("place", place).where(c("place") <= most).select("task_id", (c("place") - 1).alias("ord"), "kind", "text", "f.reason", "translation", "f.fragments")
+
+
+def compacted(tasks: DataFrame, subtasks: DataFrame) -> DataFrame:
+    """(tasks' columns, subtask_count): parts of finished tasks are only counted; null where a task keeps them."""
+    n = subtasks.groupBy("task_id").agg(F.count("*").alias("n"))
+    return tasks.join(n, "task_id", "left").withColumn("subtask_count", F.when(~F.lower(strip(text(F.col("status")))).isin(*DETAILED), F.col("n"))).drop("n")
+
+
+def kept_subtasks(tasks: DataFrame, subtasks: DataFrame) -> DataFrame:
+    """Parts of tasks that aren't finished."""
+    return subtasks.join(tasks.where(F.lower(strip(text(F.col("status")))).isin(*DETAILED)).select("task_id").distinct(), "task_id", "left_semi")
+
+
+def marked_success(subtasks: DataFrame, answers: DataFrame) -> DataFrame:
+    """subtasks (task_id, index, source, status, translation, reason) after answers (task_id, source, translation): pending or failed parts of equal source are done; changed tells which."""
+    a = answers.where((strip(text(F.col("source"))) != "") & (strip(text(F.col("translation"))) != "")).groupBy("task_id", F.sha1("source").alias("h")).agg(F.max("translation").alias("new"))
+    met = subtasks.withColumn("h", F.sha1("source")).join(a, ["task_id", "h"], "left")
+    done = F.col("new").isNotNull() & ~((F.col("status") == "success") & (text(F.col("translation")) != ""))
+    return met.select("task_id", "index", "source", F.when(done, "success").otherwise(F.col("status")).alias("status"), F.when(done, snippet(F.col("new"), STORED, hide=False)).otherwise(F.col("translation")).alias("translation"), F.when(done, "").otherwise(F.col("reason")).alias("reason"), done.alias("changed"))
+
+
+def marked_problem(subtasks: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The same after problem blocks (task_id, text, kind, reason, translation): their kind is the status."""
+    b = blocks.where(text(F.col("text")) != "").groupBy("task_id", F.sha1("text").alias("h")).agg(F.max_by(F.struct("kind", "reason", "translation"), "ord").alias("b"))
+    met = subtasks.withColumn("h", F.sha1("source")).join(b, ["task_id", "h"], "left")
+    hit = F.col("b").isNotNull()
+    return met.select("task_id", "index", "source", F.when(hit, F.coalesce(F.nullif("b.kind", F.lit("")), F.lit("failed"))).otherwise(F.col("status")).alias("status"), F.when(hit & (text(F.col("b.translation")) != ""), snippet(F.col("b.translation"), STORED, hide=False)).otherwise(F.col("translation")).alias("translation"), F.when(hit, snippet(F.col("b.reason"), REASON, hide=False)).otherwise(F.col("reason")).alias("reason"), hit.alias("changed"))
+
+
+def recorded_recovery(items: DataFrame, results: DataFrame, source_col: str) -> DataFrame:
+    """items with recovery_attempts, recovery_action and recovery_status of results (task_id, source, attempts, action, status) of equal source."""
+    r = results.where(strip(text(F.col("source"))) != "").groupBy("task_id", F.sha1("source").alias("h")).agg(F.max_by(F.struct("attempts", "action", "status"), "attempts").alias("r"))
+    met = items.withColumn("h", F.sha1(source_col)).join(r, ["task_id", "h"], "left").drop("h")
+    return met.select(*items.columns, F.greatest(F.lit(0), F.coalesce("r.attempts", F.lit(0))).alias("recovery_attempts"), text(F.col("r.action")).alias("recovery_action"), text(F.col("r.status")).alias("recovery_status"))
+
+
+def diagnostics(blocks: DataFrame, first: int = 5) -> DataFrame:
+    """(task_id, failed, residue, lines array<string>): counts and the first blocks of a task that need attention, as text."""
+    one = F.struct("ord", F.concat(F.col("kind"), F.lit(": "), snippet(F.col("text"), 80, hide=False), F.lit(" — "), snippet(F.col("reason"), 120, hide=False)).alias("line"))
+    r = F.row_number().over(Window.partitionBy("task_id").orderBy("ord"))
+    counts = blocks.groupBy("task_id").agg(F.count_if(F.col("kind") == "failed").alias("failed"), F.count_if(F.col("kind") != "failed").alias("residue"))
+    top = blocks.withColumn("r", r).where(F.col("r") <= first).groupBy("task_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["line"]).alias("lines"))
+    return counts.join(top, "task_id", "left")
+
+
+def multi_book(results: DataFrame) -> DataFrame:
+    """(batch, books, ok, failed, texts, terms, paths): rollup of results (batch, ord, path, ok, texts, terms); paths different, in order of first sight."""
+    per = results.groupBy("batch", "path").agg(F.min("ord").alias("ord"), F.count("*").alias("n"), F.count_if("ok").alias("ok"), F.sum("texts").alias("texts"), F.sum("terms").alias("terms"))
+    return per.groupBy("batch").agg(F.sum("n").alias("books"), F.sum("ok").alias("ok"), (F.sum("n") - F.sum("ok")).alias("failed"), F.sum("texts").alias("texts"), F.sum("terms").alias("terms"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "path"))), lambda x: x["path"]).alias("paths"))
+
+
 def run_statistics(texts: Column, failed: Column, chars: Column, seconds: Column) -> tuple[Column, Column, Column]:
     """(success rate in per cent, texts a second, characters a second)."""
     return F.bround(100 * F.try_divide(texts - failed, texts), 1), F.bround(F.try_divide(texts, seconds), 2), F.bround(F.try_divide(chars, seconds), 1)
@@ -143,10 +274,11 @@ def duration_estimate(texts: Column, chars: Column, per_second: Column, per_batc
 
 
 def keyword_scores(texts: DataFrame, keywords: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, genre, score, hits): weights of a genre's keywords, each at most four times, and the first eight found."""
+    """(id, genre, score, hits): weights of a genre's keywords, whatever their case, each at most four times, and the first eight found."""
     own = texts.select(F.col(id_col).alias("id"), F.lower(text(F.col(text_col))).alias("t"))
-    met = own.join(F.broadcast(keywords), F.instr("t", F.col("keyword")) > 0)
-    n = F.least((F.length("t") - F.length(F.replace(F.col("t"), F.col("keyword"), F.lit("")))) / F.length("keyword"), F.lit(4)).cast("int")
+    words = keywords.withColumn("original", F.lower("keyword"))
+    met = held_terms(own, words, "id", "t").join(words, "original")
+    n = F.least(apart(F.col("starts"), F.length("original")), F.lit(4))
     hits = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("ord", "keyword"))), lambda x: x["keyword"]), 1, 8)
     return met.withColumn("n", n).groupBy("id", "genre").agg(F.sum(F.col("n") * F.col("weight")).alias("score"), hits.alias("hits"))
 
@@ -158,6 +290,50 @@ def style(scores: DataFrame) -> DataFrame:
     return own.where("r = 1").select("id", "genre", "score", F.least(F.lit(100), 8 * F.col("score") + 4 * (F.col("score") - F.col("second"))).cast("int").alias("confidence"))
 
 
+def joined_context(title: Column, titles: Column, samples: Column, most: int = 12_000) -> Column:
+    """Title, titles of contents and samples in lines, samples only until the characters are reached, cut there."""
+    full = lambda xs: F.filter(F.coalesce(xs, F.array().cast("array<string>")), lambda x: strip(text(x)) != "")
+    head = F.concat(F.when(text(title) != "", F.array(title)).otherwise(F.array().cast("array<string>")), full(titles))
+    length = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
+    # the first sample is always taken: the sum is looked at after each
+    take = lambda a, x: F.when((F.size(a) == F.size(head)) | (length(a) < most), F.concat(a, F.array(x))).otherwise(a)
+    return F.substring(F.array_join(F.aggregate(full(samples), head, take), "\n"), 1, most)
+
+
+def dialogue_score(c: Column) -> Column:
+    """How much a text talks: density of corner quotes, up to 20, and exclamations, up to 10."""
+    t = text(c)
+    count = lambda s: (F.length(t) - F.length(F.replace(t, F.lit(s), F.lit("")))) / len(s)
+    quotes = count("「") + count("」") + count("『") + count("』")
+    excited = count("！") + count("!?") + count("？！")
+    compact = F.greatest(F.lit(1), F.length(F.regexp_replace(t, "(?U)\\s+", "")))
+    return (F.least(F.lit(20), F.floor(quotes * 1800 / compact)) + F.least(excited, F.lit(10))).cast("int")
+
+
+def detected(genre: Column, genre_score: Column, confidence: Column, light: Column, literary: Column, least: int = 60) -> tuple[Column, Column, Column]:
+    """(genre, tone, confidence) from the best genre's score and confidence and the scores of both tones; weak genres count as general."""
+    sure = (F.coalesce(genre_score, F.lit(0)) > 0) & (F.coalesce(confidence, F.lit(0)) >= least)
+    g = F.when(sure, genre).otherwise("general")
+    own = F.when(sure, confidence).when(F.coalesce(genre_score, F.lit(0)) > 0, 40).otherwise(0)
+    is_light = light >= F.greatest(F.lit(8), literary + 3)
+    tone = F.when(is_light, "light").when(literary >= 10, "literary").otherwise("neutral")
+    sure_tone = F.when(is_light, F.least(F.lit(100), light * 6)).when(literary >= 10, F.least(F.lit(100), literary * 7)).otherwise(50)
+    both = F.bround(own * 0.65 + sure_tone * 0.35).cast("int")
+    return g, tone, F.when((g == "general") & (tone == "neutral"), F.least(both, F.lit(50))).otherwise(both)
+
+
+#: Genres and tones that can be chosen.
+GENRES, TONES = ["general", "mystery", "historical_mystery", "scifi", "fantasy"], ["neutral", "light", "literary"]
+
+
+def chosen(genre: Column, tone: Column, found_genre: Column, found_tone: Column, confidence: Column) -> tuple[Column, Column, Column]:
+    """(genre, tone, confidence) after a user's choice, `auto` for what was detected; unknown choices are general and neutral."""
+    g = F.when(genre == "auto", found_genre).otherwise(F.coalesce(F.nullif(genre, F.lit("")), F.lit("general")))
+    t = F.when(tone == "auto", found_tone).otherwise(F.coalesce(F.nullif(tone, F.lit("")), F.lit("neutral")))
+    manual = (genre != "auto") | (tone != "auto")
+    return F.when(g.isin(*GENRES), g).otherwise("general"), F.when(t.isin(*TONES), t).otherwise("neutral"), F.when(manual, 100).otherwise(confidence)
+
+
 def aligned(replies: DataFrame) -> DataFrame:
     """From (batch_id, pos, idx, value, n): (batch_id, idx, value) of expected places 0 to n - 1; the last reply for a place counts, null where none came."""
     own = replies.withColumn("i", F.coalesce("idx", "pos")).where("i >= 0 and i < n and value <> ''")

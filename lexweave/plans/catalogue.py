@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
+from lexweave.functions import titles
 from lexweave.operators import batching, cache, consistency, enrich, glossary, quality, runs
 from lexweave.plans import fixtures as X
 from lexweave.sources import html as H
@@ -75,14 +77,14 @@ counted AS (SELECT lane, class, count(DISTINCT batch) AS batches FROM steps GROU
 SELECT lane, class, count(*) AS texts, any_value(batches) AS batches, CAST(sum(n_chars) AS BIGINT) AS chars FROM classed JOIN counted USING (lane, class) GROUP BY lane, class
 """)
 def q_block_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Different blocks per language that no cached document holds, and the batches they form."""
+    """Different blocks per language that no cached document holds, and the batches they form."""
     docs = table(spark, sf_dir, "documents")
     blocks = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).select("doc_id", "lang", (F.col("doc_id") * 100_000 + F.col("pos")).alias("ord"), T.strip(F.col("raw")).alias("block")).where("block <> ''")
     tasks = cache.distinct_tasks(blocks, "ord", "block", "lang").select(F.col("lang").alias("lane"), "task_key", "text", F.col("first_ord").alias("ord"))
     good = table(spark, sf_dir, "labels").where("quality = 1 and doc_id % 2 = 0").select("doc_id").distinct()
     known = blocks.join(good, "doc_id", "left_semi").select(F.sha2("block", 256).alias("task_key")).distinct()
     pending = tasks.join(known, "task_key", "left_anti")
-    return batching.batch_statistics(batching.packed(pending, "lane", "ord", "text", 4, 800, run=1_000_000))
+    return batching.batch_statistics(batching.packed(pending, "lane", "ord", "text", 4, 800))
 
 
 @query(f"""
@@ -236,13 +238,13 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_batches_sql("CASE s.class WHEN 0 THEN 8 WHEN 1 THEN 4 ELSE 1 END", "CASE s.class WHEN 0 THEN 1600 WHEN 1 THEN 800 ELSE 0 END", 120, 400))
 def q_smart_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B1, B2, A10: turns packed by role and length class."""
-    return batching.batch_statistics(batching.packed(_turns(spark, sf_dir), "lane", "ord", "text", 4, 800, 120, 400, run=1_000_000))
+    return batching.batch_statistics(batching.packed(_turns(spark, sf_dir), "lane", "ord", "text", 4, 800, 120, 400))
 
 
 @query(_batches_sql("CASE s.class WHEN 0 THEN 24 WHEN 1 THEN 12 ELSE 1 END", "CASE s.class WHEN 0 THEN 5200 WHEN 1 THEN 2600 ELSE 0 END", 120, 700))
 def q_fast_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with the limits of large inputs."""
-    return batching.batch_statistics(batching.packed(_turns(spark, sf_dir), "lane", "ord", "text", 12, 800, 120, 700, fast=(16, 2600), run=1_000_000))
+    return batching.batch_statistics(batching.packed(_turns(spark, sf_dir), "lane", "ord", "text", 12, 800, 120, 700, fast=(16, 2600)))
 
 
 @query("SELECT texts, items, most, CASE WHEN texts >= 2000 AND eligible THEN least(most, greatest(items, least(most, greatest(8, 2 * items)))) ELSE items END AS effective FROM (SELECT CAST(t AS INTEGER) AS texts, CAST(i AS INTEGER) AS items, CAST(m AS INTEGER) AS most, i % 2 = 0 AS eligible FROM (VALUES (10), (1999), (2000), (9000)) a(t), (VALUES (1), (2), (3), (4), (6), (20)) b(i), (VALUES (4), (16)) c(m))")
@@ -290,28 +292,29 @@ def q_profile_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glossary.by_scope(X.PROFILES.df(spark))
 
 
-_TERMS = "(SELECT DISTINCT string_split(text, ' ')[1] AS original, 'T' || item_id AS translation FROM benchmark WHERE item_id < 40 AND length(string_split(text, ' ')[1]) >= 2 QUALIFY row_number() OVER (PARTITION BY string_split(text, ' ')[1] ORDER BY item_id) = 1)"
+#: The first word, the first two and the first three of every benchmark item.
+_TERMS = "(SELECT original, 'T' || min(item_id) AS translation FROM (SELECT item_id, unnest([s[1], s[1] || ' ' || s[2], s[1] || ' ' || s[2] || ' ' || s[3]]) AS original FROM (SELECT item_id, string_split(text, ' ') AS s FROM benchmark)) WHERE length(original) >= 2 GROUP BY original)"
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "benchmark").where("item_id < 40").select(F.split("text", " ")[0].alias("original"), "item_id").where(F.length("original") >= 2)
+    w = F.split("text", " ")
+    words = [F.get(w, F.lit(k)) for k in range(3)]
+    phrases = F.array(words[0], F.concat(words[0], F.lit(" "), words[1]), F.concat(words[0], F.lit(" "), words[1], F.lit(" "), words[2]))
+    own = table(spark, sf_dir, "benchmark").select(F.explode(phrases).alias("original"), "item_id").where(F.length("original") >= 2)
     return own.groupBy("original").agg(F.concat(F.lit("T"), F.min("item_id").cast("string")).alias("translation"))
 
 
 @query(f"SELECT doc_id AS id, original, translation, CAST(instr(text, original) - 1 AS INTEGER) AS first FROM documents JOIN {_TERMS} ON contains(text, original)")
 def q_glossary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms in all documents with their first place, by the index on first characters."""
+    """Terms in all documents with their first place."""
     found = glossary.matches(table(spark, sf_dir, "documents"), _terms(spark, sf_dir), "doc_id", "text")
     return found.select("id", "original", "translation", F.col("starts")[0].alias("first"))
 
 
 @query(f"SELECT original, translation, count(*) AS texts, CAST(sum(cast((length(text) - length(replace(text, original, ''))) / length(original) AS BIGINT)) AS BIGINT) AS times FROM documents JOIN {_TERMS} ON contains(text, original) GROUP BY ALL")
 def q_glossary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts and occurrences of each term in all documents."""
-    found = glossary.matches_nested(table(spark, sf_dir, "documents"), _terms(spark, sf_dir), "doc_id", "text").select("id", "original", "translation")
-    own = found.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
-    times = ((F.length("text") - F.length(F.replace(F.col("text"), F.col("original"), F.lit("")))) / F.length("original")).cast("long")
-    return own.groupBy("original", "translation").agg(F.count("*").alias("texts"), F.sum(times).alias("times"))
+    """Texts and occurrences of each term in all documents."""
+    return glossary.counts(glossary.matches(table(spark, sf_dir, "documents"), _terms(spark, sf_dir), "doc_id", "text"))
 
 
 @query()
@@ -324,7 +327,8 @@ def q_glossary_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def q_term_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms replaced in all documents, and how often."""
-    terms = [(r.original, r.translation) for r in _terms(spark, sf_dir).orderBy(F.desc(F.length("original")), "original").collect()]
+    own = _terms(spark, sf_dir).select(F.lit("Item").alias("category"), F.lit(0).alias("ord"), "original", "translation", F.lit("").alias("policy"), F.array().cast("array<string>").alias("aliases"))
+    terms = glossary.term_list(glossary.replacement_terms(own))
     return glossary.replacement_totals(glossary.replace_terms(table(spark, sf_dir, "documents"), terms, "doc_id", "text"))
 
 
@@ -334,12 +338,32 @@ def _pairs_glossary(spark: SparkSession) -> DataFrame:
     return glossary.normalised(X.GLOSSARY.df(spark))
 
 
-@query("""
-SELECT * FROM (VALUES ('ローラ', '劳拉', 'divergent', CAST(7 AS BIGINT)), ('ロー', '罗', 'divergent', 7), ('日の下町', '日之下町', 'missing', 3)) AS v(original, wanted, verdict, source_hits)
-""")
+_HEAD = f"regexp_extract(regexp_replace({_strip('target')}, '^[「『“‘\"''（(【\\[\\s]+', ''), '^[^，。！？、；：,.!?;:\\s]*')"
+_ISSUES = f"""
+met AS (SELECT p.book, p.seq, p.chapter, p.target, t.* FROM {X.PAIRS.sql} p JOIN {X.TERMS.sql} t ON contains(p.source, t.original) WHERE length(t.original) >= 2 AND {_strip('p.source')} <> '' AND {_strip('p.target')} <> ''),
+heads AS (SELECT *, contains(target, translation) AS hit, substr({_HEAD}, 1, CAST(greatest(2, least(length(translation), 8)) AS INTEGER)) AS head FROM met),
+seen AS (SELECT *, CASE WHEN hit THEN translation WHEN length(original) <= 8 AND length(head) >= 2 AND head <> translation AND regexp_matches(head, '^[\\x{{4e00}}-\\x{{9fff}}\\x{{3040}}-\\x{{30ff}}A-Za-z0-9・·\\-]+$') THEN head END AS rendering FROM heads),
+per AS (SELECT book, category, ord, original, translation AS wanted, coalesce(policy, '') IN ('contextual', 'reference', 'ignore') AS free, count(*) AS source_hits, count(*) FILTER (hit) AS wanted_hits, count(DISTINCT rendering) AS kinds FROM seen GROUP BY ALL),
+verdicts AS (SELECT *, CASE WHEN free THEN NULL WHEN wanted_hits > 0 AND kinds > 1 THEN 'divergent' WHEN wanted_hits = 0 AND source_hits >= 3 THEN 'missing' END AS verdict FROM per),
+ranked AS (SELECT book, original, rendering, count(*) AS n, row_number() OVER (PARTITION BY book, original ORDER BY count(*) DESC, bool_or(hit) DESC, min(seq)) AS place FROM seen WHERE rendering IS NOT NULL GROUP BY book, original, rendering)"""
+
+
+@query(f"""WITH {_ISSUES}
+SELECT v.book, v.original, v.wanted, v.verdict, v.source_hits, coalesce((SELECT string_agg(rendering || ' ' || n, '; ' ORDER BY place) FROM ranked r WHERE v.verdict = 'divergent' AND r.book = v.book AND r.original = v.original), '') AS variants
+FROM verdicts v WHERE verdict IS NOT NULL""")
 def q_consistency_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K1 to K5, A2, W3, T5 on the fixture, whose issues are known."""
-    return consistency.issues(X.PAIRS.df(spark).withColumn("target", F.when(F.col("seq") == 0, "萝拉，笑了。").otherwise(F.col("target"))), _pairs_glossary(spark)).select("original", "wanted", "verdict", "source_hits")
+    """K1 to K5, A2, W3, T5 on books whose issues are known: tests/test_translation_consistency.py:27-157 of the survey's sources."""
+    found = consistency.issues(X.PAIRS.df(spark), X.TERMS.df(spark))
+    one = F.transform("variants", lambda v: F.concat(v["rendering"], F.lit(" "), v["n"].cast("string")))
+    return found.select("book", "original", "wanted", "verdict", "source_hits", F.array_join(one, "; ").alias("variants"))
+
+
+@query(f"""WITH {_ISSUES}
+SELECT v.book, v.category, v.original, CASE WHEN v.verdict = 'divergent' AND r.n >= 2 THEN 'apply' ELSE 'review' END AS action, CASE WHEN v.verdict = 'divergent' AND r.n >= 2 THEN r.rendering END AS translation, CASE WHEN v.verdict = 'divergent' AND r.n >= 2 THEN r.n ELSE 0 END AS n
+FROM verdicts v LEFT JOIN ranked r ON r.book = v.book AND r.original = v.original AND r.place = 1 WHERE verdict IS NOT NULL""")
+def q_writeback_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the issues of a book write back to the glossary."""
+    return consistency.checked(X.PAIRS.df(spark), X.TERMS.df(spark)).select("book", "category", "original", "action", "translation", "n")
 
 
 _TURNS = "(SELECT a.conv_id AS book, a.turn AS seq, a.text AS source, b.text AS target FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user')"
@@ -350,46 +374,81 @@ def q_consistency_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often what a question holds stands in its answer."""
     c = table(spark, sf_dir, "conversations")
     pairs = c.where("role = 'user'").select(F.col("conv_id").alias("book"), F.col("turn").alias("seq"), F.col("text").alias("source")).join(c.select(F.col("conv_id").alias("book"), (F.col("turn") - 1).alias("seq"), F.col("text").alias("target")), ["book", "seq"])
-    terms = _terms(spark, sf_dir).select(F.lit("Item").alias("category"), F.lit(0).alias("ord"), "original", F.lit("preserve").alias("policy"), "translation")
+    terms = _terms(spark, sf_dir).select(F.lit("Item").alias("category"), F.lit(0).alias("ord"), "original", F.lit("").alias("policy"), F.col("original").alias("translation"))
     r = consistency.renderings(pairs, terms)
     return r.groupBy("original", "wanted").agg(F.sum("n").alias("source_hits"), F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).alias("wanted_hits"), F.min(F.when(F.col("hit"), F.col("first_seq"))).alias("first_seq"))
 
 
-@query("SELECT * FROM (VALUES ('ローラ', '劳拉', '萝拉', 'ok'), ('ローラ', '劳拉', '罗拉', 'ok'), ('日の下町', '日之下町', '日下町', 'ok'), ('日の下町', '日之下町', '日下', 'ok'), ('アシビ', '马醉木', 'bb', 'ok'), ('the', 'THE', '二二', 'ok'), ('x', '很好的', '很好', 'part_of_winner'), ('x', '很好的', '好', 'short'), ('x', '很好的', '马醉', 'other_term')) AS v(original, winner, variant, reason)")
+@query("SELECT * FROM (VALUES ('ローラ', '劳拉', '萝拉', 'ok'), ('ローラ', '劳拉', '罗拉', 'ok'), ('日の下町', '日之下町', '日下町', 'ok'), ('日の下町', '日之下町', '日下', 'ok'), ('アシビ', '马醉木', 'bb', 'ok'), ('the', 'THE', '二二', 'ok'), ('x', '很好的', '很好', 'part_of_winner'), ('x', '很好的', '好', 'part_of_winner'), ('x', '很好的', '坏', 'short'), ('x', '很好的', '马醉', 'other_term')) AS v(original, winner, variant, reason)")
 def q_safe_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which variants may be replaced."""
     g = _pairs_glossary(spark)
     own = g.select("original", F.col("translation").alias("winner"), F.explode("aliases").alias("variant"))
-    more = spark.createDataFrame([("x", "很好的", "很好"), ("x", "很好的", "好"), ("x", "很好的", "马醉")], "original string, winner string, variant string")
+    more = spark.createDataFrame([("x", "很好的", "很好"), ("x", "很好的", "好"), ("x", "很好的", "坏"), ("x", "很好的", "马醉")], "original string, winner string, variant string")
     return consistency.safe_variants(own.unionByName(more), g)
 
 
-@query(f"SELECT book, seq, CASE seq WHEN 0 THEN '劳拉笑了。' WHEN 4 THEN '劳拉，哭了。' WHEN 5 THEN '「劳拉」等等。' WHEN 10 THEN '劳拉和劳拉和劳拉。' ELSE target END AS target, CAST(CASE WHEN seq IN (0, 4, 5) THEN 1 WHEN seq = 10 THEN 2 ELSE 0 END AS BIGINT) AS replaced FROM {X.PAIRS.sql}")
+_UNIFY_TERMS = [("Person", 0, "ローラ", "劳拉", ["萝拉", "罗拉"]), ("Person", 1, "ユタカ", "丰", ["小丰"]), ("Item", 0, "アシビ", "马醉木", ["马醉", "夹竹"])]
+
+
+@query(f"""
+WITH own AS (SELECT * FROM {X.UNIFY.sql}), met AS (SELECT *, CASE WHEN contains(source, 'ローラ') THEN '劳拉' WHEN contains(source, 'ユタカ') THEN '丰' WHEN contains(source, 'アシビ') THEN '马醉木' END AS winner FROM own),
+held AS (SELECT winner, count(*) FILTER (contains(target, winner)) AS n FROM met GROUP BY winner)
+SELECT book, seq, CASE WHEN n < 2 OR n IS NULL THEN target WHEN winner = '劳拉' THEN replace(replace(target, '萝拉', winner), '罗拉', winner) WHEN winner = '丰' THEN replace(target, '小丰', winner) ELSE replace(target, '夹竹', winner) END AS target,
+       CAST(CASE WHEN n < 2 OR n IS NULL THEN 0 WHEN winner = '劳拉' THEN (length(target) - length(replace(replace(target, '萝拉', ''), '罗拉', ''))) / 2 WHEN winner = '丰' THEN (length(target) - length(replace(target, '小丰', ''))) / 2 ELSE (length(target) - length(replace(target, '夹竹', ''))) / 2 END AS BIGINT) AS replaced
+FROM met LEFT JOIN held USING (winner)
+""")
 def q_unify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variants replaced by the winner."""
-    g = _pairs_glossary(spark)
-    return consistency.unified(X.PAIRS.df(spark), g.select("original", F.col("translation").alias("winner"), F.explode("aliases").alias("variant")), g)
+    """Variants replaced by the winner; tests/test_consistency_unify.py:34-119 of the survey's sources."""
+    g = spark.createDataFrame([t[:4] for t in _UNIFY_TERMS], "category string, ord int, original string, translation string")
+    variants = spark.createDataFrame([(o, w, v) for _, _, o, w, vs in _UNIFY_TERMS for v in vs], "original string, winner string, variant string")
+    return consistency.unified(X.UNIFY.df(spark), variants, g)
 
 
 # --- quality ------------------------------------------------------------------------------------------------------------
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({s}, '{r}', {str(b).upper()})" for s, r, b in [(11, "weak", False), (12, "high", True), (13, "weak", False), (14, "low", False), (15, "low", True), (17, "none", False), (18, "high", True), (22, "none", False)] if s not in (13, 15, 18)) + ") AS v(seq, risk, blocking)")
+_TEXTS = f"(SELECT seq, text FROM {X.TEXTS.sql} UNION ALL SELECT CAST(doc_id + 1000 AS INTEGER), text FROM documents)"
+_K, _ALONE = "[\\x{3040}-\\x{30ff}\\x{31f0}-\\x{31ff}\\x{ff66}-\\x{ff9f}]", "[\\x{30a0}-\\x{30ff}\\x{ff66}-\\x{ff9f}]"
+_HAN, _HAN4 = "\\x{3400}-\\x{9fff}", "\\x{4e00}-\\x{9fff}"
+_sql = lambda pattern: pattern.replace("'", "''")
+_U = lambda pattern: re.sub("\\\\u([0-9a-f]{4})", "\\\\x{\\1}", pattern).replace("'", "''")
+#: Classes of texts without neighbourhoods that allow them; the patterns are data, the rules are written anew.
+_CLASSES = f"""
+raw AS (SELECT seq, {_strip("coalesce(text, '')")} AS raw FROM {_TEXTS}),
+cut AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '(?s)\\[\\[ja:.*?\\]\\]', '', 'g'), '([A-Za-z0-9])・([A-Za-z0-9])', '\\1\\2', 'g'), '{_U(quality.SHAPE)}', '', 'g'), '[「『“‘"''（(【\\[〈《]\\s*{_ALONE}\\s*[」』”’"''）)】\\]〉》]', '', 'g') AS t FROM raw),
+runs AS (SELECT *, regexp_extract_all(t, '{_K}+') AS rs, regexp_extract_all(raw, '{_K}+') AS own, length(regexp_replace(t, '[^{_HAN4}]', '', 'g')) AS han4, length(regexp_replace(t, '[^{_HAN}]', '', 'g')) AS han, length(regexp_replace(raw, '[^{_HAN4}]', '', 'g')) AS raw_han FROM cut),
+sums AS (SELECT *, length(array_to_string(rs, '')) AS total, len(rs) AS n, length(array_to_string(own, '')) AS own_total, len(own) AS own_n FROM runs),
+signs AS (SELECT *, n > 0 AS kana, regexp_matches(t, 'お[{_HAN}々]{{1,3}}([^{_HAN}々]|$)') OR len(list_filter(regexp_extract_all(t, 'お([{_HAN}々])', 1), lambda x: NOT list_contains([{_in(quality.STEMS)}], x))) > 0 AS named, regexp_matches(t, '[{quality.JAPANESE_KANJI}]') AND regexp_matches(t, '{_U(quality.BETWEEN)}') AS grammar,
+          regexp_matches(regexp_extract(raw, '{_U(quality.SHORT_QUOTE)}', 1), '{_K}') AS quoted, han4 >= 8 AND n <= 3 AND total <= greatest(3, han4 * 0.05) AS noise, raw_han >= 8 AND own_n BETWEEN 1 AND 4 AND own_total <= 24 AND (regexp_matches(raw, '{_U(quality.TITLE)}') OR own_total <= 16 AND regexp_matches(raw, '{_U(quality.NAME)}')) AS titled FROM sums),
+classes AS (SELECT seq, CASE WHEN NOT kana THEN 'none' WHEN quoted THEN 'low' WHEN NOT named AND NOT grammar AND total = n AND n <= 3 THEN 'weak' WHEN noise OR titled THEN 'low' WHEN total >= 12 OR total >= 0.35 * length(t) OR total >= 5 AND han <= 2 THEN 'high' ELSE 'medium' END AS risk,
+            kana AND NOT quoted AND NOT (NOT named AND NOT grammar AND total = n AND n <= 3) AS blocking FROM signs)"""
+
+
+def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = X.TEXTS.df(spark).unionByName(table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).cast("int").alias("seq"), "text"))
+    return quality.classified(own, "text")
+
+
+@query(f"WITH {_CLASSES} SELECT seq, risk, blocking FROM classes")
 def q_residue_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q10 to Q18 on texts whose class is known."""
-    return quality.classified(X.TEXTS.df(spark).where("seq in (11, 12, 14, 17, 22)"), "text").select("seq", "residue.risk", "residue.blocking")
+    """Q1, Q10 to Q18 over all texts of the fixture and all documents."""
+    return _classified(spark, sf_dir).select("seq", "residue.risk", "residue.blocking")
 
 
-@query()
+@query(f"WITH {_CLASSES} SELECT risk, count(*) AS n, count(*) FILTER (blocking) AS blocking, min(seq) AS first FROM classes WHERE risk <> 'none' GROUP BY risk")
 def q_residue_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1, Q17: counts by risk with first samples."""
-    own = X.TEXTS.df(spark).unionByName(table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).cast("int").alias("seq"), "text"))
-    return quality.scan(quality.classified(own, "text"), "seq", "text")
+    """A1, Q17: counts by risk, and the first sample of each."""
+    found = _classified(spark, sf_dir)
+    first = found.groupBy("residue.risk").agg(F.min("seq").alias("first"))
+    return quality.scan(found, "seq", "text").join(first, "risk").select("risk", "n", "blocking", "first")
 
 
-@query()
-def q_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q20, Q21, Q26, Q29, Q30: repairs in their order."""
-    return X.TEXTS.df(spark).select("seq", quality.repaired(F.col("text")).alias("text"))
+@query(f"WITH {_CLASSES} SELECT policy, count(*) FILTER (CASE policy WHEN 'strict' THEN blocking WHEN 'balanced' THEN risk IN ('high', 'medium') ELSE false END) AS blocked FROM classes, (VALUES ('strict'), ('balanced'), ('lenient')) p(policy) GROUP BY policy")
+def q_save_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q32: texts that stop a save under each policy."""
+    found = _classified(spark, sf_dir)
+    each = [quality.gate(found, p).select(F.lit(p).alias("policy"), "blocked") for p in ("strict", "balanced", "lenient")]
+    return each[0].union(each[1]).union(each[2])
 
 
 @query(f"""
@@ -439,14 +498,16 @@ def q_log_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH e AS (SELECT event_id, event_type, epoch_us(ts) / 1e6 AS s, CAST(1 + event_id % 50 AS INTEGER) AS tokens FROM events),
-w AS (SELECT *, count(*) OVER x AS requests, CAST(sum(tokens) OVER x AS BIGINT) AS window_tokens, min(s) OVER x AS first FROM e WINDOW x AS (PARTITION BY event_type ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW))
-SELECT event_id, requests, window_tokens, round(CASE WHEN requests > 8 OR window_tokens > 200 THEN first + 3600 - s ELSE 0.0 END, 3) AS wait FROM w
+w AS (SELECT *, count(*) OVER x AS requests, CAST(sum(tokens) OVER x AS BIGINT) AS window_tokens, min(s) OVER x AS first, row_number() OVER (PARTITION BY event_type ORDER BY s, event_id) AS place FROM e WINDOW x AS (PARTITION BY event_type ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)),
+leaves AS (SELECT a.event_id, min(b.s) AS enough FROM w a JOIN w b ON a.event_type = b.event_type AND b.s BETWEEN a.s - 3600 AND a.s WHERE a.window_tokens > 200 AND (SELECT coalesce(sum(c.tokens), 0) FROM w c WHERE c.event_type = a.event_type AND c.s > b.s AND c.s <= a.s) <= 200 GROUP BY a.event_id),
+sent AS (SELECT event_id, max(s - (place - 1) * 450.0) OVER (PARTITION BY event_type ORDER BY place) + (place - 1) * 450.0 - s AS gap FROM w)
+SELECT event_id, requests, window_tokens, round(greatest(CASE WHEN requests > 8 THEN first + 3600 - s ELSE 0.0 END, CASE WHEN window_tokens > 200 THEN enough + 3600 - s ELSE 0.0 END), 3) AS wait, round(gap, 3) AS gap FROM w LEFT JOIN leaves USING (event_id) JOIN sent USING (event_id)
 """)
 def q_rate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST1, A13: requests and tokens of the last hour, and the wait for room."""
+    """ST1, A13: requests and tokens of the last hour, the wait for room, and what even spacing holds back."""
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     out = runs.rate_windows(e, "event_type", "ts", "event_id", (1 + F.col("event_id") % 50).cast("int"), 8, 200, 3600)
-    return out.select("event_id", "requests", "window_tokens", F.round("wait", 3).alias("wait"))
+    return out.select("event_id", "requests", "window_tokens", F.round("wait", 3).alias("wait"), F.round("gap", 3).alias("gap"))
 
 
 @query()
@@ -464,7 +525,7 @@ def q_outcome_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT task_id, count(*) AS total, count(*) FILTER (status = 'success') AS completed, count(*) FILTER (status IN ('failed', 'residue', 'save_residue')) AS failed, CAST(sum(chars) AS BIGINT) AS chars, round_even(count(*) FILTER (status = 'success') / count(*), 4) AS progress FROM {X.SUBTASKS.sql} GROUP BY task_id")
 def q_task_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A5, R7."""
+    """A5."""
     return runs.task_summary(X.SUBTASKS.df(spark))
 
 
@@ -479,14 +540,14 @@ SELECT task_id, kind, text, translation, CAST(min(ord) AS INTEGER) AS ord, arg_m
 WHERE NOT EXISTS (SELECT 1 FROM {X.FIXED.sql} f WHERE f.task_id = b.task_id AND replace(f.text, ' ', '') = replace(b.text, ' ', '')) GROUP BY task_id, kind, text, translation
 """)
 def q_failed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F16, F17, J9, W4."""
+    """J9, W4."""
     return runs.failed_blocks(X.BLOCKS.df(spark), X.FIXED.df(spark)).withColumn("place", F.col("place").cast("long"))
 
 
-@query(f"SELECT task_id, ord, CASE reason WHEN 'timeout' THEN 'timeout' WHEN 'json' THEN 'json_format' WHEN 'empty' THEN 'empty_output' WHEN 'residue' THEN 'residue_high' ELSE 'provider_error' END AS issue, CASE reason WHEN 'timeout' THEN 'retry' WHEN 'json' THEN 'single_retry' WHEN 'empty' THEN 'retry' WHEN 'residue' THEN 'retranslate' ELSE 'switch_provider' END AS action FROM {X.BLOCKS.sql}")
+@query(f"SELECT task_id, ord, CASE WHEN reason = 'timeout' THEN 'timeout' WHEN reason = 'json' THEN 'json_format' WHEN trim(translation) = '' THEN 'empty_output' WHEN kind = 'residue' THEN 'residue_high' ELSE 'provider_error' END AS issue, CASE WHEN reason = 'timeout' THEN 'retry' WHEN reason = 'json' THEN 'single_retry' WHEN trim(translation) = '' THEN 'retry' WHEN kind = 'residue' THEN 'retranslate' ELSE 'switch_provider' END AS action FROM {X.BLOCKS.sql}")
 def q_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R1, R2, R4."""
-    issue = runs.issue_class(F.col("reason"), F.when(F.col("kind") == "residue", "high"))
+    issue = runs.issue_class(F.col("reason"), F.col("translation"), F.when(F.col("kind") == "residue", "high"))
     return X.BLOCKS.df(spark).select("task_id", "ord", issue.alias("issue"), runs.recommended(issue).alias("action"))
 
 
@@ -494,7 +555,7 @@ def q_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT k, list_slice(list_concat(list_transform(regexp_extract_all(coalesce(version, ''), '\\d+'), lambda x: CAST(x AS INTEGER)), [0, 0, 0, 0]), 1, 4) AS version,
        CASE WHEN coalesce(secret, '') = '' THEN '' WHEN length(secret) <= 8 THEN '***' ELSE substr(secret, 1, 4) || '***' || right(secret, 4) END AS masked,
        CASE k WHEN 1 THEN 'a-b-c-txt' WHEN 2 THEN 'con' WHEN 3 THEN 'x-y-z' WHEN 4 THEN '正常-名' WHEN 5 THEN 'hello-world' ELSE 'profile' END AS slug,
-       CASE k WHEN 1 THEN 'a_b_c_.txt' WHEN 2 THEN 'CON_' WHEN 3 THEN 'x y_z' WHEN 4 THEN '正常 名' WHEN 5 THEN 'Hello, World!' ELSE '' END AS file_name,
+       CASE k WHEN 1 THEN 'a_b_c_.txt' WHEN 2 THEN 'CON_' WHEN 3 THEN 'x y__z' WHEN 4 THEN '正常 名' WHEN 5 THEN 'Hello, World!' ELSE '' END AS file_name,
        round_even(100 * (texts - failed) / nullif(texts, 0), 1) AS success, round_even(texts / nullif(seconds, 0), 2) AS texts_s,
        CASE k WHEN 1 THEN '1 min' WHEN 2 THEN '1 min' WHEN 3 THEN '1 h 7 min' WHEN 4 THEN '1 h 1 min' WHEN 5 THEN '1 min' ELSE '2 h' END AS duration,
        greatest(ceil(texts / 4) * 3.0 / 2.95, chars / (90 * 2.95)) + greatest(10.0, 0.02 * texts) AS estimate, CAST(floor(chars / 4) + 12 * greatest(1, texts) AS BIGINT) AS budget
@@ -505,7 +566,7 @@ def q_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     rate, texts_s, _ = runs.run_statistics(c("texts"), c("failed"), c("chars"), c("seconds"))
     return X.MISC.df(spark).select(
-        "k", T.version(c("version")).alias("version"), T.mask(c("secret")).alias("masked"), T.slug(c("name")).alias("slug"), T.file_name(c("name")).alias("file_name"), rate.alias("success"), texts_s.alias("texts_s"), T.duration_text(c("seconds")).alias("duration"),
+        "k", T.version(c("version")).alias("version"), T.mask(c("secret")).alias("masked"), T.slug(c("name")).alias("slug"), titles.file_name(c("name")).alias("file_name"), rate.alias("success"), texts_s.alias("texts_s"), T.duration_text(c("seconds")).alias("duration"),
         runs.duration_estimate(c("texts"), c("chars"), F.lit(90), F.lit(3.0), F.lit(4), F.lit(4)).alias("estimate"), T.budget_tokens(c("chars"), c("texts")).alias("budget"),
     )
 
@@ -530,19 +591,24 @@ def q_reply_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text blocks of all pages (tested against pages with known blocks)."""
+    """Text blocks of all pages (tested against pages with known blocks)."""
     return H.blocks(table(spark, sf_dir, "pages"))
 
 
 @query("""
-WITH t AS (SELECT DISTINCT text FROM conversations WHERE role = 'user'), a AS (SELECT text, CASE WHEN regexp_matches(text, '^[0-9]') THEN NULL ELSE 'ZH:' || text END AS answer FROM t)
-SELECT sha256(text) AS key, answer, CASE WHEN answer IS NULL THEN 'failed' ELSE 'ok' END AS status, 
-       CASE WHEN answer IS NULL OR len(list_filter(range(1, CAST(length(answer) AS BIGINT)), lambda i: len(list_filter(range(2, 11), lambda n: length(answer) >= i - 1 + 4 * n AND substr(answer, i, 4 * n) = repeat(substr(answer, i, n), 4))) > 0)) > 0 THEN 'retranslate' ELSE 'keep' END AS route FROM a
+WITH t AS (SELECT DISTINCT conv_id AS batch, text FROM conversations WHERE role = 'user'), a AS (SELECT *, CASE WHEN regexp_matches(text, '^[0-9]') THEN NULL ELSE 'ZH:' || text END AS answer FROM t),
+b AS (SELECT *, count(DISTINCT text) OVER (PARTITION BY batch) AS kinds, count(*) OVER (PARTITION BY batch, answer) AS times FROM a)
+SELECT batch, sha256(text) AS key, answer, CASE WHEN answer IS NULL THEN 'failed' ELSE 'ok' END AS status,
+       CASE WHEN answer IS NULL OR times >= 3 AND kinds >= 3 OR len(list_filter(range(1, CAST(length(answer) AS BIGINT)), lambda i: len(list_filter(range(2, 11), lambda n: length(answer) >= i - 1 + 4 * n AND substr(answer, i, 4 * n) = repeat(substr(answer, i, n), 4))) > 0)) > 0 THEN 'retranslate' ELSE 'keep' END AS route FROM b
 """)
 def q_stage_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Different questions through the stub provider, and their routes."""
-    tasks = cache.distinct_tasks(table(spark, sf_dir, "conversations").where("role = 'user'"), "conv_id", "text")
-    return enrich.routed(enrich.enriched(tasks, enrich.stub, "task_key", "text")).select("key", "answer", "status", "route")
+    """Different questions of each conversation through the stub provider, and their routes, as stages of which one is switched off."""
+    stages = enrich.Stages(
+        enrich.Stage("tasks", lambda df: cache.distinct_tasks(df, "turn", "text", "conv_id")),
+        enrich.Stage("provider", lambda df: enrich.enriched(df, enrich.stub, "task_key", "text", "conv_id")),
+        enrich.Stage("nothing", lambda df: df.limit(0)),
+    ).add(enrich.Stage("routes", enrich.routed)).switch("nothing", False)
+    return stages.run(table(spark, sf_dir, "conversations").where("role = 'user'")).select("batch", "key", "answer", "status", "route")
 
 
 @query("SELECT * FROM (VALUES (1, 0, 1, 'b'), (1, 1, 0, 'a'), (2, 0, NULL, 'x'), (2, 1, NULL, 'y'), (3, 0, 4, 'said \"so\" here'), (4, 0, 0, 'fenced')) AS v(batch_id, pos, idx, value)")
@@ -554,7 +620,7 @@ def q_reply_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT * FROM (VALUES (1, 'apply'), (2, 'invalid'), (3, 'provider_pinned'), (4, 'locked'), (5, 'manual_review'), (6, 'invalid')) AS v(k, verdict)")
 def q_recovery_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What becomes of proposed recoveries."""
+    """What becomes of proposed recoveries."""
     rows = [(1, "timeout", "retry", 0.9, "a", "a"), (2, "timeout", "dance", 0.9, "", ""), (3, "timeout", "retry", 0.9, "a", "b"), (4, "moderation", "retry", 0.99, "", ""), (5, "timeout", "retry", 0.5, "", ""), (6, "timeout", "retry", 1.5, "", "")]
     df = spark.createDataFrame(rows, "k int, issue string, action string, confidence double, provider string, pinned string")
     return df.select("k", enrich.decision(*[F.col(c) for c in ("issue", "action", "confidence", "provider", "pinned")]).alias("verdict"))

@@ -46,10 +46,25 @@ GLOSSARY = Fixture(
     ("Person", 0, "ローラ", None, "劳拉", None, "force", "萝拉、罗拉"), ("Person", 1, "ロー", None, "罗", None, "", None), ("Location", 0, "日の下町", None, "日之下町", None, "固定", "别名:日下町|日下"),
     ("Odd", 0, None, "アシビ", None, "马醉木", "参考", "a, bb, bb"), ("Item", 1, "ローラ", None, "萝拉", None, None, None), ("Item", 2, "剣", None, "剑", None, "保留", ""), ("Skill", 0, " ", None, "空", None, None, None), ("Skill", 1, "the", None, "THE", None, "上下文", "一;二二"), ("Org", 0, "and", None, "AND", None, "skip", None),
 )
+#: Pairs whose renderings go astray: book 1 to 6 are known cases of divergent, missing, free and short terms, with chapters.
 PAIRS = Fixture(
+    "book int, seq int, chapter string, source string, target string",
+    (1, 0, "", "ローラは笑った。", "萝拉笑了。"), (1, 1, "", "ローラが来た。", "劳拉来了。"), (1, 2, "", "ローラと話した。", "我和劳拉说过话。"), (1, 3, "", "またローラだ。", "又是劳拉。"),
+    (2, 0, "", "この日の下町で、おそらくはいくつもの恋模様が展開されたんだ", "在这座小镇里，恐怕上演了好几段恋情。"), (2, 1, "", "日の下町の警察が特殊な計画を立ち上げた", "小镇的警察提出了一项特殊计划。"), (2, 2, "", "俺たちは日の下町で出会った", "我们是在小镇相遇的。"),
+    (3, 0, "", "チロリの酒を飲んだ", "喝了那壶酒"), (3, 1, "", "チロリを持ってきた", "把烧酒壶拿了过来"),
+    (4, 0, "第一话", "まっちょの話", "阿肌的话"), (4, 1, "第三话", "まっちょの話", "小真的话"), (4, 2, "第三话", "まっちょの話", " "), (4, 3, "第五话", "まっちょ、おい", "「小真」，喂"),
+    (5, 0, "", "酒を飲む", "喝酒"), (5, 1, "", "翔子はゆっくりと顔を上げた", "翔子缓缓抬起头"), (5, 2, "", "俺は翔子の目を見つめた", "我凝视着翔子的眼睛"),
+    (6, 0, "", "ローラは泣いた。", "劳拉，哭了。"), (6, 1, "", "ローラ、待て。", "「罗拉」等等。"), (6, 2, "", "ローラと萝拉。", "劳拉和萝拉和萝拉。"), (6, 3, "", None, "萝拉"), (6, 4, "", "日の下町", "镇上"), (6, 5, "", "ローラ", "plain-A·b"), (6, 6, "", "ローラ", "好"),
+)
+TERMS = Fixture(
+    "category string, ord int, original string, translation string, policy string",
+    ("Person", 0, "ローラ", "劳拉", ""), ("Person", 1, "まっちょ", "阿肌", "force"), ("Person", 2, "翔子", "翔子", None), ("Location", 0, "日の下町", "日之下町", ""), ("Item", 0, "チロリ", "烫酒壶", "contextual"), ("Item", 1, "酒", "酒", ""),
+)
+#: Books whose renderings are made one, by variants of their terms.
+UNIFY = Fixture(
     "book int, seq int, source string, target string",
-    (1, 0, "ローラは笑った。", "萝拉笑了。"), (1, 1, "ローラが来た。", "劳拉来了。"), (1, 2, "ローラと話した。", "我和劳拉说过话。"), (1, 3, "またローラだ。", "又是劳拉。"), (1, 4, "ローラは泣いた。", "萝拉，哭了。"), (1, 5, "ローラ、待て。", "「罗拉」等等。"),
-    (1, 6, "日の下町へ行く。", "去镇上。"), (1, 7, "日の下町の夜。", "镇上的夜。"), (1, 8, "日の下町は静か。", "镇上，很静。"), (1, 9, "剣を取る。", "拿剑。"), (1, 10, "ローラと萝拉。", "劳拉和萝拉和萝拉。"),
+    (1, 0, "ローラと話した", "我和劳拉说话"), (1, 1, "ローラは笑った", "萝拉笑了"), (1, 2, "ローラが来た", "罗拉来了"), (1, 3, "またローラだ", "又是劳拉"),
+    (2, 0, "豊かな人生", "丰盛的人生"), (2, 1, "ユタカが来た", "小丰来了"), (2, 2, "ユタカと話した", "小丰说话了"), (2, 3, "豊作だ", "丰收了"), (3, 0, "アシビ", "马醉"), (3, 1, "アシビ", "马醉木"), (3, 2, "アシビ", "马醉木"), (3, 3, "アシビ", "夹竹"),
 )
 CACHE = Fixture(
     "cache_type string, cache_key string, source_text string, translated_text string, trusted boolean, verified boolean, created_at long, updated_at long, last_used_at long, hit_count long",

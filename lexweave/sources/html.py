@@ -1,81 +1,229 @@
-"""Text blocks of HTML pages."""
+"""Text blocks of HTML pages: block tags, links of pages of contents, or the loose text of bodies without blocks.
+
+Unclosed tags are closed as HTML says: a paragraph by any block, a list item by the next one, both by the end of what holds them.
+Blocks stand in the order of their start tags; the text of a nested block belongs to the outer block too.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Tags of blocks, tags without visible text, tags that end a loose paragraph; links of a page of contents at
+# least, and characters of a body from which too few blocks count as none.
 BLOCKS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote")
-HIDDEN = ("rt", "rp", "script", "style", "noscript", "template")
-
-
-class _Blocks(HTMLParser):
-    """Collects visible text by innermost open block; a new block of the same kind closes an unclosed one."""
-
+HIDDEN = ("rt", "rp", "script", "style", "noscript")
+SPLITS = ("address", "article", "aside", "div", "dl", "figure", "footer", "header", "main", "nav", "ol", "section", "table", "ul")
+LINKS, SPARSE, COVERED = 3, 200, 0.2
+
+#: Start tags that end an open paragraph.
+_ENDS = (*SPLITS, *BLOCKS, "dt", "dd", "fieldset", "figcaption", "form", "hr", "pre", "tr", "td", "th")
+_VOID = ("br", "img", "hr", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr")
+_JAPANESE = re.compile("[\\u3040-\\u30ff\\u3400-\\u9fff]")
+
+
+@dataclass(eq=False)
+class Node:
+    tag: str
+    attrs: dict[str, str] = field(default_factory=dict)
+    parent: Node | None = None
+    children: list[Node | str] = field(default_factory=list)
+
+    def walk(self) -> Iterator[Node]:
+        """This node and those below it, in the order of their start tags; a stack, since pages may nest very deeply."""
+        stack: list[Node] = [self]
+        while stack:
+            node = stack.pop()
+            yield node
+            stack += [c for c in reversed(node.children) if isinstance(c, Node)]
+
+    def inside(self, others: set[int]) -> bool:
+        up = self.parent
+        while up and id(up) not in others:
+            up = up.parent
+        return up is not None
+
+
+class _Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, list[str]]] = []
-        self.done: list[tuple[str, str]] = []
-        self.hidden = 0
-        self.loose: list[str] = []
+        self.root = self.at = Node("")
+
+    def _close(self, tags: tuple[str, ...], within: tuple[str, ...]) -> None:
+        """Close the innermost open node of these tags, unless a node of `within` stands between."""
+        node = self.at
+        while node.parent and node.tag not in tags:
+            if node.tag in within:
+                return
+            node = node.parent
+        if node.parent:
+            self.at = node.parent
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in HIDDEN:
-            self.hidden += 1
-        elif tag == "br":
-            self.handle_data("\n")
-        elif tag in BLOCKS:
-            if tag == "p" and self.open and self.open[-1][0] == "p":
-                self.close("p")
-            self.open.append((tag, []))
+        if tag in _ENDS:
+            self._close(("p",), ("td", "th", "div", "section", "blockquote", "li", "body"))
+        if tag == "li":
+            self._close(("li",), ("ul", "ol"))
+        if tag in ("dt", "dd"):
+            self._close(("dt", "dd"), ("dl",))
+        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
+        self.at.children.append(node)
+        if tag not in _VOID:
+            self.at = node
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.at.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
-        elif tag in BLOCKS:
-            self.close(tag)
-
-    def close(self, tag: str) -> None:
-        while any(t == tag for t, _ in self.open):
-            kind, parts = self.open.pop()
-            if value := clean("".join(parts)):
-                self.done.append((kind, value))
-            if kind == tag:
-                break
+        self._close((tag,), ("body",) if tag != "html" and tag != "body" else ())
 
     def handle_data(self, data: str) -> None:
-        if not self.hidden:
-            (self.open[-1][1] if self.open else self.loose).append(data)
+        self.at.children.append(data)
 
 
-def clean(value: str) -> str:
-    """Spaces collapsed, none around line ends."""
-    value = re.sub(r"[ \t ]+", " ", value)
-    return re.sub(r" *\n+ *", "\n", value).strip()
+def parsed(html: str) -> Node:
+    tree = _Tree()
+    tree.feed(html or "")
+    tree.close()
+    return tree.root
 
 
-def page_blocks(html: str) -> list[tuple[str, str]]:
-    """(tag, text) of a page's blocks in order; a page without blocks gives its loose text, line by line, as p."""
-    parser = _Blocks()
-    parser.feed(html or "")
-    for tag, _ in reversed(list(parser.open)):
-        parser.close(tag)
-    if parser.done:
-        return parser.done
-    return [("p", line) for line in clean("".join(parser.loose)).split("\n") if line]
+def clean(value: str) -> str:
+    """Spaces collapsed, none around line ends."""
+    value = re.sub("[ \\t\\r\\f\\v]+", " ", value.replace("\xa0", " "))
+    return re.sub(" *\\n+ *", "\n", value).strip()
+
+
+def _pieces(top: Node | str, marked: bool) -> Iterator[str]:
+    stack: list[Node | str] = [top]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, str):
+            yield node
+        elif node.tag in HIDDEN:
+            continue
+        elif marked and (node.attrs.get("lang") or node.attrs.get("xml:lang") or "").lower().startswith("ja"):
+            own = "".join(p for c in node.children for p in _pieces(c, False)).strip()
+            if own:
+                yield f"[[ja:{own}]]"
+        else:
+            stack += reversed(node.children)
+
+
+def visible_text(node: Node | str) -> str:
+    """What a reader sees: no ruby readings or scripts, what is marked as Japanese in [[ja:...]]."""
+    return clean("".join(_pieces(node, True)))
+
+
+def compact(value: str) -> int:
+    return len(re.sub("\\s+", "", value))
+
+
+def _anchor(node: Node) -> str:
+    """The first id, or name of a link, in a node."""
+    return next((a for n in node.walk() if (a := n.attrs.get("id") or (n.attrs.get("name") if n.tag == "a" else ""))), "")
+
+
+def contents_links(body: Node, tags: list[Node]) -> list[Node]:
+    """Links of a page of contents: three or more with Japanese text, with more characters than the blocks; those in blocks left out."""
+    links = [n for n in body.walk() if n.tag == "a" and "href" in n.attrs]
+    texts = [(n, t) for n in links if compact(t := visible_text(n)) and _JAPANESE.search(t)]
+    if len(texts) < LINKS or sum(compact(visible_text(t)) for t in tags) >= sum(compact(t) for _, t in texts):
+        return []
+    held = {id(t) for t in tags}
+    return [n for n, _ in texts if not n.inside(held)]
+
+
+def loose(body: Node, tags: list[Node]) -> bool:
+    """A Japanese body whose blocks hold nothing, or next to nothing of it."""
+    text = visible_text(body)
+    n = compact(text)
+    if not n or not _JAPANESE.search(text):
+        return False
+    covered = sum(compact(visible_text(t)) for t in tags)
+    return not covered or n >= SPARSE and covered < COVERED * n and n - covered >= SPARSE
+
+
+def segments(body: Node) -> list[tuple[str, str, str]]:
+    """(tag, anchor, text) of a body's loose text, cut at line breaks and blocks; images as rows without text."""
+    out: list[tuple[str, str, str]] = []
+    parts: list[str] = []
+    anchor = ""
+
+    def end() -> None:
+        nonlocal parts, anchor
+        if compact(text := clean("".join(parts))):
+            out.append(("p", anchor, text))
+        parts, anchor = [], ""
+
+    for child in body.children:
+        if isinstance(child, str):
+            parts.append(child)
+        elif child.tag == "br":
+            end()
+        elif child.tag == "img":
+            end()
+            out.append(("img", child.attrs.get("id", ""), ""))
+        elif child.tag in SPLITS:
+            end()
+            if compact(text := visible_text(child)):
+                out.append(("p", _anchor(child), text))
+            elif any(n.tag == "img" for n in child.walk()):
+                out.append(("img", _anchor(child), ""))
+        elif child.tag not in HIDDEN:
+            anchor = anchor or _anchor(child)
+            parts.append(visible_text(child))
+    end()
+    return out
+
+
+def page_blocks(html: str) -> list[tuple[str, str, str]]:
+    """(tag, anchor, text) of a page's blocks in order; empty blocks are left out."""
+    if not (html or "").strip():
+        return []
+    root = parsed(html)
+    body = next((n for n in root.walk() if n.tag == "body"), root)
+    tags = [n for n in root.walk() if n.tag in BLOCKS]
+    links = contents_links(body, tags)
+    if not links and loose(body, tags):
+        return [s for s in segments(body) if s[2]]
+    found = [(n.tag, _anchor(n), visible_text(n)) for n in [*tags, *links]]
+    if not any(t for _, _, t in found):
+        # a page without blocks, in whatever language: its lines
+        return [s for s in segments(body) if s[2]]
+    return [f for f in found if f[2]]
 
 
 def blocks(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, pos, tag, text) of each page's blocks."""
+    """(id, pos, tag, anchor, text) of each page's blocks."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [(i, pos, tag, value) for i, html in part.itertuples(index=False) for pos, (tag, value) in enumerate(page_blocks(html))]
-            yield pd.DataFrame(rows, columns=["id", "pos", "tag", "text"])
+            rows = [(i, pos, tag, anchor, value) for i, html in part.itertuples(index=False) for pos, (tag, anchor, value) in enumerate(page_blocks(html))]
+            yield pd.DataFrame(rows, columns=["id", "pos", "tag", "anchor", "text"])
 
     own = df.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
-    return own.mapInPandas(run, f"id {own.schema['id'].dataType.simpleString()}, pos int, tag string, text string")
+    return own.mapInPandas(run, f"id {own.schema['id'].dataType.simpleString()}, pos int, tag string, anchor string, text string")
+
+
+def text_plan(found: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """(id, seq, mode, text): blocks in order (single_anchor where they have one, else plain), then titles of contents (id, ord, title), unfiltered."""
+    own = found.select("id", F.struct(F.lit(0).alias("k"), F.col("pos").alias("p")).alias("o"), F.when(F.col("anchor") != "", "single_anchor").otherwise("plain").alias("mode"), "text")
+    if titles is not None:
+        own = own.unionByName(titles.select("id", F.struct(F.lit(1).alias("k"), F.col("ord").cast("int").alias("p")).alias("o"), F.lit("toc").alias("mode"), F.col("title").alias("text")))
+    from pyspark.sql import Window
+
+    return own.withColumn("seq", F.row_number().over(Window.partitionBy("id").orderBy("o")) - 1).select("id", "seq", "mode", "text")
+
+
+def estimate(found: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """(texts, chars) of all visible blocks and titles, whether they need translation or not."""
+    own = found.select("text")
+    if titles is not None:
+        own = own.union(titles.select("title"))
+    return own.agg(F.count("*").alias("texts"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
 from lexweave.operators import batching, glossary, quality, runs
-from lexweave.plans import catalogue
+from lexweave.plans import catalogue, more  # noqa: F401
 from lexweave.plans import fixtures as X
 from lexweave.sources import epub, html
 from lexweave.streaming import logs
@@ -67,6 +67,29 @@ def test_batches_hold_their_limits(spark):
         assert g.ord.sort_values().is_monotonic_increasing
 
 
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_batches_are_those_of_one_pass(spark, parts):
+    """However the order is cut into ranges, also into ranges of fewer items than a batch holds."""
+    import numpy as np
+
+    rng = np.random.default_rng(parts)
+    rows = [(f"l{rng.integers(3)}", i, "w" * int(n)) for i, n in enumerate(rng.choice([1, 5, 28, 60, 150, 190, 300], 400, p=[0.3, 0.3, 0.1, 0.1, 0.1, 0.05, 0.05]))]
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {r.ord: (r["class"], r.batch) for r in batching.packed(spark.createDataFrame(rows, "lane string, ord int, text string"), "lane", "ord", "text", 4, 400).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    state = {}
+    for lane, i, t in rows:
+        c = 0 if len(t) <= 30 else 1 if len(t) <= 200 else 2
+        most, width = {0: (8, 800), 1: (4, 400), 2: (1, 0)}[c]
+        b, n, total = state.get((lane, c), (0, 0, 0))
+        if n and (n >= most or total + len(t) >= width):
+            b, n, total = b + 1, 0, 0
+        assert got[i] == (c, b)
+        state[lane, c] = (b, n + 1, total + len(t))
+
+
 def test_occurrences_keep_katakana_whole(spark):
     rows = [("ローラとロー。", "ロー", [4]), ("ローラ", "ローラ", [0]), ("aaa", "aa", [0, 1]), ("", "a", []), ("𠮷ローラ", "ローラ", [1]), ("a.b*c", "b*", [2]), ("x", "xx", [])]
     df = spark.createDataFrame(rows, "t string, term string, want array<int>")
@@ -77,7 +100,8 @@ def test_occurrences_keep_katakana_whole(spark):
 def test_matching_both_ways_agrees(spark, sf_dir):
     docs, terms = spark.read.parquet(f"{sf_dir}/documents.parquet"), catalogue._terms(spark, sf_dir)
     one, two = (sorted(map(repr, f(docs, terms, "doc_id", "text").collect())) for f in (glossary.matches, glossary.matches_nested))
-    assert one == two and one
+    three = sorted(map(repr, glossary.matches(docs, terms, "doc_id", "text", automaton_chars=0).collect()))
+    assert one == two == three and one
 
 
 def test_selection_takes_the_longest_free_place(spark):
@@ -109,16 +133,33 @@ def test_residue(spark, text, risk, blocking):
 
 
 def test_repair_leaves_marked_spans(spark):
-    df = spark.createDataFrame([("「東」[[ja:「東京」チロリ]]的チロリ",)], "t string")
-    assert df.select(quality.repaired(F.col("t"))).first()[0].endswith("的烫酒壶")
-    assert df.select(quality.repaired(F.col("t"))).first()[0].startswith("“东”[[ja:「")
+    df = spark.createDataFrame([("「東」[[ja:「東京」]]的チロリ",)], "t string")
+    assert df.select(quality.repaired(F.lit(""), F.col("t"))).first()[0] == "“東”[[ja:「東京」]]的烫酒壶"
 
 
 def test_html_blocks():
     page = "<html><script>no</script><h1>Title &amp; more</h1><p>one<p>two<br>three <ruby>漢<rt>かん</rt></ruby><ul><li>a<li>b</ul><p>open"
-    assert set(html.page_blocks(page)) == {("h1", "Title & more"), ("p", "one"), ("p", "two\nthree 漢"), ("li", "b"), ("li", "a"), ("p", "open")}
-    assert html.page_blocks("<h1>a</h1><p>b</p><p>c</p>") == [("h1", "a"), ("p", "b"), ("p", "c")]
-    assert html.page_blocks("bare<br>text") == [("p", "bare"), ("p", "text")] and html.page_blocks(None) == []
+    plain = lambda page: [(t, x) for t, _, x in html.page_blocks(page)]
+    assert plain(page) == [("h1", "Title & more"), ("p", "one"), ("p", "twothree 漢"), ("li", "a"), ("li", "b"), ("p", "open")]
+    assert plain("<h1>a</h1><p>b</p><p>c</p>") == [("h1", "a"), ("p", "b"), ("p", "c")]
+    assert plain("<ul><li>a<li>b<li>c</ul><p>d</p>") == [("li", "a"), ("li", "b"), ("li", "c"), ("p", "d")]
+    assert plain("bare<br>text") == [("p", "bare"), ("p", "text")] and plain(None) == []
+    assert plain('<p>a<span lang="ja-JP">かな<rt>x</rt></span></p>') == [("p", "a[[ja:かな]]")]
+    assert plain("<blockquote>q<p>in</p></blockquote>") == [("blockquote", "qin"), ("p", "in")]
+
+
+def test_html_fallbacks():
+    """The survey's sources, tests/test_translation_pipeline.py:1155-1250."""
+    line = "これは本文です。" * 30
+    got = html.page_blocks(f'<html><body><h1>題</h1></body></html>'), html.page_blocks(f'<html><body><span id="toc-001"></span>{line}<br/><ruby>久<rt>く</rt>堂<rt>どう</rt></ruby>は尾根を歩いた。<br/></body></html>')
+    assert got[0] == [("h1", "", "題")] and got[1] == [("p", "toc-001", line), ("p", "", "久堂は尾根を歩いた。")]
+    short = html.page_blocks('<html><body><span id="#pagestart"></span>本作品は電子書籍として刊行されたものです。<br/>ご利用の端末によって表示が異なることがあります。<br/></body></html>')
+    assert [x for _, _, x in short] == ["本作品は電子書籍として刊行されたものです。", "ご利用の端末によって表示が異なることがあります。"]
+    sparse = html.page_blocks(f"<body><h1>題</h1><div>{line}</div></body>")
+    assert [x for _, _, x in sparse] == ["題", line]
+    links = html.page_blocks('<body><span>目次</span><br/><a href="1">第一章　探偵力</a><br/><a href="2">第二章　なんだか</a><br/><a href="3"><ruby>前<rt>まえ</rt>口上</ruby></a></body>')
+    assert [(t, x) for t, _, x in links] == [("a", "第一章　探偵力"), ("a", "第二章　なんだか"), ("a", "前口上")]
+    assert [x for _, _, x in html.page_blocks("<body><p><ruby>能<rt>のう</rt>面<rt>めん</rt></ruby>島へ行く。</p><span>これは</span></body>")] == ["能面島へ行く。"]
 
 
 def test_epub(spark, tmp_path):
