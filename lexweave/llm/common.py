@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.storage import dropped, fresh_path, shared_dir, stored  # noqa: F401  (for the operators)
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -20,37 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lexweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, never used before."""
-    return f"{shared_dir(spark)}/lexweave/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table that stored() made and nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/lexweave/" in path:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def held_out(doc_id: Column, fold: int) -> Column:
     """crc32 of the id as text leaves 1 modulo fold; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % fold == 1, F.lit(False))
@@ -66,7 +35,7 @@ def batches(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def text_blocks(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_blocks(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of a block hold about `most` bytes, or are one row: memory stays bounded for very long texts."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
     start, total = 0, 0
@@ -77,6 +46,8 @@ def text_blocks(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iter
         total += n
     if start < batch.num_rows:
         yield batch.slice(start)
+    # what Arrow holds for reuse would stay with the worker
+    pa.default_memory_pool().release_unused()
 
 
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:

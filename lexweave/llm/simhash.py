@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import batches, components, stored, text_blocks
+from lexweave.llm.common import batches, components, dropped, stored, text_blocks
 
 SEED, SEGMENTS, CHAIN = 42, 4, 2
 #: Fingerprints under one key beyond which it is linked through midpoints.
@@ -157,17 +157,18 @@ def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-#: Tables and minima a table of the stars; texts sampled, and shingles kept, for the order of shingles. All change the work only, never the result.
+#: Tables and minima a table of the stars; one text in so many counts shingles, and so many counts are kept, for the order of
+#: shingles; length of the chains of the ring filter. All change the work only, never the result.
 STARS, MINIMA = 8, 3
-SAMPLED, COMMON = 10_000, 100_000
+EVERY, COMMON = 16, 500_000
+RING = 4
 #: Ids sent to every worker at most when texts are looked up.
 SENT = 200_000
 
 
 def common_shingles(own: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, ascending, and counts of shingles that several texts of a sample hold; own has the column text."""
-    every = max(1, own.count() // SAMPLED)
-    sample = own.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("text")
+    sample = own.where(F.pmod(F.xxhash64("text"), F.lit(EVERY)) == 0).groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("text")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (b for p in parts for b in text_blocks(p, "text")):
@@ -213,14 +214,55 @@ def candidates(rows: pa.Table, similarity: float) -> Iterator[tuple[np.ndarray,
             yield active[good], other[good]
 
 
+def parity_bits(hashes: np.ndarray) -> bytes:
+    """A set's wide fingerprint: at least two bits a shingle, each the parity of how many shingles fall on it; a power of two of 64-bit segments.
+
+    Two sets differ in at least as many shingles as their fingerprints differ in bits. Half of the bits folded onto the other
+    half by xor are the fingerprint of half the width.
+    """
+    bits = 64
+    while bits < 2 * len(hashes):
+        bits *= 2
+    counts = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def ring_passes(a: bytes, b: bytes, most: float, chain: int = RING) -> bool:
+    """Two wide fingerprints can belong to sets that differ in at most `most` shingles.
+
+    The fingerprints are rings of segments. By the pigeonring principle some segment starts a chain in which every prefix of j
+    segments differs in at most j * most / segments bits; chains of `chain` segments are asked for before all bits are counted.
+    """
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) != len(y):
+        if len(x) > len(y):
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        else:
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    d = np.bitwise_count(x ^ y).astype(np.int64)
+    m = len(d)
+    starts, total = np.arange(m), np.zeros(m, np.int64)
+    for j in range(1, min(chain, m) + 1):
+        total = total[: len(starts)] + d[(starts + j - 1) % m]
+        good = total * m <= j * most + 1e-9
+        starts, total = starts[good], total[good]
+        if not len(starts):
+            return False
+    return bool(d.sum() <= most + 1e-9)
+
+
 def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id) of every row: texts whose sets of word shingles have at least this Jaccard similarity are linked.
 
     No link between components is lost. Groups of near copies are first collapsed by stars: texts that meet in a table of
     minima are linked to the smallest id there, where the exact similarity holds. Then a join that is complete looks for links
     between what is still apart: of each text the rarest shingles are keys, so many that similar sets must share one, with
-    filters by size and place. Every candidate is held against the exact sets. Texts of equal words are one throughout.
-    Rows of one id count as one document.
+    filters by size and place. A candidate's wide fingerprints must pass the pigeonring filter and the count of all bits, which
+    no similar pair fails; what is left is held against the exact sets.
+
+    Texts of equal words are one throughout. A null text counts as empty; texts without words are linked to each other only.
+    Rows of one id count as one document: what any of its rows is linked to; a null id is never linked and gets itself, null.
+    An empty table gives an empty result. Very long texts are read in blocks; only their hashes are held.
     """
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
@@ -230,7 +272,7 @@ def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, id_c
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = pa.list_(pa.int64())
         for part in (b for p in parts for b in text_blocks(p, "text")):
-            keys, sizes, stars, heads = [], [], [], []
+            keys, sizes, stars, heads, wide = [], [], [], [], []
             for t in batches(part.column("text")):
                 hashes = np.unique(shingle_hashes(t, words))
                 keys.append(xxhash.xxh128_digest(b" ".join(t.encode().lower().split())))
@@ -238,23 +280,45 @@ def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, id_c
                 minima = [(hashes * m).min() for m in mixers] if len(hashes) else []
                 stars.append([xxhash.xxh64_intdigest(np.array(minima[i : i + MINIMA]).tobytes(), i) - (1 << 63) for i in range(0, len(minima), MINIMA)])
                 heads.append(rarest(hashes, similarity, common, counts).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(stars, longs), pa.array(heads, longs)], names=["id", "words_key", "n", "stars", "head"])
+                wide.append(parity_bits(hashes))
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(stars, longs), pa.array(heads, longs), pa.array(wide, pa.binary())], names=["id", "words_key", "n", "stars", "head", "wide"])
 
     def shingled(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (b for p in parts for b in text_blocks(p, "text")):
             sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in batches(part.column("text"))]
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "held"])
 
+    def filtered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share = (1 - similarity) / (1 + similarity)
+        for part in parts:
+            na, nb = (np.asarray(part.column(c), dtype=np.int64) for c in ("na", "nb"))
+            some = np.flatnonzero((np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-9) & (np.minimum(na, nb) > 0))
+            wa, wb = part.column("wa"), part.column("wb")
+            good = [i for i in some.tolist() if ring_passes(wa[i].as_py(), wb[i].as_py(), (na[i] + nb[i]) * share)]
+            yield part.select(["a", "b"]).take(pa.array(good, pa.int64()))
+
+    def looked_up(rows: DataFrame, pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Those of rows whose id is in a pair, and the table of these ids."""
+        involved = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-ids")
+        return rows.join(F.broadcast(involved) if involved.count() <= SENT else involved, "id", "left_semi"), involved
+
     def similar(pairs: DataFrame, name: str) -> DataFrame:
         """Those of the pairs (a, b) whose exact sets have the similarity."""
-        pairs = stored(pairs, f"{name}-met")
-        involved = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-ids")
-        involved = F.broadcast(involved) if involved.count() <= SENT else involved
-        sets = own.join(involved, "id", "left_semi").mapInArrow(shingled, f"id {kind}, held array<long>").groupBy("id").agg(F.first("held").alias("held"))
-        sets = stored(sets, f"{name}-sets")
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("held").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("held").alias("hb")), "b")
+        met = stored(pairs, f"{name}-met")
+        rows, ids = looked_up(fps.select("id", "n", "wide"), met, name)
+        rows = stored(rows, f"{name}-wide")
+        sides = met.join(rows.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa")), "a").join(rows.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb")), "b")
+        passed = stored(sides.mapInArrow(filtered, f"a {kind}, b {kind}").distinct(), f"{name}-passed")
+        for t in (met, rows, ids):
+            dropped(t)
+        rows, ids = looked_up(own, passed, name)
+        sets = stored(rows.mapInArrow(shingled, f"id {kind}, held array<long>"), f"{name}-sets")
+        both = passed.join(sets.select(F.col("id").alias("a"), F.col("held").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("held").alias("hb")), "b")
         shared = F.size(F.array_intersect("ha", "hb"))
-        return stored(both.where(shared >= similarity * (F.size("ha") + F.size("hb") - shared)).select("a", "b"), f"{name}-linked")
+        linked = stored(both.where(shared >= similarity * (F.size("ha") + F.size("hb") - shared) - 1e-9).select("a", "b").distinct(), f"{name}-linked")
+        for t in (passed, ids, sets):
+            dropped(t)
+        return linked
 
     def meetings(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key and n; the rows of a batch's last key wait for the next batch."""
@@ -288,14 +352,24 @@ def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, id_c
         if held:
             yield from found(held)
 
-    fps = stored(own.mapInArrow(run, f"id {kind}, words_key binary, n int, stars array<long>, head array<long>"), "heads")
-    kinds = stored(fps.groupBy("words_key").agg(F.min("id").alias("k"), *[F.first(c).alias(c) for c in ("n", "stars", "head")]).where("k is not null"), "kinds")
-    met = kinds.select("k", F.explode("stars").alias("key"))
+    fps = stored(own.mapInArrow(run, f"id {kind}, words_key binary, n int, stars array<long>, head array<long>, wide binary"), "heads")
+    kinds = stored(fps.groupBy("words_key").agg(F.min("id").alias("k")).where("k is not null"), "kinds")
+    leaders = kinds.select(F.col("k").alias("id")).distinct()
+    met = fps.select("id", "stars").join(leaders.hint("merge"), "id", "left_semi").select(F.col("id").alias("k"), F.explode("stars").alias("key")).distinct()
     centres = met.groupBy("key").agg(F.min("k").alias("b"), F.count("*").alias("size")).where("size > 1")
     stars = similar(met.join(centres, "key").where("k <> b").select(F.col("k").alias("a"), "b").distinct(), "stars")
-    apart = kinds.join(components(stars, "stars"), F.col("k") == F.col("node"), "left").select("k", F.coalesce("component", "k").alias("c"), "n", F.posexplode("head").alias("at", "key"))
+    grouped = stored(leaders.join(components(stars, "stars"), F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("c")), "grouped")
+    # merge joins at every size: a plan that turns from a broadcast to a shuffle somewhere can't be judged on small data
+    apart = fps.select("id", "n", "head").join(grouped.hint("merge"), "id").select(F.col("id").alias("k"), "c", "n", F.posexplode("head").alias("at", "key"))
     pairs = apart.repartition("key").sortWithinPartitions("key", "n").mapInArrow(meetings, f"x {kind}, y {kind}")
     rest = similar(pairs.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "rest")
-    joined = components(stars.union(rest), "groups")
-    named = kinds.join(joined, kinds.k == joined.node, "left").select("words_key", F.coalesce("component", "k").alias("component_id"))
-    return fps.select("id", "words_key").distinct().join(named, "words_key", "left").select("id", F.coalesce("component_id", "id").alias("component_id"))
+    leads = stored(fps.select("id", "words_key").join(kinds, "words_key").select("id", "k").distinct(), "leads")
+    several = leads.groupBy("id").agg(F.min("k").alias("b"), F.count("*").alias("size")).where("size > 1")
+    own_links = leads.join(several.select("id", "b"), "id").where("k <> b").select(F.col("k").alias("a"), "b")
+    joined = stored(components(stars.union(rest).union(own_links), "groups"), "joined")
+    named = leads.join(joined, F.col("k") == F.col("node"), "left").groupBy("id").agg(F.min(F.coalesce("component", "k")).alias("component_id"))
+    # a null id leads nothing and has no row here
+    out = stored(named.union(own.where("id is null").select("id", F.col("id").alias("component_id")).distinct()), "near")
+    for t in (fps, kinds, grouped, stars, rest, leads, joined):
+        dropped(t)
+    return out
