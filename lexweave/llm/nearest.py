@@ -9,8 +9,9 @@ dealt to chunks of about CHUNK vectors (a crowded cell to several), and queries
 in blocks of at most BLOCK queries, so that no task holds more than a chunk and a block. Cell counts, at most K*K numbers,
 are all that the driver sees of the whole.
 
-Vectors that are null, zero, of another size than most, or hold nulls or non-finite numbers take no part; so do null ids.
-An empty table has no neighbours. Of repeated ids each row counts, but none is its own query's neighbour.
+Vectors that are null, zero, or hold nulls or non-finite numbers take no part, nor do null ids; vectors of another length than
+most have no distance to them and take no part either. An empty table has no neighbours. Every row is a candidate, repeated ones
+too, but none with the query's own id. An id is one query, however often its row is repeated (with the smallest of its vectors).
 """
 
 from __future__ import annotations
@@ -27,13 +28,13 @@ from pyspark.sql import functions as F
 
 from lexweave.llm.common import stored
 
-CENTROIDS, SAMPLE, SHARE, CHUNK, BLOCK = 64, 10_000, 0.5, 4096, 20_000
+CENTROIDS, SAMPLE, SHARE, CHUNK, BLOCK = 256, 10_000, 0.3, 4096, 20_000
 
 
 def sound(c: Column) -> Column:
     """The vector can take part."""
     wrong = F.exists(c, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.coalesce((F.size(c) > 1) & ~wrong & F.exists(c, lambda x: x != 0), F.lit(False))
+    return F.coalesce((F.size(c) > 0) & ~wrong & F.exists(c, lambda x: x != 0), F.lit(False))
 
 
 def centroids(x: np.ndarray, k: int, rounds: int = 20, seed: int = 11) -> np.ndarray:
@@ -71,6 +72,13 @@ def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, wanted: floa
     return out
 
 
+def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of the vectors; a vector of one component has a second half of zero."""
+    if x.shape[1] == 1:
+        return x, np.zeros_like(x)
+    return x[:, : x.shape[1] // 2], x[:, x.shape[1] // 2 :]
+
+
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, size)
 
@@ -85,14 +93,14 @@ def search(df: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id",
     size = sizes[0]["n"]
     own = own.where(F.size("v") == size)
     some = np.array([r[0] for r in own.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()], dtype=np.float64)
-    half = size // 2
-    c1, c2 = centroids(some[:, :half], cells), centroids(some[:, half:], cells)
+    c1, c2 = (centroids(h, cells) for h in halves(some))
     kind = own.schema["v"].dataType.simpleString()
 
     def place(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             x = _matrix(part.column("v"), size)
-            cell = squared(x[:, :half], c1).argmin(axis=1) * len(c2) + squared(x[:, half:], c2).argmin(axis=1)
+            a, b = halves(x)
+            cell = squared(a, c1).argmin(axis=1) * len(c2) + squared(b, c2).argmin(axis=1)
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), pa.array(cell.astype(np.int32))], names=["id", "v", "cell"])
 
     index = stored(own.mapInArrow(place, f"id long, v {kind}, cell int"), "cells")
@@ -115,14 +123,15 @@ def search(df: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id",
         of_cell[cell] = first, n
     dealt = F.broadcast(spark.createDataFrame(chunks, "cell int, first int, n int"))
     vectors = index.join(dealt, "cell").select("id", "v", "cell", (F.col("first") + F.pmod(F.xxhash64("id", "v"), F.col("n"))).cast("int").alias("chunk"))
-    queries = index.where(F.col("id") % every == 0).select("id", "v")
+    queries = index.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
     blocks = math.ceil(max(1, queries.count()) / BLOCK)
 
     def probes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             x = _matrix(part.column("v"), size)
             rows, chunk_ids, passed = [], [], []
-            for q, (a, b) in enumerate(zip(squared(x[:, :half], c1), squared(x[:, half:], c2), strict=True)):
+            one, two = halves(x)
+            for q, (a, b) in enumerate(zip(squared(one, c1), squared(two, c2), strict=True)):
                 by_chunk: dict[int, list[int]] = {}
                 for cell in walk(a, b, counts, wanted):
                     first, n = of_cell[cell].tolist()
