@@ -1,12 +1,16 @@
 """Line deduplication by site-relative frequency.
 
-Pages are grouped by site; a line's ratio is the number of the site's pages that hold it over all the site's pages, equal
-texts of a site counting as one page. Lines at or above the ratio, on enough pages, are boilerplate and go. A text most of
-whose characters would go is a copy of a page rather than a page with boilerplate: it stays whole for other stages to judge.
+Pages are grouped by site; a line's ratio is the number of the site's pages that hold it over all the site's pages. Lines at or
+above the ratio, on MIN_PAGES pages at least (fewer are no evidence), are boilerplate and go from every page that holds them. A
+text none of whose lines would be left is a copy of a whole page, not a page with boilerplate: it stays as it is, for a stage
+that compares documents. With `whole_above` (off unless given) so does a text that would lose more than that share of its
+characters: a near copy of many pages, which would no longer be like them afterwards.
 
-Lines are compared without spaces around them; blank lines are never counted or dropped. A null text stays null, an empty
-one empty; null sites form one site. Counts are sums over (site, line), combined before each shuffle, so a site with a
-third of all rows is spread by its lines; what is kept per site is at most (lines a page / ratio) numbers.
+Lines are compared without spaces around them; blank lines are never counted or dropped. A null text stays null, an empty one
+empty, and neither is a page; null sites form one site. Repeated rows are pages each. Very long texts are split whole. Columns
+named lines_total or lines_dropped are replaced; any other name may be in use. Counts are sums over (site, line), combined before
+each shuffle, so a site with a third of all rows is spread by its lines; what is kept per site is at most (lines a page / ratio)
+numbers.
 """
 
 from __future__ import annotations
@@ -16,45 +20,51 @@ from pyspark.sql import functions as F
 
 from lexweave.llm.common import stored
 
-RATIO, MIN_PAGES, WHOLE_ABOVE = 0.02, 10, 0.5
+RATIO, MIN_PAGES = 0.02, 5
 
 
 def boilerplate(df: DataFrame, site_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(site, line_key, pages, site_pages) of lines at or above the ratio; line_key is the line's xxhash64."""
-    own = df.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(site_col), F.lit("")).alias("site"), F.xxhash64(text_col, F.length(text_col)).alias("text_key"), F.col(text_col).alias("text"))
-    totals = own.select("site", "text_key").distinct().groupBy("site").agg(F.count("*").alias("site_pages"))
-    lines = own.select("site", "text_key", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), F.trim))).alias("line")).where("line <> ''")
-    counts = lines.select("site", F.xxhash64("line").alias("line_key"), "text_key").distinct().groupBy("site", "line_key").agg(F.count("*").alias("pages"))
+    own = df.where(F.col(text_col) != "").select(F.coalesce(F.col(site_col), F.lit("")).alias("site"), F.col(text_col).alias("text"))
+    totals = own.groupBy("site").agg(F.count("*").alias("site_pages"))
+    keys = F.array_distinct(F.transform(F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != ""), lambda x: F.xxhash64(x)))
+    counts = own.select("site", F.explode(keys).alias("line_key")).groupBy("site", "line_key").agg(F.count("*").alias("pages"))
     frequent = counts.where(F.col("pages") >= min_pages)
     return frequent.join(totals, "site").where(F.col("pages") >= ratio * F.col("site_pages"))
 
 
-def drop_boilerplate(df: DataFrame, site_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, whole_above: float = WHOLE_ABOVE) -> DataFrame:
+def drop_boilerplate(df: DataFrame, site_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, whole_above: float | None = None) -> DataFrame:
     """df's columns with boilerplate lines out of text, then lines_total and lines_dropped."""
+    kept = [c for c in df.columns if c not in ("lines_total", "lines_dropped")]
     found = boilerplate(df, site_col, text_col, ratio, min_pages)
-    by_site = stored(found.groupBy("site").agg(F.collect_list("line_key").alias("line_keys")), "boilerplate")
-    kept = df.columns
-    out = df.withColumn("_site", F.coalesce(F.col(site_col), F.lit(""))).join(by_site.select(F.col("site").alias("_site"), F.col("line_keys").alias("_keys")), "_site", "left")
-    out = out.withColumn("_lines", F.split(text_col, "\n"))
-    keeps = lambda x: (F.trim(x) == "") | ~F.array_contains(F.coalesce("_keys", F.array().cast("array<bigint>")), F.xxhash64(F.trim(x)))
-    out = out.withColumn("_kept", F.filter("_lines", keeps))
-    size = lambda c: F.aggregate(F.transform(c, lambda x: F.length(F.trim(x))), F.lit(0), lambda a, b: a + b)
-    out = out.withColumn("_whole", F.coalesce(size("_kept") < (1 - whole_above) * size("_lines"), F.lit(True)))
-    dropped = F.when(F.col("_whole"), F.lit(0)).otherwise(F.size("_lines") - F.size("_kept"))
-    text = F.when(F.col("_whole") | (F.size("_kept") == F.size("_lines")), F.col(text_col)).otherwise(F.array_join("_kept", "\n"))
-    return out.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept], F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("lines_total"), dropped.cast("long").alias("lines_dropped"))
+    by_site = stored(found.groupBy("site").agg(F.collect_list("line_key").alias("flagged")), "boilerplate")
+    # df's own columns travel in a struct, so that no name of theirs can meet one of these
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.coalesce(F.col(site_col), F.lit("")).alias("site"), F.col(text_col).alias("text"), F.split(text_col, "\n").alias("lines"))
+    met = own.join(by_site, "site", "left")
+    # the page's own flagged lines first, by hash: a site's list is looked through once a page, not once a line
+    met = met.withColumn("gone", F.array_intersect(F.transform("lines", lambda x: F.xxhash64(F.trim(x))), F.coalesce("flagged", F.array().cast("array<bigint>"))))
+    met = met.withColumn("left", F.filter("lines", lambda x: (F.trim(x) == "") | ~F.array_contains("gone", F.xxhash64(F.trim(x)))))
+    whole = F.coalesce((F.size("left") == F.size("lines")) | ~F.exists("left", lambda x: F.trim(x) != ""), F.lit(True))
+    if whole_above is not None:
+        size = lambda c: F.aggregate(F.transform(c, lambda x: F.length(F.trim(x))), F.lit(0), lambda a, b: a + b)
+        whole = whole | F.coalesce(size("left") < (1 - whole_above) * size("lines"), F.lit(True))
+    met = met.withColumn("whole", whole)
+    text = F.when(F.col("whole"), F.col("text")).otherwise(F.array_join("left", "\n"))
+    dropped = F.when(F.col("whole"), 0).otherwise(F.size("lines") - F.size("left")).cast("long")
+    total = F.coalesce(F.size("lines"), F.lit(0)).cast("long")
+    return met.select(*[(text if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in kept], total.alias("lines_total"), dropped.alias("lines_dropped"))
 
 
 #: The same by DuckDB over documents, in the columns of the query.
 SQL = f"""
 WITH own AS (SELECT doc_id, source, text, coalesce(source, '') AS site, string_split(text, chr(10)) AS lines FROM documents),
-pages AS (SELECT DISTINCT site, text, lines FROM own WHERE text IS NOT NULL),
+pages AS (SELECT site, lines FROM own WHERE text <> ''),
 totals AS (SELECT site, count(*) AS site_pages FROM pages GROUP BY site),
 counted AS (SELECT site, line, count(*) AS pages FROM (SELECT site, unnest(list_distinct(list_transform(lines, lambda x: trim(x, ' ')))) AS line FROM pages) WHERE line <> '' GROUP BY site, line),
 flagged AS (SELECT site, list(line) AS keys FROM counted JOIN totals USING (site) WHERE pages >= {MIN_PAGES} AND pages >= {RATIO} * site_pages GROUP BY site),
 cut AS (SELECT own.*, list_filter(lines, lambda x: trim(x, ' ') = '' OR NOT list_contains(coalesce(keys, []), trim(x, ' '))) AS kept FROM own LEFT JOIN flagged USING (site)),
-sized AS (SELECT *, coalesce(list_sum(list_transform(kept, lambda x: length(trim(x, ' ')))), 0) < {1 - WHOLE_ABOVE} * coalesce(list_sum(list_transform(lines, lambda x: length(trim(x, ' ')))), 0) AS whole FROM cut)
+judged AS (SELECT *, len(kept) = len(lines) OR len(list_filter(kept, lambda x: trim(x, ' ') <> '')) = 0 AS whole FROM cut)
 SELECT doc_id, source, CASE WHEN text IS NULL THEN NULL WHEN whole THEN text ELSE array_to_string(kept, chr(10)) END AS text,
        CAST(coalesce(len(lines), 0) AS BIGINT) AS lines_total, CAST(CASE WHEN text IS NULL OR whole THEN 0 ELSE len(lines) - len(kept) END AS BIGINT) AS lines_dropped
-FROM sized
+FROM judged
 """
