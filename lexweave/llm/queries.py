@@ -69,4 +69,4 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc, op3_bloom_lm, op4_media, op5_multi_index, op6_packing, op7_simhash, op8_line_dedup, op9_toxicity, op10_url_filters)}
-ORACLE_SQL: dict[str, str] = {"op8_line_dedup": line_dedup.SQL}
+ORACLE_SQL: dict[str, str] = {"op8_line_dedup": line_dedup.SQL, "op10_url_filters": url_filters.SQL}
