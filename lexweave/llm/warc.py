@@ -6,7 +6,9 @@ within the frame. A bundle is written under a name of its own and moved into pla
 committed tasks return are in the index: a lost or repeated task leaves at most an unread file.
 
 Of records with equal payloads of at least `revisit_from` bytes, that with the largest id is the response and the others
-are revisits of it. Null payloads count as empty; null ids are responses; repeated rows are judged alike.
+are revisits of it. Null payloads count as empty; null ids are responses; repeated rows are judged alike, and rows of one page and
+payload share a record id. An empty table gives no bundle. Very long payloads are written and read one at a time; other columns
+are not looked at.
 """
 
 from __future__ import annotations
@@ -32,21 +34,22 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 FRAME, BUNDLE = 1 << 18, 1 << 28
 
 
-def record_id(page) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}')}>"
+def record_id(page, digest: str) -> str:
+    """By page and payload, so that rows of one page with other payloads have other ids."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}:{digest}')}>"
 
 
 def record(page, url: str | None, payload: bytes, holder) -> bytes:
     """One record: a response with its payload, or a revisit of the holder's response."""
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     revisit = holder is not None and holder != page
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page, digest)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response"]
     if url:
         head.append("WARC-Target-URI: " + "".join(url.split()))
     if page is not None:
         head.append(f"X-Page-ID: {page}")
     if revisit:
-        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {record_id(holder)}", f"X-Refers-To-Page: {holder}"]
+        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {record_id(holder, digest)}", f"X-Refers-To-Page: {holder}"]
     block = HTTP if revisit else HTTP + payload
     return "\r\n".join([*head, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -165,36 +168,70 @@ def write_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     return stored(rows.mapInArrow(run, f"id {kind}, " + ", ".join(INDEX)), "warc-index")
 
 
+def _checked(fields: dict[str, str], payload: bytes) -> tuple[int, str, bool]:
+    """(length, digest, revisit) of a record: of a response taken from its bytes, which must be what its header states; a revisit has its response's payload and states both."""
+    digest, n = fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["X-Payload-Length"])
+    if fields["WARC-Type"] == "revisit":
+        return n, digest, True
+    own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    if (len(payload), own) != (n, digest):
+        raise ValueError(f"record {fields.get('WARC-Record-ID')}: payload of {len(payload)} bytes, {own}, where its header states {n}, {digest}")
+    return len(payload), own, False
+
+
+def _frames(part: pa.RecordBatch) -> Iterator[tuple[str, int, list]]:
+    """(bundle, frame, records) of each frame that a batch names; records are (offset, fields, payload)."""
+    from pyarrow import fs
+
+    zstd = zstandard.ZstdDecompressor()
+    for uri, wanted in _by_bundle(part):
+        store, path = fs.FileSystem.from_uri(uri)
+        with store.open_input_file(path) as f:
+            table = read_seek_table(f)
+            for k in wanted:
+                at, packed, plain = table[k]
+                f.seek(at)
+                yield uri, k, parse(zstd.decompress(f.read(packed), max_output_size=plain))
+
+
 def read_archives(index: DataFrame) -> DataFrame:
-    """Read the frames that an index names: (page_id, payload_bytes, payload_digest, record_type, refers_to, bundle, frame, offset_in_frame, intact).
+    """Read the frames that an index names: (page_id, payload_bytes, payload_digest, record_type, refers_to, bundle, frame, offset_in_frame).
 
-    intact: a response's payload has the length and digest that its header states.
+    Lengths and digests of responses are taken from the bytes read; a record that differs from its header is an error.
     """
     frames = index.select("bundle", "frame").distinct()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
+        for part in parts:
+            for uri, k, records in _frames(part):
+                rows = []
+                for offset, fields, payload in records:
+                    n, digest, _ = _checked(fields, payload)
+                    rows.append((_number(fields.get("X-Page-ID")), n, digest, fields["WARC-Type"], _number(fields.get("X-Refers-To-Page")), uri, k, offset))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "bundle", "frame", "offset_in_frame"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64()]
+    return frames.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, bundle string, frame int, offset_in_frame long")
+
 
-        zstd = zstandard.ZstdDecompressor()
+def fetch(index: DataFrame, wanted: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """(page_id, record_type, refers_to, payload binary) of the wanted ids only: the index leads to their frames, and within these to their records."""
+    own = index.join(wanted.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi").select("bundle", "frame", "offset_in_frame")
+    places = own.groupBy("bundle", "frame").agg(F.collect_list("offset_in_frame").alias("offsets"))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for uri, wanted in _by_bundle(part):
-                store, path = fs.FileSystem.from_uri(uri)
-                with store.open_input_file(path) as f:
-                    table = read_seek_table(f)
-                    for k in wanted:
-                        at, packed, plain = table[k]
-                        f.seek(at)
-                        rows = []
-                        for offset, fields, payload in parse(zstd.decompress(f.read(packed), max_output_size=plain)):
-                            digest, n = fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["X-Payload-Length"])
-                            revisit = fields["WARC-Type"] == "revisit"
-                            intact = revisit or len(payload) == n and base64.b32encode(hashlib.sha1(payload).digest()).decode() == digest
-                            rows.append((_number(fields.get("X-Page-ID")), n, digest, fields["WARC-Type"], _number(fields.get("X-Refers-To-Page")), uri, k, offset, intact))
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "bundle", "frame", "offset_in_frame", "intact"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.bool_()]
-    return frames.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, bundle string, frame int, offset_in_frame long, intact boolean")
+            offsets = {(u, k): set(o) for u, k, o in zip(*(part.column(c).to_pylist() for c in ("bundle", "frame", "offsets")), strict=True)}
+            for uri, k, records in _frames(part):
+                for offset, fields, payload in records:
+                    if offset in offsets[uri, k]:
+                        _checked(fields, payload)
+                        values = [_number(fields.get("X-Page-ID")), fields["WARC-Type"], _number(fields.get("X-Refers-To-Page")), payload]
+                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=names)
+
+    names, kinds = ["page_id", "record_type", "refers_to", "payload"], [pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    return places.mapInArrow(run, "page_id long, record_type string, refers_to long, payload binary")
 
 
 def _number(text: str | None) -> int | None:
