@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import held_out, stored, text_blocks
+from lexweave.llm.common import bounded, held_out, stored, text_blocks
 
 FOLD, FREQUENT, BROADCAST = 5, 1 << 18, 256 << 20
 #: Pair weight, words of 64 bits a key, bits a key in a word, tokens gathered before a task passes counts on, tokens a segment.
@@ -162,7 +162,7 @@ def probability(pair: np.ndarray, before: np.ndarray, word: np.ndarray, n: int,
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = FOLD, broadcast_bytes: int = BROADCAST, frequent: int = FREQUENT) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     spark = df.sparkSession
-    own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out(F.col(id_col), fold).alias("held_out"))
+    own = bounded(df).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out(F.col(id_col), fold).alias("held_out"))
     training = own.where(~F.col("held_out"))
     words = stored(counted(training, False).groupBy("h").agg(F.sum("n").alias("n")), "word-counts")
     total, kinds, texts = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("h") == np.uint64(END).view(np.int64).item(), F.col("n"))), F.lit(0))).first()

@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from lexweave.llm.common import batches, text_blocks
+from lexweave.llm.common import batches, bounded, text_blocks
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -149,6 +149,13 @@ class Coder:
         ends = np.cumsum(n)
         return np.stack([ends - n, ends], axis=1)
 
+    def character_offsets(self, ids: np.ndarray) -> np.ndarray:
+        """(start, end) of each token in the characters of its text; of a character split over tokens each holds the whole."""
+        data = np.frombuffer(self.decode_bytes(ids), np.uint8)
+        number = np.concatenate([np.cumsum((data & 0xC0) != 0x80), [0]])  # up to each byte
+        spans = self.offsets(ids)
+        return np.stack([number[spans[:, 0]] - 1, number[spans[:, 1] - 1]], axis=1) if len(spans) else spans
+
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         """The bytes that the ids stand for: the byte table reversed."""
         get = self.tokens.__getitem__
@@ -172,7 +179,11 @@ def coder(path: str, pattern: str = "", special: bool = False) -> Coder:
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
-    """(id, ids array<int>, and with offsets, starts and ends array<int> in UTF-8 bytes) of each row's text."""
+    """(id, ids array<int>, and with offsets, starts and ends array<int> in UTF-8 bytes, char_starts and char_ends in characters) of each row's text.
+
+    Null texts count as empty, with no ids. Repeated rows are encoded each; an empty table gives an empty result; other columns
+    are not looked at.
+    """
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, pattern)
         for part in (b for p in parts for b in text_blocks(p, text_col)):
@@ -180,12 +191,13 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
             columns = [part.column(id_col), pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32()))]
             if offsets:
                 spans = [c.offsets(x).astype(np.int32) for x in found]
-                columns += [pa.array([s[:, k] for s in spans], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "ids", *["starts", "ends"][: 2 * offsets]])
+                chars = [c.character_offsets(x).astype(np.int32) for x in found]
+                columns += [pa.array([s[:, k] for s in own], pa.list_(pa.int32())) for own in (spans, chars) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "ids", *["starts", "ends", "char_starts", "char_ends"][: 4 * offsets]])
 
-    own = df.select(id_col, text_col)
+    own = bounded(df).select(id_col, text_col)
     kind = own.schema[id_col].dataType.simpleString()
-    return own.mapInArrow(run, f"id {kind}, ids array<int>" + ", starts array<int>, ends array<int>" * offsets)
+    return own.mapInArrow(run, f"id {kind}, ids array<int>" + ", starts array<int>, ends array<int>, char_starts array<int>, char_ends array<int>" * offsets)
 
 
 def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -218,7 +230,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
                 names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "lossless"],
             )
 
-    own = df.select(id_col, text_col)
+    own = bounded(df).select(id_col, text_col)
     return own.mapInArrow(run, f"id {own.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean")
 
 

@@ -1,7 +1,9 @@
 """Toxicity by compression distance with two zstandard dictionaries.
 
-The toxic dictionary holds what marks toxic text, then ordinary text; the ordinary dictionary holds the same ordinary text
-behind as many bytes that match nothing. Texts are coded before: each byte of a word is followed by a hash byte of the
+The toxic dictionary is made of toxic text's own words, those that ordinary text hardly has, then ordinary text; the ordinary
+dictionary holds the same ordinary text behind as many bytes that match nothing. Whole toxic passages in the toxic dictionary, or
+a dictionary that zstandard trains on toxic texts, were tried and find less (README): what tells toxic text is a word in twenty,
+and chance matches of all the other words, and near copies of whole passages, outweigh it. Texts are coded before: each byte of a word is followed by a hash byte of the
 word's beginning up to it, so that a match is a common beginning of words and saves enough to stand out in a few windows.
 Each window is compressed with both: what the toxic dictionary saves is the window's distance. A document's mean, largest and mean positive distance go through a logistic calibration.
 
@@ -10,7 +12,8 @@ other texts, counted once per preceding word (so that near copies of one text co
 occurrences go on alike. The model learns from at most SAMPLE labelled texts a class, those of smallest hashed id, none
 longer than LONGEST characters; every text is scored whole.
 
-Nulls count as empty; an empty text has distance zero. Without labels of both classes the score is the share of toxic
+Nulls count as empty; an empty text has distance zero. An empty table gives an empty result, very long texts are scored whole,
+window by window. Without labels of both classes the score is the share of toxic
 labels (0 without any). Several labels of one id: the largest counts. Repeated rows get equal scores.
 """
 
@@ -28,10 +31,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import batches, held_out, text_blocks
+from lexweave.llm.common import batches, bounded, held_out, text_blocks
 
 SAMPLE, LONGEST = 3000, 20_000
-ODDS, LEAST, ORDINARY, WINDOW, LEVEL, MATCH, SLACK = 20, 15, 16_000, 128, 9, 5, 3
+ODDS, ORDINARY, WINDOW, LEVEL, MATCH, SLACK = 20, 16_000, 128, 9, 5, 3
+#: Longest mark in bytes, with its space. A mark stands behind so many different words at least: a twentieth of the toxic texts, between these.
+MARK, LEAST = 41, (3, 15)
 FOLD, THRESHOLD = 3, 0.7
 
 _OTHER = re.compile(rb"[\x00-@\[-`{-\x7f]+")
@@ -91,8 +96,8 @@ def beginnings(texts: list[str]) -> Counter:
     for text in texts:
         before = b""
         for word in plain(text).split():
-            word = b" " + word[:40]
-            for n in range(4, len(word) + 1):
+            word = b" " + word
+            for n in range(4, min(len(word), MARK) + 1):
                 key = hash((before, word[:n]))
                 if key not in seen:
                     seen.add(key)
@@ -104,12 +109,13 @@ def beginnings(texts: list[str]) -> Counter:
 def marks(toxic: list[str], other: list[str]) -> list[bytes]:
     """What marks toxic text, the most frequent last (nearest to the window)."""
     own, rest = beginnings(toxic), beginnings(other)
+    least = min(max(len(toxic) // 20, LEAST[0]), LEAST[1])
     chosen: list[bytes] = []
     after: dict[bytes, list[bytes]] = {}
     for g in own:
         after.setdefault(g[:-1], []).append(g)
     rare = lambda g: own[g] / len(toxic) > ODDS * (rest[g] + 0.5) / len(other)
-    for g in sorted((g for g, n in own.items() if n >= LEAST and rare(g)), key=lambda g: (len(g), g)):
+    for g in sorted((g for g, n in own.items() if n >= least and rare(g)), key=lambda g: (len(g), g)):
         if any(g.startswith(c) or c.startswith(g) for c in chosen):
             continue
         while longer := [h for h in after.get(g, ()) if own[h] >= 0.9 * own[g]]:
@@ -206,9 +212,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs's columns, then score double and predicted int."""
+    """docs's columns, then score double and predicted int; columns of these two names in docs are replaced."""
     names, schema = docs.columns, docs.schema.simpleString().removeprefix("struct<").removesuffix(">")
-    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text_col).alias("text"))
+    wide = bounded(docs).select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text_col).alias("text"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = model.distances()
@@ -217,4 +223,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(model.score(x))], names=["row", "score"])
 
     out = wide.mapInArrow(run, f"row struct<{schema}>, score double")
-    return out.select(*[F.col(f"row.`{c}`") for c in names], "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    kept = [F.col(f"row.`{c}`") for c in names if c not in ("score", "predicted")]
+    return out.select(*kept, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
