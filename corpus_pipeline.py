@@ -16,8 +16,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that are boilerplate on their source; n_chars follows."""
-    cut = line_dedup.drop_boilerplate(docs).withColumn("n_chars", F.when(F.col("lines_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")))
+    """Documents without the lines that are boilerplate on their source; n_chars follows.
+
+    A document most of whose text its source repeats is a near copy, and is left whole for the next stage to find.
+    """
+    cut = line_dedup.drop_boilerplate(docs, whole_above=0.5).withColumn("n_chars", F.when(F.col("lines_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")))
     return cut.select(*docs.columns)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,26 @@ def batches(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+#: Rows that the JVM puts into one Arrow batch for a worker: it builds each whole, however long the texts are.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are small; a session that has chosen a size keeps it."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == "10000":
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df
+
+
+def returned() -> None:
+    """Give back what a worker no longer uses: it lives on between stages, and the allocators would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_blocks(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of a block hold about `most` bytes, or are one row: memory stays bounded for very long texts."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
@@ -46,8 +68,7 @@ def text_blocks(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iter
         total += n
     if start < batch.num_rows:
         yield batch.slice(start)
-    # what Arrow holds for reuse would stay with the worker
-    pa.default_memory_pool().release_unused()
+    returned()
 
 
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:

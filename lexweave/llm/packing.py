@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.llm.byte_bpe import coder
-from lexweave.llm.common import stored, text_blocks
+from lexweave.llm.common import bounded, stored, text_blocks
 
 #: Hashed vector's size, projected dimensions and bits of each on the curve: 3 x 16 bits fit a long.
 BUCKETS, DIMENSIONS, BITS = 256, 3, 16
@@ -84,7 +84,7 @@ def tokenised(df: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id",
                 names=["row", "id", "curve", "n", "ids"],
             )
 
-    own = df.select(F.monotonically_increasing_id().alias("row"), id_col, text_col)
+    own = bounded(df).select(F.monotonically_increasing_id().alias("row"), id_col, text_col)
     return own.mapInArrow(run, f"row long, id {own.schema[id_col].dataType.simpleString()}, curve long, n long, ids binary")
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import batches, components, dropped, stored, text_blocks
+from lexweave.llm.common import batches, bounded, components, dropped, stored, text_blocks
 
 SEED, SEGMENTS, CHAIN = 42, 4, 2
 #: Fingerprints under one key beyond which it is linked through midpoints.
@@ -60,7 +60,7 @@ def fingerprints(df: DataFrame, words: int = 3, id_col: str = "doc_id", text_col
             fp = np.packbits(np.array(bits, dtype=np.uint8).reshape(-1, 64), axis=1, bitorder="little").view("<i8").ravel()
             yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(fp, pa.int64())], names=["id", "fp"])
 
-    own = df.select(id_col, text_col)
+    own = bounded(df).select(id_col, text_col)
     return own.mapInArrow(run, f"id {own.schema[id_col].dataType.simpleString()}, fp long")
 
 
@@ -264,7 +264,7 @@ def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, id_c
     Rows of one id count as one document: what any of its rows is linked to; a null id is never linked and gets itself, null.
     An empty table gives an empty result. Very long texts are read in blocks; only their hashes are held.
     """
-    own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    own = bounded(df).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
     common, counts = common_shingles(own, words)
     mixers = np.random.default_rng(5).integers(0, 1 << 63, STARS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -367,7 +367,7 @@ def near_duplicates(df: DataFrame, words: int = 5, similarity: float = 0.8, id_c
     several = leads.groupBy("id").agg(F.min("k").alias("b"), F.count("*").alias("size")).where("size > 1")
     own_links = leads.join(several.select("id", "b"), "id").where("k <> b").select(F.col("k").alias("a"), "b")
     joined = stored(components(stars.union(rest).union(own_links), "groups"), "joined")
-    named = leads.join(joined, F.col("k") == F.col("node"), "left").groupBy("id").agg(F.min(F.coalesce("component", "k")).alias("component_id"))
+    named = leads.where("id is not null").join(joined, F.col("k") == F.col("node"), "left").groupBy("id").agg(F.min(F.coalesce("component", "k")).alias("component_id"))
     # a null id leads nothing and has no row here
     out = stored(named.union(own.where("id is null").select("id", F.col("id").alias("component_id")).distinct()), "near")
     for t in (fps, kinds, grouped, stars, rest, leads, joined):
