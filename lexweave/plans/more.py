@@ -390,7 +390,7 @@ WITH d AS (SELECT doc_id AS id, text || repeat('「啊！」', CAST(doc_id % 9 A
 s AS (SELECT *, CAST(least(20, floor(2 * (id % 9) * 1800 / greatest(1, length(regexp_replace(t, '[\\s\\x0b\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]', '', 'g'))))) + least(10, id % 9 + (length(text0) - length(replace(text0, '!?', ''))) / 2) AS INTEGER) AS dialogue FROM d JOIN (SELECT doc_id AS id, text AS text0 FROM documents) USING (id)),
 p AS (SELECT *, light0 + dialogue AS light, gs > 0 AND conf >= 60 AS sure FROM s),
 q AS (SELECT *, CASE WHEN sure THEN 'mystery' ELSE 'general' END AS genre, CASE WHEN light >= greatest(8, literary + 3) THEN 'light' WHEN literary >= 10 THEN 'literary' ELSE 'neutral' END AS tone FROM p),
-r AS (SELECT *, CAST(round_even((CASE WHEN sure THEN conf WHEN gs > 0 THEN 40 ELSE 0 END) * 0.65 + (CASE tone WHEN 'light' THEN least(100, light * 6) WHEN 'literary' THEN least(100, literary * 7) ELSE 50 END) * 0.35, 0) AS INTEGER) AS mixed FROM q)
+r AS (SELECT *, CAST(round_even((CASE WHEN sure THEN conf WHEN gs > 0 THEN 40 ELSE 0 END) * CAST(0.65 AS DOUBLE) + (CASE tone WHEN 'light' THEN least(100, light * 6) WHEN 'literary' THEN least(100, literary * 7) ELSE 50 END) * CAST(0.35 AS DOUBLE), 0) AS INTEGER) AS mixed FROM q)
 SELECT id, dialogue, CASE WHEN id % 5 = 0 THEN 'scifi' ELSE genre END AS genre, tone, CASE WHEN id % 5 = 0 THEN 100 WHEN genre = 'general' AND tone = 'neutral' THEN least(mixed, 50) ELSE mixed END AS confidence FROM r
 """)
 def q_style_tone(spark: SparkSession, sf_dir: str) -> DataFrame:
