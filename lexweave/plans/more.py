@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
 from lexweave.functions import titles
-from lexweave.operators import cache, consistency, enrich, glossary, quality, runs
+from lexweave.operators import book, cache, consistency, enrich, glossary, quality, runs
 from lexweave.plans import fixtures as X
 from lexweave.plans.catalogue import _TERMS, _in, _strip, _terms, query, table
 from lexweave.plans.fixtures import Fixture
@@ -417,3 +417,53 @@ def q_estimate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     plan = H.text_plan(H.blocks(pages), pages.select(F.col("page_id").alias("id"), F.lit(0).alias("ord"), F.lit("title").alias("title")))
     return plan.where("mode = 'toc'").groupBy("id").agg(F.count("*").alias("pages"))
+
+
+# --- books --------------------------------------------------------------------------------------------------------------
+
+BOOK = Fixture(
+    "id int, seq int, mode string, tag string, text string",
+    (1, 0, "plain", "h1", "第一章  夜"), (1, 1, "plain", "p", "本文"), (1, 2, "plain", "p", "本文"), (1, 3, "single_anchor", "p", "注"), (1, 4, "plain", "h4", "著者"), (1, 5, "plain", "p", "なし"), (1, 6, "toc", "", "第一章 夜"), (1, 7, "toc", "", "著者"), (2, 0, "plain", "p", "本文"),
+)
+RESULTS = Fixture(
+    "id int, seq int, text string, translation string",
+    (1, 0, "第一章  夜", "标题：第一章 夜晚"), (1, 1, "本文", "正文一"), (1, 2, "本文", ""), (1, 3, "注", "抱歉，无法翻译该内容。"), (1, 4, "著者", "作者等内容"), (1, 6, "第一章 夜", "第一章 夜里"), (1, 7, "著者", None),
+)
+
+
+@query("""SELECT * FROM (VALUES (1, 0, '第一章 夜晚'), (1, 1, '正文一'), (1, 2, '正文一'), (1, 3, '注'), (1, 4, '作者'), (1, 5, NULL), (1, 6, '第一章 夜晚'), (1, 7, '作者'), (2, 0, NULL)) AS v(id, seq, translation)""")
+def q_write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Translations as they go into a book (experimental/qml_v4/backend/book_translation_service.py:130-303 of the survey's sources)."""
+    return book.written_back(BOOK.df(spark), RESULTS.df(spark)).select("id", "seq", "translation")
+
+
+@query("SELECT * FROM (VALUES (1, 0, 'navpoint-1', '第一章 夜晚'), (1, 1, 'x', '作者'), (1, 2, 'navpoint-2', 'other')) AS v(id, ord, uid, title)")
+def q_toc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents with their titles translated and missing ids numbered."""
+    toc = spark.createDataFrame([(1, 0, None, "第一章 夜"), (1, 1, "x", "著者"), (1, 2, None, "other")], "id int, ord int, uid string, title string")
+    return book.renamed(toc, book.title_map(book.written_back(BOOK.df(spark), RESULTS.df(spark))))
+
+
+@query("WITH b AS (SELECT doc_id AS id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq, unnest(string_split(text, chr(10))) AS text FROM documents WHERE text IS NOT NULL), p AS (SELECT id, seq, CASE WHEN seq % 3 = 0 THEN '' ELSE 'P' || seq END AS t FROM b WHERE seq % 2 = 0), w AS (SELECT id, text, arg_min('T' || seq, seq) AS t FROM b WHERE seq % 5 = 0 GROUP BY id, text) SELECT id, CAST(seq AS INTEGER) AS seq, coalesce(nullif(p.t, ''), w.t) AS translation FROM b LEFT JOIN p USING (id, seq) LEFT JOIN w USING (id, text)")
+def q_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J6 over all lines of all documents: by place, else by text."""
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n")).alias("seq", "text"))
+    s = F.col("seq")
+    placed = lines.where("seq % 2 = 0").select("id", "seq", F.lit(None).cast("string").alias("text"), F.when(s % 3 == 0, "").otherwise(F.concat(F.lit("P"), s.cast("string"))).alias("translation"))
+    spoken = lines.where("seq % 5 = 0").groupBy("id", "text").agg(F.min("seq").alias("m")).select("id", F.lit(None).cast("int").alias("seq"), "text", F.concat(F.lit("T"), F.col("m").cast("string")).alias("translation"))
+    return book.aligned(lines, placed.unionByName(spoken)).select("id", "seq", "translation")
+
+
+@query("SELECT * FROM (VALUES ('a', 'many_failed,divergent_terms'), ('b', 'some_failed,residue'), ('c', ''), ('d', 'nothing_translated')) AS v(task_id, warnings)")
+def q_self_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warnings of runs (their names are this library's own)."""
+    own = spark.createDataFrame([("a", 100, 5, 0, 1), ("b", 100, 1, 3, 0), ("c", 10, 0, 0, 0), ("d", 0, 0, 0, 0)], "task_id string, total int, failed int, residue int, divergent int")
+    return book.self_check(own).select("task_id", F.array_join("warnings", ",").alias("warnings"))
+
+
+@query("SELECT 'balanced' AS policy, CAST(1 AS BIGINT) AS high, CAST(3 AS BIGINT) AS risks")
+def q_residue_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the known cases as JSON, read back."""
+    found = quality.scan(quality.classified(CASES.df(spark).where("k in (1, 2, 3)").select("k", "text"), "text"), "k", "text")
+    report = book.residue_report(found, "balanced").select(F.from_json("report", "policy string, legend string, risks array<struct<risk:string,n:long>>").alias("r"))
+    return report.select("r.policy", F.get(F.filter("r.risks", lambda x: x["risk"] == "high"), F.lit(0))["n"].alias("high"), F.size("r.risks").cast("long").alias("risks"))

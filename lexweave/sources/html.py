@@ -212,13 +212,13 @@ def blocks(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Da
 
 
 def text_plan(found: DataFrame, titles: DataFrame | None = None) -> DataFrame:
-    """(id, seq, mode, text): blocks in order (single_anchor where they have one, else plain), then titles of contents (id, ord, title), unfiltered."""
-    own = found.select("id", F.struct(F.lit(0).alias("k"), F.col("pos").alias("p")).alias("o"), F.when(F.col("anchor") != "", "single_anchor").otherwise("plain").alias("mode"), "text")
+    """(id, seq, mode, tag, text): blocks in order (single_anchor where they have one, else plain), then titles of contents (id, ord, title), unfiltered."""
+    own = found.select("id", F.struct(F.lit(0).alias("k"), F.col("pos").alias("p")).alias("o"), F.when(F.col("anchor") != "", "single_anchor").otherwise("plain").alias("mode"), "tag", "text")
     if titles is not None:
-        own = own.unionByName(titles.select("id", F.struct(F.lit(1).alias("k"), F.col("ord").cast("int").alias("p")).alias("o"), F.lit("toc").alias("mode"), F.col("title").alias("text")))
+        own = own.unionByName(titles.select("id", F.struct(F.lit(1).alias("k"), F.col("ord").cast("int").alias("p")).alias("o"), F.lit("toc").alias("mode"), F.lit("").alias("tag"), F.col("title").alias("text")))
     from pyspark.sql import Window
 
-    return own.withColumn("seq", F.row_number().over(Window.partitionBy("id").orderBy("o")) - 1).select("id", "seq", "mode", "text")
+    return own.withColumn("seq", F.row_number().over(Window.partitionBy("id").orderBy("o")) - 1).select("id", "seq", "mode", "tag", "text")
 
 
 def estimate(found: DataFrame, titles: DataFrame | None = None) -> DataFrame:
