@@ -1,16 +1,18 @@
-"""EPUB books as rows: bibliography and documents, through Spark's binary files; broken archives become rows with an error."""
+"""EPUB books as rows: bibliography, documents and contents, through Spark's binary files; broken archives become rows with an error. Translated books are written the same way, one a task."""
 
 from __future__ import annotations
 
 import io
 import posixpath
 import urllib.parse
+import uuid
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCHEMA = "path string, title string, author string, publisher string, language string, doc_idx int, file_name string, html string, missing array<string>, error string"
 _DC = "{http://purl.org/dc/elements/1.1/}"
@@ -52,3 +54,139 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 yield out[[c.split()[0] for c in SCHEMA.split(", ")]].astype({"doc_idx": "Int32"})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCHEMA)
+
+
+_OPF, _NCX, _DIRECTION = "http://www.idpf.org/2007/opf", "http://www.daisy.org/z3986/2005/ncx/", "page-progression-direction"
+TOC = "path string, ord int, depth int, uid string, title string, href string"
+
+
+def _package(book: zipfile.ZipFile) -> tuple[str, ET.Element]:
+    root = ET.fromstring(book.read("META-INF/container.xml"))
+    path = next(e.get("full-path") for e in root.iter() if e.tag.endswith("rootfile"))
+    return path, ET.fromstring(book.read(path))
+
+
+def _contents(book: zipfile.ZipFile) -> tuple[str, ET.Element] | None:
+    """The table of contents in its own file, if the book has one."""
+    path, package = _package(book)
+    names = set(book.namelist())
+    hrefs = [e.get("href", "") for e in package.iter() if e.tag.endswith("}item") and e.get("media-type") == "application/x-dtbncx+xml"]
+    found = next((n for h in hrefs if (n := posixpath.normpath(posixpath.join(posixpath.dirname(path), urllib.parse.unquote(h)))) in names), None)
+    return (found, ET.fromstring(book.read(found))) if found else None
+
+
+def _points(root: ET.Element) -> Iterator[tuple[int, ET.Element]]:
+    """Entries of a table of contents, depth first, with their depths; a stack, since they may nest deeply."""
+    stack = [(0, e) for e in reversed(root.findall(f".//{{{_NCX}}}navMap/{{{_NCX}}}navPoint"))]
+    while stack:
+        depth, e = stack.pop()
+        yield depth, e
+        stack += [(depth + 1, c) for c in reversed(e.findall(f"{{{_NCX}}}navPoint"))]
+
+
+def _label(point: ET.Element) -> ET.Element | None:
+    return point.find(f"{{{_NCX}}}navLabel/{{{_NCX}}}text")
+
+
+def contents(spark: SparkSession, path: str) -> DataFrame:
+    """(path, ord, depth, uid, title, href) of all books' entries of contents, depth first; blank titles are left out."""
+    def rows(p: str, data: bytes) -> Iterator[tuple]:
+        try:
+            found = _contents(zipfile.ZipFile(io.BytesIO(data)))
+        except (KeyError, ValueError, OSError, zipfile.BadZipFile, ET.ParseError, StopIteration):
+            return
+        for k, (depth, e) in enumerate(_points(found[1]) if found else ()):
+            label, target = _label(e), e.find(f"{{{_NCX}}}content")
+            title = ((label.text if label is not None else "") or "").strip()
+            if title:
+                yield p, k, depth, e.get("id"), title, "" if target is None else target.get("src", "")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame([r for p, data in part.itertuples(index=False) for r in rows(p, data)], columns=[c.split()[0] for c in TOC.split(", ")])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, TOC)
+
+
+def rewritten(data: bytes, documents: dict[str, str], titles: dict[str, str], title: str | None = None, direction: str | None = None, language: str | None = None) -> bytes:
+    """An archive with documents and titles of contents replaced, its own title, reading direction and language set, entries without ids numbered, and manifest items without a file left out with what refers to them."""
+    book = zipfile.ZipFile(io.BytesIO(data))
+    names = set(book.namelist())
+    for prefix, uri in (("", _OPF), ("dc", _DC.strip("{}")), ("opf", _OPF)):
+        ET.register_namespace(prefix, uri)
+    path, package = _package(book)
+    top = posixpath.dirname(path)
+    gone = set()
+    for manifest in [e for e in package.iter() if e.tag.endswith("}manifest")]:
+        for item in list(manifest):
+            forms = {posixpath.normpath(posixpath.join(top, h)) for h in (item.get("href", ""), urllib.parse.unquote(item.get("href", "")))}
+            if not forms & names:
+                gone.add(item.get("id"))
+                manifest.remove(item)
+    for spine in [e for e in package.iter() if e.tag.endswith("}spine")]:
+        for ref in [r for r in spine if r.get("idref") in gone]:
+            spine.remove(ref)
+        if direction:
+            spine.set(_DIRECTION, direction)
+    for tag, value in (("title", title), ("language", language)):
+        own = list(package.iter(f"{_DC}{tag}"))
+        if value and own:
+            own[0].text = value
+            for metadata in [e for e in package.iter() if e.tag.endswith("}metadata")]:
+                for other in own[1:]:
+                    if other in list(metadata):
+                        metadata.remove(other)
+    changed = {path: ET.tostring(package, encoding="utf-8", xml_declaration=True), **{n: t.encode() for n, t in documents.items()}}
+    found = _contents(book)
+    if found:
+        ET.register_namespace("", _NCX)
+        number = 0
+        for _, e in _points(found[1]):
+            if not e.get("id"):
+                number += 1
+                e.set("id", f"navpoint-{number}")
+            label = _label(e)
+            if label is not None and (label.text or "").strip() in titles:
+                label.text = titles[(label.text or "").strip()]
+        changed[found[0]] = ET.tostring(found[1], encoding="utf-8", xml_declaration=True)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        # the type comes first, and as it is
+        z.writestr(zipfile.ZipInfo("mimetype"), "application/epub+zip", zipfile.ZIP_STORED)
+        for n in book.namelist():
+            if n != "mimetype":
+                z.writestr(n, changed.get(n, book.read(n)))
+    return out.getvalue()
+
+
+def write(originals: DataFrame, documents: DataFrame, titles: DataFrame, books: DataFrame, folder: str) -> DataFrame:
+    """Write translated books and return (path, written, error).
+
+    originals: (path, content binary); documents: (path, file_name, html) that changed; titles: (path, title, translation) of
+    contents; books: (path, name, title, direction, language). A book is rewritten by one task, under a name of its own that is
+    moved into place when complete, so a lost or repeated task leaves no half book.
+    """
+    docs = documents.groupBy("path").agg(F.collect_list(F.struct("file_name", "html")).alias("docs"))
+    names = titles.groupBy("path").agg(F.collect_list(F.struct("title", "translation")).alias("names"))
+    own = originals.select("path", "content").join(books, "path").join(docs, "path", "left").join(names, "path", "left").select("path", "name", "title", "direction", "language", "docs", "names", "content")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(folder)
+        store.create_dir(top, recursive=True)
+        for part in parts:
+            rows = []
+            for p, name, title, direction, language, docs, names, content in part.itertuples(index=False):
+                try:
+                    data = rewritten(content, {d["file_name"]: d["html"] for d in docs if d["html"]} if docs is not None else {}, {n["title"]: n["translation"] for n in names} if names is not None else {}, title, direction, language)
+                    own_name = f"{top}/.{uuid.uuid4().hex}.part"
+                    with store.open_output_stream(own_name, compression=None) as f:
+                        f.write(data)
+                    store.move(own_name, f"{top}/{name}")
+                    rows.append((p, f"{folder}/{name}", None))
+                except (KeyError, ValueError, OSError, zipfile.BadZipFile, ET.ParseError, StopIteration) as e:
+                    rows.append((p, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "written", "error"])
+
+    return own.mapInPandas(run, "path string, written string, error string")

@@ -177,6 +177,32 @@ def test_epub(spark, tmp_path):
     assert sum(r.error is not None for r in rows) == 1
 
 
+def test_epub_is_written_and_read_back(spark, tmp_path):
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("META-INF/container.xml", '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="O/p.opf"/></rootfiles></container>')
+        z.writestr("O/p.opf", '<package xmlns="http://www.idpf.org/2007/opf" xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title>本</dc:title><dc:title>old</dc:title><dc:language>ja</dc:language></metadata><manifest><item id="a" href="a.html" media-type="text/html"/><item id="n" href="toc.ncx" media-type="application/x-dtbncx+xml"/><item id="x" href="gone.xhtml" media-type="application/xhtml+xml"/></manifest><spine><itemref idref="a"/><itemref idref="x"/></spine></package>')
+        z.writestr("O/toc.ncx", '<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/"><navMap><navPoint id="k"><navLabel><text> 第一章 </text></navLabel><content src="a.html"/><navPoint><navLabel><text>節</text></navLabel><content src="a.html#s"/></navPoint></navPoint></navMap></ncx>')
+        z.writestr("O/a.html", "<p>あ</p>")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.epub").write_bytes(data.getvalue())
+    (tmp_path / "in" / "two.epub").write_bytes(b"broken")
+    files = spark.read.format("binaryFile").load(str(tmp_path / "in")).select("path", "content")
+    path = next(r.path for r in files.select("path").collect() if r.path.endswith("one.epub"))
+    assert [(r.ord, r.depth, r.uid, r.title, r.href) for r in epub.contents(spark, str(tmp_path / "in")).orderBy("ord").collect()] == [(0, 0, "k", "第一章", "a.html"), (1, 1, None, "節", "a.html#s")]
+    docs = spark.createDataFrame([(path, "O/a.html", "<p>一</p>")], "path string, file_name string, html string")
+    names = spark.createDataFrame([(path, "第一章", "章一")], "path string, title string, translation string")
+    books = files.select("path").withColumn("name", F.regexp_replace(F.substring_index("path", "/", -1), "epub$", "zh.epub")).withColumn("title", F.lit("书")).withColumn("direction", F.lit("ltr")).withColumn("language", F.lit("zh"))
+    out = {r.path: r for r in epub.write(files, docs, names, books, f"file://{tmp_path}/out").collect()}
+    assert out[path].error is None and sum(r.error is not None for r in out.values()) == 1
+    assert sorted(f.name for f in (tmp_path / "out").iterdir()) == ["one.zh.epub"]
+    back = epub.read(spark, str(tmp_path / "out")).collect()
+    assert [(r.title, r.language, r.html, list(r.missing)) for r in back] == [("书", "zh", "<p>一</p>", [])]
+    assert [(r.uid, r.title) for r in epub.contents(spark, str(tmp_path / "out")).orderBy("ord").collect()] == [("k", "章一"), ("navpoint-1", "節")]
+    with zipfile.ZipFile(tmp_path / "out" / "one.zh.epub") as z:
+        assert z.namelist()[0] == "mimetype" and b'page-progression-direction="ltr"' in z.read("O/p.opf")
+
+
 def test_latency_control(spark):
     slow = spark.createDataFrame([("k", i, 100.0) for i in range(16)] + [("q", i, 1.0) for i in range(40)], "key string, ord int, elapsed_s double")
     got = [r for r in runs.latency_control(slow, "key", "ord", 4, 6, 50.0).orderBy("key", "ord").collect()]
