@@ -100,3 +100,51 @@ def without_texts(entries: DataFrame, texts: DataFrame, text_col: str = "text")
     keys = texts.select(F.explode(F.array(c, F.sha2(c, 256), F.sha2(strip(c), 256), F.md5(c))).alias("gone")).distinct()
     own = entries.withColumn("_source", F.coalesce("source_hash", "cache_key"))
     return own.join(keys, F.col("_source") == F.col("gone"), "left_anti").drop("_source")
+
+
+def got(entries: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (cache_type, cache_key) with translated_text where the cache holds it; the keys found are what with_usage() counts."""
+    return asked.join(entries.select("cache_type", "cache_key", "translated_text"), ["cache_type", "cache_key"], "left")
+
+
+def without_keys(entries: DataFrame, keys: DataFrame) -> DataFrame:
+    """Without the entries of the keys (cache_type, cache_key), and of those that have one of the source hashes (source_hash) where that column is given."""
+    out = entries.join(keys.where("cache_key is not null").select("cache_type", "cache_key").distinct(), ["cache_type", "cache_key"], "left_anti")
+    if "source_hash" in keys.columns:
+        out = out.join(keys.where("source_hash is not null").select("source_hash").distinct(), "source_hash", "left_anti").select(*entries.columns)
+    return out
+
+
+def cleared(entries: DataFrame, kind: str = "") -> DataFrame:
+    """Without all entries, or all of a type."""
+    return entries.where(F.col("cache_type") != kind) if kind else entries.limit(0)
+
+
+def with_pending(base: DataFrame, pending: DataFrame, order: str) -> DataFrame:
+    """Entries as a reader sees them while writes wait: the last pending write of a key, which may be a deletion (deleted), else the stored one."""
+    last = pending.groupBy("cache_type", "cache_key").agg(F.max_by(F.struct("translated_text", "deleted"), order).alias("p"))
+    met = base.select("cache_type", "cache_key", "translated_text").join(last, ["cache_type", "cache_key"], "full_outer")
+    return met.where(~F.coalesce("p.deleted", F.lit(False))).select("cache_type", "cache_key", F.when(F.col("p").isNotNull(), F.col("p.translated_text")).otherwise(F.col("translated_text")).alias("translated_text"))
+
+
+def shown(asked: DataFrame, entries: DataFrame) -> DataFrame:
+    """asked (source_hash) with what a user sees: the manual entry, else the text's, else the model's latest."""
+    rank = F.when(F.col("cache_type") == "manual", 0).when(F.col("cache_type") == "text", 1).otherwise(2)
+    best = entries.groupBy("source_hash").agg(F.min_by(F.struct("cache_type", "translated_text"), F.struct(rank.alias("r"), (-F.coalesce("updated_at", F.lit(0))).alias("u"), "cache_key")).alias("b"))
+    return asked.join(best, "source_hash", "left").select("source_hash", F.col("b.cache_type").alias("cache_type"), F.col("b.translated_text").alias("translated_text"))
+
+
+def unseen_files(files: DataFrame, known: DataFrame) -> DataFrame:
+    """files (path, length, modificationTime), as Spark's binary files have them, that no earlier migration (path, fingerprint) took in this state, with their fingerprints."""
+    own = files.withColumn("fingerprint", F.concat_ws(":", F.col("length").cast("string"), F.unix_micros(F.col("modificationTime")).cast("string")))
+    return own.join(known.select("path", "fingerprint"), ["path", "fingerprint"], "left_anti")
+
+
+def ruled(texts: DataFrame, rules: DataFrame) -> DataFrame:
+    """texts (id, text) with the answer of a fixed phrase: of the stripped text, else of the text without corner quotes around it, which then go round the answer too; null without one."""
+    own = texts.withColumn("_s", strip(text(F.col("text")))).withColumn("_bare", F.regexp_replace("_s", "^[「『]+|[」』]+$", ""))
+    r = rules.select(F.col("phrase"), F.col("answer"))
+    one = r.select(F.col("phrase").alias("_s"), F.col("answer").alias("_whole"))
+    two = r.select(F.col("phrase").alias("_bare"), F.col("answer").alias("_inner"))
+    met = own.join(one, "_s", "left").join(two, "_bare", "left")
+    return met.select("id", "text", F.coalesce("_whole", "_inner").alias("answer"))

@@ -467,3 +467,68 @@ def q_residue_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.scan(quality.classified(CASES.df(spark).where("k in (1, 2, 3)").select("k", "text"), "text"), "k", "text")
     report = book.residue_report(found, "balanced").select(F.from_json("report", "policy string, legend string, risks array<struct<risk:string,n:long>>").alias("r"))
     return report.select("r.policy", F.get(F.filter("r.risks", lambda x: x["risk"] == "high"), F.lit(0))["n"].alias("high"), F.size("r.risks").cast("long").alias("risks"))
+
+
+# --- cache store --------------------------------------------------------------------------------------------------------
+
+_ENTRIES = "(SELECT CASE doc_id % 3 WHEN 0 THEN 'manual' WHEN 1 THEN 'text' ELSE 'model' END AS cache_type, 'k' || doc_id AS cache_key, sha256(text) AS source_hash, lang AS translated_text, doc_id AS updated_at FROM documents WHERE text IS NOT NULL)"
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    kind = F.when(i % 3 == 0, "manual").when(i % 3 == 1, "text").otherwise("model")
+    return table(spark, sf_dir, "documents").where("text is not null").select(kind.alias("cache_type"), F.concat(F.lit("k"), i.cast("string")).alias("cache_key"), F.sha2("text", 256).alias("source_hash"), F.col("lang").alias("translated_text"), i.alias("updated_at"))
+
+
+@query(f"SELECT cache_type, cache_key, source_hash, translated_text, updated_at FROM {_ENTRIES} WHERE cache_type <> 'text' AND updated_at % 7 <> 0 AND source_hash NOT IN (SELECT source_hash FROM {_ENTRIES} WHERE updated_at % 50 = 1)")
+def q_cache_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries left after a type, some keys and some sources went."""
+    own = _entries(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    keys = own.where("updated_at % 7 = 0").select("cache_type", "cache_key", none.alias("source_hash")).unionByName(own.where("updated_at % 50 = 1").select("cache_type", none.alias("cache_key"), "source_hash"))
+    return cache.without_keys(cache.cleared(own, "text"), keys)
+
+
+@query(f"SELECT cache_type, cache_key, CASE WHEN updated_at % 4 = 0 THEN 'new' ELSE translated_text END AS translated_text FROM {_ENTRIES} WHERE updated_at % 4 <> 1")
+def q_cache_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read while writes and deletions wait."""
+    own = _entries(spark, sf_dir)
+    n = F.col("updated_at") % 4
+    first = own.where(n < 2).select("cache_type", "cache_key", F.lit("old").alias("translated_text"), F.lit(False).alias("deleted"), F.lit(0).alias("o"))
+    then = own.where(n < 2).select("cache_type", "cache_key", F.when(n == 0, "new").alias("translated_text"), (n == 1).alias("deleted"), F.lit(1).alias("o"))
+    seen = cache.with_pending(own, first.unionByName(then), "o")
+    return cache.got(seen, seen.select("cache_type", "cache_key"))
+
+
+@query(f"SELECT source_hash, cache_type, translated_text FROM {_ENTRIES} QUALIFY row_number() OVER (PARTITION BY source_hash ORDER BY CASE cache_type WHEN 'manual' THEN 0 WHEN 'text' THEN 1 ELSE 2 END, updated_at DESC, cache_key) = 1")
+def q_cache_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a user sees of each source."""
+    own = _entries(spark, sf_dir)
+    return cache.shown(own.select("source_hash").distinct(), own)
+
+
+@query("SELECT * FROM (VALUES (1, 'A'), (2, 'A'), (3, NULL), (4, 'whole'), (5, NULL)) AS v(id, answer)")
+def q_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fixed phrases, also inside corner quotes (translator.py:5058-5068 of the survey's sources)."""
+    texts = spark.createDataFrame([(1, " はい "), (2, "「はい」"), (3, "はい。"), (4, "「いいえ」"), (5, None)], "id int, text string")
+    return cache.ruled(texts, spark.createDataFrame([("はい", "A"), ("「いいえ」", "whole"), ("いいえ", "inner")], "phrase string, answer string")).select("id", "answer")
+
+
+@query("SELECT conv_id * 1000 + turn AS k, length(text) <= 30 AND regexp_matches(text, '[\\x{3040}-\\x{30ff}]') AND turn % 2 = 0 AS cached FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'え？' ELSE text END AS text FROM conversations)")
+def q_context_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5: texts that are cached within their neighbours only."""
+    own = table(spark, sf_dir, "conversations").withColumn("text", F.when(F.col("turn") % 3 == 0, "え？").otherwise(F.col("text")))
+    return own.select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), T.caches_in_context(F.col("text"), F.col("turn") % 2 == 0, F.lit(False)).alias("cached"))
+
+
+@query("WITH f AS (SELECT doc_id AS k, doc_id AS o, unnest(list_distinct([lang, source])) AS frag FROM documents), m AS (SELECT frag, min(o) AS first FROM f GROUP BY frag) SELECT k, bool_or(o > first) AS repeated FROM f JOIN m USING (frag) GROUP BY k")
+def q_repeated_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments that an earlier answer had too; languages and sources of documents stand for fragments."""
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("doc_id").alias("o"), F.array_distinct(F.array("lang", "source")).alias("fragments"))
+    return enrich.repeated_residue(own, "o").select(F.col("key").alias("k"), "repeated")
+
+
+@query(f"SELECT category, src, dst, info, source, policy, aliases FROM (SELECT category, original AS src, translation AS dst, info, source, policy, coalesce(array_to_string(aliases, '、'), '') AS aliases FROM {MORE_TERMS.sql})")
+def q_glossary_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A glossary as its CSV's columns."""
+    return glossary.csv_rows(MORE_TERMS.df(spark))
