@@ -10,7 +10,10 @@ from lexweave.llm.common import stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that compression distance doesn't call toxic, learned from the labels outside the held-out third."""
+    """Documents that compression distance doesn't call toxic, learned from the labels outside the held-out third.
+
+    Null and empty texts are not toxic; repeated rows share their verdict; without labels none is dropped; an empty table stays empty.
+    """
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
 
@@ -18,14 +21,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that are boilerplate on their source; n_chars follows.
 
-    A document most of whose text its source repeats is a near copy, and is left whole for the next stage to find.
+    A document most of whose text its source repeats is a near copy, and is left whole for the next stage to find. Null texts stay
+    null; null sources are one source; repeated rows are pages each. Columns of any other name pass through.
     """
     cut = line_dedup.drop_boilerplate(docs, whole_above=0.5).withColumn("n_chars", F.when(F.col("lines_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")))
     return cut.select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8; the smallest id stays."""
+    """One document of each group of near copies: five-word shingles, similarity 0.8; the smallest id stays.
+
+    Null and empty texts are copies of each other; rows of one id go or stay together; rows with a null id all stay.
+    """
     groups = stored(simhash.near_duplicates(docs), "near-copies")
     gone = groups.where("id <> component_id").select(F.col("id").alias("doc_id"))
     # a merge join at every size: the ids that go grow with the documents
@@ -33,7 +40,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 1024 tokens, in the order of the Hilbert curve."""
+    """Pieces of sequences of 1024 tokens, in the order of the Hilbert curve; a null or empty text is its end id."""
     import public_tokenizers as P
 
     return packing.pack(docs, P.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")

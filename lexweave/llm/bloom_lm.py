@@ -10,7 +10,9 @@ to them. The base score uses exact word counts: those of the at most FREQUENT mo
 and what else a document holds is joined with the counts.
 
 A text's tokens are its words, lower-cased in A-Z and cut at 0x20 and 0x09-0x0D, then one end. Null and empty texts have
-the end only. Without training rows N and V are 0 and all counts too.
+the end only. Without training rows N and V are 0 and all counts too. Repeated rows count and are scored each; an empty table
+gives an empty result; long texts are hashed in blocks of texts, one text at a time where it is longer than a block. Other columns
+are not looked at.
 """
 
 from __future__ import annotations

@@ -4,7 +4,8 @@ Aho-Corasick finds the magic bytes of all known formats in one pass over the byt
 follows its structure and tells the length; only what validates counts. The item at offset 0 gives the true type; validated
 items further in are carved as embedded media.
 
-Nulls are empty bytes. Empty or unknown bytes have type application/octet-stream and no items.
+Nulls are empty bytes. Empty or unknown bytes have type application/octet-stream and no items. Repeated rows are stored and
+read each, an empty table gives an empty one; very long texts are coded one at a time. Other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ an end id, form one stream in this order, cut every `length` tokens. Only the la
 The order is made on narrow rows (id, curve number, tokens) by a range partitioning; ranges learn their place in the
 stream from the totals of the ranges before them, one row per partition. Ids are joined to their places afterwards.
 
-Null and empty texts are documents of one token, the end id. A repeated id is told apart by its place of reading.
+Null and empty texts are documents of one token, the end id. An empty table has no sequences; a very long text has many pieces.
+Other columns are not looked at. A repeated id is told apart by its place of reading.
 """
 
 from __future__ import annotations

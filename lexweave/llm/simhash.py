@@ -9,7 +9,9 @@ Equal fingerprints are one row throughout. A key that very many fingerprints sha
 such a key is instead linked through the points within half the distance of it (two fingerprints at most two bits apart
 share a point at most one bit from each), which is linear in the group and loses no link.
 
-Null texts count as empty; a text without words has fingerprint zero; fewer words than a shingle make one shingle.
+Null texts count as empty; a text without words has fingerprint zero; fewer words than a shingle make one shingle. Repeated rows
+have one fingerprint and one group; an empty table gives an empty result; very long texts are hashed in parts. Other columns are
+not looked at.
 """
 
 from __future__ import annotations
