@@ -324,7 +324,12 @@ def q_glossary_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glossary.selected(found, 30)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE t AS (SELECT *, row_number() OVER (ORDER BY length(original) DESC, original) AS k FROM {_TERMS} WHERE original <> translation),
+s AS (SELECT doc_id, text, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS n FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, replace(s.text, t.original, t.translation), t.k, CAST((length(s.text) - length(replace(s.text, t.original, ''))) / length(t.original) AS BIGINT) FROM s JOIN t ON t.k = s.k + 1)
+SELECT t.original AS match, t.translation, CAST(sum(n) AS BIGINT) AS n, count(*) AS texts FROM s JOIN t USING (k) WHERE n > 0 GROUP BY ALL
+""")
 def q_term_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms replaced in all documents, and how often."""
     own = _terms(spark, sf_dir).select(F.lit("Item").alias("category"), F.lit(0).alias("ord"), "original", "translation", F.lit("").alias("policy"), F.array().cast("array<string>").alias("aliases"))
@@ -510,7 +515,19 @@ def q_rate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "requests", "window_tokens", F.round("wait", 3).alias("wait"), F.round("gap", 3).alias("gap"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT event_type AS key, event_id AS ord, greatest(0.001, abs(value)) AS x, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS place FROM events),
+s AS (
+  SELECT key, CAST(0 AS BIGINT) AS ord, CAST(0 AS BIGINT) AS place, CAST([] AS DOUBLE[]) AS held, 4 AS w, 6 AS b, '' AS action FROM (SELECT DISTINCT key FROM e)
+  UNION ALL
+  SELECT key, ord, place, CASE WHEN action = 'none' THEN ring ELSE [] END, w + CASE action WHEN 'down' THEN CASE WHEN b <= 1 THEN -1 ELSE 0 END WHEN 'up' THEN CASE WHEN b >= 6 THEN 1 ELSE 0 END ELSE 0 END,
+         b + CASE action WHEN 'down' THEN CASE WHEN b > 1 THEN -1 ELSE 0 END WHEN 'up' THEN CASE WHEN b < 6 THEN 1 ELSE 0 END ELSE 0 END, action
+  FROM (SELECT *, CASE WHEN n >= 8 AND (floor(total / n * 1000) >= 50000 OR slow >= 0.5 * n) AND (b > 1 OR w > 1) THEN 'down' WHEN n >= 16 AND floor(total / n * 1000) <= 30000 AND slow = 0 AND (b < 6 OR w < 4) THEN 'up' ELSE 'none' END AS action
+        FROM (SELECT *, len(ring) AS n, list_sum(ring) AS total, len(list_filter(ring, lambda y: y >= 50)) AS slow
+              FROM (SELECT s.key, e.ord, e.place, s.w, s.b, list_slice(list_append(s.held, e.x), -24, -1) AS ring FROM s JOIN e ON e.key = s.key AND e.place = s.place + 1)))
+)
+SELECT key, ord, action, w AS workers, b AS batch FROM s WHERE place > 0
+""")
 def q_latency_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST2, A14: what the controller does over events, their values as seconds."""
     e = table(spark, sf_dir, "events").select("event_type", "event_id", F.abs("value").alias("elapsed_s"))
