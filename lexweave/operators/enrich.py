@@ -213,3 +213,10 @@ def csv_glossary(rows: DataFrame) -> DataFrame:
         strip(text(pick("category", "type"))).alias("category"), F.monotonically_increasing_id().alias("ord"), pick("original", "src", "source_text").alias("original"), none.alias("src"),
         pick("translation", "dst", "target").alias("translation"), none.alias("dst"), pick("policy", "enforcement").alias("policy"), pick("aliases", "alias", "variants").alias("aliases"),
     )
+
+
+def csv_statistics(raw: DataFrame) -> DataFrame:
+    """(accepted, skipped) of csv_glossary()'s rows: the first of each source with a translation is taken."""
+    own = raw.withColumn("o", strip(text(F.col("original")))).withColumn("good", (F.col("o") != "") & (strip(text(F.col("translation"))) != ""))
+    taken = own.where("good").agg(F.count_distinct("o").alias("accepted"))
+    return own.agg(F.count("*").alias("every")).join(taken).select("accepted", (F.col("every") - F.col("accepted")).alias("skipped"))

@@ -340,3 +340,29 @@ def aligned(replies: DataFrame) -> DataFrame:
     last = own.groupBy("batch_id", "i").agg(F.max_by("value", "pos").alias("value"))
     places = replies.groupBy("batch_id").agg(F.max("n").alias("n")).where("n > 0").select("batch_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     return places.join(last, ["batch_id", "i"], "left").select("batch_id", F.col("i").alias("idx"), "value")
+
+
+def latency_snapshot(samples: DataFrame, key: str) -> DataFrame:
+    """(key, n, mean_ms, mean_batch) of samples (elapsed_s, batch): milliseconds cut off, batches rounded half to even."""
+    seconds = F.avg(F.greatest(F.lit(0.001), F.col("elapsed_s")))
+    return samples.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n"), F.floor(seconds * 1000).cast("int").alias("mean_ms"), F.bround(F.avg("batch")).cast("int").alias("mean_batch"))
+
+
+def totals(texts: DataFrame, text_col: str) -> DataFrame:
+    """(texts, chars), both 1 at least, so that shares of them are defined."""
+    return texts.agg(F.greatest(F.count("*"), F.lit(1)).alias("texts"), F.greatest(F.coalesce(F.sum(F.length(text_col)), F.lit(0)), F.lit(1)).alias("chars"))
+
+
+def originals_of(blocks: DataFrame, sources: DataFrame) -> DataFrame:
+    """blocks (task_id, text) with source: the source text of the task that is equal, else the only one that is equal without white space; null if there are several or none."""
+    bare = lambda c: F.regexp_replace(text(F.col(c)), r"(?U)\s+", "")
+    own = sources.select("task_id", "source").distinct()
+    exact = own.select("task_id", F.col("source").alias("text"), F.lit(True).alias("_same"))
+    only = own.groupBy("task_id", bare("source").alias("_bare")).agg(F.count("*").alias("_n"), F.min("source").alias("_one")).where("_n = 1 and _bare <> ''")
+    met = blocks.withColumn("_bare", bare("text")).join(exact, ["task_id", "text"], "left").join(only, ["task_id", "_bare"], "left")
+    return met.withColumn("source", F.when(F.col("_same"), F.col("text")).otherwise(F.col("_one"))).drop("_bare", "_same", "_n", "_one")
+
+
+def appended(log: DataFrame, path: str, ts: str = "ts") -> None:
+    """Append events as JSON lines in a folder a day; readers keep the newest by retained()."""
+    log.withColumn("day", F.to_date(ts)).write.mode("append").partitionBy("day").json(path)

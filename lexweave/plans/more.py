@@ -532,3 +532,30 @@ def q_repeated_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_glossary_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A glossary as its CSV's columns."""
     return glossary.csv_rows(MORE_TERMS.df(spark))
+
+
+@query("SELECT event_type AS key, count(*) AS n, CAST(floor(avg(greatest(0.001, abs(value))) * 1000) AS INTEGER) AS mean_ms, CAST(round_even(avg(event_id % 9), 0) AS INTEGER) AS mean_batch FROM events GROUP BY event_type")
+def q_latency_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A14, over events, their values as seconds."""
+    own = table(spark, sf_dir, "events").select("event_type", F.abs("value").alias("elapsed_s"), (F.col("event_id") % 9).alias("batch"))
+    return runs.latency_snapshot(own, "event_type")
+
+
+@query("SELECT greatest(count(*), 1) AS texts, CAST(greatest(coalesce(sum(length(text)), 0), 1) AS BIGINT) AS chars FROM documents")
+def q_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4."""
+    return runs.totals(table(spark, sf_dir, "documents"), "text")
+
+
+@query("SELECT * FROM (VALUES (1, 'a b', 'a b'), (1, 'ab', 'ab'), (1, 'c d', 'cd'), (1, 'x', NULL), (2, 'a b', NULL)) AS v(task_id, text, source)")
+def q_block_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources of failed blocks, equal ones first, then only ones."""
+    blocks = spark.createDataFrame([(1, "a b"), (1, "ab"), (1, "c d"), (1, "x"), (2, "a b")], "task_id int, text string")
+    return runs.originals_of(blocks, spark.createDataFrame([(1, "a b"), (1, "ab"), (1, "cd"), (1, "cd")], "task_id int, source string")).select("task_id", "text", "source")
+
+
+@query("SELECT CAST(3 AS BIGINT) AS accepted, CAST(3 AS BIGINT) AS skipped")
+def q_csv_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a glossary CSV, under one of its headers, that are taken and left out."""
+    rows = [("Person", "a", "1"), ("", "b", "2"), ("x", "a", "3"), ("x", "", "4"), ("x", "c", " "), ("Item", " d ", "5")]
+    return enrich.csv_statistics(enrich.csv_glossary(spark.createDataFrame(rows, "`\ufeffCategory` string, SRC string, Target string")))
