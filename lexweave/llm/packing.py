@@ -18,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,7 +113,7 @@ def pack(df: DataFrame, path: str, length: int = 1024, end_id: int = 0, id_col:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = coder(path, special=True).kind
-        for part in parts:
+        for part in (b for p in parts for b in text_blocks(p, "ids")):
             rows = []
             for k, (n, at, data) in enumerate(zip(part.column("n").to_pylist(), part.column("at").to_pylist(), part.column("ids").to_pylist(), strict=True)):
                 ids = np.frombuffer(data, dtype=width).astype("<u4")
