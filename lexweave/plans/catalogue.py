@@ -429,9 +429,9 @@ classes AS (SELECT seq, CASE WHEN NOT kana THEN 'none' WHEN quoted THEN 'low' WH
             kana AND NOT quoted AND NOT (NOT named AND NOT grammar AND total = n AND n <= 3) AS blocking FROM signs)"""
 
 
-def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _classified(spark: SparkSession, sf_dir: str, all_rows: bool = True) -> DataFrame:
     own = X.TEXTS.df(spark).unionByName(table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).cast("int").alias("seq"), "text"))
-    return quality.classified(own, "text")
+    return quality.classified(own if all_rows else quality.with_kana(own, "text"), "text")
 
 
 @query(f"WITH {_CLASSES} SELECT seq, risk, blocking FROM classes")
@@ -443,7 +443,7 @@ def q_residue_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_CLASSES} SELECT risk, count(*) AS n, count(*) FILTER (blocking) AS blocking, min(seq) AS first FROM classes WHERE risk <> 'none' GROUP BY risk")
 def q_residue_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1, Q17: counts by risk, and the first sample of each."""
-    found = _classified(spark, sf_dir)
+    found = _classified(spark, sf_dir, all_rows=False)
     first = found.groupBy("residue.risk").agg(F.min("seq").alias("first"))
     return quality.scan(found, "seq", "text").join(first, "risk").select("risk", "n", "blocking", "first")
 
@@ -451,7 +451,7 @@ def q_residue_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_CLASSES} SELECT policy, count(*) FILTER (CASE policy WHEN 'strict' THEN blocking WHEN 'balanced' THEN risk IN ('high', 'medium') ELSE false END) AS blocked FROM classes, (VALUES ('strict'), ('balanced'), ('lenient')) p(policy) GROUP BY policy")
 def q_save_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q32: texts that stop a save under each policy."""
-    found = _classified(spark, sf_dir)
+    found = _classified(spark, sf_dir, all_rows=False)
     each = [quality.gate(found, p).select(F.lit(p).alias("policy"), "blocked") for p in ("strict", "balanced", "lenient")]
     return each[0].union(each[1]).union(each[2])
 
