@@ -23,12 +23,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from lexweave.llm.common import batches, bounded, text_blocks
+from lexweave.llm.common import batches, text_blocks
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces kept per worker in each of two generations; those used since the last change of generation stay.
 KEPT = 300_000
+#: Bytes of text encoded at once: different pieces are looked up once a block, so larger blocks save work.
+BLOCK = 4 << 20
 #: A piece longer than this is not kept.
 LONG = 64
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -186,7 +188,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     """
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, pattern)
-        for part in (b for p in parts for b in text_blocks(p, text_col)):
+        for part in (b for p in parts for b in text_blocks(p, text_col, BLOCK)):
             found = c.encode(part.column(text_col))
             columns = [part.column(id_col), pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32()))]
             if offsets:
@@ -195,7 +197,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
                 columns += [pa.array([s[:, k] for s in own], pa.list_(pa.int32())) for own in (spans, chars) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "ids", *["starts", "ends", "char_starts", "char_ends"][: 4 * offsets]])
 
-    own = bounded(df).select(id_col, text_col)
+    own = df.select(id_col, text_col)
     kind = own.schema[id_col].dataType.simpleString()
     return own.mapInArrow(run, f"id {kind}, ids array<int>" + ", starts array<int>, ends array<int>, char_starts array<int>, char_ends array<int>" * offsets)
 
@@ -216,7 +218,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     """Encode and decode each text in one pass and return digests: (id, n_tokens, ids_sha256, decoded_sha256, lossless)."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, pattern)
-        for part in (b for p in parts for b in text_blocks(p, text_col)):
+        for part in (b for p in parts for b in text_blocks(p, text_col, BLOCK)):
             found = c.encode(part.column(text_col))
             back = [c.decode_bytes(x) for x in found]
             yield pa.RecordBatch.from_arrays(
@@ -230,7 +232,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
                 names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "lossless"],
             )
 
-    own = bounded(df).select(id_col, text_col)
+    own = df.select(id_col, text_col)
     return own.mapInArrow(run, f"id {own.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean")
 
 

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.llm.byte_bpe import coder
-from lexweave.llm.common import bounded, stored, text_blocks
+from lexweave.llm.byte_bpe import BLOCK, coder
+from lexweave.llm.common import stored, text_blocks
 
 #: Hashed vector's size, projected dimensions and bits of each on the curve: 3 x 16 bits fit a long.
 BUCKETS, DIMENSIONS, BITS = 256, 3, 16
@@ -75,7 +75,7 @@ def tokenised(df: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id",
     """(row, id, curve, n, ids binary) of each document, ids as little-endian unsigned 16- or 32-bit numbers with the end id."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, special=True)
-        for part in (b for p in parts for b in text_blocks(p, text_col)):
+        for part in (b for p in parts for b in text_blocks(p, text_col, BLOCK)):
             found = c.encode(part.column(text_col))
             keys = curve_keys(found, len(c.tokens))
             end = np.array([end_id], dtype=c.kind).tobytes()
@@ -84,7 +84,7 @@ def tokenised(df: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id",
                 names=["row", "id", "curve", "n", "ids"],
             )
 
-    own = bounded(df).select(F.monotonically_increasing_id().alias("row"), id_col, text_col)
+    own = df.select(F.monotonically_increasing_id().alias("row"), id_col, text_col)
     return own.mapInArrow(run, f"row long, id {own.schema[id_col].dataType.simpleString()}, curve long, n long, ids binary")
 
 
