@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import bloom_lm, byte_bpe, line_dedup, media, nearest, packing, simhash, toxicity, url_filters, warc
+from lexweave.llm import bloom_lm, byte_bpe, line_dedup, media, nearest, packing, resampling, secret_scan, simhash, spelling, toxicity, url_filters, warc
 from lexweave.llm.common import held_out, table
 
 
@@ -68,5 +68,24 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc, op3_bloom_lm, op4_media, op5_multi_index, op6_packing, op7_simhash, op8_line_dedup, op9_toxicity, op10_url_filters)}
-ORACLE_SQL: dict[str, str] = {"op8_line_dedup": line_dedup.SQL, "op10_url_filters": url_filters.SQL}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weigh every document towards the benchmark's words and draw a tenth."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spelling variants among all documents' words, one word of a document in 199 misspelt."""
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), one_in=199))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    kind = lambda k: F.filter("spans", lambda s: s["kind"] == k)
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE))
+    counts = [F.size(kind(k)).cast("long").alias(f"n_{k}") for k in secret_scan.BASE]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(secret_scan.written(base), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc, op3_bloom_lm, op4_media, op5_multi_index, op6_packing, op7_simhash, op8_line_dedup, op9_toxicity, op10_url_filters, op11_resampling, op12_spelling, op13_secret_scan)}
+ORACLE_SQL: dict[str, str] = {"op8_line_dedup": line_dedup.SQL, "op10_url_filters": url_filters.SQL, "op11_resampling": resampling.SQL, "op12_spelling": spelling.SQL}
