@@ -29,7 +29,7 @@ def cleaned_nodes(found: DataFrame) -> DataFrame:
     """found (id, seq, mode, tag, text, translation) with translations of titles cleaned: those of anchors, headings and texts that are titles of contents; a refusal gives the original back."""
     known = found.where("mode = 'toc'").select("id", "text").distinct().withColumn("_title", F.lit(True))
     met = found.join(known, ["id", "text"], "left")
-    title = (F.col("mode") == "single_anchor") | F.coalesce("_title", F.lit(False)) | F.lower(F.coalesce("tag", F.lit(""))).isin(*HEADINGS)
+    title = F.col("mode").isin("single_anchor", "multi_anchor") | F.coalesce("_title", F.lit(False)) | F.lower(F.coalesce("tag", F.lit(""))).isin(*HEADINGS)
     t = F.col("translation")
     clean = F.nullif(titles.clean_title(F.when(title, t)), F.lit(""))
     out = F.when(~title | (text(t) == ""), t).otherwise(F.coalesce(clean, F.when(titles.refusal(t), F.col("text")).otherwise(t)))

@@ -411,12 +411,56 @@ def q_style_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("k", runs.joined_context(F.col("title"), F.col("titles"), F.col("samples"), 20).alias("context"))
 
 
-@query("SELECT page_id AS id, count(*) AS pages FROM pages GROUP BY page_id")
-def q_estimate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S12 to S14 over all pages: each page has a plan of its blocks in order and a title that is appended unfiltered."""
-    pages = table(spark, sf_dir, "pages")
-    plan = H.text_plan(H.blocks(pages), pages.select(F.col("page_id").alias("id"), F.lit(0).alias("ord"), F.lit("title").alias("title")))
-    return plan.where("mode = 'toc'").groupBy("id").agg(F.count("*").alias("pages"))
+#: Pages with letters of other scripts, their navigation made one block of many links, quotation marks written out.
+_NAV = "replace(replace(translate(html, 'AILNSU', 'あいるんすう'), '&quot;', '“'), '</a></li><li>', '</a>/ ')"
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.expr(_NAV).alias("html"))
+
+
+#: Blocks of these pages: an open paragraph ends where the next begins.
+_BLOCKS = f"""
+made AS (SELECT page_id, replace(replace({_NAV}, '<br><p>', '<br></p><p>'), '<br></article>', '<br></p></article>') AS html FROM pages),
+found AS (SELECT page_id, unnest(regexp_extract_all(html, '<(?:li|h1|p)>.*?</(?:li|h1|p)>')) AS block, generate_subscripts(regexp_extract_all(html, '<(?:li|h1|p)>.*?</(?:li|h1|p)>'), 1) AS k FROM made),
+tagged AS (SELECT page_id, k, regexp_extract(block, '<(\\w+)>', 1) AS tag, regexp_extract(block, '<\\w+>(.*)</\\w+>', 1) AS inside, len(regexp_extract_all(block, '<a ')) AS links FROM found),
+texts AS (
+  SELECT page_id, k, 0 AS j, tag, CASE links WHEN 1 THEN 'single_anchor' ELSE 'plain' END AS mode, replace(regexp_replace(inside, '<[^>]*>', '', 'g'), '&amp;', '&') AS text FROM tagged WHERE links < 2
+  UNION ALL
+  SELECT page_id, k, generate_subscripts(string_split_regex(inside, '<[^>]*>'), 1), tag, 'multi_anchor', replace(unnest(string_split_regex(inside, '<[^>]*>')), '&amp;', '&') FROM tagged WHERE links >= 2),
+seen AS (SELECT page_id, k, j, tag, mode, trim(text) AS text FROM texts WHERE trim(text) <> '')
+"""
+
+
+@query(f"""
+WITH {_BLOCKS},
+body AS (SELECT *, 0 AS part FROM seen WHERE regexp_matches(text, '[\\x{{3040}}-\\x{{30ff}}]') OR regexp_matches(text, '[\\x{{4e00}}-\\x{{9fff}}]') AND NOT regexp_matches(text, '[A-Za-z]')),
+whole AS (SELECT page_id, k, j, tag, mode, text, part FROM body UNION ALL SELECT page_id, 0, 0, '', 'toc', url, 1 FROM pages)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY part, k, j) - 1 AS INTEGER) AS seq, mode, tag, text FROM whole
+""")
+def q_page_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each page offers for translation, text by text where a block has several links, then its address as a title of contents."""
+    titles = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.lit(0).alias("ord"), F.col("url").alias("title"))
+    return H.text_plan(H.plan(_pages(spark, sf_dir)), titles).select(F.col("id").alias("page_id"), "seq", "mode", "tag", "text")
+
+
+@query(f"WITH {_BLOCKS}, own AS (SELECT text FROM seen UNION ALL SELECT url FROM pages) SELECT count(*) AS texts, CAST(sum(length(text)) AS BIGINT) AS chars FROM own")
+def q_page_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts and characters of all visible blocks and titles, translatable or not."""
+    return H.estimate(H.plan(_pages(spark, sf_dir)), table(spark, sf_dir, "pages").select(F.col("url").alias("title")))
+
+
+@query(f"""
+WITH made AS (SELECT page_id, {_NAV} AS html FROM pages),
+-- the first block's element is cut off by the next paragraph; links keep their tags; what is between links is a text too
+blocks AS (SELECT page_id, html, regexp_replace(regexp_replace(html, '<p><b>\\s*([^<]*?)\\s*<br>(<p>|</article>)', '<p>&lt;\\1&gt;\\2', 'g'), '<(h1|p)>\\s*([^<]*?)\\s*</(h1|p)>', '<\\1>&lt;\\2&gt;</\\3>', 'g') AS done FROM made)
+SELECT page_id, replace(regexp_replace(done, '(<a href="[^"]*">)([^<]*)</a>', '\\1&lt;\\2&gt;</a>', 'g'), '</a>/ <a', '</a>&lt;/&gt;<a') AS html FROM blocks
+""")
+def q_page_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of every page put in angle brackets, and nothing else of the page changed."""
+    pages = _pages(spark, sf_dir)
+    done = H.plan(pages).withColumn("seq", F.col("pos")).withColumn("translation", F.concat(F.lit("<"), "text", F.lit(">")))
+    return H.written(pages, done).withColumnRenamed("id", "page_id")
 
 
 # --- books --------------------------------------------------------------------------------------------------------------
