@@ -63,6 +63,55 @@ def upserted(base: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+#: The columns of a cache.
+ENTRY = (
+    "cache_type string, cache_key string, source_hash string, context_hash string, source_text string, translated_text string, provider string, model string, glossary_fingerprint string, "
+    "trusted boolean, verified boolean, payload_json string, created_at long, updated_at long, last_used_at long, hit_count long"
+)
+
+
+def entries(raw: DataFrame, now: int) -> DataFrame:
+    """Entries, in the columns of ENTRY and seq, from rows (cache_type, cache_key, translated_text, payload_json, seq).
+
+    What a model's key tells of provider, model, glossary, source and context is split off; a key that tells nothing is the source text. Other
+    keys are the hash of the source, whose text, trust, verification and time the payload may tell; without a payload nothing is trusted.
+    Rows of unknown type, or without key or text, are left out. In a payload null counts as absent.
+    """
+    _, source, context = parse_key(F.col("cache_key"))
+    provider, model, fingerprint = key_scope(F.col("cache_key"))
+    is_model = F.col("cache_type") == "model"
+    said = F.from_json("payload_json", "source string, trusted string, verified string, updated_at string")
+    given = F.col("payload_json").isNotNull() & ~is_model
+    true = lambda c, default: F.coalesce(~F.lower(c).isin("", "0", "0.0", "false", "[]", "{}"), default)
+    own = raw.where(F.col("cache_type").isin("model", "text", "manual") & (text(F.col("cache_key")) != "") & (F.col("translated_text") != "")).withColumn("p", said)
+    bare = is_model & (text(source) == "")
+    at = F.when(given, F.nullif(F.expr("try_cast(p.updated_at AS long)"), F.lit(0)))
+    own_hash = F.when(bare, F.sha2("cache_key", 256)).when(is_model, source).otherwise(F.col("cache_key"))
+    return own.select(
+        "cache_type", "cache_key", own_hash.alias("source_hash"), F.when(is_model, context).alias("context_hash"),
+        F.when(bare, F.col("cache_key")).when(given, F.nullif(F.col("p.source"), F.lit(""))).alias("source_text"), "translated_text",
+        F.when(is_model, provider).alias("provider"), F.when(is_model, model).alias("model"), F.when(is_model, fingerprint).alias("glossary_fingerprint"),
+        F.when(given, true(F.col("p.trusted"), F.col("cache_type") == "manual")).otherwise(F.lit(False)).alias("trusted"), F.when(given, true(F.col("p.verified"), F.lit(False))).otherwise(F.lit(False)).alias("verified"),
+        "payload_json", F.coalesce(at, F.lit(now)).cast("long").alias("created_at"), F.coalesce(at, F.lit(now)).cast("long").alias("updated_at"), F.lit(None).cast("long").alias("last_used_at"), F.lit(0).cast("long").alias("hit_count"), "seq",
+    )
+
+
+def last_of_each(rows: DataFrame) -> DataFrame:
+    """Of entries of one key the last by seq, with the last source text that isn't null."""
+    own = [f.split()[0] for f in ENTRY.split(", ")]
+    last = rows.groupBy("cache_type", "cache_key").agg(F.max_by(F.struct(*own[2:]), "seq").alias("l"), F.max_by("source_text", F.when(F.col("source_text").isNotNull(), F.col("seq"))).alias("t"), F.min_by("created_at", "seq").alias("c"))
+    return last.select("cache_type", "cache_key", *[(F.col("t") if c == "source_text" else F.col("c") if c == "created_at" else F.col(f"l.{c}")).alias(c) for c in own[2:]])
+
+
+def merged(base: DataFrame, new: DataFrame) -> DataFrame:
+    """Both in the columns of ENTRY, one row a key: new rows win, but what they don't have of a source text, when the entry was made, and its uses stay the old row's."""
+    met = base.alias("b").join(new.alias("n"), ["cache_type", "cache_key"], "full_outer")
+    fresh = F.col("n.translated_text").isNotNull()
+    stays = {"source_text": ("n", "b"), "created_at": ("b", "n"), "last_used_at": ("b", "n"), "hit_count": ("b", "n")}
+    pick = lambda c: F.coalesce(*[F.col(f"{x}.{c}") for x in stays[c]]) if c in stays else F.when(fresh, F.col(f"n.{c}")).otherwise(F.col(f"b.{c}"))
+    return met.select("cache_type", "cache_key", *[pick(c).alias(c) for c in (f.split()[0] for f in ENTRY.split(", ")[2:])])
+
+
 def guarded_text_saves(base: DataFrame, new: DataFrame, fingerprint: str = "") -> DataFrame:
     """The new text entries that may be written: none under a glossary, none over a verified entry, none that change nothing."""
     if fingerprint:

@@ -11,7 +11,9 @@ from lexweave.operators import book, cache, consistency, enrich, glossary, quali
 from lexweave.plans import fixtures as X
 from lexweave.plans.catalogue import _TERMS, _in, _terms, query, table
 from lexweave.plans.fixtures import Fixture
+from lexweave.sources import cache_table
 from lexweave.sources import html as H
+from lexweave.storage import fresh_path
 
 # --- quality ------------------------------------------------------------------------------------------------------------
 
@@ -603,3 +605,37 @@ def q_csv_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a glossary CSV, under one of its headers, that are taken and left out."""
     rows = [("Person", "a", "1"), ("", "b", "2"), ("x", "a", "3"), ("x", "", "4"), ("x", "c", " "), ("Item", " d ", "5")]
     return enrich.csv_statistics(enrich.csv_glossary(spark.createDataFrame(rows, "`\ufeffCategory` string, SRC string, Target string")))
+
+
+# --- the cache as a table ---------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH docs AS (SELECT doc_id, text, sha256(text) AS k FROM documents WHERE text IS NOT NULL),
+one AS (SELECT k, 'a' || max(doc_id) AS said, arg_max(left(text, 20), doc_id) FILTER (doc_id % 2 = 0) AS source, min(doc_id) AS made, max(doc_id) AS late FROM docs GROUP BY k),
+two AS (SELECT k, 'b' || max(doc_id) AS said, min(doc_id) + 1000000 AS made, max(doc_id) + 1000000 AS late FROM docs WHERE doc_id % 3 = 0 GROUP BY k),
+gone AS (SELECT k FROM docs WHERE doc_id % 7 = 0),
+used AS (SELECT k, count(*) AS hits, max(doc_id) + 2000000 AS last FROM docs WHERE doc_id % 5 = 0 GROUP BY k),
+kept AS (SELECT k, coalesce(two.said, one.said) AS said, source, one.made, coalesce(two.late, one.late) AS late FROM one LEFT JOIN two USING (k) WHERE k NOT IN (SELECT k FROM gone))
+SELECT DISTINCT k AS cache_key, said AS value, source AS source_text, made AS created_at, late AS updated_at, CASE WHEN said IS NOT NULL THEN last END AS last_used_at, CASE WHEN said IS NOT NULL THEN coalesce(hits, 0) END AS hit_count
+FROM docs LEFT JOIN kept USING (k) LEFT JOIN used USING (k)
+""")
+def q_cache_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of all documents merged into a table twice, some deleted, uses counted, and all keys asked for."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", F.sha2("text", 256).alias("k"))
+    store = cache_table.CacheTable(spark, fresh_path(spark, "cache"), 16)
+
+    def made(df: DataFrame, mark: str, later: int, source) -> DataFrame:
+        payload = F.to_json(F.struct(source.alias("source"), (F.col("doc_id") + later).alias("updated_at")))
+        raw = df.select(F.lit("text").alias("cache_type"), F.col("k").alias("cache_key"), F.concat(F.lit(mark), "doc_id").alias("translated_text"), payload.alias("payload_json"), F.col("doc_id").alias("seq"))
+        return cache.entries(raw, 0).withColumn("payload_json", F.lit(None).cast("string"))
+
+    key = [F.lit("text").alias("cache_type"), F.col("k").alias("cache_key")]
+    # a time of nought counts as none, so the first document's is now, which is nought too
+    store.upsert(made(docs, "a", 0, F.when(F.col("doc_id") % 2 == 0, F.left("text", F.lit(20)))))
+    store.upsert(made(docs.where("doc_id % 3 = 0"), "b", 1_000_000, F.lit(None).cast("string")))
+    store.touch(docs.where("doc_id % 5 = 0").select(*key, (F.col("doc_id") + 2_000_000).alias("used_at")))
+    store.delete(docs.where("doc_id % 7 = 0").select(*key))
+    found = store.get(docs.select(*key).distinct())
+    said = store.snapshot().select("cache_key", "source_text", "created_at", "updated_at", "last_used_at", "hit_count")
+    return found.join(said, "cache_key", "left").select("cache_key", "value", "source_text", "created_at", "updated_at", "last_used_at", "hit_count")
