@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.text import clean_fragments, residue_sample, snippet, strip, text
+from lexweave.operators.control import Limits, failed, sampled
 from lexweave.operators.glossary import apart, held_terms
 
 #: Signs of moderation; states of finished parts; scopes of records.
@@ -70,10 +71,6 @@ def rate_windows(events: DataFrame, key: str, ts: str, tie: str, tokens: Column,
     return own.withColumn("gap", due - F.col("_s")).drop("_s", "_first", "_sum", "_place", "_enough")
 
 
-#: What is left of workers and batch after a failure of a kind; base and most seconds of pause.
-PRESSURE = {"rate": (0.6, 0.7, 60.0), "timeout": (0.75, 0.75, 45.0), "format": (0.85, 0.5, 20.0)}
-
-
 def failure_limits(failures: DataFrame, key: str, order: str, kind: str, workers: int, batch: int) -> DataFrame:
     """(key, ord, kind, workers, batch, pause) after each failure: rate and timeout pause for doubling seconds, formats for 1.5 a failure; three format failures, or one at batches of 3, end batches.
 
@@ -82,17 +79,14 @@ def failure_limits(failures: DataFrame, key: str, order: str, kind: str, workers
     kinds = {c: failures.schema[c].dataType.simpleString() for c in (key, order)}
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, w, b, events, formats = None, workers, batch, 0, 0
+        now, state = None, (workers, batch, 0, 0)
         for part in parts:
             out = []
             for k, o, what in part.itertuples(index=False):
                 if k != now:
-                    now, w, b, events, formats = k, workers, batch, 0, 0
-                events, formats = events + 1, formats + (what == "format")
-                left_w, left_b, most = PRESSURE.get(what, PRESSURE["rate"])
-                single = what == "format" and (formats >= 3 or b <= 3)
-                w, b = max(1, int(w * left_w + 0.999)), 1 if single else max(1, int(b * left_b + 0.999))
-                out.append((k, o, what, w, b, min(most, 1.5 * formats if what == "format" else 2.0 ** min(events, 5))))
+                    now, state = k, (workers, batch, 0, 0)
+                state, pause = failed(state, what)
+                out.append((k, o, what, *state[:2], pause))
             yield pd.DataFrame(out, columns=["key", "ord", "kind", "workers", "batch", "pause"])
 
     own = failures.select(F.col(key).alias("key"), F.col(order).alias("ord"), F.col(kind).alias("kind")).repartition("key").sortWithinPartitions("key", "ord")
@@ -111,6 +105,7 @@ def latency_control(samples: DataFrame, key: str, order: str, workers: int, batc
 
     State runs over a key's samples in order, one Arrow batch at a time, so that a long history is never in memory.
     """
+    limits = Limits(1, 1, workers=workers, batch=batch, slow=slow, down_at=down_at, up_at=up_at, ring=ring)
     kind, ord_kind = samples.schema[key].dataType.simpleString(), samples.schema[order].dataType.simpleString()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,14 +115,7 @@ def latency_control(samples: DataFrame, key: str, order: str, workers: int, batc
             for k, o, elapsed in part.itertuples(index=False):
                 if k != now:
                     now, held, w, b = k, [], workers, batch
-                held = [*held, max(0.001, elapsed)][-ring:]
-                n, mean = len(held), int(sum(held) / len(held) * 1000)
-                slow_ones = sum(x >= slow for x in held)
-                action = "none"
-                if n >= down_at and (mean >= int(slow * 1000) or slow_ones / n >= 0.5) and (b > 1 or w > 1):
-                    action, b, w, held = "down", b - (b > 1), w - (b <= 1), []
-                elif n >= up_at and mean <= int(slow * 600) and not slow_ones and (b < batch or w < workers):
-                    action, b, w, held = "up", b + (b < batch), w + (b >= batch), []
+                action, held, w, b = sampled(held, w, b, elapsed, limits)
                 out.append((k, o, action, w, b))
             yield pd.DataFrame(out, columns=["key", "ord", "action", "workers", "batch"])
 

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
 from lexweave.functions import titles
-from lexweave.operators import book, cache, consistency, enrich, glossary, quality, runs
+from lexweave.operators import book, cache, consistency, control, enrich, glossary, quality, runs
 from lexweave.plans import fixtures as X
 from lexweave.plans.catalogue import _TERMS, _in, _terms, query, table
 from lexweave.plans.fixtures import Fixture
 from lexweave.sources import cache_table
 from lexweave.sources import html as H
-from lexweave.storage import fresh_path
+from lexweave.storage import fresh_path, stored
+from lexweave.streaming import control as stream_control
 
 # --- quality ------------------------------------------------------------------------------------------------------------
 
@@ -639,3 +640,79 @@ def q_cache_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = store.get(docs.select(*key).distinct())
     said = store.snapshot().select("cache_key", "source_text", "created_at", "updated_at", "last_used_at", "hit_count")
     return found.join(said, "cache_key", "left").select("cache_key", "value", "source_text", "created_at", "updated_at", "last_used_at", "hit_count")
+
+
+# --- control as a stream ----------------------------------------------------------------------------------------------
+
+_CONTROL = f"""
+WITH RECURSIVE e AS (
+  SELECT event_id AS id, event_type AS key, epoch_us(ts) AS us, epoch_us(ts) / 1e6 AS s, CAST(1 + event_id % 50 AS INTEGER) AS tokens, abs(value) AS elapsed, CASE WHEN value > 40 THEN {_KINDS} END AS kind,
+         CASE WHEN event_type = 'error' OR event_id % 5 = 0 THEN event_id % 700 ELSE 0 END AS pause, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS place FROM events),
+w AS (SELECT *, count(*) OVER x AS requests, CAST(sum(tokens) OVER x AS BIGINT) AS window_tokens, min(s) OVER x AS first FROM e WINDOW x AS (PARTITION BY key ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)),
+leaves AS (SELECT a.id, min(b.s) AS enough FROM w a JOIN w b ON a.key = b.key AND b.s BETWEEN a.s - 3600 AND a.s WHERE a.window_tokens > 200 AND (SELECT coalesce(sum(c.tokens), 0) FROM w c WHERE c.key = a.key AND c.s > b.s AND c.s <= a.s) <= 200 GROUP BY a.id),
+sent AS (SELECT id, max(s - (place - 1) * 450.0) OVER o + (place - 1) * 450.0 - s AS gap, greatest(0.0, coalesce(max(CASE WHEN pause > 0 THEN s + pause END) OVER (PARTITION BY key ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - s, 0.0)) AS held FROM w WINDOW o AS (PARTITION BY key ORDER BY place)),
+l AS (
+  SELECT key, CAST(0 AS BIGINT) AS place, CAST([] AS DOUBLE[]) AS held, 4 AS w, 6 AS b, '' AS action FROM (SELECT DISTINCT key FROM e)
+  UNION ALL
+  SELECT key, place, CASE WHEN action = 'none' THEN ring ELSE [] END, w + CASE action WHEN 'down' THEN CASE WHEN b <= 1 THEN -1 ELSE 0 END WHEN 'up' THEN CASE WHEN b >= 6 THEN 1 ELSE 0 END ELSE 0 END,
+         b + CASE action WHEN 'down' THEN CASE WHEN b > 1 THEN -1 ELSE 0 END WHEN 'up' THEN CASE WHEN b < 6 THEN 1 ELSE 0 END ELSE 0 END, action
+  FROM (SELECT *, CASE WHEN n >= 8 AND (floor(total / n * 1000) >= 50000 OR slow >= 0.5 * n) AND (b > 1 OR w > 1) THEN 'down' WHEN n >= 16 AND floor(total / n * 1000) <= 30000 AND slow = 0 AND (b < 6 OR w < 4) THEN 'up' ELSE 'none' END AS action
+        FROM (SELECT *, len(ring) AS n, list_sum(ring) AS total, len(list_filter(ring, lambda y: y >= 50)) AS slow
+              FROM (SELECT l.key, e.place, l.w, l.b, list_slice(list_append(l.held, greatest(0.001, e.elapsed)), -24, -1) AS ring FROM l JOIN e ON e.key = l.key AND e.place = l.place + 1)))),
+g AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY place) AS nth FROM e WHERE kind IS NOT NULL),
+f AS (
+  SELECT key, CAST(NULL AS BIGINT) AS id, CAST(0 AS BIGINT) AS nth, 4 AS w, 6 AS b, 0 AS n, 0 AS formats, CAST(0 AS DOUBLE) AS pause FROM g GROUP BY key
+  UNION ALL
+  SELECT g.key, g.id, g.nth, greatest(1, CAST(floor(f.w * CASE g.kind WHEN 'rate' THEN 0.6 WHEN 'timeout' THEN 0.75 ELSE 0.85 END + 0.999) AS INTEGER)),
+         CASE WHEN g.kind = 'format' AND (f.formats >= 2 OR f.b <= 3) THEN 1 ELSE greatest(1, CAST(floor(f.b * CASE g.kind WHEN 'rate' THEN 0.7 WHEN 'timeout' THEN 0.75 ELSE 0.5 END + 0.999) AS INTEGER)) END,
+         f.n + 1, f.formats + CASE g.kind WHEN 'format' THEN 1 ELSE 0 END,
+         CAST(CASE g.kind WHEN 'format' THEN least(20.0, 1.5 * (f.formats + 1)) WHEN 'timeout' THEN least(45.0, pow(2.0, least(f.n + 1, 5))) ELSE least(60.0, pow(2.0, least(f.n + 1, 5))) END AS DOUBLE)
+  FROM f JOIN g ON g.key = f.key AND g.nth = f.nth + 1)
+SELECT w.key, w.id, w.us, w.requests, w.window_tokens, round(greatest(CASE WHEN requests > 8 THEN first + 3600 - s ELSE 0.0 END, CASE WHEN window_tokens > 200 THEN enough + 3600 - s ELSE 0.0 END), 3) AS wait, round(gap, 3) AS gap, round(sent.held, 3) AS held,
+       l.action, l.w AS workers, l.b AS batch, f.w AS failure_workers, f.b AS failure_batch, f.pause AS failure_pause
+FROM w LEFT JOIN leaves USING (id) JOIN sent USING (id) JOIN l ON l.key = w.key AND l.place = w.place LEFT JOIN f ON f.id = w.id
+"""
+_LIMITS = control.Limits(8, 200, 3600, 4, 6, 50.0)
+
+
+def _control_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    c = F.col
+    kind = F.when(c("value") > 40, F.when(c("user_id") % 3 == 0, "rate").when(c("user_id") % 3 == 1, "timeout").otherwise("format"))
+    pause = F.when((c("event_type") == "error") | (c("event_id") % 5 == 0), c("event_id") % 700).otherwise(0)
+    return control.events(e, c("event_type"), c("at"), c("event_id"), 1 + c("event_id") % 50, F.abs("value"), kind, pause)
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 3).alias(c) if c in ("wait", "gap", "held") else F.col(c) for c in df.columns])
+
+
+@query(_CONTROL)
+def q_control_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1 to ST4, A14: all decisions of control on a log of events."""
+    return _rounded(control.replayed(_control_events(spark, sf_dir), _LIMITS))
+
+
+@query(_CONTROL)
+def q_control_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1 to ST4 over a stream: events arrive in six files, out of order by up to six hours, and the decisions are those of the replay."""
+    found = _control_events(spark, sf_dir)
+    late = 6 * 3600 * 1_000_000
+    # the same shift for an event wherever it is read, less than what the watermark waits
+    arrival = F.col("us") + F.pmod(F.xxhash64("id"), F.lit(late))
+    marked = stored(found.withColumn("arrival", arrival), "arrivals")
+    cuts = [float("-inf"), *marked.approxQuantile("arrival", [k / 6 for k in range(1, 6)], 0.01), float("inf")]
+    folder, result = fresh_path(spark, "stream"), fresh_path(spark, "decisions")
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        marked.where((F.col("arrival") > low) & (F.col("arrival") <= high)).drop("arrival").coalesce(1).write.mode("append").parquet(folder)
+    # a beat of no key's own, so that the watermark passes the last events
+    last = found.agg(F.max("us").alias("us")).where("us is not null")
+    beat = last.select(F.lit("").alias("key"), F.timestamp_micros(F.col("us") + 2 * late).alias("ts"), (F.col("us") + 2 * late).alias("us"), F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("tokens"))
+    beat = beat.select("*", F.lit(None).cast("double").alias("elapsed"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("double").alias("pause"))
+    beat.coalesce(1).write.mode("append").parquet(folder)
+    arriving = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    decided = stream_control.controlled(arriving, _LIMITS, "6 hours")
+    with stream_control.rocksdb(spark):
+        stream = decided.writeStream.format("parquet").option("checkpointLocation", f"{result}-state").trigger(availableNow=True).start(result)
+    stream.awaitTermination()
+    return _rounded(spark.read.schema(decided.schema).parquet(result).where("key <> ''"))
