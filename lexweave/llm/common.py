@@ -37,19 +37,6 @@ def batches(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-#: Rows that the JVM puts into one Arrow batch for a worker: it builds each whole, however long the texts are.
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def bounded(df: DataFrame) -> DataFrame:
-    """df, in a session whose Arrow batches are small; a session that has chosen a size keeps it."""
-    conf = df.sparkSession.conf
-    if conf.get(_BATCH) == "10000":
-        conf.set(_BATCH, str(BATCH_ROWS))
-    return df
-
-
 def returned() -> None:
     """Give back what a worker no longer uses: it lives on between stages, and the allocators would keep it."""
     pa.default_memory_pool().release_unused()

@@ -1,10 +1,9 @@
 """Line deduplication by site-relative frequency.
 
 Pages are grouped by site; a line's ratio is the number of the site's pages that hold it over all the site's pages. Lines at or
-above the ratio, on MIN_PAGES pages at least (fewer are no evidence), are boilerplate and go from every page that holds them. A
-text none of whose lines would be left is a copy of a whole page, not a page with boilerplate: it stays as it is, for a stage
-that compares documents. With `whole_above` (off unless given) so does a text that would lose more than that share of its
-characters: a near copy of many pages, which would no longer be like them afterwards.
+above the ratio are boilerplate and go from every page that holds them, all lines of a page if need be; only a line that no
+second page of its site holds is repeated nowhere, however few pages there are. With `whole_above` (off unless given) a text
+that would lose more than that share of its characters stays as it is: a near copy of many pages, which would no longer be like them afterwards.
 
 Lines are compared without spaces around them; blank lines are never counted or dropped. A null text stays null, an empty one
 empty, and neither is a page; null sites form one site. Repeated rows are pages each. Very long texts are split whole. Columns
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lexweave.llm.common import stored
 
-RATIO, MIN_PAGES = 0.02, 5
+RATIO, MIN_PAGES = 0.02, 2
 
 
 def boilerplate(df: DataFrame, site_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -44,7 +43,7 @@ def drop_boilerplate(df: DataFrame, site_col: str = "source", text_col: str = "t
     # the page's own flagged lines first, by hash: a site's list is looked through once a page, not once a line
     met = met.withColumn("gone", F.array_intersect(F.transform("lines", lambda x: F.xxhash64(F.trim(x))), F.coalesce("flagged", F.array().cast("array<bigint>"))))
     met = met.withColumn("left", F.filter("lines", lambda x: (F.trim(x) == "") | ~F.array_contains("gone", F.xxhash64(F.trim(x)))))
-    whole = F.coalesce((F.size("left") == F.size("lines")) | ~F.exists("left", lambda x: F.trim(x) != ""), F.lit(True))
+    whole = F.coalesce(F.size("left") == F.size("lines"), F.lit(True))
     if whole_above is not None:
         size = lambda c: F.aggregate(F.transform(c, lambda x: F.length(F.trim(x))), F.lit(0), lambda a, b: a + b)
         whole = whole | F.coalesce(size("left") < (1 - whole_above) * size("lines"), F.lit(True))
@@ -63,7 +62,7 @@ totals AS (SELECT site, count(*) AS site_pages FROM pages GROUP BY site),
 counted AS (SELECT site, line, count(*) AS pages FROM (SELECT site, unnest(list_distinct(list_transform(lines, lambda x: trim(x, ' ')))) AS line FROM pages) WHERE line <> '' GROUP BY site, line),
 flagged AS (SELECT site, list(line) AS keys FROM counted JOIN totals USING (site) WHERE pages >= {MIN_PAGES} AND pages >= {RATIO} * site_pages GROUP BY site),
 cut AS (SELECT own.*, list_filter(lines, lambda x: trim(x, ' ') = '' OR NOT list_contains(coalesce(keys, []), trim(x, ' '))) AS kept FROM own LEFT JOIN flagged USING (site)),
-judged AS (SELECT *, len(kept) = len(lines) OR len(list_filter(kept, lambda x: trim(x, ' ') <> '')) = 0 AS whole FROM cut)
+judged AS (SELECT *, len(kept) = len(lines) AS whole FROM cut)
 SELECT doc_id, source, CASE WHEN text IS NULL THEN NULL WHEN whole THEN text ELSE array_to_string(kept, chr(10)) END AS text,
        CAST(coalesce(len(lines), 0) AS BIGINT) AS lines_total, CAST(CASE WHEN text IS NULL OR whole THEN 0 ELSE len(lines) - len(kept) END AS BIGINT) AS lines_dropped
 FROM judged

@@ -8,7 +8,8 @@ committed tasks return are in the index: a lost or repeated task leaves at most
 Of records with equal payloads of at least `revisit_from` bytes, that with the largest id is the response and the others
 are revisits of it. Null payloads count as empty; null ids are responses; repeated rows are judged alike, and rows of one page and
 payload share a record id. An empty table gives no bundle. Very long payloads are written and read one at a time; other columns
-are not looked at.
+are not looked at. Ids may be of any type that is written as text without loss; they are percent-encoded in
+headers, and come back in their own type.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import urllib.parse
 import uuid
 from collections.abc import Iterator
 
@@ -23,6 +25,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexweave.llm.common import fresh_path, stored, text_blocks
 
@@ -47,9 +50,9 @@ def record(page, url: str | None, payload: bytes, holder) -> bytes:
     if url:
         head.append("WARC-Target-URI: " + "".join(url.split()))
     if page is not None:
-        head.append(f"X-Page-ID: {page}")
+        head.append(f"X-Page-ID: {urllib.parse.quote(str(page))}")
     if revisit:
-        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {record_id(holder, digest)}", f"X-Refers-To-Page: {holder}"]
+        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {record_id(holder, digest)}", f"X-Refers-To-Page: {urllib.parse.quote(str(holder))}"]
     block = HTTP if revisit else HTTP + payload
     return "\r\n".join([*head, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -145,14 +148,13 @@ def write_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     decided = narrow.distinct().join(holders, ["digest", "bytes"]).where((F.col("bytes") >= revisit_from) & (F.col("id") != F.col("holder")))
     decided = decided.select(F.col("id").alias("i"), F.col("digest").alias("d"), "holder")
     # joined on the id as well, which no payload repeated very often can make uneven
-    rows = own.join(decided, (F.col("id") == F.col("i")) & (F.col("digest") == F.col("d")), "left").select("id", "url", "payload", "holder")
-    kind = rows.schema["id"].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    kind = _id_type(own.schema["id"].dataType)
+    rows = own.join(decided, (F.col("id") == F.col("i")) & (F.col("digest") == F.col("d")), "left").select(F.col("id").cast("string").alias("id"), "url", "payload", F.col("holder").cast("string").alias("holder"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows_of(closed: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*closed, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [arrow, pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()], strict=True)], names=["id", "bundle", "frame", "frame_offset", "offset_in_frame", "record_bytes"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()], strict=True)], names=["id", "bundle", "frame", "frame_offset", "offset_in_frame", "record_bytes"])
 
         bundle = None
         for part in (b for p in parts for b in text_blocks(p, "payload")):
@@ -165,7 +167,15 @@ def write_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
         if bundle:
             yield rows_of(bundle.close())
 
-    return stored(rows.mapInArrow(run, f"id {kind}, " + ", ".join(INDEX)), "warc-index")
+    made = rows.mapInArrow(run, "id string, " + ", ".join(INDEX))
+    return stored(made.withColumn("id", F.col("id").cast(kind)), "warc-index")
+
+
+def _id_type(kind: T.DataType) -> T.DataType:
+    """The type of ids, if their text tells them."""
+    if not isinstance(kind, (T.StringType, T.IntegralType, T.DecimalType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)):
+        raise ValueError(f"ids of type {kind.simpleString()} aren't written as text")
+    return kind
 
 
 def _checked(fields: dict[str, str], payload: bytes) -> tuple[int, str, bool]:
@@ -207,12 +217,13 @@ def read_archives(index: DataFrame) -> DataFrame:
                 rows = []
                 for offset, fields, payload in records:
                     n, digest, _ = _checked(fields, payload)
-                    rows.append((_number(fields.get("X-Page-ID")), n, digest, fields["WARC-Type"], _number(fields.get("X-Refers-To-Page")), uri, k, offset))
+                    rows.append((_name(fields.get("X-Page-ID")), n, digest, fields["WARC-Type"], _name(fields.get("X-Refers-To-Page")), uri, k, offset))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "bundle", "frame", "offset_in_frame"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64()]
-    return frames.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, bundle string, frame int, offset_in_frame long")
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64()]
+    found = frames.mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, bundle string, frame int, offset_in_frame long")
+    return _in_own_type(found, index)
 
 
 def fetch(index: DataFrame, wanted: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -227,15 +238,21 @@ def fetch(index: DataFrame, wanted: DataFrame, id_col: str = "page_id") -> DataF
                 for offset, fields, payload in records:
                     if offset in offsets[uri, k]:
                         _checked(fields, payload)
-                        values = [_number(fields.get("X-Page-ID")), fields["WARC-Type"], _number(fields.get("X-Refers-To-Page")), payload]
+                        values = [_name(fields.get("X-Page-ID")), fields["WARC-Type"], _name(fields.get("X-Refers-To-Page")), payload]
                         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=names)
 
-    names, kinds = ["page_id", "record_type", "refers_to", "payload"], [pa.int64(), pa.string(), pa.int64(), pa.binary()]
-    return places.mapInArrow(run, "page_id long, record_type string, refers_to long, payload binary")
+    names, kinds = ["page_id", "record_type", "refers_to", "payload"], [pa.string(), pa.string(), pa.string(), pa.binary()]
+    return _in_own_type(places.mapInArrow(run, "page_id string, record_type string, refers_to string, payload binary"), index)
+
+
+def _name(text: str | None) -> str | None:
+    return None if text is None else urllib.parse.unquote(text)
 
 
-def _number(text: str | None) -> int | None:
-    return None if text is None else int(text)
+def _in_own_type(found: DataFrame, index: DataFrame) -> DataFrame:
+    """Ids of found in the type that the index has them in."""
+    kind = index.schema["id"].dataType
+    return found.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
 
 
 def _by_bundle(part: pa.RecordBatch) -> Iterator[tuple[str, list[int]]]:

@@ -1,6 +1,7 @@
 """The ten operators and the pipeline against brute force, round trips and edge rows."""
 
 import base64
+import datetime as dt
 import hashlib
 import math
 import re
@@ -106,6 +107,21 @@ def test_warc_round_trip(spark):
     assert sorted(wanted) == [2, 5] and bytes(wanted[5].payload) == ("é" * 300_000).encode() and bytes(wanted[2].payload) == b"x"
 
 
+@pytest.mark.parametrize(("kind", "ids"), [("string", ["a b%", "ü\r\nX: y", "z", None]), ("smallint", [1, 2, 3, None]), ("date", [dt.date(2020, 1, 1), dt.date(2020, 1, 2), dt.date(1, 1, 1), None])])
+def test_warc_ids_of_any_type(spark, kind, ids):
+    texts = ["same", "same", "other", "same"]
+    index = warc.write_archives(spark.createDataFrame(list(zip(ids, ["u"] * 4, texts, strict=True)), f"page_id {kind}, url string, html string"))
+    found = {r.page_id: r for r in warc.read_archives(index).collect()}
+    last = max(ids[:2])
+    first = min(ids[:2])
+    assert set(found) == set(ids) and (found[first].record_type, found[first].refers_to) == ("revisit", last)
+    assert found[last].record_type == found[None].record_type == "response"
+    wanted = spark.createDataFrame([(ids[2],)], f"page_id {kind}")
+    assert [(r.page_id, bytes(r.payload)) for r in warc.fetch(index, wanted).collect()] == [(ids[2], b"other")]
+    with pytest.raises(ValueError, match="aren't written"):
+        warc.write_archives(spark.createDataFrame([(0.5, "u", "x")], "page_id double, url string, html string"))
+
+
 def test_warc_record_that_differs_from_its_header():
     data = warc.record(1, None, b"payload", None).replace(b"payload\r", b"changed\r")
     (_, fields, payload), = warc.parse(data)
@@ -407,7 +423,11 @@ def test_line_dedup(spark):
     df = spark.createDataFrame([(*x, "clash") for x in data], "doc_id long, source string, text string, line_keys string")
     found = rows(line_dedup.drop_boilerplate(df, ratio=0.6), "doc_id")
     assert found[3].text == "own text 3 which is much longer than the menu\n\nFooter 1" and (found[3].lines_total, found[3].lines_dropped) == (4, 1)
-    assert found[105].text == data[25][2] and found[200].text is None and found[201].text == "" and found[202].text == "Menu"
+    assert found[105].text == "" and found[105].lines_dropped == 2 and found[200].text is None and found[201].text == "" and found[202].text == ""
+    # what only one page of a site holds stays, however few pages there are; copies stay whole where that is asked for
+    few = spark.createDataFrame([(1, "x", "once\ntwice"), (2, "x", "twice"), (3, "y", "alone")], "doc_id long, source string, text string")
+    assert {i: r.text for i, r in rows(line_dedup.drop_boilerplate(few, ratio=0.02), "doc_id").items()} == {1: "once", 2: "", 3: "alone"}
+    assert rows(line_dedup.drop_boilerplate(df, ratio=0.6, whole_above=0.5), "doc_id")[105].text == data[25][2]
     assert found[3].line_keys == "clash"
     assert line_dedup.drop_boilerplate(df.limit(0)).count() == 0
     clash = df.withColumn("_site", F.lit("s")).withColumn("_keys", F.lit("k")).withColumn("lines_total", F.lit("t")).withColumn("row", F.lit(1)).withColumn("site", F.lit(2))
