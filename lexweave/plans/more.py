@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
 from lexweave.functions import titles
-from lexweave.operators import book, cache, consistency, control, enrich, glossary, quality, runs
+from lexweave.operators import book, cache, consistency, control, enrich, glossary, quality, rounds, runs
 from lexweave.plans import fixtures as X
+from lexweave.plans import stubs
 from lexweave.plans.catalogue import _TERMS, _in, _terms, query, table
 from lexweave.plans.fixtures import Fixture
 from lexweave.sources import cache_table
@@ -716,3 +717,30 @@ def q_control_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream = decided.writeStream.format("parquet").option("checkpointLocation", f"{result}-state").trigger(availableNow=True).start(result)
     stream.awaitTermination()
     return _rounded(spark.read.schema(decided.schema).parquet(result).where("key <> ''"))
+
+
+# --- rounds of provider calls -----------------------------------------------------------------------------------------
+
+_TASKS = """
+first AS (SELECT conv_id, text, min(turn) AS ord FROM conversations WHERE role = 'user' AND trim(text) <> '' GROUP BY ALL),
+t AS (SELECT *, conv_id % 8 AS kind, row_number() OVER (PARTITION BY conv_id ORDER BY ord) - 1 AS idx, count(*) OVER (PARTITION BY conv_id) AS n, conv_id || '-' || ord AS key FROM first)
+"""
+
+
+@query(f"""
+WITH {_TASKS},
+-- what the batch came to, and how many requests it took; a batch of one is a single text at once
+b AS (SELECT *, CASE WHEN n = 1 THEN 0 WHEN kind IN (0, 3, 4) THEN 1 WHEN kind IN (1, 7) THEN 3 WHEN kind = 2 THEN 2 ELSE 4 END AS went,
+             n > 1 AND (kind IN (0, 1, 2) OR kind = 3 AND idx % 2 = 0 OR kind = 7 AND idx = 0) AS ok FROM t),
+s AS (SELECT *, CASE WHEN ok THEN 'ok'
+                     WHEN kind = 6 OR kind = 5 AND length(text) % 5 = 0 THEN 'failed'
+                     WHEN kind = 4 AND length(text) % 6 = 0 THEN 'moderated'
+                     WHEN kind = 4 AND length(text) % 2 = 0 THEN 'fallback' ELSE 'single' END AS status FROM b)
+SELECT key, CASE status WHEN 'failed' THEN NULL WHEN 'moderated' THEN NULL WHEN 'fallback' THEN 'S:' || text ELSE 'T:' || text END AS answer, status,
+       went + CASE WHEN ok THEN 0 WHEN status = 'failed' THEN 4 WHEN status IN ('fallback', 'moderated') THEN 2 WHEN kind = 1 THEN 3 WHEN kind = 2 THEN 2 ELSE 1 END AS asked FROM s
+""")
+def q_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions of all conversations through a provider that is busy, stops, forgets, refuses and fails, and a second one."""
+    asked = table(spark, sf_dir, "conversations").where("role = 'user' and trim(text) <> ''").groupBy("conv_id", "text").agg(F.min("turn").alias("ord"))
+    tasks = asked.select(F.col("conv_id").alias("batch"), F.concat_ws("-", "conv_id", "ord").alias("key"), "text", "ord")
+    return rounds.run(tasks, fresh_path(spark, "ledger"), stubs.faulty, stubs.second)
