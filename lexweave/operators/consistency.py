@@ -1,6 +1,7 @@
 """How consistently terms are rendered over ordered (source, target) pairs, and how renderings are unified.
 
-Pairs are rows (book, seq, source, target), with an optional chapter; a glossary as in glossary.py.
+Pairs are rows (book, seq, source, target), with an optional chapter; a glossary as in glossary.py. What is found in a book counts, and is
+changed, in that book only.
 """
 
 from __future__ import annotations
@@ -85,11 +86,11 @@ def write_back(found: DataFrame, least: int = 2) -> DataFrame:
 
 
 def plan_terms(plan: DataFrame) -> DataFrame:
-    """(category, terms array<struct<original,translation,source,aliases>>): the plan's updates as glossary terms by category."""
+    """(book, category, terms array<struct<original,translation,source,aliases>>): the plan's updates as glossary terms by book and category."""
     own = plan.where("action = 'apply'")
     one = F.struct("ord", "original", "translation", F.lit("consistency_fix").alias("source"), "aliases")
     bare = lambda x: F.struct(x["original"].alias("original"), x["translation"].alias("translation"), x["source"].alias("source"), x["aliases"].alias("aliases"))
-    return own.groupBy(F.coalesce(F.nullif("category", F.lit("")), F.lit("Item")).alias("category")).agg(F.transform(F.array_sort(F.collect_list(one)), bare).alias("terms"))
+    return own.groupBy("book", F.coalesce(F.nullif("category", F.lit("")), F.lit("Item")).alias("category")).agg(F.transform(F.array_sort(F.collect_list(one)), bare).alias("terms"))
 
 
 def merged_plan(existing: DataFrame, plan: DataFrame, overwrite: bool = False) -> DataFrame:
@@ -101,39 +102,39 @@ def merged_plan(existing: DataFrame, plan: DataFrame, overwrite: bool = False) -
 
 
 def checked(pairs: DataFrame, terms: DataFrame, most: int = 50) -> DataFrame:
-    """The write-back plan of a book after it is saved: only terms that its sources hold are checked."""
-    held = held_terms(pairs.select(F.struct("book", "seq").alias("at"), "source"), terms, "at", "source").select("original").distinct()
-    return write_back(issues(pairs, terms.join(held, "original", "left_semi"), most))
+    """The write-back plan of books after they are saved: only terms that a book's own sources hold are checked in it, as renderings() meets them there."""
+    return write_back(issues(pairs, terms, most))
 
 
 def unified_before_save(pairs: DataFrame, terms: DataFrame, most: int = 50) -> DataFrame:
     """(book, seq, target, replaced): the divergent terms' other renderings, as the check finds them, replaced by the wanted ones."""
     found = issues(pairs, terms, most).where("verdict = 'divergent'")
-    other = found.select("original", F.col("wanted").alias("winner"), F.explode("variants").alias("v")).select("original", "winner", F.col("v.rendering").alias("variant")).where("variant <> winner")
+    other = found.select("original", F.col("wanted").alias("winner"), F.explode("variants").alias("v"), "book").select("book", "original", "winner", F.col("v.rendering").alias("variant")).where("variant <> winner")
     return unified(pairs, other, terms)
 
 
 def safe_variants(variants: DataFrame, terms: DataFrame) -> DataFrame:
-    """From (original, winner, variant): reason why a variant can't be replaced, or ok: too short, part of the winner, or part of another term's translation."""
+    """From (original, winner, variant, and book where given): reason why a variant can't be replaced, or ok: too short, part of the winner, or part of another term's translation."""
     other = terms.select(F.col("original").alias("other"), F.col("translation").alias("t")).where("t <> ''")
     keyed = other.select("other", "t", F.explode(F.array_distinct(F.split("t", ""))).alias("c"))
     taken = variants.withColumn("c", F.substring("variant", 1, 1)).join(keyed, "c").where((F.col("other") != F.col("original")) & (F.instr("t", F.col("variant")) > 0)).select("original", "variant").distinct().withColumn("taken", F.lit(True))
     reason = F.when(F.instr("winner", F.col("variant")) > 0, "part_of_winner").when(F.length("variant") < 2, "short").when(F.col("taken"), "other_term").otherwise("ok")
-    return variants.join(taken, ["original", "variant"], "left").select("original", "winner", "variant", reason.alias("reason"))
+    return variants.join(taken, ["original", "variant"], "left").select(*[c for c in ("book", "original", "winner", "variant") if c in variants.columns], reason.alias("reason"))
 
 
 def unified(pairs: DataFrame, variants: DataFrame, terms: DataFrame, least: int = 2) -> DataFrame:
-    """(book, seq, target, replaced): safe variants replaced by the winner in targets whose source holds the term, where the winner stands in `least` such targets.
+    """(book, seq, target, replaced): safe variants replaced by the winner in targets whose source holds the term, where the winner stands in `least` such targets of the book.
 
-    Terms go in glossary order, each over the outcome of those before.
+    Variants (original, winner, variant) are those of all books, or with book of that one. Terms go in glossary order, each over the outcome of
+    those before.
     """
-    safe = safe_variants(variants, terms).where("reason = 'ok'").select("original", "winner", "variant")
-    held = held_terms(pairs.select(F.struct("book", "seq").alias("at"), "source"), safe, "at", "source").select(F.col("id.book").alias("book"), F.col("id.seq").alias("seq"), "original")
-    met = pairs.join(held, ["book", "seq"]).join(safe, "original")
-    per_term = met.select("book", "seq", "target", "original", "winner").distinct().groupBy("original", "winner").agg(F.count_if(F.instr("target", F.col("winner")) > 0).alias("held"))
-    strong = per_term.where(F.col("held") >= least).select("original", "winner")
+    safe = safe_variants(variants, terms).where("reason = 'ok'").drop("reason")
+    held = held_terms(pairs.select(F.struct("book", "seq").alias("at"), "source"), safe.select("original").distinct(), "at", "source").select(F.col("id.book").alias("book"), F.col("id.seq").alias("seq"), "original")
+    met = pairs.join(held, ["book", "seq"]).join(safe, [c for c in ("book", "original") if c in safe.columns])
+    per_term = met.select("book", "seq", "target", "original", "winner").distinct().groupBy("book", "original", "winner").agg(F.count_if(F.instr("target", F.col("winner")) > 0).alias("held"))
+    strong = per_term.where(F.col("held") >= least).select("book", "original", "winner")
     order = terms.select("original", category_rank(F.col("category")).alias("k"), "ord")
-    steps = met.join(strong, ["original", "winner"]).join(order, "original").groupBy("book", "seq").agg(F.array_sort(F.collect_list(F.struct("k", "ord", (-F.length("variant")).alias("l"), "variant", "winner"))).alias("steps"))
+    steps = met.join(strong, ["book", "original", "winner"]).join(order, "original").groupBy("book", "seq").agg(F.array_sort(F.collect_list(F.struct("k", "ord", (-F.length("variant")).alias("l"), "variant", "winner"))).alias("steps"))
     start = F.struct(F.col("target").alias("t"), F.lit(0).cast("long").alias("n"))
     count = lambda t, v: ((F.length(t) - F.length(F.replace(t, v, F.lit("")))) / F.length(v)).cast("long")
     done = F.aggregate(F.coalesce("steps", F.array().cast("array<struct<k:bigint,ord:int,l:int,variant:string,winner:string>>")), start, lambda a, s: F.struct(F.replace(a["t"], s["variant"], s["winner"]).alias("t"), (a["n"] + count(a["t"], s["variant"])).alias("n")))

@@ -213,7 +213,7 @@ def q_plan_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = X.PAIRS.df(spark).where("book in (1, 4)").unionByName(X.PAIRS.df(spark).where("book = 4 and seq = 1").withColumn("seq", F.lit(9)))
     found = consistency.plan_terms(consistency.checked(pairs.withColumn("book", F.lit(1)).withColumn("seq", F.monotonically_increasing_id()), X.TERMS.df(spark)))
     one = F.transform("terms", lambda t: F.concat(t["original"], F.lit("="), t["translation"], F.lit("("), F.array_join(t["aliases"], ","), F.lit(")")))
-    return found.select("category", F.array_join(one, ";").alias("terms"))
+    return found.select("category", F.array_join(one, ";").alias("terms"))  # of one book
 
 
 @query("SELECT * FROM (VALUES (6, 0, '劳拉，哭了。', 0), (6, 1, '「劳拉」等等。', 1), (6, 2, '劳拉和劳拉和劳拉。', 2), (6, 5, '劳拉ain-A·b', 1), (6, 6, '好', 0), (1, 0, '劳拉笑了。', 1)) AS v(book, seq, target, replaced)")
@@ -223,6 +223,50 @@ def q_presave_unify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistency.unified_before_save(own.withColumn("seq", F.col("seq") + 100 * F.col("book")).withColumn("b", F.col("book")).withColumn("book", F.lit(1)), X.TERMS.df(spark)).select(F.floor(F.col("seq") / 100).cast("int").alias("book"), (F.col("seq") % 100).alias("seq"), "target", "replaced")
 
 
+#: Answers that begin with one of three words, and three terms that questions hold, in books that are conversations.
+_RENDERED = [("the", "ALPHA"), ("der", "BETA"), ("que", "GAMMA")]
+_HEADS = """
+pairs AS (SELECT a.conv_id AS book, a.turn AS seq, a.text AS source, CASE (a.conv_id + a.turn) % 5 WHEN 0 THEN 'ALFA' WHEN 1 THEN 'BETAX' WHEN 2 THEN 'GAMMA' ELSE 'ALPHA' END AS head, b.text AS said
+          FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE trim(a.text) <> ''),
+answers AS (SELECT *, head || '。' || said AS target FROM pairs),
+terms AS (SELECT * FROM (VALUES (0, 'the', 'ALPHA'), (1, 'der', 'BETA'), (2, 'que', 'GAMMA')) v(ord, original, wanted)),
+met AS (SELECT *, contains(target, wanted) AS hit, CASE WHEN contains(target, wanted) THEN wanted ELSE left(head, least(length(wanted), 8)) END AS rendering FROM answers JOIN terms ON contains(source, original)),
+counted AS (SELECT book, ord, original, wanted, rendering, hit, count(*) AS n, min(seq) AS first FROM met GROUP BY ALL),
+terms_of AS (SELECT book, ord, original, wanted, list(rendering ORDER BY n DESC, NOT hit, first, rendering) AS all_of, max(n) AS top FROM counted GROUP BY ALL HAVING bool_or(hit) AND count(*) > 1)
+"""
+
+
+def _books(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c = table(spark, sf_dir, "conversations")
+    k = (F.col("book") + F.col("seq")) % 5
+    head = F.when(k == 0, "ALFA").when(k == 1, "BETAX").when(k == 2, "GAMMA").otherwise("ALPHA")
+    asked = c.where("trim(text) <> ''").select(F.col("conv_id").alias("book"), F.col("turn").alias("seq"), F.col("text").alias("source"))
+    pairs = asked.join(c.select(F.col("conv_id").alias("book"), (F.col("turn") - 1).alias("seq"), F.col("text").alias("said")), ["book", "seq"])
+    terms = spark.createDataFrame([("Item", n, o, w, "") for n, (o, w) in enumerate(_RENDERED)], "category string, ord int, original string, translation string, policy string")
+    return pairs.withColumn("target", F.concat(head, F.lit("。"), "said")).drop("said"), terms
+
+
+@query(f"WITH {_HEADS} SELECT book, string_agg(original || '=' || all_of[1] || '(' || array_to_string(all_of[2:], ',') || ')', ';' ORDER BY ord) AS terms FROM terms_of WHERE top >= 2 GROUP BY book")
+def q_books_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's divergent terms, and what its own glossary would say."""
+    found = consistency.plan_terms(consistency.checked(*_books(spark, sf_dir)))
+    one = F.transform("terms", lambda t: F.concat(t["original"], F.lit("="), t["translation"], F.lit("("), F.array_join(t["aliases"], ","), F.lit(")")))
+    return found.select("book", F.array_join(one, ";").alias("terms"))
+
+
+@query(f"""
+WITH {_HEADS},
+variants AS (SELECT book, ord, original, wanted, unnest(all_of) AS variant FROM terms_of),
+safe AS (SELECT * FROM variants v WHERE variant <> wanted AND NOT contains(wanted, variant) AND length(variant) >= 2 AND NOT EXISTS (SELECT 1 FROM terms t WHERE t.original <> v.original AND contains(t.wanted, v.variant))),
+strong AS (SELECT book, original, count(*) FILTER (hit) AS held FROM met GROUP BY ALL HAVING held >= 2),
+steps AS (SELECT book, seq, list(variant || '|' || safe.wanted ORDER BY safe.ord, length(variant) DESC, variant) AS steps FROM met JOIN safe USING (book, original) JOIN strong USING (book, original) GROUP BY book, seq)
+SELECT book, seq, list_reduce(coalesce(steps, []), lambda a, s: replace(a, split_part(s, '|', 1), split_part(s, '|', 2)), target) AS target FROM answers LEFT JOIN steps USING (book, seq)
+""")
+def q_books_unify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's divergent renderings made one before a save, and no other conversation's."""
+    return consistency.unified_before_save(*_books(spark, sf_dir)).select("book", "seq", "target")
+
+
 # --- control ------------------------------------------------------------------------------------------------------------
 
 _KINDS = "CASE WHEN user_id % 3 = 0 THEN 'rate' WHEN user_id % 3 = 1 THEN 'timeout' ELSE 'format' END"
