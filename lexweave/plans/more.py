@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
 from lexweave.functions import titles
-from lexweave.operators import book, cache, consistency, control, enrich, glossary, quality, rounds, runs
+from lexweave.operators import book, cache, consistency, control, enrich, glossary, quality, rounds, runs, tidy
 from lexweave.plans import fixtures as X
 from lexweave.plans import stubs
 from lexweave.plans.catalogue import _TERMS, _in, _terms, query, table
@@ -788,3 +788,28 @@ def q_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "conversations").where("role = 'user' and trim(text) <> ''").groupBy("conv_id", "text").agg(F.min("turn").alias("ord"))
     tasks = asked.select(F.col("conv_id").alias("batch"), F.concat_ws("-", "conv_id", "ord").alias("key"), "text", "ord")
     return rounds.run(tasks, fresh_path(spark, "ledger"), stubs.faulty, stubs.second)
+
+
+# --- a glossary made tidy ---------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH RECURSIVE words AS (SELECT word AS original, 'T' || left(word, 3) AS translation, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word FROM benchmark) GROUP BY word),
+own AS (SELECT * FROM words UNION ALL SELECT original || '様', translation, n FROM words WHERE n % 2 = 1),
+left_over AS (SELECT * FROM words),
+links AS (SELECT a.original AS a, b.original AS b FROM left_over a JOIN left_over b ON a.translation = b.translation AND a.original <> b.original AND length(a.original) >= 5 AND length(b.original) >= 5 AND levenshtein(a.original, b.original) = 1),
+reach AS (SELECT original AS node, original AS other FROM left_over UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other),
+roots AS (SELECT node, min(other) AS root FROM reach GROUP BY node),
+heads AS (SELECT root, first(original ORDER BY n DESC, length(original) DESC, original) AS head, sum(n) AS n, string_agg(original, ',' ORDER BY original) AS members FROM roots JOIN left_over ON original = node GROUP BY root)
+SELECT original, 'kept' AS outcome, NULL AS into, members, CAST(h.n AS BIGINT) AS n FROM heads h JOIN left_over ON original = head
+UNION ALL SELECT node, 'variant', head, NULL, NULL FROM roots JOIN heads USING (root) WHERE node <> head
+UNION ALL SELECT original || '様', 'address', original, NULL, NULL FROM words WHERE n % 2 = 1
+""")
+def q_tidy_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of the benchmark as terms, translated by their first letters: variants one letter apart made one, forms of address out."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0)).alias("original")).groupBy("original").agg(F.count("*").alias("n"))
+    own = words.select("original", F.concat(F.lit("T"), F.left("original", F.lit(3))).alias("value"), F.lit(None).cast("string").alias("info"), "n")
+    kept, gone = tidy.tidied(own.unionByName(own.where("n % 2 = 1").withColumn("original", F.concat("original", F.lit("様")))))
+    members = F.array_join(F.array_sort(F.array_append("aliases", F.col("original"))), ",")
+    none = F.lit(None)
+    return kept.select("original", F.lit("kept").alias("outcome"), none.cast("string").alias("into"), members.alias("members"), "n").unionByName(gone.select("original", F.col("reason").alias("outcome"), "into", none.cast("string").alias("members"), none.cast("long").alias("n")))
