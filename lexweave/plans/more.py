@@ -12,7 +12,7 @@ from lexweave.plans import fixtures as X
 from lexweave.plans import stubs
 from lexweave.plans.catalogue import _TERMS, _in, _terms, query, table
 from lexweave.plans.fixtures import Fixture
-from lexweave.sources import cache_table
+from lexweave.sources import cache_table, epub
 from lexweave.sources import html as H
 from lexweave.storage import fresh_path, stored
 from lexweave.streaming import control as stream_control
@@ -813,3 +813,35 @@ def q_tidy_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = F.array_join(F.array_sort(F.array_append("aliases", F.col("original"))), ",")
     none = F.lit(None)
     return kept.select("original", F.lit("kept").alias("outcome"), none.cast("string").alias("into"), members.alias("members"), "n").unionByName(gone.select("original", F.col("reason").alias("outcome"), "into", none.cast("string").alias("members"), none.cast("long").alias("n")))
+
+
+# --- books as files ---------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH docs AS (SELECT page_id // 20 AS book, 'p' || lpad(CAST(page_id AS VARCHAR), 9, '0') || '.xhtml' AS file_name, 'ZH ' || trim(regexp_replace(url, '\\s+', ' ', 'g')) AS title, sha256(html) AS digest FROM pages WHERE html IS NOT NULL AND url IS NOT NULL)
+SELECT CAST(book AS BIGINT) AS book, CAST(row_number() OVER (PARTITION BY book ORDER BY file_name) AS INTEGER) AS doc_idx, file_name, title, digest FROM docs
+UNION ALL SELECT DISTINCT CAST(book AS BIGINT), 0, 'translation-notice.xhtml', NULL, NULL FROM docs
+UNION ALL SELECT CAST(book AS BIGINT), CAST(count(*) + 1 AS INTEGER), 'nav.xhtml', NULL, NULL FROM docs GROUP BY book
+""")
+def q_epub_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty pages a book written as archives, their titles of contents translated and a notice put in, and all read back."""
+    pages = table(spark, sf_dir, "pages").where("html is not null and url is not null")
+    own = pages.select(F.floor(F.col("page_id") / 20).cast("long").alias("book"), F.concat(F.lit("p"), F.lpad(F.col("page_id").cast("string"), 9, "0"), F.lit(".xhtml")).alias("file_name"), F.trim(F.regexp_replace("url", "\\s+", " ")).alias("title"), "html")
+    bound = own.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("file_name", "title", "html"))).alias("docs"))
+
+    @F.udf("binary")
+    def made(book, docs):
+        return epub.new_book(f"Book {book}", "ja", [tuple(d) for d in docs])
+
+    files = stored(bound.select(F.format_string("%012d", "book").alias("path"), made("book", "docs").alias("content")), "books")
+    folder = fresh_path(spark, "epub")
+    names = own.select(F.format_string("%012d", "book").alias("path"), "title", F.concat(F.lit("ZH "), "title").alias("translation"))
+    books = files.select("path", F.concat("path", F.lit(".epub")).alias("name"), F.lit("书").alias("title"), F.lit("ltr").alias("direction"), F.lit("zh").alias("language"), F.lit("A notice.").alias("notice"))
+    none = spark.createDataFrame([], "path string, file_name string, html string")
+    # writing is an action of its own; what it reports is small
+    stored(epub.write(files, none, names, books, folder), "written")
+    number = lambda: F.regexp_extract("path", "(\\d+)\\.epub$", 1).cast("long").alias("book")
+    docs = epub.read(spark, folder).select(number(), "doc_idx", "file_name", F.when(F.col("file_name").startswith("p"), F.sha2("html", 256)).alias("digest"))
+    titles = epub.contents(spark, folder).select(number(), F.col("href").alias("file_name"), "title")
+    return docs.join(titles, ["book", "file_name"], "left").select("book", "doc_idx", "file_name", "title", "digest")

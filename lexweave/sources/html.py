@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from html import escape
+from html import escape, unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -245,11 +245,50 @@ def segments(body: Node) -> list[tuple[str, str, str, int, int, str]]:
     return out
 
 
+#: What the scanner takes for markup: comments, scripts and styles that are closed, declarations, tags; and tags that end a text.
+_MARKUP = re.compile("<!--.*?-->|<(script|style)\\b[^>]*>.*?</\\1\\s*>|<[!?/a-zA-Z][^>]*>", re.S | re.I)
+_BREAKS = re.compile(f"</?(?:br|{'|'.join((*SPLITS, *BLOCKS, 'body', 'html', 'head', 'title', 'td', 'th', 'tr', 'dt', 'dd'))})\\b", re.I)
+_BODY = re.compile("<body\\b[^>]*>", re.I)
+
+
+def scanned(html: str) -> list[tuple[str, str, str, int, int, str]]:
+    """segments() of a page's texts read without a tree: all that is no markup, after the start of the body if there is one."""
+    found = _BODY.search(html)
+    at = start = past = found.end() if found else 0
+    out: list[tuple[str, str, str, int, int, str]] = []
+    parts: list[str] = []
+
+    def end() -> None:
+        if compact(text := clean("".join(parts))):
+            out.append(("p", "", text, start, past, "loose"))
+        parts.clear()
+
+    for m in [*_MARKUP.finditer(html, at), None]:
+        upto = m.start() if m else len(html)
+        if upto > at:
+            start = start if parts else at
+            parts.append(unescape(html[at:upto]))
+            past = upto
+        if m is None or _BREAKS.match(m.group()):
+            end()
+        at = m.end() if m else upto
+    end()
+    return out
+
+
+def lost(html: str, root: Node) -> list[tuple[str, str, str, int, int, str]]:
+    """What scanned() finds where the tree has no visible text at all: an element that nobody closed has swallowed the page."""
+    body = next((n for n in root.walk() if n.tag == "body"), root)
+    return [] if compact(visible_text(body)) else scanned(html)
+
+
 def page_blocks(html: str) -> list[tuple[str, str, str]]:
     """(tag, anchor, text) of a page's blocks in order; empty blocks are left out."""
     if not (html or "").strip():
         return []
     root = parsed(html)
+    if rest := lost(html, root):
+        return [s[:3] for s in rest]
     body = next((n for n in root.walk() if n.tag == "body"), root)
     tags = [n for n in root.walk() if n.tag in BLOCKS]
     links = contents_links(body, tags)
@@ -299,6 +338,8 @@ def planned(html: str) -> list[tuple[str, str, str, int, int, str]]:
     if not (html or "").strip():
         return []
     root = parsed(html)
+    if rest := lost(html, root):
+        return [(mode, tag, "", start, end, own) for tag, _, own, start, end, mode in rest]
     body = next((n for n in root.walk() if n.tag == "body"), root)
     tags = [n for n in root.walk() if n.tag in BLOCKS]
     links = contents_links(body, tags)
