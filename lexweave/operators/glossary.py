@@ -377,10 +377,32 @@ def applied_to_book(nodes: DataFrame, titles: DataFrame, terms: DataFrame, most:
     return changed, summary.select((F.col("n") > 0).alias("ok"), "n", "texts")
 
 
+def json_text(c: Column) -> Column:
+    """A string as JSON writes it, with all characters beyond ASCII as they are."""
+    c = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for code in range(0x20):
+        short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}.get(code, f"\\u{code:04x}")
+        c = F.replace(c, F.lit(chr(code)), F.lit(short))
+    return F.concat(F.lit('"'), c, F.lit('"'))
+
+
+def canonical(terms: DataFrame, by: str = "profile") -> DataFrame:
+    """(by, canonical): each glossary as compact JSON with sorted keys: by category, in order, the terms' fields that have a value; aliases don't count.
+
+    A glossary becomes one text, as it does in a prompt; categories without terms are empty lists.
+    """
+    fields = sorted(c for c in ("original", "translation", "info", "policy", "source") if c in terms.columns)
+    given = [F.when(text(F.col(c)) != "", F.concat(F.lit(f'"{c}":'), json_text(F.col(c)))) for c in fields]
+    one = F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*given)), ","), F.lit("}"))
+    lists = terms.groupBy(by, "category").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", one.alias("j")))), lambda x: x["j"]), ",").alias("j"))
+    held = lists.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("category", "j"))).alias("m"))
+    parts = [F.concat(F.lit(f'"{c}":['), F.coalesce(F.try_element_at("m", F.lit(c)), F.lit("")), F.lit("]")) for c in sorted(CATEGORIES)]
+    return held.select(by, F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("canonical"))
+
+
 def fingerprint(terms: DataFrame, by: str = "profile") -> DataFrame:
-    """(by, fingerprint): 16 hex digits of each glossary's content, whatever its order; aliases don't count. Terms are digested one by one, and the digests in order."""
-    one = F.sha2(F.to_json(F.struct("category", "original", "translation", text(F.col("policy")).alias("policy"))), 256)
-    return terms.select(by, one.alias("h")).groupBy(by).agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256), 1, 16).alias("fingerprint"))
+    """(by, fingerprint): SHA-256 of each glossary's canonical form."""
+    return canonical(terms, by).select(by, F.sha2("canonical", 256).alias("fingerprint"))
 
 
 def profiles_by_name(profiles: DataFrame, asked: DataFrame) -> DataFrame:

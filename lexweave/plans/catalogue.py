@@ -1,4 +1,4 @@
-"""The registered queries of the library and the same in DuckDB's SQL, written from the semantics, not from the plans."""
+"""The registered queries of the library and the same in DuckDB's SQL, written from the semantics, not from the plans; and small known cases."""
 
 from __future__ import annotations
 
@@ -30,6 +30,22 @@ def query(sql: str | None = None):
     return add
 
 
+#: Small known cases, each with its answer: tests run them, nothing registers them.
+CASES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+CASE_SQL: dict[str, str] = {}
+
+
+def case(sql: str | None = None):
+    """Keep a query over fixed rows as a case for tests, under its function's name."""
+    def add(f):
+        CASES[f.__name__] = f
+        if sql:
+            CASE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -152,7 +168,7 @@ def q_layered_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MODEL_ROWS = f"""(SELECT *, string_split(cache_key, ':') AS p FROM {X.CACHE.sql} WHERE cache_type IN ('model', 'text', 'manual'))"""
 
 
-@query(f"""
+@case(f"""
 SELECT cache_type, cache_key, CASE WHEN cache_type = 'model' THEN p[-1] ELSE cache_key END AS source_hash, CASE WHEN cache_key LIKE 'v3ctx:%' THEN p[-2] END AS context_hash,
        CASE WHEN cache_type = 'model' THEN p[2] END AS provider,
        CASE cache_key[1:7] WHEN 'v2:a:m:' THEN 'm' WHEN 'v2:b:gl' THEN 'glm-4-flash' WHEN 'v2:b:m:' THEN 'm' WHEN 'v3ctx:a' THEN 'm' WHEN 'v2:c:x:' THEN 'x:y' END AS model,
@@ -165,7 +181,7 @@ def q_key_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.normalised(X.CACHE.df(spark))
 
 
-@query(f"""
+@case(f"""
 WITH e AS (SELECT cache_key, translated_text, updated_at, string_split(cache_key, ':')[-1] AS s, CASE WHEN cache_key LIKE 'v3ctx:%' THEN string_split(cache_key, ':')[-2] END AS c, cache_key LIKE '%:g0123456789abcdef:%' AS g FROM {X.CACHE.sql} WHERE cache_type = 'model')
 SELECT a.cache_key, b.cache_key AS found_key, b.translated_text FROM e a LEFT JOIN e b ON a.s = b.s AND a.c IS NOT DISTINCT FROM b.c AND a.cache_key <> b.cache_key AND NOT b.g
 QUALIFY row_number() OVER (PARTITION BY a.cache_key ORDER BY b.updated_at DESC NULLS LAST, b.cache_key) = 1
@@ -177,7 +193,7 @@ def q_cross_model_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.across_models(rows.where("cache_type = 'model'").select("cache_key", "source_hash", "context_hash"), rows)
 
 
-@query(f"""
+@case(f"""
 SELECT cache_type, cache_key, coalesce(n.source_text, b.source_text) AS source_text, CASE WHEN n.cache_key IS NULL THEN b.translated_text ELSE n.translated_text END AS translated_text,
        CASE WHEN n.cache_key IS NULL THEN b.trusted ELSE n.trusted END AS trusted, CASE WHEN n.cache_key IS NULL THEN b.verified ELSE n.verified END AS verified, coalesce(b.created_at, n.created_at) AS created_at,
        CASE WHEN n.cache_key IS NULL THEN b.updated_at ELSE n.updated_at END AS updated_at, coalesce(b.last_used_at, n.last_used_at) AS last_used_at, coalesce(b.hit_count, n.hit_count, 0) AS hit_count
@@ -188,19 +204,19 @@ def q_cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.upserted(X.CACHE.df(spark), X.NEW_CACHE.df(spark))
 
 
-@query(f"SELECT n.cache_key, n.translated_text FROM {X.NEW_CACHE.sql} n LEFT JOIN {X.CACHE.sql} b ON b.cache_type = 'text' AND b.cache_key = n.cache_key WHERE n.cache_type = 'text' AND NOT coalesce(b.verified, false) AND b.translated_text IS DISTINCT FROM n.translated_text")
+@case(f"SELECT n.cache_key, n.translated_text FROM {X.NEW_CACHE.sql} n LEFT JOIN {X.CACHE.sql} b ON b.cache_type = 'text' AND b.cache_key = n.cache_key WHERE n.cache_type = 'text' AND NOT coalesce(b.verified, false) AND b.translated_text IS DISTINCT FROM n.translated_text")
 def q_guarded_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C11: text entries that may be written."""
     return cache.guarded_text_saves(X.CACHE.df(spark), X.NEW_CACHE.df(spark).where("cache_type = 'text'")).select("cache_key", "translated_text")
 
 
-@query(f"SELECT cache_key FROM {X.CACHE.sql} WHERE NOT (coalesce(last_used_at, updated_at) < 80000000 - 30 * 86400 AND (cache_type = 'model' OR cache_type = 'text' AND NOT verified))")
+@case(f"SELECT cache_key FROM {X.CACHE.sql} WHERE NOT (coalesce(last_used_at, updated_at) < 80000000 - 30 * 86400 AND (cache_type = 'model' OR cache_type = 'text' AND NOT verified))")
 def q_cache_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries left after 30 days without use."""
     return cache.unexpired(X.CACHE.df(spark), 80_000_000, 10).select("cache_key")
 
 
-@query(f"SELECT cache_key FROM {X.CACHE.sql} WHERE NOT (cache_type = 'model' AND string_split(cache_key, ':')[2] = 'b' AND cache_key LIKE 'v2:b:glm-4-flash:%' AND updated_at < 50)")
+@case(f"SELECT cache_key FROM {X.CACHE.sql} WHERE NOT (cache_type = 'model' AND string_split(cache_key, ':')[2] = 'b' AND cache_key LIKE 'v2:b:glm-4-flash:%' AND updated_at < 50)")
 def q_scoped_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries left after one model's old entries went."""
     fields = cache.normalised(X.CACHE.df(spark)).select("cache_type", "cache_key", "provider", "model")
@@ -215,7 +231,7 @@ def q_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.with_usage(base, used).select("cache_type", "cache_key", "hit_count", "last_used_at")
 
 
-@query(f"SELECT cache_type, count(*) AS n FROM {X.CACHE.sql} GROUP BY cache_type")
+@case(f"SELECT cache_type, count(*) AS n FROM {X.CACHE.sql} GROUP BY cache_type")
 def q_cache_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A16."""
     return X.CACHE.df(spark).groupBy("cache_type").agg(F.count("*").alias("n"))
@@ -247,7 +263,7 @@ def q_fast_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.batch_statistics(batching.packed(_turns(spark, sf_dir), "lane", "ord", "text", 12, 800, 120, 700, fast=(16, 2600)))
 
 
-@query("SELECT texts, items, most, CASE WHEN texts >= 2000 AND eligible THEN least(most, greatest(items, least(most, greatest(8, 2 * items)))) ELSE items END AS effective FROM (SELECT CAST(t AS INTEGER) AS texts, CAST(i AS INTEGER) AS items, CAST(m AS INTEGER) AS most, i % 2 = 0 AS eligible FROM (VALUES (10), (1999), (2000), (9000)) a(t), (VALUES (1), (2), (3), (4), (6), (20)) b(i), (VALUES (4), (16)) c(m))")
+@case("SELECT texts, items, most, CASE WHEN texts >= 2000 AND eligible THEN least(most, greatest(items, least(most, greatest(8, 2 * items)))) ELSE items END AS effective FROM (SELECT CAST(t AS INTEGER) AS texts, CAST(i AS INTEGER) AS items, CAST(m AS INTEGER) AS most, i % 2 = 0 AS eligible FROM (VALUES (10), (1999), (2000), (9000)) a(t), (VALUES (1), (2), (3), (4), (6), (20)) b(i), (VALUES (4), (16)) c(m))")
 def q_effective_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B5 over a grid."""
     grid = spark.createDataFrame([(t, i, m) for t in (10, 1999, 2000, 9000) for i in (1, 2, 3, 4, 6, 20) for m in (4, 16)], "texts int, items int, most int")
@@ -280,13 +296,13 @@ SELECT CASE WHEN category IN ({_in(glossary.CATEGORIES)}) THEN category ELSE 'It
 WHERE original <> '' AND translation <> '' WINDOW p AS (PARTITION BY original))"""
 
 
-@query(f"SELECT category, ord, original, translation, policy, conflict, list_filter(raw, lambda x, i: list_position(raw, x) = i) AS aliases FROM {_NORMAL} WHERE r = 1")
+@case(f"SELECT category, ord, original, translation, policy, conflict, list_filter(raw, lambda x, i: list_position(raw, x) = i) AS aliases FROM {_NORMAL} WHERE r = 1")
 def q_glossary_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A raw glossary made uniform."""
     return glossary.normalised(X.GLOSSARY.df(spark))
 
 
-@query(f"SELECT scope, ord, original, translation FROM {X.PROFILES.sql} QUALIFY row_number() OVER (PARTITION BY original ORDER BY list_position(['global', 'genre', 'series', 'book'], scope) DESC, ord) = 1")
+@case(f"SELECT scope, ord, original, translation FROM {X.PROFILES.sql} QUALIFY row_number() OVER (PARTITION BY original ORDER BY list_position(['global', 'genre', 'series', 'book'], scope) DESC, ord) = 1")
 def q_profile_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Book before series, genre and global."""
     return glossary.by_scope(X.PROFILES.df(spark))
@@ -353,7 +369,7 @@ verdicts AS (SELECT *, CASE WHEN free THEN NULL WHEN wanted_hits > 0 AND kinds >
 ranked AS (SELECT book, original, rendering, count(*) AS n, row_number() OVER (PARTITION BY book, original ORDER BY count(*) DESC, bool_or(hit) DESC, min(seq)) AS place FROM seen WHERE rendering IS NOT NULL GROUP BY book, original, rendering)"""
 
 
-@query(f"""WITH {_ISSUES}
+@case(f"""WITH {_ISSUES}
 SELECT v.book, v.original, v.wanted, v.verdict, v.source_hits, coalesce((SELECT string_agg(rendering || ' ' || n, '; ' ORDER BY place) FROM ranked r WHERE v.verdict = 'divergent' AND r.book = v.book AND r.original = v.original), '') AS variants
 FROM verdicts v WHERE verdict IS NOT NULL""")
 def q_consistency_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,7 +379,7 @@ def q_consistency_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("book", "original", "wanted", "verdict", "source_hits", F.array_join(one, "; ").alias("variants"))
 
 
-@query(f"""WITH {_ISSUES}
+@case(f"""WITH {_ISSUES}
 SELECT v.book, v.category, v.original, CASE WHEN v.verdict = 'divergent' AND r.n >= 2 THEN 'apply' ELSE 'review' END AS action, CASE WHEN v.verdict = 'divergent' AND r.n >= 2 THEN r.rendering END AS translation, CASE WHEN v.verdict = 'divergent' AND r.n >= 2 THEN r.n ELSE 0 END AS n
 FROM verdicts v LEFT JOIN ranked r ON r.book = v.book AND r.original = v.original AND r.place = 1 WHERE verdict IS NOT NULL""")
 def q_writeback_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -384,7 +400,7 @@ def q_consistency_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("original", "wanted").agg(F.sum("n").alias("source_hits"), F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).alias("wanted_hits"), F.min(F.when(F.col("hit"), F.col("first_seq"))).alias("first_seq"))
 
 
-@query("SELECT * FROM (VALUES ('ローラ', '劳拉', '萝拉', 'ok'), ('ローラ', '劳拉', '罗拉', 'ok'), ('日の下町', '日之下町', '日下町', 'ok'), ('日の下町', '日之下町', '日下', 'ok'), ('アシビ', '马醉木', 'bb', 'ok'), ('the', 'THE', '二二', 'ok'), ('x', '很好的', '很好', 'part_of_winner'), ('x', '很好的', '好', 'part_of_winner'), ('x', '很好的', '坏', 'short'), ('x', '很好的', '马醉', 'other_term')) AS v(original, winner, variant, reason)")
+@case("SELECT * FROM (VALUES ('ローラ', '劳拉', '萝拉', 'ok'), ('ローラ', '劳拉', '罗拉', 'ok'), ('日の下町', '日之下町', '日下町', 'ok'), ('日の下町', '日之下町', '日下', 'ok'), ('アシビ', '马醉木', 'bb', 'ok'), ('the', 'THE', '二二', 'ok'), ('x', '很好的', '很好', 'part_of_winner'), ('x', '很好的', '好', 'part_of_winner'), ('x', '很好的', '坏', 'short'), ('x', '很好的', '马醉', 'other_term')) AS v(original, winner, variant, reason)")
 def q_safe_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which variants may be replaced."""
     g = _pairs_glossary(spark)
@@ -396,7 +412,7 @@ def q_safe_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 _UNIFY_TERMS = [("Person", 0, "ローラ", "劳拉", ["萝拉", "罗拉"]), ("Person", 1, "ユタカ", "丰", ["小丰"]), ("Item", 0, "アシビ", "马醉木", ["马醉", "夹竹"])]
 
 
-@query(f"""
+@case(f"""
 WITH own AS (SELECT * FROM {X.UNIFY.sql}), met AS (SELECT *, CASE WHEN contains(source, 'ローラ') THEN '劳拉' WHEN contains(source, 'ユタカ') THEN '丰' WHEN contains(source, 'アシビ') THEN '马醉木' END AS winner FROM own),
 held AS (SELECT book, winner, count(*) FILTER (contains(target, winner)) AS n FROM met GROUP BY book, winner)
 SELECT book, seq, CASE WHEN n < 2 OR n IS NULL THEN target WHEN winner = '劳拉' THEN replace(replace(target, '萝拉', winner), '罗拉', winner) WHEN winner = '丰' THEN replace(target, '小丰', winner) ELSE replace(target, '夹竹', winner) END AS target,
@@ -456,7 +472,7 @@ def q_save_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each[0].union(each[1]).union(each[2])
 
 
-@query(f"""
+@case(f"""
 SELECT k, {_strip("coalesce(dst, '')")} = '' OR (length(src) >= 20 AND length(trim(dst)) <= 1) OR (length(trim(dst)) >= 8 AND list_max(list_transform(string_split(trim(dst), ''), lambda c: length(trim(dst)) - length(replace(trim(dst), c, '')))) / length(trim(dst)) >= 0.65) OR k = 4 AS suspicious
 FROM {X.MISC.sql}
 """)
@@ -470,7 +486,7 @@ def q_suspicious_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RAW = "lower(concat_ws(' ', coalesce(outcome, ''), coalesce(CAST(status_code AS VARCHAR), ''), coalesce(error, '')))"
 
 
-@query(f"""
+@case(f"""
 SELECT id, CASE WHEN coalesce(category, '') <> '' THEN lower(trim(category)) WHEN regexp_matches({_RAW}, 'residue|日文残留') THEN 'residue' WHEN regexp_matches({_RAW}, '{runs.MODERATION}') THEN 'security' WHEN regexp_matches({_RAW}, 'timeout|超时') THEN 'timeout'
        WHEN regexp_matches({_RAW}, 'json|format|格式|parse') THEN 'format' WHEN status_code = 429 OR regexp_matches({_RAW}, 'rate|限流') THEN 'rate_limit' WHEN lower(coalesce(outcome, '')) = 'ok' AND (status_code IS NULL OR status_code BETWEEN 200 AND 299) THEN 'ok' ELSE 'failed' END AS class,
        coalesce(status_code IN (408, 429, 500, 502, 503, 504), false) AS retryable,
@@ -540,19 +556,19 @@ def q_outcome_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.outcome_counts(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "event_type", width="1 hour").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query(f"SELECT task_id, count(*) AS total, count(*) FILTER (status = 'success') AS completed, count(*) FILTER (status IN ('failed', 'residue', 'save_residue')) AS failed, CAST(sum(chars) AS BIGINT) AS chars, round_even(count(*) FILTER (status = 'success') / count(*), 4) AS progress FROM {X.SUBTASKS.sql} GROUP BY task_id")
+@case(f"SELECT task_id, count(*) AS total, count(*) FILTER (status = 'success') AS completed, count(*) FILTER (status IN ('failed', 'residue', 'save_residue')) AS failed, CAST(sum(chars) AS BIGINT) AS chars, round_even(count(*) FILTER (status = 'success') / count(*), 4) AS progress FROM {X.SUBTASKS.sql} GROUP BY task_id")
 def q_task_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5."""
     return runs.task_summary(X.SUBTASKS.df(spark))
 
 
-@query(f"SELECT p.task_id, p.index, p.source, sha1(p.source) AS source_hash, coalesce(s.status, 'pending') AS status, coalesce(s.translation, '') AS translation, CAST(length(p.source) AS INTEGER) AS chars FROM {X.PLAN.sql} p LEFT JOIN {X.SUBTASKS.sql} s ON p.task_id = s.task_id AND p.index = s.index AND p.source = s.source AND s.status IN ({_in(runs.DONE)})")
+@case(f"SELECT p.task_id, p.index, p.source, sha1(p.source) AS source_hash, coalesce(s.status, 'pending') AS status, coalesce(s.translation, '') AS translation, CAST(length(p.source) AS INTEGER) AS chars FROM {X.PLAN.sql} p LEFT JOIN {X.SUBTASKS.sql} s ON p.task_id = s.task_id AND p.index = s.index AND p.source = s.source AND s.status IN ({_in(runs.DONE)})")
 def q_subtask_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J8, F7, F18, ST7."""
     return runs.resumed(X.PLAN.df(spark), X.SUBTASKS.df(spark).withColumn("source_hash", F.sha1("source")))
 
 
-@query(f"""
+@case(f"""
 SELECT task_id, kind, text, translation, CAST(min(ord) AS INTEGER) AS ord, arg_min(reason, ord) AS reason, row_number() OVER (PARTITION BY task_id ORDER BY min(ord)) AS place FROM {X.BLOCKS.sql} b
 WHERE NOT EXISTS (SELECT 1 FROM {X.FIXED.sql} f WHERE f.task_id = b.task_id AND replace(f.text, ' ', '') = replace(b.text, ' ', '')) GROUP BY task_id, kind, text, translation
 """)
@@ -561,14 +577,14 @@ def q_failed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.failed_blocks(X.BLOCKS.df(spark), X.FIXED.df(spark)).withColumn("place", F.col("place").cast("long"))
 
 
-@query(f"SELECT task_id, ord, CASE WHEN reason = 'timeout' THEN 'timeout' WHEN reason = 'json' THEN 'json_format' WHEN trim(translation) = '' THEN 'empty_output' WHEN kind = 'residue' THEN 'residue_high' ELSE 'provider_error' END AS issue, CASE WHEN reason = 'timeout' THEN 'retry' WHEN reason = 'json' THEN 'single_retry' WHEN trim(translation) = '' THEN 'retry' WHEN kind = 'residue' THEN 'retranslate' ELSE 'switch_provider' END AS action FROM {X.BLOCKS.sql}")
+@case(f"SELECT task_id, ord, CASE WHEN reason = 'timeout' THEN 'timeout' WHEN reason = 'json' THEN 'json_format' WHEN trim(translation) = '' THEN 'empty_output' WHEN kind = 'residue' THEN 'residue_high' ELSE 'provider_error' END AS issue, CASE WHEN reason = 'timeout' THEN 'retry' WHEN reason = 'json' THEN 'single_retry' WHEN trim(translation) = '' THEN 'retry' WHEN kind = 'residue' THEN 'retranslate' ELSE 'switch_provider' END AS action FROM {X.BLOCKS.sql}")
 def q_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R1, R2, R4."""
     issue = runs.issue_class(F.col("reason"), F.col("translation"), F.when(F.col("kind") == "residue", "high"))
     return X.BLOCKS.df(spark).select("task_id", "ord", issue.alias("issue"), runs.recommended(issue).alias("action"))
 
 
-@query(f"""
+@case(f"""
 SELECT k, list_slice(list_concat(list_transform(regexp_extract_all(coalesce(version, ''), '\\d+'), lambda x: CAST(x AS INTEGER)), [0, 0, 0, 0]), 1, 4) AS version,
        CASE WHEN coalesce(secret, '') = '' THEN '' WHEN length(secret) <= 8 THEN '***' ELSE substr(secret, 1, 4) || '***' || right(secret, 4) END AS masked,
        CASE k WHEN 1 THEN 'a-b-c-txt' WHEN 2 THEN 'con' WHEN 3 THEN 'x-y-z' WHEN 4 THEN '正常-名' WHEN 5 THEN 'hello-world' ELSE 'profile' END AS slug,
@@ -600,7 +616,7 @@ def q_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.style(found.join(F.broadcast(ords), "genre"))
 
 
-@query("SELECT * FROM (VALUES (1, 0, 'a'), (1, 1, 'B'), (1, 2, NULL), (2, 0, 'x'), (2, 1, NULL)) AS v(batch_id, idx, value)")
+@case("SELECT * FROM (VALUES (1, 0, 'a'), (1, 1, 'B'), (1, 2, NULL), (2, 0, 'x'), (2, 1, NULL)) AS v(batch_id, idx, value)")
 def q_reply_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies by place."""
     return runs.aligned(X.REPLIES.df(spark))
@@ -628,14 +644,14 @@ def q_stage_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.run(table(spark, sf_dir, "conversations").where("role = 'user'")).select("batch", "key", "answer", "status", "route")
 
 
-@query("SELECT * FROM (VALUES (1, 0, 1, 'b'), (1, 1, 0, 'a'), (2, 0, NULL, 'x'), (2, 1, NULL, 'y'), (3, 0, 4, 'said \"so\" here'), (4, 0, 0, 'fenced')) AS v(batch_id, pos, idx, value)")
+@case("SELECT * FROM (VALUES (1, 0, 1, 'b'), (1, 1, 0, 'a'), (2, 0, NULL, 'x'), (2, 1, NULL, 'y'), (3, 0, 4, 'said \"so\" here'), (4, 0, 0, 'fenced')) AS v(batch_id, pos, idx, value)")
 def q_reply_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """items of well-formed, fenced and broken replies."""
     raw = ['{"translations": [{"idx": 1, "zh": "b"}, {"index": "0", "text": " a "}]}', 'Here: ["x", "y"] done', '{"items": [{"idx": 4, "zh": "said "so" here"}]', '```json\n[{"id": 0, "translation": "fenced"}]\n```', "nothing", None]
     return enrich.parsed_replies(spark.createDataFrame(list(enumerate(raw, 1)), "batch_id int, raw string"))
 
 
-@query("SELECT * FROM (VALUES (1, 'apply'), (2, 'invalid'), (3, 'provider_pinned'), (4, 'locked'), (5, 'manual_review'), (6, 'invalid')) AS v(k, verdict)")
+@case("SELECT * FROM (VALUES (1, 'apply'), (2, 'invalid'), (3, 'provider_pinned'), (4, 'locked'), (5, 'manual_review'), (6, 'invalid')) AS v(k, verdict)")
 def q_recovery_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What becomes of proposed recoveries."""
     rows = [(1, "timeout", "retry", 0.9, "a", "a"), (2, "timeout", "dance", 0.9, "", ""), (3, "timeout", "retry", 0.9, "a", "b"), (4, "moderation", "retry", 0.99, "", ""), (5, "timeout", "retry", 0.5, "", ""), (6, "timeout", "retry", 1.5, "", "")]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
 from lexweave.operators import batching, glossary, quality, runs
-from lexweave.plans import catalogue, more  # noqa: F401
+from lexweave.plans import catalogue, more, tables  # noqa: F401
 from lexweave.plans import fixtures as X
 from lexweave.sources import epub, html
 from lexweave.streaming import logs
@@ -35,12 +35,20 @@ def plain(v):
     return round(float(v), 6) if hasattr(v, "as_tuple") else v
 
 
+@pytest.mark.parametrize("name", sorted(catalogue.CASE_SQL))
+def test_case_equals_its_answer(spark, duck, sf_dir, name):
+    compared(duck, catalogue.CASES[name](spark, sf_dir), catalogue.CASE_SQL[name])
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
 def test_query_equals_sql(spark, duck, sf_dir, name):
-    df = catalogue.QUERIES[name](spark, sf_dir)
+    compared(duck, catalogue.QUERIES[name](spark, sf_dir), catalogue.ORACLE_SQL[name])
+
+
+def compared(duck, df, sql):
     columns = sorted(df.columns)
     own = sorted(repr(tuple(plain(r[c]) for c in columns)) for r in df.collect())
-    found = duck.sql(catalogue.ORACLE_SQL[name])
+    found = duck.sql(sql)
     assert sorted(found.columns) == columns
     other = sorted(repr(tuple(plain(r[found.columns.index(c)]) for c in columns)) for r in found.fetchall())
     assert own == other
