@@ -33,7 +33,7 @@ def _pick(n: Column, *values) -> Column:
 
 
 def _p(n: str, *values) -> str:
-    return f"([{', '.join('NULL' if v is None else chr(39) + str(v).replace(chr(39), chr(39) * 2) + chr(39) for v in values)}])[CAST({n} % {len(values)} AS INTEGER) + 1]"
+    return f"([{', '.join('NULL' if v is None else chr(39) + str(v).replace(chr(39), chr(39) * 2) + chr(39) for v in values)}])[CAST(({n}) % {len(values)} AS INTEGER) + 1]"
 
 
 # --- a cache whose entries are documents ------------------------------------------------------------------------------
@@ -148,3 +148,414 @@ def q_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = spark.createDataFrame([("はい", "A"), ("「いいえ」", "whole"), ("いいえ", "inner")], "phrase string, answer string")
     rules = own.select(c("w").alias("phrase"), F.concat(F.lit("W"), F.length("w").cast("string")).alias("answer")).distinct().unionByName(fixed)
     return cache.ruled(own.select("id", said.alias("text")), rules).select(c("id").alias("doc_id"), "answer")
+
+
+# --- logs, tasks and blocks --------------------------------------------------------------------------------------------
+
+_OUTCOMES = ("ok", "error", "OK", None, "residue")
+_ERRORS = (None, "Too many", "Read timeout", "JSON broken", "审核 not passed", "generate failed", "")
+_AFTER = (None, "7", "900", "junk", "-4", "2.5")
+_STATUS = (200, 429, None, 500, 404, 503, 408, 299)
+_EVENTS = f"""(SELECT event_id, CASE WHEN event_id % 11 = 0 THEN ' Custom ' END AS category, {_p('event_id', *_OUTCOMES)} AS outcome, CAST({_p('event_id // 2', *_STATUS)} AS INTEGER) AS status_code, {_p('user_id', *_ERRORS)} AS error,
+  {_p('event_id', *_AFTER)} AS retry_after, CAST(event_id % 7 AS INTEGER) AS attempt, CASE event_id % 4 WHEN 0 THEN 'api_key=K' || event_id || ' then  more' WHEN 1 THEN 'Authorization: Bearer b' || user_id || '; x' WHEN 2 THEN repeat(event_type || ' ', 60) ELSE 'key sk-' || repeat('a', CAST(10 + event_id % 5 AS INTEGER)) END AS summary FROM events)"""
+_RAW = "lower(concat_ws(' ', coalesce(outcome, ''), coalesce(CAST(status_code AS VARCHAR), ''), coalesce(error, '')))"
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = c("event_id")
+    bearer = F.concat(F.lit("Authorization: Bearer b"), c("user_id").cast("string"), F.lit("; x"))
+    said = F.when(i % 4 == 0, F.concat(F.lit("api_key=K"), i, F.lit(" then  more"))).when(i % 4 == 1, bearer).when(i % 4 == 2, F.expr("repeat(event_type || ' ', 60)")).otherwise(F.concat(F.lit("key sk-"), F.expr("repeat('a', cast(10 + event_id % 5 AS int))")))
+    return table(spark, sf_dir, "events").select(
+        i, F.when(i % 11 == 0, " Custom ").alias("category"), _pick(i, *_OUTCOMES).alias("outcome"), _pick(F.floor(i / 2), *_STATUS).cast("int").alias("status_code"), _pick(c("user_id"), *_ERRORS).alias("error"),
+        _pick(i, *_AFTER).alias("retry_after"), (i % 7).cast("int").alias("attempt"), said.alias("summary"),
+    )
+
+
+@query(f"""
+WITH own AS (SELECT *, trim(regexp_replace(summary, '\\s+', ' ', 'g')) AS flat FROM {_EVENTS}),
+hidden AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(flat, '(?i)(authorization\\s*[:=]\\s*bearer\\s+)[^\\s,;"''}}]+', '\\1***', 'g'), '(?i)(api[_-]?key\\s*[:=]\\s*)[^\\s,;"''}}]+', '\\1***', 'g'), '\\bsk-[A-Za-z0-9_\\-]{{12,}}\\b', '***', 'g') AS s FROM own)
+SELECT event_id, CASE WHEN category IS NOT NULL THEN 'custom' WHEN regexp_matches({_RAW}, 'residue') THEN 'residue' WHEN regexp_matches({_RAW}, 'timeout') THEN 'timeout' WHEN regexp_matches({_RAW}, 'json') THEN 'format'
+            WHEN status_code = 429 OR regexp_matches({_RAW}, 'rate') THEN 'rate_limit' WHEN lower(outcome) = 'ok' AND (status_code IS NULL OR status_code BETWEEN 200 AND 299) THEN 'ok' ELSE 'failed' END AS class,
+       coalesce(status_code IN (408, 429, 500, 502, 503, 504), false) AS retryable, CASE WHEN length(s) <= 240 THEN s ELSE rtrim(left(s, 240)) || '...' END AS snippet, CAST(CASE WHEN summary = '' THEN 0 ELSE greatest(1, length(summary) // 2) END AS INTEGER) AS tokens,
+       CASE WHEN retry_after IS NOT NULL THEN greatest(0.0, coalesce(TRY_CAST(retry_after AS DOUBLE), 0.0)) END AS after,
+       CASE WHEN TRY_CAST(retry_after AS DOUBLE) IS NULL THEN least(16.0, 2.0 * pow(2, attempt)) ELSE greatest(least(16.0, 2.0 * pow(2, attempt)), least(300.0, greatest(0.0, TRY_CAST(retry_after AS DOUBLE)))) END AS delay
+FROM hidden
+""")
+def q_log_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of all events: classes, snippets without secrets, tokens, waits."""
+    after = T.retry_after(c("retry_after"), F.to_timestamp(F.lit("2025-01-01 00:00:00")))
+    return _events(spark, sf_dir).select(
+        "event_id", runs.log_class(c("category"), c("outcome"), c("status_code"), c("error")).alias("class"), T.retryable(c("status_code")).alias("retryable"), T.snippet(c("summary")).alias("snippet"), T.log_tokens(c("summary")).alias("tokens"),
+        F.when(c("retry_after").isNotNull(), after).alias("after"), T.retry_delay(c("attempt"), after, F.lit(0.0)).alias("delay"),
+    )
+
+
+_STATES = ("success", "failed", "pending", "residue", "success", "save_residue")
+#: Turns as parts of tasks; blocks and reasons repeat.
+_PARTS = f"(SELECT CAST(conv_id AS VARCHAR) AS task_id, CAST(turn AS INTEGER) AS index, text AS source, {_p('conv_id + turn', *_STATES)} AS status, 'T' || left(text, 10) AS translation, CAST(length(text) AS INTEGER) AS chars FROM conversations)"
+_PLANNED = f"(SELECT task_id, index, CASE WHEN index % 4 = 1 THEN source || '!' ELSE source END AS source FROM {_PARTS} UNION ALL SELECT 'new' || task_id, index, source FROM {_PARTS} WHERE index = 0)"
+_REASONS = ("timeout", "JSON broken", "", "glossary conflict", "moderation", "other", "超时 again")
+_BLOCKS = f"(SELECT CAST(conv_id AS VARCHAR) AS task_id, CAST(turn AS INTEGER) AS ord, CASE WHEN turn % 3 = 0 THEN 'residue' ELSE 'failed' END AS kind, left(text, CAST(1 + conv_id % 3 AS INTEGER)) || ' x' AS text, {_p('conv_id + turn', *_REASONS)} AS reason, CASE WHEN turn % 2 = 0 THEN '' ELSE 'T' || (turn % 4) END AS translation FROM conversations)"
+_FIXED = f"(SELECT task_id, replace(text, ' ', '') AS text FROM {_BLOCKS} WHERE ord = 2)"
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "conversations")
+    return own.select(c("conv_id").cast("string").alias("task_id"), c("turn").cast("int").alias("index"), c("text").alias("source"), _pick(c("conv_id") + c("turn"), *_STATES).alias("status"), F.concat(F.lit("T"), F.left("text", F.lit(10))).alias("translation"), F.length("text").alias("chars"))
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "conversations")
+    head = F.concat(F.expr("left(text, cast(1 + conv_id % 3 AS int))"), F.lit(" x"))
+    translation = F.when(c("turn") % 2 == 0, "").otherwise(F.concat(F.lit("T"), (c("turn") % 4).cast("string")))
+    return own.select(c("conv_id").cast("string").alias("task_id"), c("turn").cast("int").alias("ord"), F.when(c("turn") % 3 == 0, "residue").otherwise("failed").alias("kind"), head.alias("text"), _pick(c("conv_id") + c("turn"), *_REASONS).alias("reason"), translation.alias("translation"))
+
+
+@query(f"SELECT task_id, count(*) AS total, count(*) FILTER (status = 'success') AS completed, count(*) FILTER (status IN ('failed', 'residue', 'save_residue')) AS failed, CAST(sum(chars) AS BIGINT) AS chars, round_even(count(*) FILTER (status = 'success') / count(*), 4) AS progress FROM {_PARTS} GROUP BY task_id")
+def q_task_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: conversations as tasks."""
+    return runs.task_summary(_parts(spark, sf_dir))
+
+
+@query(f"SELECT p.task_id, p.index, p.source, sha1(p.source) AS source_hash, coalesce(s.status, 'pending') AS status, coalesce(s.translation, '') AS translation, CAST(length(p.source) AS INTEGER) AS chars FROM {_PLANNED} p LEFT JOIN {_PARTS} s ON p.task_id = s.task_id AND p.index = s.index AND p.source = s.source AND s.status IN ({_in(runs.DONE)})")
+def q_subtask_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J8, F7, F18, ST7: tasks taken up again after a quarter of their texts changed, and new ones."""
+    own = _parts(spark, sf_dir)
+    plan = own.select("task_id", "index", F.when(c("index") % 4 == 1, F.concat("source", F.lit("!"))).otherwise(c("source")).alias("source"))
+    new = own.where("index = 0").select(F.concat(F.lit("new"), "task_id").alias("task_id"), "index", "source")
+    return runs.resumed(plan.unionByName(new), own.withColumn("source_hash", F.sha1("source")))
+
+
+@query(f"""
+SELECT task_id, kind, text, translation, CAST(min(ord) AS INTEGER) AS ord, arg_min(reason, ord) AS reason, row_number() OVER (PARTITION BY task_id ORDER BY min(ord)) AS place FROM {_BLOCKS} b
+WHERE NOT EXISTS (SELECT 1 FROM {_FIXED} f WHERE f.task_id = b.task_id AND regexp_replace(f.text, '\\s', '', 'g') = regexp_replace(b.text, '\\s', '', 'g')) GROUP BY task_id, kind, text, translation
+""")
+def q_failed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as blocks that failed, without those that were mended."""
+    own = _blocks(spark, sf_dir)
+    fixed = own.where("ord = 2").select("task_id", F.replace("text", F.lit(" "), F.lit("")).alias("text"))
+    return runs.failed_blocks(own, fixed).withColumn("place", c("place").cast("long"))
+
+
+_ISSUE = "CASE WHEN contains(reason, 'moderation') THEN 'moderation' WHEN regexp_matches(reason, 'timeout|超时') THEN 'timeout' WHEN contains(reason, 'glossary') THEN 'glossary' WHEN contains(lower(reason), 'json') THEN 'json_format' WHEN translation = '' THEN 'empty_output' WHEN kind = 'residue' THEN 'residue_' || CASE ord % 2 WHEN 0 THEN 'high' ELSE 'low' END ELSE 'provider_error' END"
+
+
+@query(f"""
+SELECT task_id, ord, issue, CASE issue WHEN 'moderation' THEN 'manual_review' WHEN 'timeout' THEN 'retry' WHEN 'glossary' THEN 'retry_with_glossary' WHEN 'json_format' THEN 'single_retry' WHEN 'empty_output' THEN 'retry' WHEN 'residue_high' THEN 'retranslate' WHEN 'residue_low' THEN 'accept_review' ELSE 'switch_provider' END AS action
+FROM (SELECT *, {_ISSUE} AS issue FROM {_BLOCKS})
+""")
+def q_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What went wrong with each turn, and what to do."""
+    risk = F.when(c("kind") == "residue", F.when(c("ord") % 2 == 0, "high").otherwise("low"))
+    issue = runs.issue_class(c("reason"), c("translation"), risk)
+    return _blocks(spark, sf_dir).select("task_id", "ord", issue.alias("issue"), runs.recommended(issue).alias("action"))
+
+
+@query(f"SELECT count(*) AS attempted, count(*) FILTER (s = 'success') AS success, count(*) FILTER (s = 'needs_review') AS needs_review, count(*) FILTER (s = 'boom') AS failed FROM (SELECT coalesce(nullif({_p('event_id', 'success', '', 'boom', 'needs_review')}, ''), 'needs_review') AS s FROM events WHERE event_id % 9 > 0)")
+def q_recovery_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as recoveries, some without a source or a status."""
+    i = c("event_id")
+    return runs.recovery_summary(table(spark, sf_dir, "events").select(F.when(i % 9 > 0, "s").otherwise("  ").alias("source"), _pick(i, "success", "", "boom", "needs_review").alias("status")))
+
+
+@query(f"""
+SELECT task_id, count(*) FILTER (kind = 'failed') AS failed, count(*) FILTER (kind <> 'failed') AS residue, arg_min(kind || ': ' || {catalogue._strip("regexp_replace(text, '\\s+', ' ', 'g')")} || ' — ' || reason, ord) AS line, least(count(*), 5) AS shown FROM {_BLOCKS} GROUP BY task_id
+""")
+def q_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each conversation's blocks say."""
+    return runs.diagnostics(_blocks(spark, sf_dir)).select("task_id", "failed", "residue", F.get("lines", F.lit(0)).alias("line"), F.size("lines").cast("long").alias("shown"))
+
+
+_BARE = "regexp_replace(text, '\\s+', '', 'g')"
+
+
+@query(f"""
+WITH s AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS task_id, CASE WHEN turn % 3 = 1 THEN {_BARE} ELSE text END AS source FROM conversations WHERE turn > 0),
+b AS (SELECT CAST(conv_id AS VARCHAR) AS task_id, turn, CASE WHEN turn % 2 = 0 THEN text ELSE {_BARE} END AS text FROM conversations),
+lone AS (SELECT task_id, regexp_replace(source, '\\s+', '', 'g') AS bare, count(*) AS n, min(source) AS one FROM s GROUP BY ALL)
+SELECT task_id, b.text, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.task_id = b.task_id AND s.source = b.text) THEN b.text WHEN n = 1 THEN one END AS source FROM b LEFT JOIN lone USING (task_id) WHERE bare = regexp_replace(b.text, '\\s+', '', 'g') AND bare <> ''
+UNION ALL SELECT task_id, b.text, NULL FROM b WHERE NOT EXISTS (SELECT 1 FROM lone o WHERE o.task_id = b.task_id AND o.bare <> '' AND o.bare = regexp_replace(b.text, '\\s+', '', 'g'))
+""")
+def q_block_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources of turns as blocks, some of either without spaces."""
+    own = table(spark, sf_dir, "conversations").select(c("conv_id").cast("string").alias("task_id"), "turn", "text")
+    bare = F.regexp_replace("text", "\\s+", "")
+    sources = own.where("turn > 0").select("task_id", F.when(c("turn") % 3 == 1, bare).otherwise(c("text")).alias("source"))
+    return runs.originals_of(own.select("task_id", F.when(c("turn") % 2 == 0, c("text")).otherwise(bare).alias("text")), sources).select("task_id", "text", "source")
+
+
+@query(f"""
+WITH raw AS (SELECT conv_id AS task_id, turn AS ord, turn % 3 AS k, left(text, 6) AS body, 'w' || (turn % 4) AS frag FROM conversations),
+rows AS (SELECT task_id, k, ord, {_p('k', 'failed', 'residue', 'save_residue')} AS kind, {catalogue._strip("regexp_replace(body, '\\s+', ' ', 'g')")} AS text, CASE k WHEN 0 THEN CASE WHEN ord % 2 = 0 THEN '未返回安全译文' ELSE 'again' END WHEN 1 THEN 'r' ELSE '保存前检查发现高风险日文残留' END AS reason,
+                 CASE k WHEN 1 THEN 'dst' WHEN 2 THEN {catalogue._strip("regexp_replace(body, '\\s+', ' ', 'g')")} ELSE '' END AS translation, CASE k WHEN 0 THEN '' WHEN 1 THEN frag ELSE 'x|' || frag END AS fragments FROM raw),
+one AS (SELECT task_id, kind, text, translation, min(k) AS k, min(ord) AS ord, arg_min(reason, ord) AS reason, arg_min(fragments, ord) AS fragments FROM rows WHERE text <> '' OR translation <> '' GROUP BY ALL)
+SELECT task_id, CAST(row_number() OVER (PARTITION BY task_id ORDER BY k, ord) - 1 AS INTEGER) AS ord, kind, text, reason, translation, fragments FROM one
+""")
+def q_block_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed blocks of conversations from details of failures, of residue, and from sample lines."""
+    raw = table(spark, sf_dir, "conversations").select(c("conv_id").alias("task_id"), c("turn").cast("int").alias("ord"), F.left("text", F.lit(6)).alias("body"), F.concat(F.lit("w"), (c("turn") % 4).cast("string")).alias("frag"))
+    none = F.array().cast("array<string>")
+    failed = raw.where("ord % 3 = 0").select("task_id", "ord", c("body").alias("text"), F.when(c("ord") % 2 == 0, "").otherwise("again").alias("reason"), F.lit(None).cast("string").alias("translation"), none.alias("fragments"))
+    residue = raw.where("ord % 3 = 1").select("task_id", "ord", c("body").alias("text"), F.lit("r").alias("reason"), F.lit("dst").alias("translation"), F.array("frag", F.concat(F.lit(" "), "frag"), F.lit("")).alias("fragments"))
+    samples = raw.where("ord % 3 = 2").select("task_id", "ord", F.concat(F.lit("fragment: x / "), "frag", F.lit(" | text: "), "body").alias("sample"))
+    return runs.normalised_blocks(failed, residue, samples).withColumn("fragments", F.array_join("fragments", "|"))
+
+
+@query("""
+SELECT user_id, total, failed, array_to_string(list_filter([CASE WHEN failed > 0 THEN CASE WHEN failed / total >= 0.05 THEN 'many_failed' ELSE 'some_failed' END END, CASE WHEN residue > 0 THEN 'residue' END, CASE WHEN divergent > 0 THEN 'divergent_terms' END], lambda x: x IS NOT NULL), ',') AS warnings
+FROM (SELECT user_id, count(*) AS total, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (value > 95) AS residue, count(*) FILTER (event_type = 'purchase' AND value < 5) AS divergent FROM events GROUP BY user_id)
+""")
+def q_self_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warnings of users' events as runs (their names are this library's own)."""
+    e = table(spark, sf_dir, "events")
+    own = e.groupBy(c("user_id").alias("task_id")).agg(F.count("*").alias("total"), F.count_if(c("event_type") == "error").alias("failed"), F.count_if(c("value") > 95).alias("residue"), F.count_if((c("event_type") == "purchase") & (c("value") < 5)).alias("divergent"))
+    return book.self_check(own).select(c("task_id").alias("user_id"), "total", "failed", F.array_join("warnings", ",").alias("warnings"))
+
+
+# --- glossaries ---------------------------------------------------------------------------------------------------------
+
+_CATEGORY = ("Person", "Location", "Org", "Item", "Skill", "Creature", "Odd")
+_POLICY = ("force", "固定", None, "参考", "上下文", "保留", "skip", "", "nonsense")
+#: A raw glossary: a document's first words as a term, its translation, and aliases; sources repeat, and conflict.
+_RAW_TERMS = f"""(SELECT {_p('doc_id', *_CATEGORY)} AS category, CAST(doc_id AS INTEGER) AS ord, CASE WHEN doc_id % 3 > 0 THEN left({_w(1)}, 3) END AS original, ' ' || left({_w(1)}, 3) AS src, CASE WHEN doc_id % 2 = 0 THEN left({_w(2)}, 2) END AS translation, left({_w(3)}, 2) AS dst,
+  {_p('doc_id // 3', *_POLICY)} AS policy, CASE WHEN doc_id % 4 > 0 THEN left({_w(2)}, 4) || '、' || left({_w(3)}, 1) || ';' || left({_w(2)}, 4) || ' |x' || left({_w(4)}, 2) END AS aliases FROM documents WHERE text IS NOT NULL)"""
+
+
+def _raw_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = c("doc_id")
+    left = lambda k, n: F.left(_word(k), F.lit(n))
+    return table(spark, sf_dir, "documents").where("text is not null").select(
+        _pick(i, *_CATEGORY).alias("category"), i.cast("int").alias("ord"), F.when(i % 3 > 0, left(1, 3)).alias("original"), F.concat(F.lit(" "), left(1, 3)).alias("src"), F.when(i % 2 == 0, left(2, 2)).alias("translation"), left(3, 2).alias("dst"),
+        _pick(F.floor(i / 3), *_POLICY).alias("policy"), F.when(i % 4 > 0, F.concat(left(2, 4), F.lit("、"), left(3, 1), F.lit(";"), left(2, 4), F.lit(" |x"), left(4, 2))).alias("aliases"),
+    )
+
+
+def _swapped(name: str, *pairs: tuple) -> str:
+    """A case's SQL, where it is computed from its rows, over other rows of the same columns."""
+    sql = catalogue.CASE_SQL[name]
+    for fixture, other in pairs:
+        sql = sql.replace(fixture.sql, other)
+    return sql
+
+
+@query(_swapped("q_glossary_normalize", (X.GLOSSARY, _RAW_TERMS)))
+def q_glossary_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raw glossary of all documents' first words made uniform."""
+    return glossary.normalised(_raw_terms(spark, sf_dir))
+
+
+_SCOPES = ("global", "book", "series", "genre")
+_SCOPED = f"(SELECT {_p('doc_id', *_SCOPES)} AS scope, CAST(doc_id AS INTEGER) AS ord, left({_w(1)}, 4) AS original, 't' || doc_id AS translation FROM documents WHERE text <> '')"
+
+
+@query(_swapped("q_profile_priority", (X.PROFILES, _SCOPED)))
+def q_profile_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of documents as profiles, book before series, genre and global."""
+    i = c("doc_id")
+    own = table(spark, sf_dir, "documents").where("text <> ''").select(_pick(i, *_SCOPES).alias("scope"), i.cast("int").alias("ord"), F.left(_word(1), F.lit(4)).alias("original"), F.concat(F.lit("t"), i).alias("translation"))
+    return glossary.by_scope(own)
+
+
+_LEVELS = ("force", "reference", None, "contextual", "preserve", "ignore", "")
+_FROM = ("", "auto", "自动提取", "user", "参考", " auto ", "confirmed")
+_INFO = ("", "主角", "参考用", "强制", "note")
+#: Terms: different first words of documents, the first document's fields.
+_MANY = f"""(SELECT {_p('doc_id', *_CATEGORY[:6])} AS category, CAST(doc_id AS INTEGER) AS ord, original, translation, {_p('doc_id', *_FROM)} AS source, {_p('doc_id // 2', *_INFO)} AS info, coalesce({_p('doc_id // 3', *_LEVELS)}, '') AS policy, aliases
+  FROM (SELECT min(doc_id) AS doc_id, w AS original, arg_min(t, doc_id) AS translation, arg_min(a, doc_id) AS aliases FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '！' || doc_id % 2 WHEN 1 THEN 'カ' || left({_w(1)}, 2) ELSE left({_w(1)}, 5) END AS w, 'T' || left({_w(2)}, 3) AS t, [left({_w(3)}, 4), 'A' || doc_id] AS a FROM documents WHERE text <> '') WHERE w <> '' AND t IS NOT NULL AND a[1] IS NOT NULL GROUP BY w))"""
+
+
+def _many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = c("doc_id")
+    left = lambda k, n: F.left(_word(k), F.lit(n))
+    w = F.when(i % 5 == 0, F.concat(F.lit("！"), (i % 2).cast("string"))).when(i % 5 == 1, F.concat(F.lit("カ"), left(1, 2))).otherwise(left(1, 5))
+    own = table(spark, sf_dir, "documents").where("text <> ''").select(i, w.alias("original"), F.concat(F.lit("T"), left(2, 3)).alias("t"), F.array(left(3, 4), F.concat(F.lit("A"), i)).alias("a")).where("original <> '' and t is not null and a[0] is not null")
+    one = own.groupBy("original").agg(F.min(F.struct("doc_id", "t", "a")).alias("d")).select("original", c("d.doc_id").alias("doc_id"), c("d.t").alias("translation"), c("d.a").alias("aliases"))
+    return one.select(_pick(i, *_CATEGORY[:6]).alias("category"), i.cast("int").alias("ord"), "original", "translation", _pick(i, *_FROM).alias("source"), _pick(F.floor(i / 2), *_INFO).alias("info"), F.coalesce(_pick(F.floor(i / 3), *_LEVELS), F.lit("")).alias("policy"), "aliases")
+
+
+@query(_swapped("q_prompt_lines", (more.MORE_TERMS, _MANY)))
+def q_prompt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How binding the terms of all documents are, what they should read, and their lines in a prompt."""
+    level = glossary.enforcement(c("original"), c("translation"), c("category"), c("source"), c("info"), c("policy"))
+    return _many(spark, sf_dir).select("ord", "category", "original", level.alias("level"), consistency.expected(c("translation"), c("original"), level).alias("wanted"), glossary.prompt_line(c("original"), c("translation"), c("policy"), c("info")).alias("line"))
+
+
+@query(_swapped("q_post_apply_terms", (more.MORE_TERMS, _MANY)))
+def q_post_apply_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is replaced after the fact, with aliases."""
+    return glossary.replacement_terms(_many(spark, sf_dir).withColumn("policy", glossary.policy(c("policy"))))
+
+
+@query(_swapped("q_glossary_sources", (more.MORE_TERMS, _MANY)))
+def q_glossary_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms by where they come from."""
+    return glossary.source_statistics(_many(spark, sf_dir))
+
+
+@query(_swapped("q_glossary_sizes", (more.MORE_TERMS, _MANY)))
+def q_glossary_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms by category."""
+    return _many(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query(_swapped("q_glossary_csv", (more.MORE_TERMS, _MANY)))
+def q_glossary_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A glossary as its CSV's columns."""
+    return glossary.csv_rows(_many(spark, sf_dir))
+
+
+_CSV = f"(SELECT {_p('doc_id', 'Person', '', 'x')} AS cat, CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE left({_w(1)}, 3) END AS src, CASE WHEN doc_id % 7 = 0 THEN '' ELSE left({_w(2)}, 3) END AS dst FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"WITH g AS (SELECT {catalogue._strip('src')} AS s, coalesce({catalogue._strip('dst')}, '') AS d FROM {_CSV}) SELECT count(DISTINCT CASE WHEN s <> '' AND d <> '' THEN s END) AS accepted, count(*) - count(DISTINCT CASE WHEN s <> '' AND d <> '' THEN s END) AS skipped FROM g")
+def q_csv_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a glossary of all documents' words, under one of its headers, that are taken and left out."""
+    i = c("doc_id")
+    own = table(spark, sf_dir, "documents").where("text is not null").select(
+        _pick(i, "Person", "", "x").alias("﻿Category"), F.when(i % 5 == 0, " ").otherwise(F.left(_word(1), F.lit(3))).alias("SRC"), F.when(i % 7 == 0, "").otherwise(F.left(_word(2), F.lit(3))).alias("Target")
+    )
+    return enrich.csv_statistics(enrich.csv_glossary(own))
+
+
+_SAID = ("角色", "Person", "人物", "", "生物", "技能", "odd", "地名")
+_CANDIDATES = f"""(SELECT CAST(doc_id AS INTEGER) AS ord, CASE WHEN doc_id % 4 = 0 THEN 'は、カ' ELSE '' END || left({_w(1)}, 3) AS src, left({_w(2)}, 2) AS dst, {_p('doc_id', *_SAID)} AS category, '' AS info, {_p('doc_id', None, '', 'user')} AS source, {_p('doc_id', '强制', 'ref', None)} AS policy, CASE WHEN doc_id % 3 = 0 THEN left({_w(3)}, 2) END AS aliases FROM documents WHERE text IS NOT NULL)"""
+_COMMON = _in([w for w in glossary.COMMON_WORDS])
+_NAMES = " ".join(f"WHEN lower(trim(category)) IN ({_in([w.lower() for w in words])}) THEN '{name}'" for name, words in reversed(glossary.CATEGORY_NAMES.items()))
+#: The rule of candidates: particles off, short and common ones out, the first of a source counts, the others' names are aliases.
+_CLEANED = f"""
+own AS (SELECT ord, {catalogue._strip("regexp_replace(src, '^は、', '')")} AS original, {catalogue._strip('dst')} AS translation, CASE {_NAMES} WHEN category IN ('Person', 'Location', 'Org', 'Item', 'Skill', 'Creature') THEN category ELSE 'Item' END AS category, coalesce(nullif(source, ''), 'auto') AS source,
+               CASE policy WHEN '强制' THEN 'force' WHEN 'ref' THEN 'reference' ELSE '' END AS policy, CASE WHEN length({catalogue._strip('aliases')}) >= 2 THEN [{catalogue._strip('aliases')}] ELSE [] END AS aliases FROM {_CANDIDATES}),
+kept AS (SELECT * FROM own WHERE length(original) >= 2 AND length(translation) >= 2 AND original NOT IN ({_COMMON}) AND translation NOT IN ({_COMMON})),
+firsts AS (SELECT original, min(ord) AS ord, arg_min(translation, ord) AS translation, arg_min(category, ord) AS c0, arg_min(source, ord) AS source, arg_min(policy, ord) AS policy, bool_or(category = 'Creature') AS creature, arg_min(category, ord) FILTER (category <> 'Item') AS other FROM kept GROUP BY original),
+names AS (SELECT original, list(name ORDER BY ord, j) AS names FROM (SELECT k.original, k.ord, unnest(l) AS name, generate_subscripts(l, 1) AS j FROM (SELECT k.original, k.ord, CASE WHEN k.ord = f.ord THEN k.aliases ELSE list_concat([k.translation], k.aliases) END AS l FROM kept k JOIN firsts f USING (original)) k) GROUP BY original),
+cleaned AS (SELECT f.ord, f.original, f.translation, CASE WHEN creature THEN 'Creature' WHEN c0 = 'Item' AND other IS NOT NULL THEN other ELSE c0 END AS category, source, policy,
+                   coalesce(list_filter(names, lambda x, i: list_position(names, x) = i AND x <> f.original AND x <> f.translation), []) AS aliases FROM firsts f LEFT JOIN names USING (original))
+"""
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = c("doc_id")
+    left = lambda k, n: F.left(_word(k), F.lit(n))
+    return table(spark, sf_dir, "documents").where("text is not null").select(
+        i.cast("int").alias("ord"), F.concat(F.when(i % 4 == 0, "は、カ").otherwise(""), left(1, 3)).alias("src"), left(2, 2).alias("dst"), _pick(i, *_SAID).alias("category"), F.lit("").alias("info"), _pick(i, None, "", "user").alias("source"), _pick(i, "强制", "ref", None).alias("policy"), F.when(i % 3 == 0, left(3, 2)).alias("aliases")
+    )
+
+
+@query(f"WITH {_CLEANED} SELECT ord, original, translation, category, source, policy, array_to_string(aliases, '|') AS aliases FROM cleaned")
+def q_clean_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of all documents made terms."""
+    return glossary.cleaned(_candidates(spark, sf_dir)).select("ord", "original", "translation", "category", "source", "policy", F.array_join("aliases", "|").alias("aliases"))
+
+
+@query(f"WITH {_CLEANED}, old AS (SELECT original, translation FROM {_MANY}) SELECT original, translation, 'kept' AS outcome FROM old UNION ALL SELECT original, translation, 'added' FROM cleaned ANTI JOIN old USING (original) WHERE category IN ('Person', 'Location', 'Creature')")
+def q_glossary_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates merged into a glossary; persons, places and creatures only."""
+    return glossary.extracted(_candidates(spark, sf_dir), _many(spark, sf_dir), lite=True).select("original", "translation", "outcome")
+
+
+_OWN = f"(SELECT DISTINCT ON (category, original) category, original, translation, 'manual' AS source FROM {_MANY} WHERE ord % 2 = 0)"
+_NEW = f"(SELECT category, original, CASE WHEN ord % 5 > 0 THEN 'P' || ord END AS new FROM {_MANY} WHERE ord % 3 > 0 AND ord % 5 > 0)"
+
+
+@query(f"SELECT category, original, CASE WHEN takes THEN new ELSE translation END AS translation, CASE WHEN takes THEN 'consistency_fix' ELSE source END AS source FROM (SELECT *, translation IS NULL AS takes FROM {_OWN} e FULL JOIN {_NEW} p USING (category, original))")
+def q_plan_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan merged into a glossary, whose own entries win."""
+    many = _many(spark, sf_dir)
+    plan = many.where("ord % 3 > 0").select("category", "original", F.when(c("ord") % 5 > 0, "apply").otherwise("review").alias("action"), F.concat(F.lit("P"), "ord").alias("translation"))
+    return consistency.merged_plan(many.where("ord % 2 = 0").select("category", "original", "translation", F.lit("manual").alias("source")), plan)
+
+
+@query(f"""
+WITH t AS (SELECT {_p('doc_id', *_CATEGORY[:6])} AS category, lang AS profile, doc_id AS ord, left(text, 9) AS original, 't' || doc_id AS translation, coalesce({_p('doc_id // 3', *_POLICY)}, '') AS policy FROM documents WHERE text <> ''),
+q AS (SELECT *, '"' || replace(replace(replace(original, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n') || '"' AS o FROM t),
+e AS (SELECT profile, category, string_agg('{{"original":' || o || CASE WHEN policy <> '' THEN ',"policy":"' || policy || '"' ELSE '' END || ',"translation":"' || translation || '"}}', ',' ORDER BY ord) AS j FROM q GROUP BY ALL)
+SELECT p.profile, sha256('{{' || string_agg('"' || k || '":[' || coalesce(j, '') || ']', ',' ORDER BY k) || '}}') AS fingerprint FROM (SELECT DISTINCT profile FROM e) p CROSS JOIN (SELECT unnest(['Person', 'Location', 'Org', 'Item', 'Skill', 'Creature']) AS k) LEFT JOIN e ON e.profile = p.profile AND e.category = k GROUP BY p.profile
+""")
+def q_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of each language's glossary, the beginnings of its documents, in canonical form."""
+    i = c("doc_id")
+    own = table(spark, sf_dir, "documents").where("text <> ''").select(c("lang").alias("profile"), _pick(i, *_CATEGORY[:6]).alias("category"), i.alias("ord"), F.left("text", F.lit(9)).alias("original"), F.concat(F.lit("t"), i).alias("translation"), _pick(F.floor(i / 3), *_POLICY).alias("policy"))
+    return glossary.fingerprint(own)
+
+
+_PROFILED = f"(SELECT doc_id AS id, {_p('doc_id', 'book', 'series', 'genre')} AS scope, CASE doc_id % 3 WHEN 0 THEN upper(source) || '!' WHEN 1 THEN source || ' x' ELSE ' ' || source || '--X' END AS name, CASE WHEN doc_id % 4 > 0 THEN doc_id * 7919 % 1009 END AS updated_at, doc_id AS created_at FROM documents)"
+
+
+@query(f"""
+WITH p AS (SELECT *, lower(trim(regexp_replace(name, '[^0-9A-Za-z]+', '-', 'g'), '-')) AS slug FROM {_PROFILED}), best AS (SELECT scope, slug, id FROM p QUALIFY row_number() OVER (PARTITION BY scope, slug ORDER BY coalesce(updated_at, created_at) DESC NULLS LAST, id) = 1)
+SELECT a.scope, a.name, b.id FROM (SELECT DISTINCT {_p('doc_id', 'book', 'series', 'genre', 'none')} AS scope, source || ' X' AS name FROM documents) a LEFT JOIN best b ON b.scope = a.scope AND b.slug = lower(trim(regexp_replace(a.name, '[^0-9A-Za-z]+', '-', 'g'), '-'))
+""")
+def q_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of documents by scope and name, however written, the latest of each."""
+    i = c("doc_id")
+    docs = table(spark, sf_dir, "documents")
+    name = F.when(i % 3 == 0, F.concat(F.upper("source"), F.lit("!"))).when(i % 3 == 1, F.concat("source", F.lit(" x"))).otherwise(F.concat(F.lit(" "), "source", F.lit("--X")))
+    own = docs.select(i.alias("id"), _pick(i, "book", "series", "genre").alias("scope"), name.alias("name"), F.when(i % 4 > 0, i * 7919 % 1009).alias("updated_at"), i.alias("created_at"))
+    asked = docs.select(_pick(i, "book", "series", "genre", "none").alias("scope"), F.concat("source", F.lit(" X")).alias("name")).distinct()
+    return glossary.profiles_by_name(glossary.listed_profiles(own), asked)
+
+
+# --- books that are conversations --------------------------------------------------------------------------------------
+
+_HEADS = more._HEADS
+#: Divergent terms, and those a book holds three times and never renders as wanted.
+_FOUND = f"""{_HEADS},
+every AS (SELECT book, ord, original, wanted, list(rendering ORDER BY n DESC, NOT hit, first, rendering) AS all_of, list(n ORDER BY n DESC, NOT hit, first, rendering) AS times, bool_or(hit) AS hit, CAST(sum(n) AS BIGINT) AS source_hits FROM counted GROUP BY ALL),
+found AS (SELECT *, CASE WHEN hit AND len(all_of) > 1 THEN 'divergent' WHEN NOT hit AND source_hits >= 3 THEN 'missing' END AS verdict FROM every)
+"""
+
+
+@query(f"WITH {_FOUND} SELECT book, original, wanted, verdict, source_hits, CASE verdict WHEN 'missing' THEN '' ELSE array_to_string(list_transform(all_of, lambda v, i: v || ' ' || times[i]), '; ') END AS variants FROM found WHERE verdict IS NOT NULL")
+def q_consistency_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each conversation renders in several ways, or never as wanted."""
+    found = consistency.issues(*more._books(spark, sf_dir))
+    one = F.transform("variants", lambda v: F.concat(v["rendering"], F.lit(" "), v["n"].cast("string")))
+    return found.select("book", "original", "wanted", "verdict", "source_hits", F.array_join(one, "; ").alias("variants"))
+
+
+@query(f"WITH {_FOUND} SELECT book, 'Item' AS category, original, CASE WHEN verdict = 'divergent' AND times[1] >= 2 THEN 'apply' ELSE 'review' END AS action, CASE WHEN verdict = 'divergent' AND times[1] >= 2 THEN all_of[1] END AS translation, CASE WHEN verdict = 'divergent' AND times[1] >= 2 THEN times[1] ELSE 0 END AS n FROM found WHERE verdict IS NOT NULL")
+def q_writeback_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each conversation's issues write back to its glossary."""
+    return consistency.checked(*more._books(spark, sf_dir)).select("book", "category", "original", "action", "translation", "n")
+
+
+_VARIANTS = f"(SELECT {_p('doc_id', 'the', 'der', 'que', 'none')} AS original, {_p('doc_id', 'ALPHA', 'BETA', 'GAMMA', 'DELTA')} AS winner, CASE doc_id % 5 WHEN 0 THEN left({_w(1)}, 1) WHEN 1 THEN 'ALPH' WHEN 2 THEN 'AMM' WHEN 3 THEN 'ELTA' ELSE left({_w(1)}, 4) END AS variant FROM documents WHERE text <> '' AND {_w(1)} <> '')"
+
+
+@query(f"""
+WITH t AS (SELECT * FROM (VALUES ('the', 'ALPHA'), ('der', 'BETA'), ('que', 'GAMMA')) v(original, t))
+SELECT original, winner, variant, CASE WHEN contains(winner, variant) THEN 'part_of_winner' WHEN length(variant) < 2 THEN 'short' WHEN EXISTS (SELECT 1 FROM t WHERE t.original <> v.original AND contains(t.t, v.variant)) THEN 'other_term' ELSE 'ok' END AS reason FROM (SELECT DISTINCT * FROM {_VARIANTS}) v
+""")
+def q_safe_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of all documents' first words may be replaced as variants."""
+    i = c("doc_id")
+    variant = F.when(i % 5 == 0, F.left(_word(1), F.lit(1))).when(i % 5 == 1, "ALPH").when(i % 5 == 2, "AMM").when(i % 5 == 3, "ELTA").otherwise(F.left(_word(1), F.lit(4)))
+    own = table(spark, sf_dir, "documents").where("text <> ''").select(_pick(i, "the", "der", "que", "none").alias("original"), _pick(i, "ALPHA", "BETA", "GAMMA", "DELTA").alias("winner"), variant.alias("variant"), _word(1).alias("w")).where("w <> ''").drop("w")
+    return consistency.safe_variants(own.distinct(), more._books(spark, sf_dir)[1])
+
+
+@query(f"""
+WITH {_HEADS},
+strong AS (SELECT book, original, count(*) FILTER (hit) AS held FROM met GROUP BY ALL HAVING held >= 2),
+steps AS (SELECT book, seq, bool_or(original = 'the') AS a, bool_or(original = 'der') AS b FROM met JOIN strong USING (book, original) GROUP BY book, seq),
+one AS (SELECT *, CASE WHEN a THEN replace(target, 'ALFA', 'ALPHA') ELSE target END AS t1, CASE WHEN a THEN (length(target) - length(replace(target, 'ALFA', ''))) / 4 ELSE 0 END AS n1 FROM answers LEFT JOIN steps USING (book, seq))
+SELECT book, seq, CASE WHEN b THEN replace(t1, 'BETTA', 'BETA') ELSE t1 END AS target, CAST(n1 + CASE WHEN b THEN (length(t1) - length(replace(t1, 'BETTA', ''))) / 5 ELSE 0 END AS BIGINT) AS replaced FROM one
+""")
+def q_unify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named variants replaced by the winner in each conversation where that is in use."""
+    pairs, terms = more._books(spark, sf_dir)
+    variants = spark.createDataFrame([("the", "ALPHA", "ALFA"), ("the", "ALPHA", "ALPH"), ("der", "BETA", "BETTA"), ("que", "GAMMA", "ALPHA")], "original string, winner string, variant string")
+    return consistency.unified(pairs, variants, terms)
+
+
+@query(catalogue.ORACLE_SQL["q_books_plan"].replace("SELECT book, string_agg", "SELECT book, 'Item' AS category, string_agg"))
+def q_plan_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7: each conversation's updates as glossary terms by category."""
+    return more.q_books_plan(spark, sf_dir).select("book", F.lit("Item").alias("category"), "terms")
+
+
+@query(catalogue.ORACLE_SQL["q_books_unify"].replace("AS target FROM answers LEFT JOIN steps", "<> target AS changed FROM answers LEFT JOIN steps"))
+def q_presave_unify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which answers change before a save."""
+    pairs, terms = more._books(spark, sf_dir)
+    return consistency.unified_before_save(pairs, terms).select("book", "seq", (c("replaced") > 0).alias("changed"))
