@@ -373,14 +373,17 @@ def _many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select(_pick(i, *_CATEGORY[:6]).alias("category"), i.cast("int").alias("ord"), "original", "translation", _pick(i, *_FROM).alias("source"), _pick(F.floor(i / 2), *_INFO).alias("info"), F.coalesce(_pick(F.floor(i / 3), *_LEVELS), F.lit("")).alias("policy"), "aliases")
 
 
-@query(_swapped("q_prompt_lines", (more.MORE_TERMS, _MANY)))
+@query(
+    _swapped("q_prompt_lines", (more.MORE_TERMS, _MANY)).replace("CASE policy WHEN '保留' THEN original", "CASE policy WHEN 'preserve' THEN original").replace("policy = '' AND info = '' OR policy = '忽略' AND info = ''", "policy IN ('', 'ignore') AND info = ''")
+    .replace("WHEN '保留' THEN '保留原文不翻译' WHEN '上下文' THEN", "WHEN 'preserve' THEN '保留原文不翻译' WHEN 'reference' THEN '仅供参考' WHEN 'contextual' THEN")
+)
 def q_prompt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How binding the terms of all documents are, what they should read, and their lines in a prompt."""
     level = glossary.enforcement(c("original"), c("translation"), c("category"), c("source"), c("info"), c("policy"))
     return _many(spark, sf_dir).select("ord", "category", "original", level.alias("level"), consistency.expected(c("translation"), c("original"), level).alias("wanted"), glossary.prompt_line(c("original"), c("translation"), c("policy"), c("info")).alias("line"))
 
 
-@query(_swapped("q_post_apply_terms", (more.MORE_TERMS, _MANY)))
+@query(_swapped("q_post_apply_terms", (more.MORE_TERMS, _MANY)).replace("('保留', '忽略')", "('preserve', 'ignore')").replace("* 100 + ord", "* 100000000 + ord"))
 def q_post_apply_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is replaced after the fact, with aliases."""
     return glossary.replacement_terms(_many(spark, sf_dir).withColumn("policy", glossary.policy(c("policy"))))
@@ -559,3 +562,328 @@ def q_presave_unify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which answers change before a save."""
     pairs, terms = more._books(spark, sf_dir)
     return consistency.unified_before_save(pairs, terms).select("book", "seq", (c("replaced") > 0).alias("changed"))
+
+
+# --- pairs, replies and titles -----------------------------------------------------------------------------------------
+
+_MISC = f"""(SELECT doc_id AS k, left(text, 12) || CASE doc_id % 4 WHEN 0 THEN ' /a: ' WHEN 1 THEN '..' WHEN 2 THEN '' ELSE '?.epub' END AS name, 'v' || (doc_id % 7) || '.' || (doc_id % 13) || CASE WHEN doc_id % 3 = 0 THEN '.1.2.3' ELSE '' END AS version, left(text, CAST(doc_id % 12 AS INTEGER)) AS secret, left(text, 30) AS src,
+  CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN left(text, 1) WHEN 2 THEN 'abcabcabcabcabc' WHEN 3 THEN 'aaaaaaaaab' WHEN 4 THEN left(text, 10) END AS dst, CAST(doc_id * 37 % 3000 AS INTEGER) AS texts, CAST(doc_id * 37 % 3000 % 5 AS INTEGER) AS failed, CAST(n_chars AS INTEGER) AS chars, CAST(doc_id * 91 % 8000 AS DOUBLE) / 2 AS seconds FROM documents WHERE text IS NOT NULL)"""
+
+
+def _misc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = c("doc_id")
+    ends = F.when(i % 4 == 0, " /a: ").when(i % 4 == 1, "..").when(i % 4 == 2, "").otherwise("?.epub")
+    dst = F.when(i % 6 == 0, "").when(i % 6 == 1, F.left("text", F.lit(1))).when(i % 6 == 2, "abcabcabcabcabc").when(i % 6 == 3, "aaaaaaaaab").when(i % 6 == 4, F.left("text", F.lit(10)))
+    version = F.concat(F.lit("v"), (i % 7).cast("string"), F.lit("."), (i % 13).cast("string"), F.when(i % 3 == 0, ".1.2.3").otherwise(""))
+    return table(spark, sf_dir, "documents").where("text is not null").select(
+        i.alias("k"), F.concat(F.left("text", F.lit(12)), ends).alias("name"), version.alias("version"), F.expr("left(text, cast(doc_id % 12 AS int))").alias("secret"), F.left("text", F.lit(30)).alias("src"), dst.alias("dst"),
+        (i * 37 % 3000).cast("int").alias("texts"), (i * 37 % 3000 % 5).cast("int").alias("failed"), c("n_chars").cast("int").alias("chars"), ((i * 91 % 8000).cast("double") / 2).alias("seconds"),
+    )
+
+
+@query(_swapped("q_suspicious_pairs", (X.MISC, _MISC)).replace("OR k = 4 AS", "OR coalesce(trim(dst) = 'abcabcabcabcabc', false) AS"))
+def q_suspicious_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Translations of all documents' beginnings that are empty, too short, or say one thing over and over."""
+    return _misc(spark, sf_dir).select("k", T.suspicious_pair(c("src"), c("dst")).alias("suspicious"))
+
+
+_TRIM = "regexp_replace({0}, '^[ ._]+|[ ._]+$', '', 'g')"
+_SAFE = _TRIM.format(catalogue._strip("regexp_replace(regexp_replace(name, '[<>:\"/\\\\|?*\\x00-\\x1f]', '_', 'g'), '\\s+', ' ', 'g')"))
+_NO_EPUB = f"CASE WHEN lower({_SAFE}) LIKE '%.epub' THEN {_TRIM.format(f'regexp_replace({_SAFE}, chr(92) || chr(46) || chr(101) || chr(112) || chr(117) || chr(98) || chr(36), chr(0) || chr(0), chr(105))')} ELSE {_SAFE} END".replace("chr(0) || chr(0)", "''").replace("chr(105)", "'i'")
+
+
+@query(f"""
+SELECT k, list_slice(list_concat(list_transform(regexp_extract_all(version, '\\d+'), lambda x: CAST(x AS INTEGER)), [0, 0, 0, 0]), 1, 4) AS version, CASE WHEN secret = '' THEN '' WHEN length(secret) <= 8 THEN '***' ELSE substr(secret, 1, 4) || '***' || right(secret, 4) END AS masked,
+       left(CASE WHEN s = '' THEN 'profile' ELSE lower(s) END, 64) AS slug, {_NO_EPUB} || CASE WHEN regexp_matches(upper(split_part({_NO_EPUB}, '.', 1)), '^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$') THEN '_' ELSE '' END AS file_name, round_even(100 * (texts - failed) / nullif(texts, 0), 1) AS success, round_even(texts / nullif(seconds, 0), 2) AS texts_s,
+       CASE WHEN m < 60 THEN m || ' min' ELSE (m // 60) || ' h' || CASE WHEN m % 60 > 0 THEN ' ' || (m % 60) || ' min' ELSE '' END END AS duration,
+       greatest(ceil(texts / 4) * 3.0 / 2.95, chars / (90 * 2.95)) + greatest(10.0, 0.02 * texts) AS estimate, CAST(floor(chars / 4) + 12 * greatest(1, texts) AS BIGINT) AS budget
+FROM (SELECT *, trim(regexp_replace({catalogue._strip('name')}, '[^0-9A-Za-z\\x{{4e00}}-\\x{{9fff}}]+', '-', 'g'), '-') AS s, CAST(greatest(1, ceil(seconds / 60)) AS INTEGER) AS m FROM {_MISC})
+""")
+def q_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers, names and secrets of all documents."""
+    rate, texts_s, _ = runs.run_statistics(c("texts"), c("failed"), c("chars"), c("seconds"))
+    return _misc(spark, sf_dir).select(
+        "k", T.version(c("version")).alias("version"), T.mask(c("secret")).alias("masked"), T.slug(c("name")).alias("slug"), titles.file_name(c("name")).alias("file_name"), rate.alias("success"), texts_s.alias("texts_s"), T.duration_text(c("seconds")).alias("duration"),
+        runs.duration_estimate(c("texts"), c("chars"), F.lit(90), F.lit(3.0), F.lit(4), F.lit(4)).alias("estimate"), T.budget_tokens(c("chars"), c("texts")).alias("budget"),
+    )
+
+
+_REPLIES = "(SELECT conv_id AS batch_id, turn AS pos, CASE turn % 3 WHEN 0 THEN NULL WHEN 1 THEN turn - 1 ELSE turn + conv_id % 4 - 2 END AS idx, CASE WHEN turn % 5 = 4 THEN '' ELSE 'v' || turn END AS value, 3 + conv_id % 3 AS n FROM conversations)"
+
+
+@query(f"""
+WITH r AS (SELECT batch_id, coalesce(idx, pos) AS i, pos, value, n FROM {_REPLIES}), best AS (SELECT batch_id, i, arg_max(value, pos) AS value FROM r WHERE i >= 0 AND i < n AND value <> '' GROUP BY ALL),
+places AS (SELECT batch_id, unnest(range(max(n))) AS i FROM r GROUP BY batch_id)
+SELECT batch_id, CAST(i AS INTEGER) AS idx, value FROM places LEFT JOIN best USING (batch_id, i)
+""")
+def q_reply_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as replies, put in the places they name, or in which they stand."""
+    t, b = c("turn"), c("conv_id")
+    idx = F.when(t % 3 == 1, t - 1).when(t % 3 == 2, t + b % 4 - 2)
+    own = table(spark, sf_dir, "conversations").select(b.alias("batch_id"), t.cast("int").alias("pos"), idx.cast("int").alias("idx"), F.when(t % 5 == 4, "").otherwise(F.concat(F.lit("v"), t.cast("string"))).alias("value"), (3 + b % 3).cast("int").alias("n"))
+    return runs.aligned(own).select("batch_id", "idx", "value")
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, text, conv_id % 5 AS k, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations)
+SELECT conv_id AS batch_id, CAST(pos AS INTEGER) AS pos, CAST(CASE k WHEN 0 THEN turn WHEN 2 THEN turn WHEN 3 THEN turn END AS INTEGER) AS idx, CASE k WHEN 3 THEN 'said "so" ' || turn WHEN 1 THEN text ELSE trim(text, ' ' || chr(10)) END AS value FROM t WHERE k < 4 AND (k = 1 OR trim(text, ' ' || chr(10)) <> '')
+""")
+def q_reply_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """each conversation as a reply: well formed, a bare list after words, fenced, broken by quotes, or none."""
+    k = c("conv_id") % 5
+    rows = F.array_sort(F.collect_list(F.struct(c("turn").cast("int").alias("turn"), "text")))
+    own = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(rows.alias("t"))
+    whole = F.to_json(F.struct(F.transform("t", lambda x: F.struct(x["turn"].alias("idx"), x["text"].alias("zh"))).alias("translations")))
+    bare = F.concat(F.lit("Here: "), F.to_json(F.transform("t", lambda x: x["text"])), F.lit(" done"))
+    fenced = F.concat(F.lit("```json\n"), F.to_json(F.transform("t", lambda x: F.struct(x["turn"].cast("string").alias("id"), x["text"].alias("translation")))), F.lit("\n```"))
+    broken = F.concat(F.lit('{"items": ['), F.array_join(F.transform("t", lambda x: F.concat(F.lit('{"idx": '), x["turn"].cast("string"), F.lit(', "zh": "said "so" '), x["turn"].cast("string"), F.lit('"}'))), ", "), F.lit("]"))
+    raw = F.when(k == 0, whole).when(k == 1, bare).when(k == 2, fenced).when(k == 3, broken).otherwise("nothing")
+    return enrich.parsed_replies(own.select(c("conv_id").alias("batch_id"), raw.alias("raw")))
+
+
+_ACTIONS, _PINS = ("retry", "dance", "manual_review", "switch_provider", None), ("", "a", "b")
+_PROPOSED = f"(SELECT event_id, {_p('event_id', 'timeout', 'moderation', 'other')} AS issue, {_p('user_id', *_ACTIONS)} AS action, CASE WHEN event_id % 7 > 0 THEN value / 90 END AS confidence, {_p('event_id', *_PINS)} AS provider, {_p('user_id', *_PINS)} AS pinned FROM events)"
+
+
+@query(f"SELECT event_id, CASE WHEN coalesce(action, 'dance') = 'dance' OR confidence IS NULL OR confidence > 1 OR confidence < 0 THEN 'invalid' WHEN pinned <> '' AND provider <> '' AND provider <> pinned THEN 'provider_pinned' WHEN issue = 'moderation' AND action <> 'manual_review' THEN 'locked' WHEN confidence < 0.85 THEN 'manual_review' ELSE 'apply' END AS verdict FROM {_PROPOSED}")
+def q_recovery_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of a recovery proposed for each event."""
+    i, u = c("event_id"), c("user_id")
+    return table(spark, sf_dir, "events").select(i, enrich.decision(_pick(i, "timeout", "moderation", "other"), _pick(u, *_ACTIONS), F.when(i % 7 > 0, c("value") / 90), _pick(i, *_PINS), _pick(u, *_PINS)).alias("verdict"))
+
+
+_ASKED = "(SELECT conv_id, turn, text, (conv_id + turn) % 4 AS k, turn % 3 AS tried FROM conversations)"
+
+
+@query(f"""
+SELECT conv_id, turn, CASE WHEN answer IS NULL THEN 'needs_review' ELSE 'success' END AS status, answer FROM (SELECT *, CASE WHEN tried >= 2 OR trim(text) = '' THEN NULL WHEN k = 0 AND NOT regexp_matches(text, '^[0-9]') THEN 'ZH:' || text WHEN k = 1 THEN 'second' WHEN k = 3 THEN text END AS answer FROM {_ASKED})
+""")
+def q_recovery_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recoveries of turns carried out with a stub provider and a second one; some were tried often enough."""
+    k = (c("conv_id") + c("turn")) % 4
+    action = F.when(k == 0, "retry").when(k == 1, "switch_provider").when(k == 2, "manual_review").otherwise("accept_review")
+    own = table(spark, sf_dir, "conversations").select(
+        F.struct("conv_id", "turn").alias("key"), c("text").alias("source"), c("text").alias("translation"), F.when(k == 3, "residue_low").otherwise("timeout").alias("issue"), action.alias("action"), (c("turn") % 3).cast("int").alias("attempts")
+    )
+    return enrich.executed(own, enrich.stub, _second).select("key.conv_id", "key.turn", "status", "answer")
+
+
+def _second(texts: list[str]) -> list[str | None]:
+    return ["second"] * len(texts)
+
+
+_LETTERS = f"regexp_replace({_w(1)}, '[^A-Za-z]', '', 'g')"
+
+
+def _letters() -> Column:
+    return F.regexp_replace(_word(1), "[^A-Za-z]", "")
+
+
+@query(f"""
+SELECT doc_id, CASE k WHEN 0 THEN w WHEN 1 THEN w WHEN 2 THEN '' ELSE '' END AS name, CASE k WHEN 2 THEN '' WHEN 3 THEN w || 'かな' ELSE w END AS title
+FROM (SELECT doc_id, doc_id % 4 AS k, {_LETTERS} AS w FROM documents WHERE text <> '') WHERE length(w) > 3
+""")
+def q_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and titles of documents' first words: as they are, with a note, refused, with kana left over."""
+    i = c("doc_id")
+    own = table(spark, sf_dir, "documents").where("text <> ''").select(i, _letters().alias("w")).where(F.length("w") > 3)
+    said = F.when(i % 4 == 0, c("w")).when(i % 4 == 1, F.concat("w", F.lit("（译者注：x）"))).when(i % 4 == 2, "抱歉，无法翻译").otherwise(F.concat("w", F.lit("かな")))
+    return own.select(i, titles.safe_name(said).alias("name"), titles.clean_title(said).alias("title"))
+
+
+@query(f"""
+SELECT doc_id, w AS stem, CASE k WHEN 2 THEN '' ELSE w END AS safe, k = 0 AS japanese, k <> 0 AS chinese, '浅仓学' || w AS simple FROM (SELECT doc_id, doc_id % 3 AS k, {_LETTERS} AS w FROM documents WHERE text <> '') WHERE length(w) > 3
+""")
+def q_title_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stems of files, the first safe of two proposals, scripts, simplified names."""
+    i, w = c("doc_id"), c("w")
+    own = table(spark, sf_dir, "documents").where("text <> ''").select(i, _letters().alias("w")).where(F.length("w") > 3)
+    stem = F.concat(F.lit(" "), w, F.when(i % 2 == 0, "+(site) x").otherwise(" ＋(b)"))
+    title = F.when(i % 3 == 0, F.concat(w, F.lit("かな"))).when(i % 3 == 1, F.concat(F.lit("书 "), w)).otherwise(w)
+    two = F.when(i % 3 == 2, "あいう").otherwise(w)
+    return own.select(i, titles.source_title(stem).alias("stem"), titles.first_safe([F.lit("抱歉，无法翻译"), two]).alias("safe"), titles.japanese_title(title).alias("japanese"), titles.chinese_title(title).alias("chinese"), titles.simplified(F.concat(F.lit("淺倉學"), w)).alias("simple"))
+
+
+@query(f"""
+SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'stop' WHEN 1 THEN 'length' END AS finish, CASE WHEN event_id % 3 < 2 AND user_id > 0 AND event_id % 4 > 0 THEN user_id END AS tokens,
+       'https://' || event_type || '/v1/chat/completions' AS url, CASE event_id % 3 WHEN 1 THEN 'draft' ELSE 't' || user_id END AS answer, user_id % 10 > event_id % 10 AS newer FROM events
+""")
+def q_reply_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of replies made of events, addresses, answers without notes, versions."""
+    i, u = c("event_id"), c("user_id")
+    why = F.when(i % 3 == 0, "stop").otherwise("length")
+    reply = F.when(i % 3 < 2, F.to_json(F.struct(F.array(F.struct(why.alias("finish_reason"))).alias("choices"), F.struct(F.when(i % 4 > 0, u).otherwise(-1).alias("total_tokens")).alias("usage")))).otherwise("[]")
+    name = F.concat(F.lit("t"), u.cast("string"))
+    said = F.when(i % 3 == 0, F.concat(F.lit("```text\n译文："), name, F.lit("\n```"))).when(i % 3 == 1, "说明：全是").otherwise(F.concat(name, F.lit("（说明：改了）")))
+    url = F.concat(F.lit(" https://"), "event_type", F.when(i % 2 == 0, "/v1/ ").otherwise("/v1/chat/completions"))
+    version = lambda n: F.concat(F.lit("v1."), (n % 10).cast("string"))
+    return table(spark, sf_dir, "events").select(i, T.finish_reason(reply).alias("finish"), T.usage_tokens(reply).alias("tokens"), T.endpoint(url).alias("url"), T.proofread_answer(said, F.lit("draft")).alias("answer"), T.newer(version(u), version(i)).alias("newer"))
+
+
+# --- what is mended, gated and written back ----------------------------------------------------------------------------
+
+
+def _dealt(spark: SparkSession, sf_dir: str, fixture: X.Fixture, key: str = "k") -> DataFrame:
+    """(doc_id, and the fixture's columns): each document is dealt one of the known texts, whose neighbourhoods no rule could make."""
+    own = fixture.df(spark)
+    n = len(fixture.rows)
+    return table(spark, sf_dir, "documents").select("doc_id", (c("doc_id") % n + 1).cast("int").alias(key)).join(F.broadcast(own), key)
+
+
+@query(f"SELECT doc_id, risk, blocking FROM documents JOIN {more.CASES.sql} ON k = doc_id % {len(more.CASES.rows)} + 1")
+def q_residue_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q1, Q2, Q4 to Q7, Q17: texts whose neighbourhood allows kana, one a document, by their known classes."""
+    return quality.classified(_dealt(spark, sf_dir, more.CASES), "text").select("doc_id", "residue.risk", "residue.blocking")
+
+
+@query(f"SELECT doc_id, repaired FROM documents JOIN {more.REPAIRS.sql} ON k = doc_id % {len(more.REPAIRS.rows)} + 1")
+def q_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q20 to Q30: repairs in their order, of one known text a document."""
+    return _dealt(spark, sf_dir, more.REPAIRS).select("doc_id", quality.repaired(c("source"), c("text")).alias("repaired"))
+
+
+_MOSTLY = catalogue._MOSTLY
+_HAN = f"translate(left(regexp_replace(text, '[^a-v]', '', 'g'), 20), '{catalogue._LATIN}', '{_MOSTLY}')"
+_HALF = _HAN.replace("[^a-v]", "[^abcdefghilmnoprtuv]")
+
+
+@query(f"""
+SELECT doc_id, CASE k WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false ELSE true END AS incomplete FROM (SELECT doc_id % 5 AS k, doc_id, {_HALF} AS h FROM documents WHERE text IS NOT NULL) WHERE length(h) = 20
+""")
+def q_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q19: translations of documents in Han letters that are empty, done, the Japanese source over again, a short source over again, or hold kana."""
+    i = c("doc_id")
+    han = F.translate(F.left(F.regexp_replace("text", "[^abcdefghilmnoprtuv]", ""), F.lit(20)), catalogue._LATIN, _MOSTLY)
+    own = table(spark, sf_dir, "documents").where("text is not null").select(i, han.alias("h")).where(F.length("h") == 20)
+    kana = F.concat("h", F.lit("は来ました、そして走りました。"))
+    short = F.concat(F.lit("「"), F.left("h", F.lit(4)), F.lit("」"))
+    s = F.when(i % 5 == 3, short).otherwise(kana)
+    d = F.when(i % 5 == 0, " ").when(i % 5 == 1, c("h")).when(i % 5 == 2, kana).when(i % 5 == 3, short).otherwise(F.concat("h", F.lit("そして走りました。")))
+    return quality.incomplete(own.withColumn("s", s).withColumn("d", d), "s", "d").select("doc_id", "incomplete")
+
+
+@query(f"""
+SELECT doc_id, doc_id % 3 = 2 AS blocking FROM (SELECT doc_id, {_HALF} AS h FROM documents WHERE text IS NOT NULL) WHERE length(h) = 20
+""")
+def q_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q8, Q9: residue in documents of Han letters that a user allows, in quotes and elsewhere, and such that nobody does."""
+    allowed = quality.allowlist('{"quoted": ["べん", "おじご"], "exact": ["べんぞう"], "quoted_regex": ["("], "regex": []}')
+    i = c("doc_id")
+    han = F.translate(F.left(F.regexp_replace("text", "[^abcdefghilmnoprtuv]", ""), F.lit(20)), catalogue._LATIN, _MOSTLY)
+    said = F.when(i % 3 == 0, "“べん”").when(i % 3 == 1, "〈おじご〉").otherwise("ありました")
+    own = table(spark, sf_dir, "documents").where("text is not null").select(i, han.alias("h")).where(F.length("h") == 20)
+    return quality.classified(own.select("doc_id", F.concat("h", said, F.left("h", F.lit(9))).alias("text")), "text", user=allowed).select("doc_id", "residue.blocking")
+
+
+_NODES = f"(SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN 'script' ELSE 'p' END AS tag, CASE WHEN doc_id % 2 = 0 THEN '「' || w || '」' ELSE w END AS text, '“' || w || '”' AS fixed FROM (SELECT doc_id, {_LETTERS} AS w FROM documents WHERE text <> '') WHERE w <> '')"
+
+
+@query(f"WITH n AS (SELECT * FROM {_NODES} WHERE tag = 'p' AND text LIKE '「%') SELECT (SELECT count(*) FROM n) AS n, (SELECT string_agg(text, '|' ORDER BY doc_id) FROM (SELECT * FROM n ORDER BY doc_id LIMIT 3)) AS before, (SELECT string_agg(fixed, '|' ORDER BY doc_id) FROM (SELECT * FROM n ORDER BY doc_id LIMIT 3)) AS after")
+def q_save_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q31: all documents' first words as text nodes that repairs change, with the first of them."""
+    i = c("doc_id")
+    own = table(spark, sf_dir, "documents").where("text <> ''").select(i, _letters().alias("w")).where("w <> ''")
+    nodes = own.select(i, F.when(i % 5 == 4, "script").otherwise("p").alias("tag"), F.when(i % 2 == 0, F.concat(F.lit("「"), "w", F.lit("」"))).otherwise(c("w")).alias("text"))
+    found = quality.repair_nodes(nodes, "doc_id", first=3)
+    said = lambda side: F.array_join(F.transform("samples", lambda x: x[side]), "|").alias(side)
+    return found.select("n", said("before"), said("after"))
+
+
+_REVISED = f"(SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'サングラス' WHEN 1 THEN 'グラス' ELSE '' END || 'を' AS source, CASE WHEN doc_id % 4 = 0 THEN '玻璃杯' ELSE '' END || {_LETTERS} AS draft, {_LETTERS} || '，玻璃杯' AS revised FROM documents WHERE text <> '')"
+
+
+@query(f"SELECT doc_id AS id, 'グラス->玻璃杯' AS invalid FROM {_REVISED} WHERE source LIKE 'サングラス%' AND NOT contains(draft, '玻璃杯')")
+def q_invalid_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q34: translations that revisions of all documents bring in for a term inside a longer word."""
+    i = c("doc_id")
+    source = F.concat(F.when(i % 3 == 0, "サングラス").when(i % 3 == 1, "グラス").otherwise(""), F.lit("を"))
+    draft = F.concat(F.when(i % 4 == 0, "玻璃杯").otherwise(""), _letters())
+    own = table(spark, sf_dir, "documents").where("text <> ''").select(i.alias("id"), source.alias("source"), draft.alias("draft"), F.concat(_letters(), F.lit("，玻璃杯")).alias("revised"))
+    return glossary.invalid_injections(own, more.MORE_TERMS.df(spark)).select("id", F.array_join("invalid", "|").alias("invalid"))
+
+
+_SPOKEN = ("ローラが来た", "ABCです", "サングラスケース", "グラス", "")
+_HEARD = ("劳拉", "是ABC", "墨镜盒", "")
+_CHECKED = f"(SELECT doc_id, {_p('doc_id', *_SPOKEN)} AS source, {_p('doc_id // 2', *_HEARD)} || ' ' || left(text, 5) AS target FROM documents WHERE text <> '')"
+
+
+@query(f"SELECT doc_id AS id, t.term AS original, t.wanted, t.issue FROM {_CHECKED} JOIN (VALUES ('ローラ', '劳拉', 'missing'), ('ABC', 'ABC', 'not_preserved'), ('サングラスケース', '墨镜盒', 'missing')) t(term, wanted, issue) ON contains(source, t.term) AND NOT contains(target, t.wanted)")
+def q_proofread_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q33: binding terms that translations of all documents lack."""
+    i = c("doc_id")
+    own = table(spark, sf_dir, "documents").where("text <> ''").select(i.alias("id"), _pick(i, *_SPOKEN).alias("source"), F.concat(_pick(F.floor(i / 2), *_HEARD), F.lit(" "), F.left("text", F.lit(5))).alias("target"))
+    return glossary.proofread_issues(own, more.MORE_TERMS.df(spark).drop("source", "info")).select("id", "original", "wanted", "issue")
+
+
+@query(f"SELECT true AS ok, CAST(sum(CASE doc_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END) + 1 AS BIGINT) AS n, CAST(count(*) FILTER (doc_id % 3 < 2) + 1 AS BIGINT) AS texts FROM (SELECT doc_id, {_LETTERS} AS w FROM documents WHERE text <> '') WHERE length(w) > 3")
+def q_book_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A glossary applied to the nodes of a book that is all documents, and to a title."""
+    i = c("doc_id")
+    own = table(spark, sf_dir, "documents").where("text <> ''").select(i, "source", _letters().alias("w")).where(F.length("w") > 3)
+    text = F.when(i % 3 == 0, F.concat(F.lit("萝拉"), "w", F.lit("和萝拉"))).when(i % 3 == 1, F.concat("w", F.lit("萝拉"))).otherwise(c("w"))
+    terms = more.MORE_TERMS.df(spark).withColumn("policy", glossary.policy(c("policy"))).where("original = 'ローラ'")
+    return glossary.applied_to_book(own.select(c("source").alias("file"), i.cast("int").alias("pos"), text.alias("text")), spark.createDataFrame([(0, "ローラ")], "pos int, text string"), terms)[1]
+
+
+@query("""
+WITH t AS (SELECT conv_id, list(text ORDER BY turn) FILTER (trim(text, ' ' || chr(10)) <> '') AS all_of FROM conversations GROUP BY conv_id),
+h AS (SELECT conv_id, 'T' || conv_id AS title, [left(all_of[1], 9)] AS titles, list_transform(all_of, lambda x: left(x, 25)) AS samples FROM t),
+s AS (SELECT *, len(title) + len(titles[1]) AS head, samples FROM h),
+taken AS (SELECT *, list_filter(samples, lambda x, i: i = 1 OR head + coalesce(list_sum(list_transform(samples[:i - 1], lambda y: len(y))), 0) < 60) AS kept FROM s)
+SELECT conv_id, left(array_to_string(list_concat([title], list_filter(titles, lambda x: trim(x, ' ' || chr(10)) <> ''), kept), chr(10)), 60) AS context FROM taken WHERE trim(titles[1], ' ' || chr(10)) <> ''
+""")
+def q_style_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """each conversation's title, contents and samples up to 60 characters."""
+    rows = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), lambda x: T.strip(x) != "")
+    own = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(rows.alias("t"))
+    first = F.left(F.get("t", F.lit(0)), F.lit(9))
+    context = runs.joined_context(F.concat(F.lit("T"), c("conv_id").cast("string")), F.array(first), F.transform("t", lambda x: F.left(x, F.lit(25))), 60)
+    return own.where(T.strip(first) != "").select("conv_id", context.alias("context"))
+
+
+@query(f"WITH {catalogue._CLASSES} SELECT risk, count(*) AS n, count(*) FILTER (blocking) AS blocking FROM classes WHERE risk <> 'none' GROUP BY risk")
+def q_residue_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report on all documents in other scripts as JSON, read back."""
+    found = quality.scan(catalogue._classified(spark, sf_dir), "seq", "text")
+    report = book.residue_report(found, "balanced").select(F.from_json("report", "policy string, legend string, risks array<struct<risk:string,n:long,blocking:long>>").alias("r"))
+    return report.where("r.policy = 'balanced' and r.legend <> ''").select(F.explode("r.risks").alias("x")).select("x.risk", "x.n", "x.blocking")
+
+
+#: The plan of all pages with each one's heading as a title of contents, and translations of most places.
+_WRITTEN = f"""{more._BLOCKS},
+body AS (SELECT *, 0 AS part FROM seen WHERE regexp_matches(text, '[\\x{{3040}}-\\x{{30ff}}]') OR regexp_matches(text, '[\\x{{4e00}}-\\x{{9fff}}]') AND NOT regexp_matches(text, '[A-Za-z]')),
+heads AS (SELECT page_id, text AS title FROM seen WHERE tag = 'h1'),
+whole AS (SELECT page_id, k, j, tag, mode, text, part FROM body UNION ALL SELECT page_id, 0, 0, '', 'toc', title, 1 FROM heads),
+plan AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY part, k, j) - 1 AS seq, mode, tag, text FROM whole),
+results AS (SELECT page_id, seq, text, CASE WHEN seq % 3 = 1 THEN '' ELSE '译' || seq END AS said FROM plan),
+spoken AS (SELECT page_id, text, arg_min(said, seq) AS other FROM results WHERE said <> '' GROUP BY ALL),
+aligned AS (SELECT p.*, coalesce(nullif(r.said, ''), s.other) AS translation FROM plan p JOIN results r USING (page_id, seq) LEFT JOIN spoken s ON s.page_id = p.page_id AND s.text = p.text),
+keyed AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS key FROM aligned),
+canonical AS (SELECT page_id, key, arg_min(translation, seq) AS c FROM keyed h WHERE tag = 'h1' AND translation <> '' AND EXISTS (SELECT 1 FROM keyed t WHERE t.page_id = h.page_id AND t.mode = 'toc' AND t.key = h.key) GROUP BY ALL),
+done AS (SELECT page_id, seq, mode, tag, text, coalesce(c, translation) AS translation FROM keyed LEFT JOIN canonical USING (page_id, key))
+"""
+
+
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = H.plan(more._pages(spark, sf_dir))
+    heads = found.where("tag = 'h1'").select("id", F.lit(0).alias("ord"), c("text").alias("title"))
+    plan = H.text_plan(found, heads)
+    results = plan.select("id", "seq", "text", F.when(c("seq") % 3 == 1, "").otherwise(F.concat(F.lit("译"), c("seq").cast("string"))).alias("translation"))
+    return book.written_back(plan, results)
+
+
+@query(f"WITH {_WRITTEN} SELECT page_id, CAST(seq AS INTEGER) AS seq, translation FROM done")
+def q_write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Translations of all pages as they go back into them."""
+    return _written(spark, sf_dir).select(c("id").alias("page_id"), "seq", "translation")
+
+
+@query(f"WITH {_WRITTEN}, names AS (SELECT page_id, text AS title, arg_min(translation, seq) AS name FROM done WHERE mode = 'toc' AND translation <> '' GROUP BY ALL), toc AS (SELECT page_id, 0 AS ord, NULL AS uid, title FROM heads UNION ALL SELECT page_id, 1, 'x', url FROM pages UNION ALL SELECT page_id, 2, NULL, 'other' FROM pages) SELECT page_id, ord, coalesce(uid, 'navpoint-' || (ord // 2 + 1)) AS uid, coalesce(name, title) AS title FROM toc LEFT JOIN names USING (page_id, title)")
+def q_toc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's contents, its heading, address and a fixed entry, with titles translated and missing ids numbered."""
+    done = _written(spark, sf_dir)
+    pages = table(spark, sf_dir, "pages")
+    none = F.lit(None).cast("string")
+    heads = done.where("mode = 'toc'").select("id", F.lit(0).alias("ord"), none.alias("uid"), c("text").alias("title"))
+    fixed = pages.select(c("page_id").alias("id"), F.lit(1).alias("ord"), F.lit("x").alias("uid"), c("url").alias("title")).unionByName(pages.select(c("page_id").alias("id"), F.lit(2).alias("ord"), none.alias("uid"), F.lit("other").alias("title")))
+    return book.renamed(heads.unionByName(fixed), book.title_map(done)).select(c("id").alias("page_id"), "ord", "uid", "title")
