@@ -141,7 +141,7 @@ def executed(issues: DataFrame, provider: Provider, fallback: Provider | None =
     open_ = (F.coalesce("attempts", F.lit(0)) < most) & (strip(text(F.col("source"))) != "")
     call = asked(F.when(open_ & (retried | switched), F.col("source")), switched)
     answer = F.when(open_ & (retried | switched), call).when(open_ & (F.col("action") == "repair"), mended).when(open_ & (F.col("action") == "accept_review") & (F.col("issue") == "residue_low"), F.col("translation"))
-    own = quality.incomplete(issues.withColumn("answer", answer), "source", "answer")
+    own = quality.incomplete(quality.once(issues, "answer", answer), "source", "answer")
     good = (strip(text(F.col("answer"))) != "") & ((F.col("action") == "accept_review") | ~F.col("incomplete"))
     return own.withColumn("status", F.when(good, "success").otherwise("needs_review")).withColumn("answer", F.when(good, F.col("answer"))).drop("incomplete")
 
