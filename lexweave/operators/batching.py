@@ -169,5 +169,7 @@ def sample_in_order(df: DataFrame, lane: str, order: str, text_col: str, most: i
     """Of each lane's different texts in order of first sight, those before the first that exceeds a limit; the first always."""
     first = df.where(strip(text(F.col(text_col))) != "").groupBy(F.col(lane).alias("lane"), F.col(text_col).alias("text")).agg(F.min(order).alias("ord"))
     w = Window.partitionBy("lane").orderBy("ord", "text")
-    seen = first.withColumn("n", F.row_number().over(w)).withColumn("total", F.sum(F.length("text")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # the limit of places first, so that each task keeps only so many of a lane before they meet
+    early = first.withColumn("n", F.row_number().over(w)).where(F.col("n") <= max(1, most))
+    seen = early.withColumn("total", F.sum(F.length("text")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return seen.where((F.col("n") == 1) | (F.col("n") <= most) & (F.col("total") <= chars)).select("lane", "ord", "text", "n", "total")

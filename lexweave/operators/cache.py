@@ -190,7 +190,7 @@ def unseen_files(files: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def ruled(texts: DataFrame, rules: DataFrame) -> DataFrame:
-    """texts (id, text) with the answer of a fixed phrase: of the stripped text, else of the text without corner quotes around it, which then go round the answer too; null without one."""
+    """texts (id, text) with the answer of a fixed phrase: of the stripped text, else of the text without corner quotes around it; the answer stands without quotes then; null without one."""
     own = texts.withColumn("_s", strip(text(F.col("text")))).withColumn("_bare", F.regexp_replace("_s", "^[「『]+|[」』]+$", ""))
     r = rules.select(F.col("phrase"), F.col("answer"))
     one = r.select(F.col("phrase").alias("_s"), F.col("answer").alias("_whole"))

@@ -205,13 +205,14 @@ def decision(issue: Column, action: Column, confidence: Column, provider: Column
 
 
 def csv_glossary(rows: DataFrame) -> DataFrame:
-    """A glossary read from CSV by header, under any of its usual names, into the raw form of glossary.normalised()."""
+    """A glossary read from CSV by header, under any of its usual names, into the raw form of glossary.normalised(), with its notes (info) and source."""
     names = {c.strip().lower().lstrip("﻿"): c for c in rows.columns}
     pick = lambda *options: F.coalesce(*[F.col(f"`{names[o]}`") for o in options if o in names], F.lit(None).cast("string"))
     none = F.lit(None).cast("string")
     return rows.select(
         strip(text(pick("category", "type"))).alias("category"), F.monotonically_increasing_id().alias("ord"), pick("original", "src", "source_text").alias("original"), none.alias("src"),
         pick("translation", "dst", "target").alias("translation"), none.alias("dst"), pick("policy", "enforcement").alias("policy"), pick("aliases", "alias", "variants").alias("aliases"),
+        strip(text(pick("info", "note", "notes", "comment"))).alias("info"), strip(text(pick("source", "origin"))).alias("source"),
     )
 
 

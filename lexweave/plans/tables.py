@@ -887,3 +887,75 @@ def q_toc(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = done.where("mode = 'toc'").select("id", F.lit(0).alias("ord"), none.alias("uid"), c("text").alias("title"))
     fixed = pages.select(c("page_id").alias("id"), F.lit(1).alias("ord"), F.lit("x").alias("uid"), c("url").alias("title")).unionByName(pages.select(c("page_id").alias("id"), F.lit(2).alias("ord"), none.alias("uid"), F.lit("other").alias("title")))
     return book.renamed(heads.unionByName(fixed), book.title_map(done)).select(c("id").alias("page_id"), "ord", "uid", "title")
+
+
+# --- the rest of history, batches and residue --------------------------------------------------------------------------
+
+_STATUS_OF = ("success", "running", "failed", "finished", "partial", "cancelled", "paused")
+_TASKS = f"(SELECT CAST(conv_id AS VARCHAR) AS task_id, {_p('conv_id', *_STATUS_OF)} AS status, conv_id * 7919 % 1009 AS updated_at FROM (SELECT DISTINCT conv_id FROM conversations))"
+
+
+def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    return own.select(c("conv_id").cast("string").alias("task_id"), _pick(c("conv_id"), *_STATUS_OF).alias("status"), (c("conv_id") * 7919 % 1009).alias("updated_at"))
+
+
+@query(f"SELECT * FROM {_TASKS} WHERE status NOT IN ('success', 'finished', 'cancelled') ORDER BY updated_at DESC, task_id LIMIT 1")
+def q_latest_unfinished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of conversations as tasks the last that isn't finished (a report of one)."""
+    return runs.latest_unfinished(_tasks(spark, sf_dir))
+
+
+@query(f"SELECT p.task_id, p.index, p.status FROM {_PARTS} p JOIN {_TASKS} t USING (task_id) WHERE t.status IN ({_in(runs.DETAILED)})")
+def q_kept_subtasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts that tasks keep which aren't finished."""
+    return runs.kept_subtasks(_tasks(spark, sf_dir), _parts(spark, sf_dir)).select("task_id", "index", "status")
+
+
+@query(f"""
+WITH r AS (SELECT task_id, source, index AS attempts, 'retry' || index AS action, status FROM {_PARTS} WHERE index % 2 = 0 AND trim(source) <> '' UNION ALL SELECT task_id, source, index + 5, 'again', 'boom' FROM {_PARTS} WHERE index % 4 = 0 AND trim(source) <> ''),
+best AS (SELECT task_id, source, max(attempts) AS attempts, arg_max(action, attempts) AS action, arg_max(status, attempts) AS status FROM r GROUP BY ALL)
+SELECT p.task_id, p.index, coalesce(attempts, 0) AS recovery_attempts, coalesce(action, '') AS recovery_action, coalesce(best.status, '') AS recovery_status FROM {_PARTS} p LEFT JOIN best USING (task_id, source)
+""")
+def q_recorded_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recoveries of conversations' texts recorded with their parts, the last attempt of each."""
+    own = _parts(spark, sf_dir)
+    one = own.where("index % 2 = 0").select("task_id", "source", c("index").alias("attempts"), F.concat(F.lit("retry"), "index").alias("action"), "status")
+    two = own.where("index % 4 = 0").select("task_id", "source", (c("index") + 5).alias("attempts"), F.lit("again").alias("action"), F.lit("boom").alias("status"))
+    return runs.recorded_recovery(own.select("task_id", "index", "source"), one.unionByName(two), "source").drop("source")
+
+
+@query("SELECT event_id, CAST(day AS VARCHAR) AS day, place FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY ts DESC, event_id DESC) AS place FROM (SELECT *, CAST(ts AS DATE) AS day FROM events)) JOIN (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events ORDER BY day DESC LIMIT 14) USING (day) WHERE place <= 100")
+def q_appended_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events appended as JSON lines in two goes, and the newest of the last 14 days read back."""
+    from lexweave.storage import fresh_path
+
+    e = table(spark, sf_dir, "events").select("event_id", c("ts").cast("timestamp").alias("ts"))
+    folder = fresh_path(spark, "log")
+    for half in (0, 1):
+        runs.appended(e.where(F.pmod("event_id", F.lit(2)) == half), folder)
+    found = spark.read.schema("event_id long, ts timestamp").json(folder)
+    return runs.retained(found, "ts", "event_id", 100, 14).select("event_id", c("day").cast("string").alias("day"), c("place").cast("long").alias("place"))
+
+
+@query("SELECT lang AS batch, CAST((row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // 3 AS INTEGER) AS part, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) % 3 AS pos, doc_id FROM documents")
+def q_resplit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of each language as one queued batch, cut anew to three."""
+    from pyspark.sql import Window
+
+    own = table(spark, sf_dir, "documents").select(c("lang").alias("batch"), "doc_id", (F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1).alias("pos"))
+    return batching.resplit(own, 3).select("batch", "part", "pos", "doc_id")
+
+
+@query(f"WITH {catalogue._CLASSES} SELECT seq, risk, raw AS text FROM classes JOIN raw USING (seq) WHERE blocking ORDER BY seq LIMIT 24")
+def q_residue_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: the first 24 blocking texts, as a structured report shows them (its length is the feature)."""
+    found = quality.residue_report(catalogue._classified(spark, sf_dir), "seq")
+    return found.select("seq", "risk", T.strip(c("text")).alias("text"))
+
+
+@query(f"SELECT doc_id, CASE WHEN s = '' THEN '' ELSE '[[ja:' || s || ']]' END AS once, CASE WHEN s = '' THEN '' ELSE '[[ja:' || s || ']]' END AS twice FROM (SELECT doc_id, {catalogue._strip('text')} AS s FROM documents WHERE text IS NOT NULL)")
+def q_authorised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q3: whole texts marked as meant to stay, and marked again."""
+    own = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", quality.authorised(c("text")).alias("once"))
+    return own.select("doc_id", "once", quality.authorised(c("once")).alias("twice"))
