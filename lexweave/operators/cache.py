@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.text import key_scope, parse_key, strip, text
+from lexweave.operators import quality
 
 
 def distinct_tasks(df: DataFrame, order: str, text_col: str, *scope: str) -> DataFrame:
@@ -190,10 +191,12 @@ def unseen_files(files: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def ruled(texts: DataFrame, rules: DataFrame) -> DataFrame:
-    """texts (id, text) with the answer of a fixed phrase: of the stripped text, else of the text without corner quotes around it; the answer stands without quotes then; null without one."""
+    """texts (id, text) with the answer of a fixed phrase: of the stripped text, else of the text without corner quotes around it; the answer stands without quotes then. A short list of places with readings is its own answer without them, if nothing blocks in what is left. Null without an answer."""
     own = texts.withColumn("_s", strip(text(F.col("text")))).withColumn("_bare", F.regexp_replace("_s", "^[「『]+|[」』]+$", ""))
     r = rules.select(F.col("phrase"), F.col("answer"))
     one = r.select(F.col("phrase").alias("_s"), F.col("answer").alias("_whole"))
     two = r.select(F.col("phrase").alias("_bare"), F.col("answer").alias("_inner"))
     met = own.join(one, "_s", "left").join(two, "_bare", "left")
-    return met.select("id", "text", F.coalesce("_whole", "_inner").alias("answer"))
+    read = quality.once(met, "_read", quality.without_listed_readings(F.col("_s")))
+    listed = F.when((F.col("_read") != F.col("_s")) & ~F.col("residue.blocking"), F.col("_read"))
+    return quality.classified(read, "_read").select("id", "text", F.coalesce("_whole", "_inner", listed).alias("answer"))

@@ -959,3 +959,17 @@ def q_authorised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q3: whole texts marked as meant to stay, and marked again."""
     own = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", quality.authorised(c("text")).alias("once"))
     return own.select("doc_id", "once", quality.authorised(c("once")).alias("twice"))
+
+
+@query(f"""
+WITH t AS (SELECT left({_w(1)}, 3) AS name, {_p('doc_id', *_CATEGORY)} AS category, doc_id AS ord, {_p('doc_id', *_FROM)} AS source, {_p('doc_id // 2', *_INFO)} AS info, coalesce({_p('doc_id // 3', *_POLICY)}, '') AS policy FROM documents WHERE text <> ''),
+f AS (SELECT * FROM t WHERE category <> 'Odd' AND name <> '' QUALIFY row_number() OVER (PARTITION BY name ORDER BY list_position(['Person', 'Location', 'Org', 'Item', 'Skill', 'Creature'], category), ord) = 1)
+SELECT d.doc_id, f.category, trim(f.source) AS source, f.info, f.policy FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '?' ELSE left({_w(2)}, 3) END AS name FROM documents WHERE text <> '') d LEFT JOIN f ON f.name = d.name
+""")
+def q_term_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a glossary of first words says of each document's second."""
+    i = c("doc_id")
+    docs = table(spark, sf_dir, "documents").where("text <> ''")
+    terms = docs.select(F.left(_word(1), F.lit(3)).alias("original"), _pick(i, *_CATEGORY).alias("category"), i.alias("ord"), _pick(i, *_FROM).alias("source"), _pick(F.floor(i / 2), *_INFO).alias("info"), _pick(F.floor(i / 3), *_POLICY).alias("policy"))
+    asked = docs.select("doc_id", F.when(i % 5 == 0, "?").otherwise(F.left(_word(2), F.lit(3))).alias("original"))
+    return glossary.metadata(asked, terms).drop("original")

@@ -146,3 +146,10 @@ def test_small_files(spark, tmp_path):
     with pytest.raises(TypeError):
         files.write_json(spark, path, object())
     assert [n for n in files.names(spark, f"file://{tmp_path}/sub") if not n.endswith(".crc")] == ["settings.json"]
+
+
+def test_lists_of_places_answer_themselves(spark):
+    texts = spark.createDataFrame([(1, "熟田津 にぎたづ 愛媛"), (2, "熟田津 愛媛"), (3, "彼女は来た"), (4, " はい "), (5, None)], "id int, text string")
+    rules = spark.createDataFrame([("はい", "是")], "phrase string, answer string")
+    own = {r.id: r.answer for r in cache.ruled(texts, rules).collect()}
+    assert own[1] and "に" not in own[1] and own[1].startswith("熟田津 ") and own[4] == "是" and own[2] is own[3] is own[5] is None
