@@ -224,7 +224,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: i
             sums, known, rare, counts = base_of(found, sizes)
             scores = np.zeros(len(sizes))
             if sent:
-                before, double = pairs(found, sizes)
+                _, double = pairs(found, sizes)
 
                 def level(h: np.ndarray) -> np.ndarray:
                     kinds, inverse = np.unique(h, return_inverse=True)
@@ -237,7 +237,12 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: i
                         out[own] = levels_in(kinds[own], words_of, zero, zero + len(words_of))
                     return out[inverse]
 
-                p = probability(level(double), level(before), level(found), total, kinds)
+                # the word before is the text's own, one place on, so that its level is known already
+                single = level(found)
+                ahead = np.empty_like(single)
+                ahead[1:] = single[:-1]
+                ahead[np.cumsum(sizes) - sizes] = level(np.array([START], np.uint64))[0]
+                p = probability(level(double), ahead, single, total, kinds)
                 scores = np.add.reduceat(np.log10(p), np.cumsum(sizes) - sizes)
             yield pa.RecordBatch.from_arrays(
                 [part.column("row"), part.column("id"), part.column("held_out"), pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(sums), pa.array(scores), pa.array(rare, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))],

@@ -44,14 +44,21 @@ def returned() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+#: Bytes of text after which a worker gives back what it no longer uses.
+RETURN = 4 << 20
+
+
 def text_blocks(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that the texts of a block hold about `most` bytes, or are one row: memory stays bounded for very long texts."""
+    """Cut a batch so that the texts of a block hold about `most` bytes, or are one row: memory stays bounded for very long texts, and is given back every RETURN bytes."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
-    start, total = 0, 0
+    start, total, since = 0, 0, 0
     for k, n in enumerate(lengths.tolist()):
         if total and total + n > most:
             yield batch.slice(start, k - start)
-            start, total = k, 0
+            start, since, total = k, since + total, 0
+            if since >= RETURN:
+                returned()
+                since = 0
         total += n
     if start < batch.num_rows:
         yield batch.slice(start)
