@@ -89,9 +89,11 @@ class Control:
         self.held, self.workers, self.batch = own.get("held", []), own.get("workers", limits.workers), own.get("batch", limits.batch)
         self.failure = tuple(own.get("failure", (limits.workers, limits.batch, 0, 0)))
         self.requests, self.tokens = sum(m[1] for m in self.window), sum(m[2] for m in self.window)
+        # the window without its first moments that may stay for want of tokens: as sums only grow, a moment leaves it once
+        self.over = deque(self.window)
 
     def saved(self) -> str:
-        return json.dumps({k: list(v) if isinstance(v, (deque, tuple)) else v for k, v in vars(self).items() if k not in ("limits", "requests", "tokens")})
+        return json.dumps({k: list(v) if isinstance(v, (deque, tuple)) else v for k, v in vars(self).items() if k not in ("limits", "requests", "tokens", "over")})
 
     def moment(self, events: list[Event]) -> Iterator[tuple]:
         """Decisions on all events of one moment, in the order of their ids."""
@@ -99,16 +101,19 @@ class Control:
         n, tokens = len(events), sum(e.tokens for e in events)
         self.total += tokens
         self.window.append((at, n, tokens, self.total))
+        self.over.append(self.window[-1])
         self.requests, self.tokens = self.requests + n, self.tokens + tokens
         while self.window[0][0] < at - limits.seconds:
             _, gone, gone_tokens, _ = self.window.popleft()
             self.requests, self.tokens = self.requests - gone, self.tokens - gone_tokens
+        while self.over[0][3] < self.total - limits.tpm:
+            self.over.popleft()
         first, wait = self.window[0][0], 0.0
         if self.requests > limits.rpm:
             wait = max(wait, first + limits.seconds - at)
         if self.tokens > limits.tpm:
             # as many of the first moments must leave as hold the tokens that are too many
-            wait = max(wait, next(m[0] for m in self.window if m[3] >= self.total - limits.tpm) + limits.seconds - at)
+            wait = max(wait, self.over[0][0] + limits.seconds - at)
         step = limits.seconds / limits.rpm
         for e in sorted(events, key=lambda e: e.id):
             ahead = self.place * step
@@ -133,8 +138,8 @@ class Control:
 
 def plain(rows: pd.DataFrame) -> list[Event]:
     """Events of a frame's columns us, id, tokens, elapsed, kind, pause; missing values as None."""
-    missing = lambda x: None if x is None or x != x else x
-    return [Event(us, i, tokens, missing(elapsed), missing(kind), missing(pause)) for us, i, tokens, elapsed, kind, pause in rows[["us", "id", "tokens", "elapsed", "kind", "pause"]].itertuples(index=False)]
+    some = lambda c: [None if x is None or x != x else x for x in rows[c].tolist()]
+    return list(map(Event, rows["us"].tolist(), rows["id"].tolist(), rows["tokens"].tolist(), some("elapsed"), some("kind"), some("pause")))
 
 
 def events(df: DataFrame, key: Column, ts: Column, ident: Column, tokens: Column, elapsed: Column, kind: Column, pause: Column) -> DataFrame:
@@ -160,7 +165,9 @@ def replayed(found: DataFrame, limits: Limits) -> DataFrame:
         if open_:
             yield pd.DataFrame([(key, *d) for d in control.moment(open_)], columns=COLUMNS)
 
-    own = found.drop("ts").repartition("key").sortWithinPartitions("key", "us", "id")
+    # a number of partitions is kept as it is: adaptive execution would put several keys into one task
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = found.drop("ts").repartition(parts, "key").sortWithinPartitions("key", "us", "id")
     return own.mapInPandas(run, f"key string, {DECISION}")
 
 
