@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexweave.functions.text import clean_fragments, residue_sample, snippet, strip, text
 from lexweave.operators.control import Limits, failed, sampled
@@ -53,22 +56,74 @@ def rate_windows(events: DataFrame, key: str, ts: str, tie: str, tokens: Column,
     """events with requests and tokens of the window up to each, wait: seconds until both have room again, and gap: how long even spacing holds it back.
 
     Requests wait for the first of the window to leave it. Tokens wait for as many of the first as must leave to make room.
-    Spacing sends one request every seconds / rpm. A key's events are replayed in order by one task; keys are providers or accounts.
+    Spacing sends one request every seconds / rpm. A key's events are replayed in order by one task, batch by batch with the
+    last window of those before; keys are providers or accounts. Events without key or time are left out.
     """
-    own = events.withColumn("_s", F.unix_micros(ts) / 1e6).withColumn("tokens", tokens)
-    w = Window.partitionBy(key).orderBy("_s").rangeBetween(-seconds, 0)
-    own = own.withColumn("requests", F.count("*").over(w)).withColumn("window_tokens", F.sum("tokens").over(w)).withColumn("_first", F.min("_s").over(w))
-    ordered = Window.partitionBy(key).orderBy("_s", tie).rowsBetween(Window.unboundedPreceding, 0)
-    # all events of one moment are in each other's windows, so the running sum is taken at the end of the moment
-    moment = Window.partitionBy(key).orderBy("_s").rangeBetween(Window.unboundedPreceding, 0)
-    own = own.withColumn("_sum", F.sum("tokens").over(moment)).withColumn("_place", F.row_number().over(ordered) - 1)
-    enough = F.min("_s").over(Window.partitionBy(key).orderBy("_sum").rangeBetween(-tpm, 0))
-    wait_requests = F.when(F.col("requests") > rpm, F.col("_first") + seconds - F.col("_s")).otherwise(0.0)
-    wait_tokens = F.when(F.col("window_tokens") > tpm, F.greatest(F.col("_enough"), F.col("_first")) + seconds - F.col("_s")).otherwise(0.0)
-    own = own.withColumn("_enough", enough).withColumn("wait", F.greatest(wait_requests, wait_tokens))
-    step = seconds / rpm
-    due = F.max(F.col("_s") - F.col("_place") * step).over(ordered) + F.col("_place") * step
-    return own.withColumn("gap", due - F.col("_s")).drop("_s", "_first", "_sum", "_place", "_enough")
+    timed = events.withColumn("tokens", tokens).where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    whole = T.LongType() if isinstance(timed.schema["tokens"].dataType, T.IntegralType) else T.DoubleType()
+    schema = T.StructType(timed.schema.fields)
+    for name, kind in (("requests", T.LongType()), ("window_tokens", whole), ("wait", T.DoubleType()), ("gap", T.DoubleType())):
+        schema = schema.add(name, kind)
+    own = timed.withColumn("_s", F.unix_micros(ts) / 1e6).withColumn("_n", F.coalesce(F.col("tokens").cast(whole), F.lit(0).cast(whole)))
+    # a number of partitions is kept as it is: adaptive execution would put several keys into one task
+    own = own.repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key, "_s", tie)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, state, now = None, None, None
+        for batch in _with_end(batches):
+            rows = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if rows is None or not rows.num_rows:
+                continue
+            keys, s = rows[key].to_numpy(), rows["_s"].to_numpy()
+            other = np.flatnonzero((keys[1:] != keys[:-1]) | (s[1:] != s[:-1])) + 1
+            # events of one moment are in each other's windows, so the last moment waits for the next batch
+            upto = rows.num_rows if batch is None else int(other[-1]) if len(other) else 0
+            held = rows.slice(upto)
+            starts = [0, *(int(k) for k in other if k < upto and keys[k] != keys[k - 1]), upto]
+            found = []
+            for a, b in zip(starts, starts[1:], strict=False):
+                if a == b:
+                    continue
+                if state is None or keys[a] != now:
+                    now, state = keys[a], _Window(rpm, tpm, seconds)
+                found.append(state.passed(s[a:b], rows["_n"].slice(a, b - a).to_numpy()))
+            if found:
+                done = rows.slice(0, upto).drop_columns(["_s", "_n"])
+                for name, values in zip(("requests", "window_tokens", "wait", "gap"), zip(*found, strict=True), strict=True):
+                    done = done.append_column(name, pa.array(np.concatenate(values)))
+                yield from done.combine_chunks().to_batches()
+
+    return own.mapInArrow(run, schema)
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+class _Window:
+    """What a key's next events need of those before: the events of the last window, their tokens, and the latest due time."""
+
+    def __init__(self, rpm: int, tpm: int, seconds: int):
+        self.rpm, self.tpm, self.seconds = rpm, tpm, seconds
+        self.s, self.n = np.empty(0), np.empty(0, dtype=np.int64)
+        self.place, self.due = 0, -np.inf
+
+    def passed(self, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(requests, tokens, wait, gap) of events in order, whole moments."""
+        every, sums = np.concatenate([self.s, s]), np.concatenate([[0], np.cumsum(np.concatenate([self.n, n]))])
+        ends = np.searchsorted(every, every, "right")
+        end, start = ends[len(self.s) :], np.searchsorted(every, s - self.seconds, "left")
+        requests, tokens, first = end - start, sums[end] - sums[start], every[start]
+        # as many of the first moments must leave as hold the tokens that are too many
+        enough = every[np.searchsorted(sums[ends], sums[end] - self.tpm, "left")]
+        wait = np.where(requests > self.rpm, first + self.seconds - s, 0.0)
+        wait = np.maximum(wait, np.where(tokens > self.tpm, np.maximum(enough, first) + self.seconds - s, 0.0))
+        ahead = (self.place + np.arange(len(s))) * (self.seconds / self.rpm)
+        due = np.maximum.accumulate(np.maximum(s - ahead, self.due))
+        self.place, self.due = self.place + len(s), due[-1]
+        self.s, self.n = every[start[-1] :], np.concatenate([self.n, n])[start[-1] :]
+        return requests, tokens, wait, due + ahead - s
 
 
 def failure_limits(failures: DataFrame, key: str, order: str, kind: str, workers: int, batch: int) -> DataFrame:

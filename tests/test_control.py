@@ -76,3 +76,28 @@ def test_edge_rows(spark):
     assert [(r.key, r.tokens, r.elapsed) for r in own.collect()] == [("a", 0, None)]
     one = control.replayed(own, LIMITS).first()
     assert (one.requests, one.wait, one.held, one.action, one.failure_pause) == (1, 0.0, 0.0, None, None)
+
+def test_replay_of_dense_windows_stays_linear(spark):
+    """Moments looked at for the wait grow with the events, not with the window: 20 000 events of one window, all over the limit of tokens."""
+    import time
+
+    from lexweave.operators.control import Control, Event, Limits
+
+    def seconds(n):
+        own, start = Control(Limits(3, 200, 3600)), time.process_time()
+        waits = [d[4] for d in own.run(Event(k * 1000, k, 1, None, None, None) for k in range(n))]
+        # the moment 200 tokens before is the one that has to leave
+        assert waits[-1] == pytest.approx((n - 201) / 1000 + 3600 - (n - 1) / 1000, abs=1e-6)
+        return time.process_time() - start
+
+    assert seconds(20_000) < 12 * seconds(4_000) + 0.2
+
+
+def test_rate_windows_of_batches_and_moments(spark):
+    """Windows reach over Arrow batches; events of one moment are in each other's windows; those without key or time are left out."""
+    rows = [("a", k // 3, k, 2) for k in range(25_000)] + [("b", 5, 1, 7), (None, 5, 2, 7), ("b", None, 3, 7)]
+    own = spark.createDataFrame(rows, "key string, s long, id long, n int").withColumn("ts", F.timestamp_seconds("s"))
+    got = {(r.key, r.id): r for r in runs.rate_windows(own, "key", "ts", "id", F.col("n"), 10, 40, 60).collect()}
+    assert len(got) == 25_001 and got["b", 1].requests == 1 and got["b", 1].window_tokens == 7
+    r = got["a", 20_001]
+    assert (r.requests, r.window_tokens) == (183, 366) and r.wait == 60 - 6
