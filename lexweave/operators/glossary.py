@@ -5,11 +5,12 @@ A glossary is rows (category, ord, original, translation, policy, aliases array<
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from lexweave.functions.text import meaningful_term, slug, strip, text
 
@@ -35,10 +36,14 @@ def policy(c: Column) -> Column:
     return out
 
 
-def alias_list(c: Column) -> Column:
+def alias_list(c: Column, trimmed: Callable[[Column], Column] = strip) -> Column:
     """Different aliases of two characters or more, in order."""
-    parts = F.split(strip(F.regexp_replace(strip(text(c)), ALIAS_PREFIX, "")), "[\\n,，;；、|]+")
-    return F.array_distinct(F.filter(F.transform(parts, strip), lambda a: F.length(a) >= 2))
+    parts = F.split(trimmed(F.regexp_replace(trimmed(text(c)), ALIAS_PREFIX, "")), "[\\n,，;；、|]+")
+    return distinct_aliases(parts, trimmed)
+
+
+def distinct_aliases(parts: Column, trimmed: Callable[[Column], Column] = strip) -> Column:
+    return F.array_distinct(F.filter(F.transform(parts, lambda a: trimmed(a)), lambda a: F.length(a) >= 2))
 
 
 def category_rank(c: Column) -> Column:
@@ -313,7 +318,7 @@ def prompts(chosen: DataFrame, terms: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def cleaned(raw: DataFrame) -> DataFrame:
-    """Candidates (ord, src, dst, category, info, source, policy, aliases string) as terms (ord, original, translation, category, info, source, policy, aliases): particles before names cut, short and common words out, repeated sources merged.
+    """Candidates (ord, src, dst, category, info, source, policy, aliases string or array<string>) as terms (ord, original, translation, category, info, source, policy, aliases): particles before names cut, short and common words out, repeated sources merged.
 
     The first of a source counts; the others' translations and aliases become its aliases. It becomes a creature if any of
     them is, else leaves Item for the first other category.
@@ -323,7 +328,9 @@ def cleaned(raw: DataFrame) -> DataFrame:
     category = F.when(F.col("category").isin(*CATEGORIES), F.col("category")).otherwise("Item")
     for name, words in CATEGORY_NAMES.items():
         category = F.when(said.isin(*words), name).otherwise(category)
-    own = raw.select("ord", src.alias("original"), dst.alias("translation"), category.alias("category"), strip(text(F.col("info"))).alias("info"), F.coalesce(F.nullif(strip(text(F.col("source"))), F.lit("")), F.lit("auto")).alias("source"), policy(F.col("policy")).alias("policy"), alias_list(F.col("aliases")).alias("aliases"))
+    # a list is taken as it is, so that its names may hold commas
+    aliases = distinct_aliases(F.coalesce("aliases", F.array().cast("array<string>"))) if isinstance(raw.schema["aliases"].dataType, ArrayType) else alias_list(F.col("aliases"))
+    own = raw.select("ord", src.alias("original"), dst.alias("translation"), category.alias("category"), strip(text(F.col("info"))).alias("info"), F.coalesce(F.nullif(strip(text(F.col("source"))), F.lit("")), F.lit("auto")).alias("source"), policy(F.col("policy")).alias("policy"), aliases.alias("aliases"))
     own = own.where((F.length("original") >= 2) & (F.length("translation") >= 2) & ~F.col("original").isin(*COMMON_WORDS) & ~F.col("translation").isin(*COMMON_WORDS))
     every = F.array_sort(F.collect_list(F.struct("ord", "translation", "category", "info", "source", "policy", "aliases")))
     grouped = own.groupBy("original").agg(every.alias("all")).withColumn("f", F.get("all", F.lit(0)))
