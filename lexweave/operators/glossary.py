@@ -50,11 +50,11 @@ def category_rank(c: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, CATEGORIES)), c)
 
 
-def normalised(raw: DataFrame) -> DataFrame:
-    """From rows (category, ord, original, src, translation, dst, policy, aliases string): the first row of each original, unknown categories as Item; conflict where a later row translates otherwise."""
+def normalised(raw: DataFrame, trimmed: Callable[[Column], Column] = strip) -> DataFrame:
+    """From rows (category, ord, original, src, translation, dst, policy, aliases string): the first row of each original, unknown categories as Item; conflict where a later row translates otherwise. `trimmed` takes off what surrounds a name."""
     own = raw.select(
-        F.when(F.col("category").isin(*CATEGORIES), F.col("category")).otherwise("Item").alias("category"), "ord", strip(text(F.coalesce("original", "src"))).alias("original"),
-        strip(text(F.coalesce("translation", "dst"))).alias("translation"), policy(F.col("policy")).alias("policy"), alias_list(F.col("aliases")).alias("aliases"),
+        F.when(F.col("category").isin(*CATEGORIES), F.col("category")).otherwise("Item").alias("category"), "ord", trimmed(text(F.coalesce("original", "src"))).alias("original"),
+        trimmed(text(F.coalesce("translation", "dst"))).alias("translation"), policy(F.col("policy")).alias("policy"), alias_list(F.col("aliases"), trimmed).alias("aliases"),
     ).where("original <> '' and translation <> ''")
     w = Window.partitionBy("original").orderBy(category_rank(F.col("category")), "ord")
     every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
