@@ -6,6 +6,8 @@ changed, in that book only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +21,9 @@ RENDERING = "^[\\u4e00-\\u9fff\\u3040-\\u30ffA-Za-z0-9・·\\-]+$"
 SHORTEST, LONGEST, SIGHTINGS = 2, 8, 3
 
 
-def expected(translation: Column, original: Column, policy: Column) -> Column:
-    """What a term should read: itself where it is preserved."""
-    return F.when(text(policy) == "preserve", original).otherwise(strip(text(translation)))
+def expected(translation: Column, original: Column, policy: Column, trimmed: Callable[[Column], Column] = strip) -> Column:
+    """What a term should read: itself where it is preserved. `trimmed` takes off what surrounds a translation."""
+    return F.when(text(policy) == "preserve", original).otherwise(trimmed(text(translation)))
 
 
 def candidate(target: Column, wanted: Column) -> Column:
