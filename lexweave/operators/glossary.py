@@ -384,12 +384,12 @@ def applied_to_book(nodes: DataFrame, titles: DataFrame, terms: DataFrame, most:
     return changed, summary.select((F.col("n") > 0).alias("ok"), "n", "texts")
 
 
-def metadata(asked: DataFrame, terms: DataFrame) -> DataFrame:
-    """asked (original) with category, source, info and policy of the term of that name: of several the first by category, then by order; null where there is none, or the name is blank."""
+def metadata(asked: DataFrame, terms: DataFrame, trimmed: Callable[[Column], Column] = strip) -> DataFrame:
+    """asked (original) with category, source, info and policy of the term of that name: of several the first by category, then by order; null where there is none, or the name is blank. `trimmed` takes off what surrounds a name or a field."""
     fields = ["category", "source", "info", "policy"]
-    one = F.struct(category_rank(F.col("category")).alias("k"), "ord", *[strip(text(F.col(f))).alias(f) for f in fields])
-    first = terms.where(category_rank(F.col("category")) > 0).groupBy(strip(text(F.col("original"))).alias("_name")).agg(F.min(one).alias("_m")).where("_name <> ''")
-    met = asked.withColumn("_name", strip(text(F.col("original")))).join(first, "_name", "left")
+    one = F.struct(category_rank(F.col("category")).alias("k"), "ord", *[trimmed(text(F.col(f))).alias(f) for f in fields])
+    first = terms.where(category_rank(F.col("category")) > 0).groupBy(trimmed(text(F.col("original"))).alias("_name")).agg(F.min(one).alias("_m")).where("_name <> ''")
+    met = asked.withColumn("_name", trimmed(text(F.col("original")))).join(first, "_name", "left")
     return met.select(*asked.columns, *[F.col(f"_m.{f}").alias(f) for f in fields])
 
 
