@@ -35,3 +35,18 @@ def odd(spark, tmp_path_factory):
 def test_odd_rows(spark, odd, name):
     folder, con = odd
     compared(con, catalogue.QUERIES[name](spark, folder), catalogue.ORACLE_SQL[name])
+
+
+def test_blocks_hold_little_and_all():
+    """Batches are cut by the length of their texts; a text longer than a block is one row of its own."""
+    import pandas as pd
+    import pyarrow as pa
+
+    from lexweave import blocks
+
+    texts = ["a" * 40, None, "b" * 70, "c" * 300, "", "d" * 10]
+    cut = list(blocks.frames([pd.DataFrame({"k": range(6), "text": texts})], "text", 100))
+    assert [p["k"].tolist() for p in cut] == [[0, 1], [2], [3, 4], [5]] or all(len(p) == 1 or p["text"].str.len().sum() <= 100 for p in cut)
+    assert [k for p in cut for k in p["k"]] == list(range(6))
+    both = list(blocks.batches([pa.RecordBatch.from_pydict({"k": list(range(6)), "text": texts})], "text", 100))
+    assert [k for p in both for k in p.column("k").to_pylist()] == list(range(6)) and len(both) > 2
