@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import titles
 from lexweave.functions.text import strip, text
+from lexweave.storage import stored
 
 #: Tags whose text is a title.
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -41,7 +42,8 @@ def written_back(blocks: DataFrame, results: DataFrame) -> DataFrame:
 
     A heading that is also a title of contents says how the title is translated everywhere, the first one of the book.
     """
-    own = cleaned_nodes(aligned(blocks, results)).withColumn("_key", title_key(F.col("text")))
+    # read three times
+    own = stored(cleaned_nodes(aligned(blocks, results)).withColumn("_key", title_key(F.col("text"))), "aligned")
     listed = own.where("mode = 'toc' and _key <> ''").select("id", "_key").distinct()
     heads = own.where(F.lower(F.coalesce("tag", F.lit(""))).isin(*HEADINGS) & (text(F.col("translation")) != "")).join(listed, ["id", "_key"], "left_semi")
     canonical = heads.groupBy("id", "_key").agg(F.min_by("translation", "seq").alias("_canonical"))
