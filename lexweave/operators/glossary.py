@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from lexweave.blocks import frames as small
 from lexweave.functions.text import meaningful_term, slug, strip, text
 
 #: Categories in order, scopes by priority, spellings of policies, prefixes of alias lists.
@@ -134,7 +135,7 @@ def held_terms(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str, a
         for k, term in enumerate(known):
             machine.add_word(term, k)
         machine.make_automaton()
-        for part in parts:
+        for part in small(parts, "text", 1 << 18):
             ids, originals, starts = [], [], []
             for i, value in part.itertuples(index=False):
                 places: dict[int, list[int]] = {}
@@ -240,7 +241,7 @@ def replace_terms(texts: DataFrame, terms: list[tuple[str, str]], id_col: str, t
     compiled = [(re.compile(edge(m[0], "<!") + re.escape(m) + edge(m[-1], "!")), m, t) for m, t in terms]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
+        for part in small(parts, "text"):
             texts, logs = [], []
             for value in part["text"].fillna(""):
                 log = []
