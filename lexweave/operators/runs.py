@@ -61,7 +61,7 @@ def rate_windows(events: DataFrame, key: str, ts: str, tie: str, tokens: Column,
     """
     timed = events.withColumn("tokens", tokens).where(F.col(key).isNotNull() & F.col(ts).isNotNull())
     whole = T.LongType() if isinstance(timed.schema["tokens"].dataType, T.IntegralType) else T.DoubleType()
-    schema = T.StructType(timed.schema.fields)
+    schema = T.StructType(list(timed.schema.fields))
     for name, kind in (("requests", T.LongType()), ("window_tokens", whole), ("wait", T.DoubleType()), ("gap", T.DoubleType())):
         schema = schema.add(name, kind)
     own = timed.withColumn("_s", F.unix_micros(ts) / 1e6).withColumn("_n", F.coalesce(F.col("tokens").cast(whole), F.lit(0).cast(whole)))
