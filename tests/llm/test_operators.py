@@ -4,7 +4,10 @@ import base64
 import datetime as dt
 import hashlib
 import math
+import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -307,6 +310,30 @@ def test_packing(edge):
     assert packing.pack(edge.limit(0), path).count() == 0
 
 
+GROWTH = """
+import sys
+import numpy as np, pyarrow as pa
+from lexweave.llm import byte_bpe, common, packing
+held = lambda name: next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith(name)) // 1024
+c = byte_bpe.coder(sys.argv[1], special=True)
+common.returned()
+letters = np.random.default_rng(3).integers(97, 123, (400, 5000, 8), dtype=np.uint8)
+letters[:, :, 0] = 32
+before = held("VmRSS:")
+for k in range(0, 400, 100):
+    batch = pa.record_batch([pa.array([x.tobytes().decode() for x in letters[k : k + 100]])], ["text"])
+    for part in common.text_blocks(batch, "text", byte_bpe.BLOCK):
+        packing.curve_keys(c.encode(part.column("text")), len(c.tokens))
+print(held("VmHWM:") - before)
+"""
+
+
+def test_a_packing_worker_stays_small():
+    """16 MB of words that are all new: what a worker grows by over its tokenizer, in MB."""
+    out = subprocess.run([sys.executable, "-c", GROWTH, P.path("byte_bpe_50k.json")], capture_output=True, text=True, check=True, timeout=120, env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)})
+    assert int(out.stdout) < 220
+
+
 @pytest.mark.parametrize("bits,n", [(2, 2), (3, 2), (2, 3)])
 def test_hilbert_steps_are_neighbours(bits, n):
     points = np.stack(np.meshgrid(*[np.arange(1 << bits)] * n, indexing="ij"), -1).reshape(-1, n)
