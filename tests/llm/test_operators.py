@@ -334,6 +334,12 @@ def test_a_packing_worker_stays_small():
     assert int(out.stdout) < 220
 
 
+def test_words_are_encoded_as_one_text():
+    c = byte_bpe.coder(P.path("byte_bpe_50k.json"), special=True)
+    words = [" a", " Wörter", " \u024f", " twice", " twice", " " + "z" * 500]
+    assert c._whole_words(words) == [x.tobytes() for x in c._library(words)] and c._whole_words([]) == []
+
+
 @pytest.mark.parametrize("bits,n", [(2, 2), (3, 2), (2, 3)])
 def test_hilbert_steps_are_neighbours(bits, n):
     points = np.stack(np.meshgrid(*[np.arange(1 << bits)] * n, indexing="ij"), -1).reshape(-1, n)
