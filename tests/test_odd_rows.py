@@ -5,7 +5,9 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from lexweave.operators import quality
 from lexweave.plans import catalogue, more, tables  # noqa: F401
 from tests.test_library import compared
 
@@ -50,3 +52,15 @@ def test_blocks_hold_little_and_all():
     assert [k for p in cut for k in p["k"]] == list(range(6))
     both = list(blocks.batches([pa.RecordBatch.from_pydict({"k": list(range(6)), "text": texts})], "text", 100))
     assert [k for p in both for k in p.column("k").to_pylist()] == list(range(6)) and len(both) > 2
+
+
+def test_rest_twice_is_two_passes_in_one_worker(spark):
+    texts = [None, "", "abc", "没有假名", "[[ja:あいう]] い", "他说「ありがとう」", "あの『カナ』と書く", "ス·テ か", "[[ja:あ]]", "お x 这里有很多很多的中文字"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string")
+    found = df.select("i", quality.rest_twice(F.col("s")).alias("r")).select("i", "r.t", "r.tt")
+    once = df.withColumn("t", quality.without_allowed(F.col("s")))
+    expected = once.select("i", "t", quality.without_allowed(F.col("t")).alias("tt"))
+    assert sorted(found.collect()) == sorted(expected.collect())
+    # a task of q_recovery_run has one worker for each function in Python: the calls, the names, the rest
+    df = catalogue.QUERIES["q_recovery_run"](spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") <= 3
