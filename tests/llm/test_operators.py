@@ -14,6 +14,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import public_tokenizers as P
+import pyarrow
 import pytest
 import tiktoken
 import xxhash
@@ -340,6 +341,33 @@ def test_words_are_encoded_as_one_text():
     assert c._whole_words(words) == [x.tobytes() for x in c._library(words)] and c._whole_words([]) == []
 
 
+def test_words_met_again_are_not_encoded_again(monkeypatch):
+    """After 300 000 other words, as a worker meets them in a few MB of text."""
+    c = byte_bpe.Coder(byte_bpe.coder(P.path("byte_bpe_50k.json"), special=True).tokenizer, special=True)
+    words = lambda k: pyarrow.array(["".join(" " + "".join(chr(97 + (i // 26**j) % 26) for j in range(5)) for i in range(k, k + 60_000))])
+    first = c.encode(words(0))
+    for k in range(1, 6):
+        c.encode(words(k * 60_000))
+    monkeypatch.setattr(c, "_whole_words", lambda some: [b""] * len(some))
+    assert (c.encode(words(0))[0] == first[0]).all()
+
+
+def test_kept_pieces_are_those_added():
+    """Through several renewals: what is found has its own ids, and what was met since the last renewal stays."""
+    kept, rng = byte_bpe.Pieces(np.dtype("<u2"), 128), np.random.default_rng(1)
+    for _ in range(50):
+        texts = sorted({b"x" * 24, *(str(n).encode() for n in rng.integers(0, 300, 20))})
+        sizes = np.array([len(t) for t in texts])
+        keys = kept.keys_of(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes, sizes)
+        number = kept.find(keys)
+        for t, k in zip(texts, number.tolist(), strict=True):
+            assert k < 0 or kept.ids[kept.at[k] : kept.at[k] + kept.size[k]].tobytes() == b"".join(bytes([b, 0]) for b in t)
+        new = np.flatnonzero(number < 0)
+        kept.add(keys[new], np.frombuffer(b"".join(texts[i] for i in new), np.uint8).astype("<u2"), sizes[new])
+        assert (kept.find(keys[new]) >= 0).all()
+    assert number[texts.index(b"x" * 24)] >= 0
+
+
 @pytest.mark.parametrize("bits,n", [(2, 2), (3, 2), (2, 3)])
 def test_hilbert_steps_are_neighbours(bits, n):
     points = np.stack(np.meshgrid(*[np.arange(1 << bits)] * n, indexing="ij"), -1).reshape(-1, n)
