@@ -214,11 +214,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs's columns, then score double and predicted int; columns of these two names in docs are replaced."""
     names, schema = docs.columns, docs.schema.simpleString().removeprefix("struct<").removesuffix(">")
-    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text_col).alias("text"))
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    place = [c.lower() for c in names].index(text_col.lower())
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = model.distances()
-        for part in (b for p in parts for b in text_blocks(p, "text")):
+        # the text is in the row: sent beside it, it would take its place twice in Spark and in the worker
+        pairs = (pa.RecordBatch.from_arrays([p.column("row"), p.column("row").field(place)], names=["row", "text"]) for p in parts)
+        for part in (b for p in pairs for b in text_blocks(p, "text")):
             x = np.array([found(t) for t in batches(part.column("text"))]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(model.score(x))], names=["row", "score"])
 

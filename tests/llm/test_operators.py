@@ -637,3 +637,33 @@ def test_pipeline_stages_hold(spark, sf_dir):
     close = [(a, b) for n, a in enumerate(left) for b in left[:n] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert not close and kept.columns.tolist() == docs.columns
     assert isinstance(kept, pd.DataFrame) and docs.select(F.countDistinct("text")).first()[0] >= len(kept)
+
+
+def test_a_stage_of_the_pipeline_works_on_small_batches(spark):
+    """20 MB of texts in one partition: neither Spark nor a worker holds them at once, and a smaller bound of the caller's stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(0, 5000, 1, 1).selectExpr("id AS doc_id", "repeat('abcd ', 800) AS text")
+
+    def sizes(parts):
+        for p in parts:
+            yield pyarrow.RecordBatch.from_arrays([pyarrow.array([p.nbytes])], names=["n"])
+
+    try:
+        corpus_pipeline.pack(spark, docs.limit(0), "")
+        largest = docs.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+        assert largest < 1.1 * corpus_pipeline.BATCH
+        spark.conf.set(key, "1MB")
+        corpus_pipeline.small_batches(spark)
+        assert spark.conf.get(key) == "1MB"
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_a_scored_text_is_sent_once(spark):
+    docs = spark.createDataFrame([(1, "one", "x"), (2, None, "y"), (3, "three", None)], "doc_id int, TEXT string, source string")
+    out = toxicity.score(docs.repartition(1), toxicity.Model(b"\0" * 8, b"\0" * 8))
+    assert {tuple(r)[:3] for r in out.collect()} == {tuple(r) for r in docs.collect()}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    sent = next(line for line in plan.splitlines() if "named_struct" in line or "struct(" in line)
+    assert sent.lower().count("text#") <= 2, plan  # the struct's field; not a column beside it
