@@ -1,13 +1,14 @@
 """Language-model scoring from a log-frequency Bloom filter.
 
 Counts of words and word pairs are quantised to powers of two; a key of level l is put in the filter once for each level
-from 1 to l, and its count is read back by asking for level 1, 2, ... until one is missing. The filter is built in segments,
-each by the task that gathers the segment's keys, with room for all keys at every corpus size. Scoring interpolates pair
-and word probabilities from such counts.
+from 1 to l, and its count is read back by asking for level 1, 2, ... until one is missing. Scoring interpolates pair and word
+probabilities from such counts; the base score uses exact word counts.
 
-A filter within BROADCAST bytes is sent to every worker; a larger one stays in its segments, and the probes are shuffled
-to them. The base score uses exact word counts: those of the at most FREQUENT most frequent words are sent to the workers,
-and what else a document holds is joined with the counts.
+The filter is in segments, and keys meet it where they are counted: each chunk of texts sends its different keys, with their
+training counts, to their segments once; a segment's task adds the counts up, builds the segment with room for all keys and
+reads the levels of all it was asked for back from it; the levels return to the chunk, where its texts are scored. So neither
+the filter nor a table of words is ever held or sent whole, what is shuffled is bounded by the texts, and the plan is the same
+at every size.
 
 A text's tokens are its words, lower-cased in A-Z and cut at 0x20 and 0x09-0x0D, then one end. Null and empty texts have
 the end only. Without training rows N and V are 0 and all counts too. Repeated rows count and are scored each; an empty table
@@ -27,12 +28,12 @@ from pyspark.sql import functions as F
 
 from lexweave.llm.common import held_out, stored, text_blocks
 
-FOLD, FREQUENT, BROADCAST = 5, 1 << 18, 256 << 20
-#: Pair weight, words of 64 bits a key, bits a key in a word, tokens gathered before a task passes counts on, tokens a segment.
-WEIGHT, WORDS, PROBES, GATHER, SEGMENT = 0.6, 0.16, 5, 1_500_000, 1 << 20
+FOLD = 5
+#: Pair weight, words of 64 bits a key, bits a key in a word.
+WEIGHT, WORDS, PROBES = 0.6, 0.16, 5
 LEVELS = 40
-#: Bytes of text hashed at once: hashing holds some 50 bytes for each.
-BLOCK = 1 << 20
+#: Bytes of text hashed at once (hashing holds some 50 bytes for each), of a chunk, and of training text a segment.
+BLOCK, CHUNK, SEGMENT = 1 << 20, 10 << 20, 6 << 20
 
 _rng = np.random.default_rng(20_24)
 _BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -87,26 +88,55 @@ def pairs(found: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return before, mix(before * np.uint64(_FIRST) + found * np.uint64(_SECOND))
 
 
-def counted(df: DataFrame, of_pairs: bool, text_col: str = "text") -> DataFrame:
-    """(h, n): counts of words, or of pairs, summed within each task only."""
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+def chunks(parts: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Blocks of texts, as many together as hold CHUNK bytes."""
+    held, size = [], 0
+    for block in (b for p in parts for b in text_blocks(p, "text", BLOCK)):
+        held.append(block)
+        size += pc.sum(pc.binary_length(block.column("text"))).as_py() or 0
+        if size >= CHUNK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def chunk_keys(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens of all texts, number of each text's tokens, hashes of the pairs they end, then START for each text)."""
+    found, sizes = (np.concatenate(x) for x in zip(*map(tokens, columns), strict=True))
+    return found, sizes, np.append(pairs(found, sizes)[1], np.full(len(sizes), START, np.uint64))
+
+
+def different(h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(different keys by segment and then by size, the first of each segment and the end, where each h is among them)."""
+    kinds, inverse = np.unique(h.view(np.int64), return_inverse=True)
+    segment = np.mod(kinds, segments)
+    order = np.argsort(segment, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return kinds[order], np.searchsorted(segment[order], np.arange(segments + 1)), place[inverse]
+
+
+def packed(n: np.ndarray) -> bytes:
+    """Whole numbers byte by byte of their value: where all are small, what is above is zeros, which a shuffle's compression takes out."""
+    return n.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
 
-        def summed() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()
 
-        for part in (b for p in parts for b in text_blocks(p, text_col, BLOCK)):
-            found, sizes = tokens(part.column(text_col))
-            held.append(pairs(found, sizes)[1] if of_pairs else found)
-            size += len(found)
-            if size >= GATHER:
-                yield summed()
-                held, size = [], 0
-        if held:
-            yield summed()
 
-    return df.select(text_col).mapInArrow(run, "h long, n long")
+def packed_keys(keys: np.ndarray, segments: int) -> bytes:
+    """A segment's keys in their order: the first, then how many segments further each is than the one before."""
+    steps = keys.view(np.uint64).copy()
+    steps[1:] = np.diff(steps) // np.uint64(segments)
+    return packed(steps)
+
+
+def unpacked_keys(data: bytes, segments: int) -> np.ndarray:
+    steps = unpacked(data)
+    steps[1:] *= np.uint64(segments)
+    return np.cumsum(steps, dtype=np.uint64)
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -161,136 +191,104 @@ def probability(pair: np.ndarray, before: np.ndarray, word: np.ndarray, n: int,
     return WEIGHT * double + (1 - WEIGHT) * np.minimum(single, 1.0)
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = FOLD, broadcast_bytes: int = BROADCAST, frequent: int = FREQUENT) -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    spark = df.sparkSession
-    own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out(F.col(id_col), fold).alias("held_out"))
-    training = own.where(~F.col("held_out"))
-    words = stored(counted(training, False).groupBy("h").agg(F.sum("n").alias("n")), "word-counts")
-    total, kinds, texts = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("h") == np.uint64(END).view(np.int64).item(), F.col("n"))), F.lit(0))).first()
-
-    # the filter, in segments of about as many tokens at every size
-    segments = int(total // SEGMENT) + 1
-    first = spark.createDataFrame([(np.uint64(START).view(np.int64).item(), int(texts))], "h long, n long")
-    keys = counted(training, True).union(words).union(first).withColumn("segment", F.pmod("h", F.lit(segments)).cast("int"))
-
-    def build(group: pa.Table) -> pa.Table:
-        filter_words = build_segment(group["h"].to_numpy().view(np.uint64), group["n"].to_numpy())
-        return pa.table({"segment": group["segment"][:1], "words": pa.array([filter_words.tobytes()], pa.binary())})
-
-    segment_table = stored(keys.groupBy("segment").applyInArrow(build, "segment int, words binary"), "filter", "uncompressed")
-    size = segment_table.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]
-
-    # exact counts of the most frequent words: the lowest power of two from which on they are few enough
-    by_power = {r[0]: r[1] for r in words.groupBy(F.floor(F.log2("n")).cast("int")).count().collect()}
-    least, held = LEVELS + 24, 0
-    for power in range(LEVELS + 24, -1, -1):
-        held += by_power.get(power, 0)
-        if held > frequent:
-            break
-        least = power
-    common = words.where(F.log2("n") >= least).toArrow().sort_by("h")
-    common = spark.sparkContext.broadcast((common["h"].to_numpy(), common["n"].to_numpy()))
-    unit = np.log10(total + 0.5 * (kinds + 1))
-
-    sent = None
-    if size <= broadcast_bytes:
-        held_parts = {s: np.frombuffer(bytes(w), np.uint64) for s, w in segment_table.toLocalIterator()}
-        # segment by segment, so that no worker holds the whole twice while it reads it
-        sent = spark.sparkContext.broadcast([held_parts.get(s, np.zeros(0, np.uint64)) for s in range(segments)])
-        del held_parts
-
-    def base_of(found: np.ndarray, sizes: np.ndarray) -> tuple[list, list, list, list]:
-        """Per text: sum of log10(c + 0.5) and number of frequent words, and the others with their numbers."""
-        keys, n = common.value
-        signed = found.view(np.int64)
-        at = np.minimum(np.searchsorted(keys, signed), max(len(keys) - 1, 0))
-        hit = keys[at] == signed if len(keys) else np.zeros(len(found), bool)
-        logs = np.where(hit, np.log10((n[at] if len(keys) else np.zeros(len(found))) + 0.5), 0.0)
-        begin = np.cumsum(sizes) - sizes
-        sums, known = np.add.reduceat(logs, begin), np.add.reduceat(hit.astype(np.int64), begin)
-        rare, counts = [], []
-        for a, b, k in zip(begin, begin + sizes, known, strict=True):
-            h, c = np.unique(signed[a:b][~hit[a:b]], return_counts=True) if k < b - a else (signed[:0], signed[:0])
-            rare.append(h)
-            counts.append(c)
-        return sums, known, rare, counts
-
+def asked(numbered: DataFrame, segments: int) -> DataFrame:
+    """(segment, chunk, of_words, keys, counts): the different words, and pairs, of each chunk with their training counts. A chunk is named by its first row."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blocks in chunks(parts):
+            found, sizes, double = chunk_keys([b.column("text") for b in blocks])
+            learned = ~np.concatenate([b.column("held_out").to_numpy(zero_copy_only=False) for b in blocks])
+            of_token = np.repeat(learned, sizes)
+            for of_words, h, own in ((True, found, of_token), (False, double, np.append(of_token, learned))):
+                keys, bounds, place = different(h, segments)
+                n = np.bincount(place[own], minlength=len(keys))
+                full = np.flatnonzero(np.diff(bounds))
+                cuts = [slice(bounds[s], bounds[s + 1]) for s in full]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(full.astype(np.int32)), pa.array(np.full(len(full), blocks[0].column("row")[0].as_py())), pa.array([of_words] * len(full)), pa.array([packed_keys(keys[x], segments) for x in cuts], pa.binary()), pa.array([packed(n[x]) for x in cuts], pa.binary())],
+                    names=["segment", "chunk", "of_words", "keys", "counts"],
+                )
+
+    return numbered.mapInArrow(run, "segment int, chunk long, of_words boolean, keys binary, counts binary")
+
+
+def answered(questions: DataFrame, segments: int) -> DataFrame:
+    """(segment, chunk, of_words, levels, counts) for each question: levels by the segment of the filter that all questions' counts build, exact counts of words; and a row without chunk: the segment's training tokens, and how many different ones."""
+    def answer(group: pa.Table) -> pa.Table:
+        keys = [unpacked_keys(x, segments) for x in group["keys"].to_pylist()]
+        ends = np.cumsum([len(x) for x in keys])[:-1]
+        of_words = group["of_words"].to_numpy()
+        n = np.concatenate([unpacked(x) for x in group["counts"].to_pylist()]).astype(np.int64)
+        kinds, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        word_n = n * np.repeat(of_words, [len(x) for x in keys])
+        sums, exact = (np.bincount(inverse, weights=x).astype(np.int64) for x in (n, word_n))
+        words = build_segment(kinds[sums > 0], sums[sums > 0])
+        zero = np.zeros(len(kinds), np.int64)
+        levels = levels_in(kinds, words, zero, zero + len(words)).astype(np.uint8)
+        counts = [packed(x) if w else None for x, w in zip(np.split(exact[inverse], ends), of_words, strict=True)]
+        return pa.table(
+            {
+                "segment": pa.array([group["segment"][0].as_py()] * (len(keys) + 1), pa.int32()), "chunk": pa.array([*group["chunk"].to_pylist(), None], pa.int64()), "of_words": pa.array([*of_words.tolist(), None], pa.bool_()),
+                "levels": pa.array([*(x.tobytes() for x in np.split(levels[inverse], ends)), None], pa.binary()), "counts": pa.array([*counts, None], pa.binary()),
+                "total": pa.array([None] * len(keys) + [int(exact.sum())], pa.int64()), "kinds": pa.array([None] * len(keys) + [int((exact > 0).sum())], pa.int64()),
+            }
+        )
+
+    return questions.groupBy("segment").applyInArrow(answer, "segment int, chunk long, of_words boolean, levels binary, counts binary, total long, kinds long")
+
+
+def sent_back(numbered: DataFrame) -> DataFrame:
+    """(chunk, part, texts): the rows of each chunk, compressed, for the answers to meet them."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if sent:
-            filters = sent.value
-        for part in (b for p in parts for b in text_blocks(p, "text", BLOCK)):
-            found, sizes = tokens(part.column("text"))
-            sums, known, rare, counts = base_of(found, sizes)
-            scores = np.zeros(len(sizes))
-            if sent:
-                _, double = pairs(found, sizes)
-
-                def level(h: np.ndarray) -> np.ndarray:
-                    kinds, inverse = np.unique(h, return_inverse=True)
-                    segment = np.mod(kinds.view(np.int64), segments)
-                    order = np.argsort(segment, kind="stable")
-                    bounds, out = np.searchsorted(segment[order], np.arange(segments + 1)), np.zeros(len(kinds), np.int64)
-                    for s, words_of in enumerate(filters):
-                        own = order[bounds[s] : bounds[s + 1]]
-                        zero = np.zeros(len(own), np.int64)
-                        out[own] = levels_in(kinds[own], words_of, zero, zero + len(words_of))
-                    return out[inverse]
-
-                # the word before is the text's own, one place on, so that its level is known already
-                single = level(found)
-                ahead = np.empty_like(single)
-                ahead[1:] = single[:-1]
-                ahead[np.cumsum(sizes) - sizes] = level(np.array([START], np.uint64))[0]
-                p = probability(level(double), ahead, single, total, kinds)
-                scores = np.add.reduceat(np.log10(p), np.cumsum(sizes) - sizes)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("row"), part.column("id"), part.column("held_out"), pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(sums), pa.array(scores), pa.array(rare, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))],
-                names=["row", "id", "held_out", "n_tokens", "known", "logs", "score", "rare", "counts"],
-            )
+        for blocks in chunks(parts):
+            chunk = blocks[0].column("row")[0].as_py()
+            for k, block in enumerate(blocks):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(block)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([k], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "part", "texts"])
+
+    return numbered.mapInArrow(run, "chunk long, part int, texts binary")
+
+
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = FOLD, broadcast_bytes: int = 0, frequent: int = 0) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row. Nothing is broadcast any more: broadcast_bytes and frequent are taken, but change nothing."""
+    own = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), held_out(F.col(id_col), fold).alias("held_out"), F.col(text_col).alias("text"))
+    # read twice, and the chunks must be the same both times
+    numbered = stored(own, "numbered")
+    segments = int(numbered.where(~F.col("held_out")).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // SEGMENT) + 1
+    answers = stored(answered(asked(numbered, segments), segments), "answers")
+    total, kinds = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    unit = float(np.log10(total + 0.5 * (kinds + 1)))
+
+    def scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        blocks = [pa.ipc.open_stream(x).read_all().combine_chunks() for x in texts.sort_by("part")["texts"].to_pylist()]
+        held = pa.concat_tables(blocks)
+        found, sizes, double = chunk_keys([b["text"].chunk(0) for b in blocks])
+        levels, counts = {}, np.zeros(0)
+        for of_words, h in ((True, found), (False, double)):
+            keys, _, place = different(h, segments)
+            got = answers.filter(pc.equal(answers["of_words"], of_words)).sort_by("segment")
+            levels[of_words] = np.frombuffer(b"".join(got["levels"].to_pylist()), np.uint8).astype(np.int64)
+            if len(levels[of_words]) != len(keys):
+                raise ValueError("the rows of a chunk changed between two readings of one table")
+            levels[of_words] = levels[of_words][place]
+            if of_words:
+                counts = np.concatenate([unpacked(x) for x in got["counts"].to_pylist()]).astype(np.int64)[place]
+        begin = np.cumsum(sizes) - sizes
+        # the word before is the text's own, one place on; START for a text's first
+        single, ahead = levels[True], np.empty_like(levels[True])
+        ahead[1:] = single[:-1]
+        ahead[begin] = levels[False][len(found) :]
+        p = probability(levels[False][: len(found)], ahead, single, total, kinds)
+        return pa.table(
+            {
+                "id": held["id"], "held_out": held["held_out"], "n_tokens": pa.array(sizes.astype(np.int64)), "n_known": pa.array(np.add.reduceat((counts > 0).astype(np.int64), begin)), "train_tokens": pa.array(np.full(len(sizes), total, np.int64)),
+                "base_score": pa.array(np.add.reduceat(np.log10(counts + 0.5), begin) - sizes * unit), "score": pa.array(np.add.reduceat(np.log10(p), begin)),
+            }
+        )
 
     kind = own.schema["id"].dataType.simpleString()
-    numbered = own.select(F.monotonically_increasing_id().alias("row"), "id", "held_out", "text")
-    if not sent:
-        numbered = stored(numbered, "numbered")
-    passed = stored(numbered.mapInArrow(run, f"row long, id {kind}, held_out boolean, n_tokens long, known long, logs double, score double, rare array<long>, counts array<long>"), "passed")
-    rare = passed.select("row", F.explode(F.arrays_zip("rare", "counts")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.counts").alias("k"))
-    seen = rare.join(words.where(F.log2("n") < least), "h").groupBy("row").agg(F.sum(F.col("k") * F.log10(F.col("n") + 0.5)).alias("rare_logs"), F.sum("k").alias("rare_known"))
-    out = passed.join(seen, "row", "left")
-    if not sent:
-        out = out.drop("score").join(_scores_in_segments(numbered, segment_table, segments, int(total), int(kinds)), "row", "left")
-    n_known = F.col("known") + F.coalesce("rare_known", F.lit(0))
-    base = F.col("logs") + F.coalesce("rare_logs", F.lit(0.0)) + (F.col("n_tokens") - n_known) * F.lit(float(np.log10(0.5))) - F.col("n_tokens") * F.lit(float(unit))
-    return out.select("id", "held_out", "n_tokens", n_known.alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
-
-
-def _scores_in_segments(numbered: DataFrame, segment_table: DataFrame, segments: int, total: int, kinds: int) -> DataFrame:
-    """(row, score) where the filter is too large to send: different keys of each block of texts go to their segments, the levels come back."""
-    def keys_of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (b for p in parts for b in text_blocks(p, "text", BLOCK)):
-            found, sizes = tokens(part.column("text"))
-            before, double = pairs(found, sizes)
-            row = np.repeat(part.column("row").to_numpy(), sizes)
-            place = np.arange(len(found)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            for role, h in enumerate((double, before, found)):
-                signed = h.view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(place), pa.array(np.full(len(h), role, np.int32)), pa.array(signed), pa.array(np.mod(signed, segments).astype(np.int32))], names=["row", "place", "role", "h", "segment"])
-
-    probes = numbered.select("row", "text").mapInArrow(keys_of, "row long, place long, role int, h long, segment int")
-    # a key that very many texts hold is asked for once
-    asked = probes.select("segment", "h").distinct()
-
-    def answer(keys: pa.Table, held: pa.Table) -> pa.Table:
-        if not keys.num_rows:
-            return pa.table({"h": pa.array([], pa.int64()), "level": pa.array([], pa.int64())})
-        words = np.frombuffer(held["words"][0].as_py(), np.uint64) if held.num_rows else np.zeros(0, np.uint64)
-        h = keys["h"].to_numpy()
-        zero = np.zeros(len(h), np.int64)
-        return pa.table({"h": h, "level": levels_in(h.view(np.uint64), words, zero, zero + len(words))})
-
-    levels = asked.groupBy("segment").cogroup(segment_table.groupBy("segment")).applyInArrow(answer, "h long, level long")
-    each = probes.join(levels, "h").groupBy("row", "place").agg(*[F.max(F.when(F.col("role") == r, F.col("level"))).alias(name) for r, name in enumerate(("pair", "before", "word"))])
-    count = lambda c: F.when(F.col(c) <= 1, F.col(c)).otherwise(F.pow(F.lit(2.0), F.col(c) - 0.5))
-    single = F.least((count("word") + 0.5) / (total + 0.5 * (kinds + 1)), F.lit(1.0))
-    double = F.least(count("pair") / F.greatest(count("before"), F.lit(1.0)), F.lit(1.0))
-    return each.groupBy("row").agg(F.sum(F.log10(WEIGHT * double + (1 - WEIGHT) * single)).alias("score"))
+    return (
+        sent_back(numbered).groupBy("chunk").cogroup(answers.where("chunk is not null").select("chunk", "segment", "of_words", "levels", "counts").groupBy("chunk"))
+        .applyInArrow(scored, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    )

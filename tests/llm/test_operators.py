@@ -180,6 +180,45 @@ def test_bloom_scores_against_exact_counts(spark, sf_dir):
     assert np.median(near) < 0.005 and np.mean(np.array(near) < 0.03) > 0.9
 
 
+def shuffled(spark) -> dict[int, int]:
+    """Bytes that each stage of the session has written for shuffles."""
+    jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none = jvm.java.util.ArrayList()
+    stages = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+    return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+
+def test_bloom_shuffles_no_more_than_the_texts_bear(spark, sf_dir):
+    """A filter that is too large to send: different keys go to its segments once, not every token three times."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = shuffled(spark)
+    bloom_lm.score(docs, broadcast_bytes=0).write.format("noop").mode("overwrite").save()
+    wrote = sum(n for k, n in shuffled(spark).items() if k not in before)
+    assert 0 < wrote < 3 * docs.agg(F.sum(F.octet_length("text"))).first()[0]
+
+
+def test_bloom_chunks_and_segments(spark, edge, monkeypatch):
+    """Many chunks and segments give the counts and scores of one; keys and counts come through as they were."""
+    docs = edge.unionAll(edge.selectExpr("doc_id + 100 as doc_id", "text", "ids", "row", "curve", "score", "source"))
+    one, spread = rows(bloom_lm.score(docs.coalesce(1)), "id"), rows(bloom_lm.score(docs.repartition(8)), "id")
+    monkeypatch.setattr(bloom_lm, "SEGMENT", 1 << 10)
+    many = rows(bloom_lm.score(docs.repartition(8)), "id")
+    for i, r in one.items():
+        assert spread[i] == r
+        assert (many[i].n_tokens, many[i].n_known, many[i].train_tokens, many[i].base_score) == (r.n_tokens, r.n_known, r.train_tokens, r.base_score)
+        assert many[i].score == pytest.approx(r.score, rel=0.1)  # other segments find other keys that aren't there
+    monkeypatch.setattr(bloom_lm, "CHUNK", 6)
+    batch = pyarrow.RecordBatch.from_pydict({"text": ["abc", None, "defg", "", "h" * 20, "i"]})
+    assert [sum(b.num_rows for b in x) for x in bloom_lm.chunks([batch, batch.slice(0, 2)])] == [6, 2]
+    h = np.random.default_rng(4).integers(0, 1 << 64, 5000, dtype=np.uint64)
+    keys, bounds, place = bloom_lm.different(h, 7)
+    assert (keys[place] == h.view(np.int64)).all()
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        assert (bloom_lm.unpacked_keys(bloom_lm.packed_keys(keys[a:b], 7), 7).view(np.int64) == keys[a:b]).all()
+    assert (bloom_lm.unpacked(bloom_lm.packed(np.arange(300))) == np.arange(300)).all()
+
+
 def test_filter_has_no_missing_key():
     h = np.random.default_rng(1).integers(0, 1 << 63, 20_000).astype(np.uint64)
     n = np.random.default_rng(2).zipf(1.5, len(h)).clip(max=1 << 30)
